@@ -1,10 +1,11 @@
 """Quality classifier by positive-unlabelled learning (non-negative risk; Kiryo et al., 2017).
 
 Only trusted positives and unlabelled web text are learned from. A text becomes shares of byte
-classes, of pairs of neighbouring classes and of single ASCII marks, and measures of repetition. A
-first model tells positives from unlabelled text; the class prior is the least ratio of both shares
-above a score (Scott, 2015). The second model minimises the non-negative unbiased risk
-pi R_p(+1) + max(0, R_u(-1) - pi R_p(-1)) with the logistic loss.
+classes, of pairs of neighbouring classes and of single ASCII marks, and measures of repetition.
+First models, each on half of the sample, tell positives from unlabelled text; on the other half,
+the least ratio of both shares above a score estimates the class prior (Scott, 2015). The final
+model minimises the non-negative unbiased risk pi R_p(+1) + max(0, R_u(-1) - pi R_p(-1)) with the
+logistic loss.
 """
 
 from __future__ import annotations
@@ -117,20 +118,24 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float =
     return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.02, 0.98))
 
 
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, penalty: float = 1e-3, rounds: int = 400) -> Model:
+def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, penalty: float = 5e-3, rounds: int = 300) -> Model:
     """The model from features of trusted positives and of unlabelled texts."""
     both = np.concatenate([positive, unlabelled]).astype(np.float64)
     mean, scale = both.mean(0), both.std(0) + 1e-3
     p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
     width = p.shape[1]
 
-    def against(w: np.ndarray) -> np.ndarray:
+    def against(w: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
         gp, gu = -_sigmoid(-(p @ w[:-1] + w[-1])), _sigmoid(u @ w[:-1] + w[-1])
         return np.append(p.T @ gp / len(p) + u.T @ gu / len(u) + penalty * w[:-1], gp.mean() + gu.mean())
 
-    if prior is None:
-        w = _descend(against, width, rounds // 2)
-        prior = estimate_prior(p @ w[:-1], u @ w[:-1])
+    if prior is None:  # each half is scored by the model of the other
+        found = []
+        for k in (0, 1):
+            learn, check = (slice(k, None, 2), slice(1 - k, None, 2)) if min(len(p), len(u)) > 1 else (slice(None), slice(None))
+            w = _descend(lambda w, s=learn: against(w, p[s], u[s]), width, rounds // 2)
+            found.append(estimate_prior(p[check] @ w[:-1], u[check] @ w[:-1]))
+        prior = sum(found) / 2
 
     def risk(w: np.ndarray) -> np.ndarray:
         fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
