@@ -122,4 +122,4 @@ def territory_codes(df: DataFrame, column: str, prefix: str) -> DataFrame:
     parts = [d if i % 2 == 0 else F.floor(d * 2 / 10) + d * 2 % 10 for i, d in enumerate(digits)]
     check = F.pmod(10 - F.pmod(reduce(lambda a, b: a + b, parts), F.lit(10)), F.lit(10))
     right = full_match(c, f"{prefix}[0-9]{{4}}([0-9])?") & ((F.length(c) == 6) | (F.substring(c, 7, 1).try_cast("int") == check))
-    return df.select(c.alias("codigo")).distinct().select("codigo", F.coalesce(right, F.lit(False)).alias("valido"))
+    return df.select(c.alias("codigo"), F.coalesce(right, F.lit(False)).alias("valido")).distinct()

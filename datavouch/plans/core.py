@@ -25,7 +25,7 @@ RULES = [
     rules.Rule(*RULE_ROWS[3], record_key=("procedimento",), aux_key=("co_procedimento",), instruments=("C", "I", "P", "S", "A")),
 ]
 AUX_VIEW = dict(zip((r.rule_id for r in RULES), ("proc_occ", "estab_occ", "proc_instr", "proc"), strict=True))
-SPLIT = {"desenvolvimento": ("199201", "199412"), "calibracao": ("199501", "199606"), "teste": ("199607", "199812")}
+SPLIT = {"desenvolvimento": ("199501", "199712"), "calibracao": ("199801", "199906"), "teste": ("199907", "200112")}
 
 
 class Flow:

@@ -51,9 +51,9 @@ for _i, _name in enumerate(("r06_rule_pair", "r07_rule_pair_positive", "r08_rule
         return f.one_rule(i).select("row_id", "estado", joined("motivos"), "n_resultados")
 
 
-@_query("r01_applicability", "select r.row_id, case when coalesce(v.estado,'') like 'QUARENTENA%' or instrumento is null then 'DESCONHECIDA' when competencia_atendimento is null then 'DESCONHECIDA' when competencia_atendimento < '199301' or competencia_atendimento > '199712' then 'NAO_APLICAVEL_DEMONSTRADA' else 'APLICAVEL' end as aplicabilidade from records r left join versions v on v.artifact_id = r.artifact_id")
+@_query("r01_applicability", "select r.row_id, case when coalesce(v.estado,'') like 'QUARENTENA%' or instrumento is null then 'DESCONHECIDA' when competencia_atendimento is null then 'DESCONHECIDA' when competencia_atendimento < '199601' or competencia_atendimento > '200012' then 'NAO_APLICAVEL_DEMONSTRADA' else 'APLICAVEL' end as aplicabilidade from records r left join versions v on v.artifact_id = r.artifact_id")
 def _r01(f):
-    rule = rules.Rule("X", "X", "sig", "ATENDIMENTO", 0, ("procedimento",), ("co_procedimento",), valid_on="ATENDIMENTO", valid_from="199301", valid_to="199712")
+    rule = rules.Rule("X", "X", "sig", "ATENDIMENTO", 0, ("procedimento",), ("co_procedimento",), valid_on="ATENDIMENTO", valid_from="199601", valid_to="200012")
     own = f.versions.select("artifact_id", F.col("estado").alias("integridade_registro"))
     return f.records.join(own, "artifact_id", "left").select("row_id", rules.applicability(rule).alias("aplicabilidade"))
 
@@ -224,9 +224,9 @@ def _n07(f):
     return normalize.distinct_entities(f.records.select("cnes", F.col("municipio_estabelecimento").alias("municipio")), ["cnes"])[0].groupBy("municipio").agg(F.count("*").alias("n"))
 
 
-@_query("n08_require_month", "select distinct competencia_processamento as competencia from records where not deletado and competencia_processamento <> '199301' order by 1 limit 10")
+@_query("n08_require_month", "select distinct competencia_processamento as competencia from records where not deletado and competencia_processamento <> '199601' order by 1 limit 10")
 def _n08(f):
-    return normalize.require_month(f.records, "competencia_processamento", "199301")
+    return normalize.require_month(f.records, "competencia_processamento", "199601")
 
 
 @_query("n09_reconcile", f"select count(*) as fisicas, count(*) filter ({_PAIR} is null) as canonicas, count(*) filter ({_PAIR} is not null) as excluidas, 0 as sem_explicacao from production")
@@ -410,12 +410,12 @@ def _c4(f):
     return coverage.incomplete_months(bad, f.records)
 
 
-@_query("c5_recompute_coverage", f"select {_KEY}, case when n_prod = 0 then 'AUSENTE' else estado end as estado from cobertura where competencia >= '199601'")
+@_query("c5_recompute_coverage", f"select {_KEY}, case when n_prod = 0 then 'AUSENTE' else estado end as estado from cobertura where competencia >= '199901'")
 def _c5(f):
     """The population is cut to the months from 1996-01 on; other months of the grid have no production."""
-    cut = f.records.filter("competencia_processamento >= '199601'")
+    cut = f.records.filter("competencia_processamento >= '199901'")
     bases = f.spark.createDataFrame([("PROCESSAMENTO",), ("ATENDIMENTO",)], "base_temporal string")
-    return coverage.build_coverage(cut, f.available, f.families, f.months.filter("competencia >= '199601'"), bases).select(*_KEY.split(", "), "estado")
+    return coverage.build_coverage(cut, f.available, f.families, f.months.filter("competencia >= '199901'"), bases).select(*_KEY.split(", "), "estado")
 
 
 @_query("c6_admit_versions", "select artifact_id, case when artifact_id like 'art\\_sia%' escape '\\' then 'FAMILIA_FORA' when not exists (select 1 from observations o where o.artifact_id = v.artifact_id and observado_em <= timestamp '2024-03-01 00:00:00') then 'FORA_DO_CORTE' end as motivo from versions v")
@@ -451,11 +451,11 @@ def _l3(f):
     return labels.profile(f.records, list(_DIMS))
 
 
-_REASON = "case when deletado then 'DELETADO' when competencia_processamento not between '199201' and '199812' then 'FORA_DO_PERIODO' when municipio_estabelecimento is null then 'SEM_MUNICIPIO' when cast(municipio_estabelecimento as int) % 7 = 0 then 'FORA_DO_TERRITORIO' when instrumento is null then 'INSTRUMENTO' end"
+_REASON = "case when deletado then 'DELETADO' when competencia_processamento not between '199501' and '200112' then 'FORA_DO_PERIODO' when municipio_estabelecimento is null then 'SEM_MUNICIPIO' when cast(municipio_estabelecimento as int) % 7 = 0 then 'FORA_DO_TERRITORIO' when instrumento is null then 'INSTRUMENTO' end"
 
 
 def _cohort(f: Flow) -> DataFrame:
-    return f.records.withColumn("motivo", labels.cohort_reason(labels.split_cohort("199201", "199812")))
+    return f.records.withColumn("motivo", labels.cohort_reason(labels.split_cohort("199501", "200112")))
 
 
 @_query("k1_cohort_reason", f"select row_id, {_REASON} as motivo from records")
@@ -463,7 +463,7 @@ def _k1(f):
     return _cohort(f).select("row_id", "motivo")
 
 
-_PART = "case when competencia_processamento between '199201' and '199412' then 'desenvolvimento' when competencia_processamento between '199501' and '199606' then 'calibracao' when competencia_processamento between '199607' and '199812' then 'teste' end"
+_PART = "case when competencia_processamento between '199501' and '199712' then 'desenvolvimento' when competencia_processamento between '199801' and '199906' then 'calibracao' when competencia_processamento between '199907' and '200112' then 'teste' end"
 
 
 @_query("k2_split_by_time", f"select row_id, {_PART} as particao from records where {_REASON} is null and {_PART} is not null")
@@ -486,9 +486,9 @@ def _k5(f):
     return labels.same_keys(f.records.filter("quantidade_apresentada > 45"), f.records.filter("quantidade_apresentada < 3"), "cnes")
 
 
-@_query("k6_window_production", "select artifact_id, count(*) as n from records where substr(artifact_id, 9, 6) between '199301' and '199312' group by 1")
+@_query("k6_window_production", "select artifact_id, count(*) as n from records where substr(artifact_id, 9, 6) between '199601' and '199612' group by 1")
 def _k6(f):
-    files = f.records.select("artifact_id").distinct().filter(F.substring("artifact_id", 9, 6).between("199301", "199312"))
+    files = f.records.select("artifact_id").distinct().filter(F.substring("artifact_id", 9, 6).between("199601", "199612"))
     return labels.window_production(f.records, files).groupBy("artifact_id").agg(F.count("*").alias("n"))
 
 
@@ -760,29 +760,29 @@ def _f3(f):
     return explain.repair_impact(explain.repair_plans(_candidates(f)), ev)
 
 
-@_query("f4_executability", "select competencia, cnes, cbo, case when competencia >= '199606' then 'EXECUTAVEL' else 'SOMENTE_RETIFICACAO' end as executabilidade from plano", viol=_VIOL, cand=_CAND, plano=_PLAN)
+@_query("f4_executability", "select competencia, cnes, cbo, case when competencia >= '199906' then 'EXECUTAVEL' else 'SOMENTE_RETIFICACAO' end as executabilidade from plano", viol=_VIOL, cand=_CAND, plano=_PLAN)
 def _f4(f):
-    return explain.executability(explain.repair_plans(_candidates(f)), "199606").select("competencia", "cnes", "cbo", "executabilidade")
+    return explain.executability(explain.repair_plans(_candidates(f)), "199906").select("competencia", "cnes", "cbo", "executabilidade")
 
 
 # --- changes -------------------------------------------------------------------------------------
 
-_NEW = "select * replace (case when quantidade_apresentada = 50 and competencia_processamento < '199401' then 51 else quantidade_apresentada end as quantidade_apresentada) from records where not (quantidade_apresentada = 1 and competencia_processamento > '199701')"
+_NEW = "select * replace (case when quantidade_apresentada = 50 and competencia_processamento < '199701' then 51 else quantidade_apresentada end as quantidade_apresentada) from records where not (quantidade_apresentada = 1 and competencia_processamento > '200001')"
 _CMP = "instrumento, procedimento, cbo, quantidade_apresentada, deletado"
 
 
 @_query("d1_compare_versions", f"select competencia_processamento, cast(coalesce(sum(s) filter (s > 0), 0) as bigint) as incluidas, cast(coalesce(-sum(s) filter (s < 0), 0) as bigint) as removidas, case when coalesce(sum(abs(s)), 0) = 0 then 'SEM_MUDANCA' when coalesce(sum(s) filter (s > 0), 0) > 0 and coalesce(sum(s) filter (s < 0), 0) < 0 then 'AMBIGUA' else 'REVISAO' end as veredito from (select competencia_processamento, {_CMP}, sum(g) as s from (select competencia_processamento, {_CMP}, -1 as g from records union all select competencia_processamento, {_CMP}, 1 from nova) group by all) group by 1", nova=_NEW)
 def _d1(f):
-    new = f.records.withColumn("quantidade_apresentada", F.when((F.col("quantidade_apresentada") == 50) & (F.col("competencia_processamento") < "199401"), 51).otherwise(F.col("quantidade_apresentada"))).filter(~((F.col("quantidade_apresentada") == 1) & (F.col("competencia_processamento") > "199701")))
+    new = f.records.withColumn("quantidade_apresentada", F.when((F.col("quantidade_apresentada") == 50) & (F.col("competencia_processamento") < "199701"), 51).otherwise(F.col("quantidade_apresentada"))).filter(~((F.col("quantidade_apresentada") == 1) & (F.col("competencia_processamento") > "200001")))
     out = changes.compare_versions(f.records, new, _CMP.split(", "), ["competencia_processamento"])
     return out.select("competencia_processamento", (F.col("incluidas_vivas") + F.col("incluidas_deletadas")).alias("incluidas"), (F.col("removidas_vivas") + F.col("removidas_deletadas")).alias("removidas"), "veredito")
 
 
-@_query("d2_classify_keys", "select coalesce(p.fonte, c.fonte) as fonte, coalesce(p.competencia, c.competencia) as competencia, case when c.fonte is null then 'DESAPARECIDA' when c.resultado <> 'OBTIDO' then 'INCONCLUSIVA' when p.fonte is null then 'NOVA' when p.artifact_id = c.artifact_id then 'INALTERADA' else 'BYTES_MUDARAM' end as situacao from (select fonte, competencia, max(artifact_id) as artifact_id from observations where artifact_id is not null and competencia < '199701' and fonte = 'sig' group by 1, 2) p full join (select fonte, competencia, case when substr(competencia, 6, 1) = '1' then 'x' else max(artifact_id) end as artifact_id, max(resultado) as resultado from observations where competencia >= '199301' and fonte = 'sig' group by 1, 2) c on p.fonte = c.fonte and p.competencia = c.competencia")
+@_query("d2_classify_keys", "select coalesce(p.fonte, c.fonte) as fonte, coalesce(p.competencia, c.competencia) as competencia, case when c.fonte is null then 'DESAPARECIDA' when c.resultado <> 'OBTIDO' then 'INCONCLUSIVA' when p.fonte is null then 'NOVA' when p.artifact_id = c.artifact_id then 'INALTERADA' else 'BYTES_MUDARAM' end as situacao from (select fonte, competencia, max(artifact_id) as artifact_id from observations where artifact_id is not null and competencia < '200001' and fonte = 'sig' group by 1, 2) p full join (select fonte, competencia, case when substr(competencia, 6, 1) = '1' then 'x' else max(artifact_id) end as artifact_id, max(resultado) as resultado from observations where competencia >= '199601' and fonte = 'sig' group by 1, 2) c on p.fonte = c.fonte and p.competencia = c.competencia")
 def _d2(f):
     sig = f.obs.filter("fonte = 'sig'")
-    prev = sig.filter("artifact_id is not null and competencia < '199701'").groupBy("fonte", "competencia").agg(F.max("artifact_id").alias("artifact_id"))
-    curr = sig.filter("competencia >= '199301'").groupBy("fonte", "competencia").agg(F.when(F.substring("competencia", 6, 1) == "1", "x").otherwise(F.max("artifact_id")).alias("artifact_id"), F.max("resultado").alias("resultado"))
+    prev = sig.filter("artifact_id is not null and competencia < '200001'").groupBy("fonte", "competencia").agg(F.max("artifact_id").alias("artifact_id"))
+    curr = sig.filter("competencia >= '199601'").groupBy("fonte", "competencia").agg(F.when(F.substring("competencia", 6, 1) == "1", "x").otherwise(F.max("artifact_id")).alias("artifact_id"), F.max("resultado").alias("resultado"))
     return changes.classify_keys(prev, curr, ["fonte", "competencia"]).select("fonte", "competencia", "situacao")
 
 
@@ -802,15 +802,15 @@ def _d5(f):
     return changes.plan_files(listing, r"\Aart_pf_([0-9]{6})_([a-z])\.dbf\z", f.months)
 
 
-@_query("x1_swap_version", "select rule_id, count(*) filter (list_contains(artifact_ids, 'art_sig_199401')) as trocadas from selecoes group by 1")
+@_query("x1_swap_version", "select rule_id, count(*) filter (list_contains(artifact_ids, 'art_sig_199701')) as trocadas from selecoes group by 1")
 def _x1(f):
-    return changes.swap_version(f.selections, "sig", "art_sig_199401", "art_sig_199402").groupBy("rule_id").agg(F.count_if("trocada").alias("trocadas"))
+    return changes.swap_version(f.selections, "sig", "art_sig_199701", "art_sig_199702").groupBy("rule_id").agg(F.count_if("trocada").alias("trocadas"))
 
 
-@_query("x2_compare_ablation", "select rule_id, estado as antes, 'INCONCLUSIVO' as depois, count(*) as n from av0 where estado in ('CONFORME','VIOLACAO') and competencia_processamento < '199401' group by all")
+@_query("x2_compare_ablation", "select rule_id, estado as antes, 'INCONCLUSIVO' as depois, count(*) as n from av0 where estado in ('CONFORME','VIOLACAO') and competencia_processamento < '199701' group by all")
 def _x2(f):
     """The variant knows no observation of a month before 1994."""
-    late = f.obs.filter("competencia >= '199401'")
+    late = f.obs.filter("competencia >= '199701'")
     decided = temporal.combine_parts(temporal.resolve_parts(late, f.versions, f.cutoff), f.view("expected_parts"))
     variant = rules.evaluate_rule(RULES[0], f.records, f.aux(RULES[0].rule_id), decided, f.coverage, f.versions)
     return changes.compare_ablation(f.one_rule(0), variant)
