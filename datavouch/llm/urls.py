@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from datavouch.llm.common import ascii_lower
 
+#: Rules whose sites are sent to all tasks, once they are counted; the sites of more rules are joined.
+SENT_RULES = 100_000
 #: Pages of one host suffix that are swept together, at least; larger groups are split.
 SWEEP_ROWS = 2000
 
@@ -57,14 +59,16 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: st
     host, path = host_and_path(F.col(url_col))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     ruled = _rules(rules)
-    sites = ruled.groupBy("site").agg(F.count("*").alias("rules"))
+    few = rules.limit(SENT_RULES + 1).count() <= SENT_RULES
+    sent = F.broadcast if few else (lambda df: df)
+    sites = sent(ruled.groupBy("site").agg(F.count("*").alias("rules")))
     labels = _labels(F.col("host"))
     probes = parsed.select("host", "path").distinct().select("host", "path", labels.alias("labels"))
     probes = probes.select("host", "path", F.explode(F.transform(F.sequence(F.lit(1), F.size("labels")), lambda i: F.array_join(F.slice(F.col("labels"), F.lit(1), i), ","))).alias("site"))
     probes = probes.join(sites, "site")
     spread = probes.groupBy("site").agg(F.ceil(F.count("*") / F.greatest(F.lit(SWEEP_ROWS), 4 * F.first("rules"))).cast("int").alias("parts"))
-    probes = probes.join(spread, "site").select("site", F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int").alias("part"), F.concat("site", F.lit(")"), "path").alias("key"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast(ruled.schema["stack"].dataType).alias("stack"))
-    events = ruled.join(spread, "site").select("site", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
+    probes = probes.join(sent(spread), "site").select("site", F.pmod(F.xxhash64("host", "path"), F.col("parts")).cast("int").alias("part"), F.concat("site", F.lit(")"), "path").alias("key"), F.lit(1).alias("kind"), "host", "path", F.lit(None).cast(ruled.schema["stack"].dataType).alias("stack"))
+    events = ruled.join(sent(spread), "site").select("site", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "stack")
     sweep = Window.partitionBy("site", "part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     swept = events.unionByName(probes).withColumn("stack", F.last("stack", ignorenulls=True).over(sweep)).filter("kind = 1 and stack is not null")
     fitting = swept.select("host", "path", F.filter("stack", lambda r: F.startswith(F.col("key"), r["key"])).alias("fit")).filter("size(fit) > 0")
