@@ -136,35 +136,32 @@ def existence(keys: DataFrame, scope: DataFrame, aux: DataFrame, record_key: tup
     """``keys`` (escopo and the record key) with ``achados``, ``poderia`` and ``tem_lider``.
 
     achados: rows of the scope with the exact key (and a positive count); poderia: some row with a
-    null would match if the null were known; tem_lider: the leading key occurs. No theta join: the
-    rows are split by which columns are null, and each pattern is an equi-join on the others."""
-    scoped = scope.select("escopo", "artifact_id").join(aux, "artifact_id").select("escopo", *aux_key, *([positive] if positive else []))
-    whole = reduce(lambda a, b: a & b, (F.col(c).isNotNull() for c in aux_key))
-    exact = scoped.filter(whole & (F.col(positive) > 0 if positive else F.lit(True)))
-    exact = exact.groupBy("escopo", *aux_key).agg(F.count("*").alias("achados"))
+    null would match if the null were known; tem_lider: the leading key occurs. No theta join: for
+    each set of key columns, one equi-join on these brings all that rows whose other key columns are
+    null say. Rows of the scope are counted by key once, and the sets are cut from those counts."""
+    scoped = scope.select("escopo", "artifact_id").join(aux, "artifact_id")
+    sure, unsure = (F.col(positive) > 0, F.col(positive).isNull()) if positive else (F.lit(True), F.lit(False))
+    counted = scoped.groupBy("escopo", *aux_key).agg(F.count_if(sure).alias("certas"), F.count_if(unsure).alias("incertas"))
+    maybe = (F.col("certas") > 0) | (F.col("incertas") > 0)
     names = dict(zip(aux_key, record_key, strict=True))
-
-    def renamed(df: DataFrame) -> DataFrame:
-        for a, r in names.items():
-            if a in df.columns and a != r:
-                df = df.withColumnRenamed(a, r)
-        return df
-
-    out = keys.join(renamed(exact), ["escopo", *record_key], "left")
-    nullable = [*aux_key, *([positive] if positive else [])]
-    flags = []
-    for size in range(1, len(nullable) + 1):
-        for nulls in combinations(nullable, size):
-            here = reduce(lambda a, b: a & b, [F.col(c).isNull() if c in nulls else F.col(c) > 0 if c == positive else F.col(c).isNotNull() for c in nullable])
-            rest = [c for c in aux_key if c not in nulls]
-            flag = f"nulo_{len(flags)}"
-            pattern = renamed(scoped.filter(here).select("escopo", *rest).distinct()).withColumn(flag, F.lit(True))
-            out = out.join(pattern, ["escopo", *[names[c] for c in rest]], "left")
-            flags.append(flag)
-    leading = renamed(scoped.filter(F.col(aux_key[0]).isNotNull()).select("escopo", aux_key[0]).distinct()).withColumn("tem_lider", F.lit(True))
-    out = out.join(leading, ["escopo", record_key[0]], "left")
-    could = F.coalesce(*[F.col(f) for f in flags], F.lit(False))
-    return out.select(*keys.columns, F.coalesce("achados", F.lit(0)).alias("achados"), could.alias("poderia"), F.coalesce("tem_lider", F.lit(False)).alias("tem_lider"))
+    out, could = keys, []
+    for size in range(len(aux_key), -1, -1):
+        for known in combinations(aux_key, size):
+            mine = reduce(lambda a, b: a & b, [F.col(c).isNotNull() if c in known else F.col(c).isNull() for c in aux_key])
+            wanted, flag = mine, f"poderia_{len(could)}"
+            could.append(flag)
+            if known == aux_key:
+                facts = [F.sum("certas").alias("achados"), F.bool_or(F.col("incertas") > 0).alias(flag)]
+            else:
+                facts = [F.bool_or(mine & maybe).alias(flag)]
+            if known == aux_key[:1]:
+                wanted = F.col(aux_key[0]).isNotNull()
+                facts.append(F.bool_or(F.lit(True)).alias("tem_lider"))
+            side = counted.filter(wanted).groupBy("escopo", *known).agg(*facts)
+            side = side.select("escopo", *[F.col(c).alias(names[c]) for c in known], *[c for c in side.columns if c not in ("escopo", *known)])
+            out = out.join(side, ["escopo", *[names[c] for c in known]], "left")
+    either = reduce(lambda a, b: a | b, [F.coalesce(c, F.lit(False)) for c in could])
+    return out.select(*keys.columns, F.coalesce("achados", F.lit(0)).alias("achados"), either.alias("poderia"), F.coalesce("tem_lider", F.lit(False)).alias("tem_lider"))
 
 
 def outcome(rule: Rule) -> Column:

@@ -6,6 +6,8 @@ common table expressions of an oracle query. Integer arithmetic only, so both en
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 _YM = "lpad(cast(cast(floor(({0}) / 12) as bigint) as string), 4, '0') || lpad(cast(({0}) % 12 + 1 as string), 2, '0')"
@@ -82,21 +84,19 @@ _TABLES = ("lineitem", "orders", "events")
 
 
 def _needs(text: str, names: list[str]) -> list[str]:
-    import re
-
     words = set(re.findall(r"(?:from|join)\s+(\w+)", text))
     return [n for n in names if n in words]
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The Spark DataFrame of a view."""
+def view(spark: SparkSession, sf_dir: str, name: str, given: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The Spark DataFrame of a view; views in ``given`` are taken from there."""
+    if given and name in given:
+        return given[name]
     if name in _TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     text = VIEWS[name]
-    inputs = {n: view(spark, sf_dir, n) for n in _needs(text, [*VIEWS, *_TABLES])}
+    inputs = {n: view(spark, sf_dir, n, given) for n in _needs(text, [*VIEWS, *_TABLES])}
     for n in inputs:
-        import re
-
         text = re.sub(rf"\b(from|join) {n}\b", rf"\1 {{{n}}}", text)
     return spark.sql(text, **inputs)
 

@@ -6,7 +6,7 @@ as DuckDB common table expressions, written in another form (EXISTS tests, group
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,21 +32,35 @@ class Flow:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
         self._aux: dict[str, DataFrame] = {}
+        self._coverage: dict[str, DataFrame] = {}
 
     def view(self, name: str) -> DataFrame:
         return adapter.view(self.spark, self.sf_dir, name)
 
+    def _by_month(self, name: str) -> DataFrame:
+        """A view that needs the months alone: they are few, and read from where they were written."""
+        return adapter.view(self.spark, self.sf_dir, name, {"months": self._months})
+
+    @cached_property
+    def _months(self) -> DataFrame:
+        return written(self.view("months"))
+
     @cached_property
     def records(self) -> DataFrame:
         return self.view("records")
 
+    @cached_property
+    def stored_records(self) -> DataFrame:
+        """The canonical records as ingestion stores them, for steps that read them more than once."""
+        return written(self.records)
+
     @cached_property
     def obs(self) -> DataFrame:
-        return written(self.view("observations"))
+        return written(self._by_month("observations"))
 
     @cached_property
     def versions(self) -> DataFrame:
-        return written(self.view("versions"))
+        return written(adapter.view(self.spark, self.sf_dir, "versions", {"months": self._months, "observations": self.obs}))
 
     @cached_property
     def cutoff(self):
@@ -70,7 +84,7 @@ class Flow:
 
     @cached_property
     def decided(self) -> DataFrame:
-        return written(temporal.combine_parts(self.parts, self.view("expected_parts")))
+        return written(temporal.combine_parts(self.parts, self._by_month("expected_parts")))
 
     @cached_property
     def selections(self) -> DataFrame:
@@ -84,16 +98,15 @@ class Flow:
 
     @cached_property
     def months(self) -> DataFrame:
-        return written(self.view("months")).select("competencia")
+        return self._months.select("competencia")
 
     @cached_property
     def families(self) -> DataFrame:
         return self.spark.createDataFrame([(r.family, i) for r in RULES for i in r.instruments], "familia_regra string, instrumento string")
 
-    @cached_property
-    def available(self) -> DataFrame:
+    def _available(self, chosen: list[rules.Rule]) -> DataFrame:
         parts = []
-        for r in RULES:
+        for r in chosen:
             aux, n = self.aux(r.rule_id), self.families.filter(F.col("familia_regra") == r.family)
             if r.mapping:
                 code = self.spark.createDataFrame(list(r.mapping), "instrumento string, codigo string")
@@ -101,20 +114,31 @@ class Flow:
                 parts.append(n.join(have.select("instrumento", "competencia"), "instrumento").select("familia_regra", "instrumento", "competencia"))
             else:
                 parts.append(n.crossJoin(coverage.available_months(aux, r.month_column, r.aux_key)))
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
+        return reduce(DataFrame.unionByName, parts)
+
+    @cached_property
+    def available(self) -> DataFrame:
+        return self._available(RULES)
+
+    def _cover(self, chosen: list[rules.Rule]) -> DataFrame:
+        """The coverage matrix of the families of some rules."""
+        key, every = (",".join(r.rule_id for r in x) for x in (chosen, RULES))
+        if every in self._coverage:
+            return self._coverage[every]
+        if key not in self._coverage:
+            bases = self.spark.createDataFrame([("PROCESSAMENTO",), ("ATENDIMENTO",)], "base_temporal string")
+            families = self.families.filter(F.col("familia_regra").isin([r.family for r in chosen]))
+            self._coverage[key] = written(coverage.build_coverage(self.stored_records, self._available(chosen), families, self.months, bases))
+        return self._coverage[key]
 
     @cached_property
     def coverage(self) -> DataFrame:
-        bases = self.spark.createDataFrame([("PROCESSAMENTO",), ("ATENDIMENTO",)], "base_temporal string")
-        return written(coverage.build_coverage(self.records, self.available, self.families, self.months, bases))
+        return self._cover(RULES)
 
     @cached_property
     def evaluations(self) -> DataFrame:
         aux = {r.rule_id: self.aux(r.rule_id) for r in RULES}
-        return rules.evaluate_rules(RULES, self.records, aux, self.decided, self.coverage, self.versions)
+        return rules.evaluate_rules(RULES, self.stored_records, aux, self.decided, self.coverage, self.versions)
 
     @cached_property
     def aggregates(self) -> DataFrame:
@@ -130,7 +154,7 @@ class Flow:
 
     def one_rule(self, k: int) -> DataFrame:
         r = RULES[k]
-        return rules.evaluate_rule(r, self.records, self.aux(r.rule_id), self.decided, self.coverage, self.versions)
+        return rules.evaluate_rule(r, self.stored_records, self.aux(r.rule_id), self.decided, self._cover([r]), self.versions)
 
     @cached_property
     def month_index(self):

@@ -501,8 +501,8 @@ _PAIRS = (("cobertura_rejeicoes", "situacao = 'ALERTA'", "rotulo = 'NAO_APROVADO
 
 
 def _outcomes(f: Flow) -> DataFrame:
-    one = rules.aggregate_records(f.one_rule(0))
-    return metrics.method_outcomes({"regras": f.aggregates, "par": one})
+    every = f.aggregates  # first: its coverage also serves the one rule
+    return metrics.method_outcomes({"regras": every, "par": rules.aggregate_records(f.one_rule(0))})
 
 
 @_query("m1_method_outcomes", "select metodo, row_id, situacao, 1 as vezes from saidas", saidas=_OUT)
