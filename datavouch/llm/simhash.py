@@ -182,6 +182,8 @@ def _star(hot: DataFrame) -> DataFrame:
 def links(nodes: DataFrame, tau: int = 2, m: int = 3) -> DataFrame:
     """(a, b) among distinct fingerprints whose connected components are those of all pairs that
     differ in at most ``tau`` bits (tau 0 to 2; every returned pair does so)."""
+    if tau not in (0, 1, 2):
+        raise ValueError(f"tau must be 0, 1 or 2, not {tau}")
     if tau == 0:
         return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
     chosen = plan(nodes, tau, m)

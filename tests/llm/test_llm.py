@@ -451,3 +451,60 @@ def test_pipeline_stages(spark):
             assert set(after) == {i for i, h in brute_hits(before, items).items() if not h[4]}
     assert corpus_pipeline.STAGES[-1][1](spark, frame, SF).count() == frame.count()
     assert corpus_pipeline.run(spark, SF).count() == frame.count()
+
+
+def five_word_shingles(text):
+    w = words((text or "").translate(LOWER))
+    return {" ".join(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set()
+
+
+def brute_near_copies(rows):
+    """The rows (id, text) that stay: smallest id of each component, nulls last."""
+    sets = [five_word_shingles(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i, x in enumerate(sets):
+        for k in range(i):
+            if 5 * len(x & sets[k]) >= 4 * len(x | sets[k]):
+                root[find(i)] = find(k)
+    groups = {}
+    for i, r in enumerate(rows):
+        groups.setdefault(find(i), []).append(r)
+    return sorted((min(g, key=lambda r: (r[0] is None, r[0] or 0))[0] for g in groups.values()), key=str)
+
+
+def near_copy_stage(spark, rows):
+    import corpus_pipeline
+
+    frame = spark.createDataFrame([(i, t, "en", "x", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = corpus_pipeline.drop_near_copies(spark, frame, SF)
+    assert got.dtypes == frame.dtypes
+    return [(r.doc_id, r.text) for r in got.collect()]
+
+
+@pytest.mark.parametrize("hot", [48, 3])
+def test_near_copies_against_brute_jaccard(spark, monkeypatch, hot):
+    from datavouch.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "HOT", hot)
+    random.seed(9)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    for base in range(12):  # copies with up to ten edits in 300 words, around similarity 0.8; chains of them too
+        text = [f"w{base}x{random.randrange(900)}" for _ in range(300)]
+        for _ in range(8):
+            copy = list(text)
+            for _ in range(random.randrange(11)):
+                copy[random.randrange(300)] = f"edit{random.random()}"
+            rows.append((10_000 + len(rows), " ".join(copy)))
+            text = copy if random.random() < 0.3 else text
+    assert sorted((i for i, _ in near_copy_stage(spark, rows)), key=str) == brute_near_copies(rows)
+
+
+def test_tau_beyond_the_links_is_an_error(spark):
+    with pytest.raises(ValueError, match="tau"):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), tau=3)
