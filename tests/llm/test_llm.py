@@ -508,3 +508,10 @@ def test_near_copies_against_brute_jaccard(spark, monkeypatch, hot):
 def test_tau_beyond_the_links_is_an_error(spark):
     with pytest.raises(ValueError, match="tau"):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), tau=3)
+
+
+def test_near_copies_count_rows_not_ids(spark):
+    a, b, c = ("%s one two three four five six seven eight" % x for x in "abc")
+    rows = [(None, a), (None, a), (7, a), (4, b), (4, b), (4, c), (2, b), (None, "x y"), (None, "x y"), (9, None), (None, "")]
+    got = near_copy_stage(spark, rows)
+    assert sorted(got, key=str) == sorted([(7, a), (2, b), (4, c), (None, "x y"), (9, None)], key=str)
