@@ -32,6 +32,8 @@ CONTENT = frozenset("article main post entry story content body text prose".spli
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+#: Searched in the page itself: lower-casing can change its length.
+_ENDS = {n: re.compile(f"</{n}", re.I | re.A) for n in RAW | PLAIN}
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Start that end an open paragraph or item of the same kind.
@@ -64,11 +66,10 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     skip = None
     at = 0
     context = "plain"
-    lower = page.lower() if "<" in page else ""
     while at < len(page):
         if skip is not None:  # the text of a raw element ends at its end tag alone
-            end = lower.find(f"</{skip}", at)
-            end = len(page) if end < 0 else end
+            close = _ENDS[skip].search(page, at)
+            end = close.start() if close else len(page)
             yield "text", page[at:end], "raw"
             at, skip = end, None
             if at >= len(page):

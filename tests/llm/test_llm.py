@@ -239,6 +239,10 @@ def test_html_text(page, want):
     assert html.extract(page) == want
 
 
+def test_html_raw_element_after_a_letter_that_grows_in_lower_case():
+    assert html.extract("<div><p>İzmir</p><script>x</script><p>rest</p><STYLE>p{}</Style><p>end</p></div>") == "İzmir\nrest\nend"
+
+
 def test_labelled_pages_come_out_as_labelled():
     for page in html.LABELLED:
         inside = " ".join(re.sub(r"<[^>]*>", " ", " ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S))).split())
