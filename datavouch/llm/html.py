@@ -42,26 +42,27 @@ _SCOPES = frozenset("article aside body div footer form header html main nav sec
 
 
 def _role(name: str, attributes: str) -> str:
-    """What an element says about its text: ``raw``, ``aside``, ``content`` or nothing."""
+    """What an element says about its text: ``raw``, ``aside``, ``header``, ``content`` (article, main,
+    role=main), ``hint`` (words like content in its class or id) or nothing."""
     if name in RAW or name in PLAIN:
         return "raw"
     found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTE.findall(attributes)} if attributes else {}
     if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", ""), re.I):
         return "raw"
     if name in ASIDE:
-        return "aside"
-    hints = {w for k in ("class", "id", "role") if k in found for w in _SPLIT.split(_CAMEL.sub(" ", found[k]).lower()) if w}
-    if hints & HINTS and name not in ("body", "html", "main", "article"):
-        return "aside"
-    if name in ("article", "main") or hints & CONTENT:
+        return "header" if name == "header" else "aside"
+    if name in ("article", "main") or found.get("role", "").lower() == "main":
         return "content"
-    return ""
+    hints = {w for k in ("class", "id", "role") if k in found for w in _SPLIT.split(_CAMEL.sub(" ", found[k]).lower()) if w}
+    if hints & HINTS and name not in ("body", "html"):
+        return "header" if hints & HINTS == {"header"} else "aside"
+    return "hint" if hints & CONTENT else ""
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, value, context) in page order: kind ``tag`` with its name, or ``text`` with its raw
-    text; context is what surrounds it: ``raw``, ``aside``, ``content`` or ``plain``, the last two also
-    with `` link``."""
+    text; context is what surrounds it: ``raw``, ``aside``, ``content``, ``hint`` or ``plain``, the last
+    three also with `` link``."""
     open_: list[tuple[str, str]] = []
     skip = None
     at = 0
@@ -104,14 +105,14 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
                         break
             if name not in VOID and not m[3].rstrip().endswith("/"):
                 role = _role(name, m[3])
-                if name == "header" and role == "aside" and any(r == "content" for _, r in open_):
-                    role = ""  # an article's own header holds its title
+                if role == "header":  # an article's own header holds its title
+                    role = "" if any(r == "content" for _, r in open_) else "aside"
                 open_.append((name, role))
                 if name in RAW | PLAIN and name not in ("svg", "math", "object", "canvas", "audio", "video"):
                     skip = name
         roles = {r for _, r in open_}
-        context = next((r for r in ("raw", "aside", "content") if r in roles), "plain")
-        if context in ("content", "plain") and any(n == "a" for n, _ in open_):
+        context = next((r for r in ("raw", "aside", "content", "hint") if r in roles), "plain")
+        if context in ("content", "hint", "plain") and any(n == "a" for n, _ in open_):
             context += " link"
         yield "tag", name, context
 
@@ -155,6 +156,7 @@ def weights(labelled: tuple[str, ...] = tuple(LABELLED)) -> dict[str, float]:
         odds = math.log((inside[key] + 1) / (outside[key] + 1))
         out[key] = odds if key.startswith("word:") else max(-1.0, min(odds, -0.05))
     out["word:raw"] = out["word:aside"] = -0.001
+    out.setdefault("word:hint link", out["word:plain link"])
     return out
 
 
@@ -174,22 +176,20 @@ def extract(page: str | None, scores: dict[str, float] | None = None) -> str:
     """The main text: blocks in page order, joined by a line feed; empty if there is none.
 
     Character references are decoded, white space within a block becomes one space. Null is as
-    empty. Where a content element (article, main) holds words, all others are as in an aside.
+    empty. Words in and outside content elements differ in score only; the scan decides.
     """
     if not page:
         return ""
     scores = scores or weights()
     parts = list(tokens(page))
-    marked = any(kind == "text" and context.startswith("content") and value.strip() for kind, value, context in parts)
     values, wanted = [], []
     for kind, value, context in parts:
-        if marked and context.startswith("plain"):
-            context = "aside"
+        ok = context not in ("raw", "aside")
         if kind == "tag":
-            values.append(-0.001 if context in ("raw", "aside") or marked else scores.get(f"tag:{value}", scores["tag:*"]))
+            values.append(scores.get(f"tag:{value}", scores["tag:*"]) if ok else -0.001)
         else:
-            values.append(_words(value) * (1.0 if marked and context == "content link" else scores[f"word:{context}"]))
-        wanted.append(context not in ("raw", "aside"))
+            values.append(_words(value) * scores[f"word:{context}"])
+        wanted.append(ok)
     a, b = region(values)
     blocks: list[str] = []
     piece: list[str] = []

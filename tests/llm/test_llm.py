@@ -243,6 +243,16 @@ def test_html_raw_element_after_a_letter_that_grows_in_lower_case():
     assert html.extract("<div><p>İzmir</p><script>x</script><p>rest</p><STYLE>p{}</Style><p>end</p></div>") == "İzmir\nrest\nend"
 
 
+@pytest.mark.parametrize("small", ['<div class="logo-text">ACME</div>', '<figure><figcaption class="post">A caption</figcaption></figure>', "<article>One teaser.</article>"])
+def test_html_small_marked_text_does_not_discard_the_article(small):
+    article = "The long article tells of a bridge over the river and of those who built it."
+    assert article in html.extract(f"<body>{small}<div><p>{article}</p><p>{article}</p></div></body>")
+
+
+def test_html_article_keeps_the_title_in_its_header_div():
+    assert html.extract('<div class="header">Site</div><article><div class="header"><h1>Title</h1></div><p>One two three.</p></article>') == "Title\nOne two three."
+
+
 def test_labelled_pages_come_out_as_labelled():
     for page in html.LABELLED:
         inside = " ".join(re.sub(r"<[^>]*>", " ", " ".join(re.findall(r"\[\[(.*?)\]\]", page, re.S))).split())
