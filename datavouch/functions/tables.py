@@ -1,23 +1,54 @@
-"""Writing intermediate tables to the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and joins that stay even."""
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Tables of at most this many rows are sent to all tasks, once their rows are counted.
+SENT_ROWS = 200_000
+#: A key with more rows than this is dealt to several tasks.
+HOT_ROWS = 200_000
 
 
 def shared_path(spark: SparkSession) -> str:
-    """A new path under ``spark.checkpoint.dir``; only where that is unset is one chosen here."""
+    """A new path under ``spark.checkpoint.dir``. On one machine, where tasks share the driver's
+    folders, it is set to a folder of the warehouse if unset; on a cluster an unset one is an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/spark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        base = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, what: str = "") -> DataFrame:
     """Cuts the lineage of a table that later steps read several times."""
-    path = shared_path(df.sparkSession)
+    path = shared_path(df.sparkSession) + (f"-{what}" if what else "")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """``df`` (a stored table, counting it is cheap) marked for sending to all tasks if it has at most
+    ``SENT_ROWS`` rows; else as it is, and joins shuffle."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
+def split_join(big: DataFrame, small: DataFrame, on: list[str], counts: DataFrame, by: Column, how: str = "left") -> DataFrame:
+    """``big`` joined with ``small``, which has one row a key, without a task for all rows of a hot key.
+
+    ``counts``: (*on, n), how many rows of ``big`` a key has at least where that is over ``HOT_ROWS``.
+    Rows of hot keys are dealt by ``by`` (a hash of what differs among them) to n / HOT_ROWS parts,
+    each of which gets the key's row of ``small``. There are at most rows / HOT_ROWS hot keys, so
+    these are sent to all tasks while they are few, and joined else. Null keys match nothing."""
+    hot = written(counts.filter(F.col("n") > HOT_ROWS).select(*on, F.ceil(F.col("n") / HOT_ROWS).cast("int").alias("_parts")), "hot")
+    if hot.isEmpty():
+        return big.join(small, on, how)
+    left = big.join(sent(hot), on, "left").withColumn("_part", F.coalesce(F.pmod(by, F.col("_parts")), F.lit(0)).cast("int")).drop("_parts")
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_parts"), F.lit(1)) - 1)
+    right = small.join(sent(hot), on, "left").withColumn("_part", F.explode(parts)).drop("_parts")
+    return left.join(right, [*on, "_part"], how).drop("_part")

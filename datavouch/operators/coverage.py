@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from datavouch.functions.tables import written
+
 _KEY = ["familia_regra", "instrumento", "competencia", "base_temporal"]
 
 
@@ -23,8 +25,9 @@ def build_coverage(records: DataFrame, available: DataFrame, families: DataFrame
     records. All available: DISPONIVEL; none, or no production at all in the month: AUSENTE; else
     INSUFICIENTE, as where a service month is null or the instrument has no records."""
     live = records.filter(~F.col("deletado") & F.col("competencia_processamento").isNotNull())
-    produced = live.select(F.col("competencia_processamento").alias("competencia")).distinct().withColumn("produzida", F.lit(True))
-    groups = live.filter("instrumento is not null").groupBy("instrumento", F.col("competencia_processamento").alias("competencia")).agg(F.array_sort(F.collect_set("competencia_atendimento")).alias("atendimentos"), F.count_if(F.col("competencia_atendimento").isNull()).alias("nulos"))
+    cells = written(live.groupBy("instrumento", F.col("competencia_processamento").alias("competencia")).agg(F.array_sort(F.collect_set("competencia_atendimento")).alias("atendimentos"), F.count_if(F.col("competencia_atendimento").isNull()).alias("nulos")), "cells")
+    produced = cells.select("competencia").distinct().withColumn("produzida", F.lit(True))
+    groups = cells.filter("instrumento is not null")
     have = available.groupBy("familia_regra", "instrumento").agg(F.collect_set("competencia").alias("disponiveis"))
     grid = families.crossJoin(F.broadcast(months)).crossJoin(F.broadcast(bases))
     g = grid.join(produced, "competencia", "left").join(groups, ["instrumento", "competencia"], "left").join(have, ["familia_regra", "instrumento"], "left")

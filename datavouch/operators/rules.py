@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datavouch.functions.months import month_index, month_text
+from datavouch.functions.tables import sent, split_join, written
 from datavouch.functions.text import full_match, present
 
 
@@ -69,18 +70,20 @@ def applicability(rule: Rule) -> Column:
     return out.otherwise("APLICAVEL")
 
 
+def _selection_reason(chosen: Column) -> Column:
+    """Why the selection's state doesn't suffice; ``chosen`` is the reason where a version is selected."""
+    out = F.when(F.col("sel_estado").isNull(), "VIGENCIA_NAO_RESOLVIDA")
+    for state, why in REASON_OF_SELECTION.items():
+        out = out.when(F.col("sel_estado") == state, why)
+    return out.when(F.col("sel_estado") == "SELECIONADA", chosen).otherwise("VIGENCIA_NAO_RESOLVIDA")
+
+
 def input_reasons(rule: Rule, layout: str = "OK", policy_resolved: bool = True) -> Column:
     """Sorted distinct reasons why the inputs of a (record, selection, scope) don't suffice."""
     missing = reduce(lambda a, b: a | b, (F.col(c).isNull() for c in rule.fields()), F.lit(False))
     if rule.mapping:
         missing = missing | ~F.coalesce(F.col("instrumento").isin(*[a for a, _ in rule.mapping]), F.lit(False))
-    of_state = F.when(F.col("sel_estado").isNull(), "VIGENCIA_NAO_RESOLVIDA")
-    for state, why in REASON_OF_SELECTION.items():
-        of_state = of_state.when(F.col("sel_estado") == state, why)
-    if layout != "OK":
-        of_state = of_state.when(F.col("sel_estado") == "SELECIONADA", layout)
-    else:
-        of_state = of_state.when(F.col("sel_estado") == "SELECIONADA", F.col("esc_motivo")).otherwise("VIGENCIA_NAO_RESOLVIDA")
+    of_state = _selection_reason(F.col("esc_motivo") if layout == "OK" else F.lit(layout))
     return present(F.lit(None if policy_resolved else "POLITICA_NAO_RESOLVIDA"), F.when(missing, "CAMPO_INSUFICIENTE"), of_state)
 
 
@@ -112,13 +115,12 @@ def scope_state(scope: DataFrame, aux: DataFrame, integrity: DataFrame, month_co
     """(escopo, esc_motivo, todas_com_linhas, integridade_ok, pior_integridade) for each scope.
 
     A version that the table's versions don't know of is absent, then quarantine, then rows of
-    another month, then no rows at all."""
+    another month, then no rows at all. The worst integrity is the first, by name, that isn't OK."""
     rows = aux.groupBy("artifact_id").agg(F.count("*").alias("linhas"), F.min(month_column).alias("mes_min"), F.max(month_column).alias("mes_max"), F.count_if(F.col(month_column).isNull()).alias("mes_nulo"))
     known = integrity.select("artifact_id", F.col("estado").alias("integridade"))
     j = scope.join(rows, "artifact_id", "left").join(known, "artifact_id", "left")
     state = F.coalesce("integridade", F.lit("NAO_VERIFICADO"))
     other = F.col("linhas").isNotNull() & ((F.col("mes_nulo") > 0) | (F.col("mes_min") != F.col("competencia")) | (F.col("mes_max") != F.col("competencia")))
-    severity = F.when(state.startswith("QUARENTENA_"), 2).when(state != "OK", 1).otherwise(0)
     g = j.groupBy("escopo").agg(
         F.bool_or(F.col("integridade").isNull()).alias("fora"),
         F.bool_or(state.startswith("QUARENTENA_")).alias("quarentena"),
@@ -126,7 +128,7 @@ def scope_state(scope: DataFrame, aux: DataFrame, integrity: DataFrame, month_co
         F.bool_and(F.col("linhas").isNull()).alias("vazio"),
         F.bool_and(F.col("linhas").isNotNull()).alias("todas_com_linhas"),
         F.bool_and(state == "OK").alias("integridade_ok"),
-        F.max_by(state, F.struct(severity, state)).alias("pior_integridade"),
+        F.coalesce(F.min(F.when(state != "OK", state)), F.lit("OK")).alias("pior_integridade"),
     )
     why = F.when(F.col("fora"), "ARQUIVO_AUSENTE").when(F.col("quarentena"), "ARQUIVO_EM_QUARENTENA").when(F.col("divergente"), "VIGENCIA_NAO_RESOLVIDA").when(F.col("vazio"), "COBERTURA_INSUFICIENTE")
     return g.select("escopo", why.alias("esc_motivo"), "todas_com_linhas", "integridade_ok", "pior_integridade")
@@ -172,10 +174,10 @@ def outcome(rule: Rule) -> Column:
     return out.otherwise("AUSENCIA")
 
 
-def absence_supported(rule: Rule) -> Column:
+def absence_supported() -> Column:
     """Absence counts only if coverage is there, all versions are intact and have rows, and the month
     asked for is the record's own."""
-    return (F.col("cobertura_estado").eqNullSafe(F.lit("DISPONIVEL")) & F.coalesce("integridade_ok", F.lit(False)) & F.coalesce("todas_com_linhas", F.lit(False)) & F.col("sel_competencia").eqNullSafe(_month(rule.base))).alias("sustentada")
+    return F.col("cobertura_estado").eqNullSafe(F.lit("DISPONIVEL")) & F.coalesce("integridade_ok", F.lit(False)) & F.coalesce("todas_com_linhas", F.lit(False)) & F.col("mes_proprio")
 
 
 def decide_state(applic: Column, complete: Column, incompatible: Column, reasons: Column) -> Column:
@@ -183,97 +185,207 @@ def decide_state(applic: Column, complete: Column, incompatible: Column, reasons
     return F.when(applic == "NAO_APLICAVEL_DEMONSTRADA", "NAO_APLICAVEL").when((applic == "DESCONHECIDA") | ~complete | (F.size(reasons) > 0) | incompatible.isNull(), "INCONCLUSIVO").when(incompatible, "VIOLACAO").otherwise("CONFORME")
 
 
-def attach_selection(rule: Rule, records: DataFrame, decided: DataFrame) -> DataFrame:
-    """The decision for each record's required month, joined by month alone: decisions are few, so
-    records needn't be shuffled. No month is NAO_RESOLVIDA, a month without a decision AUSENTE."""
+def _asked(rule: Rule) -> Column:
+    """What one rule asks of a record, under names that all rules share."""
+    code = F.create_map(*[F.lit(x) for p in rule.mapping for x in p])[F.col("instrumento")] if rule.mapping else None
+    key = [code if c == "co_registro" else F.col(c) for c in rule.record_key]
+    missing = reduce(lambda x, y: x | y, (c.isNull() for c in key))
     month = month_text(month_index(_month(rule.base)) + rule.offset)
-    d = decided.filter(F.col("fonte") == rule.source).select(F.col("competencia").alias("sel_competencia"), F.col("estado").alias("d_estado"), F.col("artifact_ids").alias("d_ids"))
-    j = records.withColumn("sel_competencia", month).join(d, "sel_competencia", "left").withColumn("sel_base", F.lit(rule.base))
-    state = F.when(F.col("sel_competencia").isNull(), "NAO_RESOLVIDA").otherwise(F.coalesce("d_estado", F.lit("AUSENTE")))
-    return j.withColumn("sel_estado", state).withColumn("sel_artefatos", F.coalesce("d_ids", F.array().cast("array<string>"))).drop("d_estado", "d_ids")
+    columns = {"rule_id": F.lit(rule.rule_id), "familia": F.lit(rule.family), "sel_base": F.lit(rule.base), "sel_competencia": month, "k1": key[0], "k2": key[1] if len(key) > 1 else F.lit(""), "falta": missing, "previa": applicability(rule), "mes_proprio": month.eqNullSafe(_month(rule.base))}
+    return F.struct(*[c.alias(n) for n, c in columns.items()])
 
 
-def evaluate_rule(rule: Rule, records: DataFrame, aux: DataFrame, decided: DataFrame, coverage: DataFrame, integrity: DataFrame) -> DataFrame:
-    """One row for each record. ``decided``: (fonte, competencia, estado, artifact_ids) as
-    ``combine_parts`` makes it. All joins are left joins by unique keys, so no record is multiplied."""
-    own = integrity.select("artifact_id", F.col("estado").alias("integridade_registro"))
-    base = attach_selection(rule, records, decided).join(own, "artifact_id", "left").withColumn("integridade_registro", F.coalesce("integridade_registro", F.lit("NAO_VERIFICADO")))
-    chosen = scopes(decided.filter(F.col("fonte") == rule.source))
-    state = scope_state(chosen, aux, integrity, rule.month_column)
-    base = base.withColumn("escopo", F.when(F.col("sel_estado") == "SELECIONADA", scope_name(F.col("sel_artefatos"), F.col("sel_competencia"))))
-    if rule.mapping:
-        pairs = F.create_map(*[F.lit(x) for p in rule.mapping for x in p])
-        base = base.withColumn("co_registro", pairs[F.col("instrumento")])
-    cover = coverage.filter(F.col("familia_regra") == rule.family).select("instrumento", F.col("competencia").alias("competencia_processamento"), F.col("base_temporal").alias("sel_base"), F.col("estado").alias("cobertura_estado"))
-    base = base.join(state, "escopo", "left").join(cover, ["instrumento", "competencia_processamento", "sel_base"], "left")
-    base = base.withColumn("previa", applicability(rule)).withColumn("motivos_previos", input_reasons(rule))
-    target = (F.col("previa") == "APLICAVEL") & (F.size("motivos_previos") == 0)
-    facts = existence(base, chosen, aux, rule.record_key, rule.aux_key, rule.positive)
-    facts = facts.withColumn("resultado", F.when(target, outcome(rule))).withColumn("achados", F.when(target, F.col("achados")))
-    applic = F.when(F.col("previa") != "APLICAVEL", F.col("previa")).when(F.col("resultado") == "APLICABILIDADE_DESCONHECIDA", "DESCONHECIDA").otherwise("APLICAVEL")
-    some = lambda *x: F.array(*[F.lit(y) for y in x])
-    none = F.array().cast("array<string>")
-    reasons = (
-        F.when((F.col("previa") == "DESCONHECIDA") & _quarantined(), some("APLICABILIDADE_DESCONHECIDA", "ARQUIVO_EM_QUARENTENA"))
-        .when(F.col("previa") == "DESCONHECIDA", some("APLICABILIDADE_DESCONHECIDA", "CAMPO_INSUFICIENTE"))
-        .when(F.col("previa") != "APLICAVEL", none)
-        .when(F.size("motivos_previos") > 0, F.col("motivos_previos"))
-        .when((F.col("resultado") == "CORRESPONDENCIA") | (F.col("resultado") == "AUSENCIA") & absence_supported(rule), none)
-        .when(F.col("resultado") == "AUSENCIA", some("COBERTURA_INSUFICIENTE"))
-        .otherwise(F.array("resultado"))
-    )
-    decided = facts.withColumn("aplicabilidade", applic).withColumn("motivos", reasons)
-    decided = decided.withColumn("incompatibilidade", F.when((F.col("aplicabilidade") == "APLICAVEL") & (F.size("motivos") == 0), F.col("resultado") == "AUSENCIA"))
-    decided = decided.withColumn("insumos_completos", F.size(F.array_remove("motivos", "APLICABILIDADE_DESCONHECIDA")) == 0)
-    final = decide_state(F.col("aplicabilidade"), F.col("insumos_completos"), F.col("incompatibilidade"), F.col("motivos"))
-    return decided.select("row_id", F.lit(rule.rule_id).alias("rule_id"), final.alias("estado"), "aplicabilidade", "insumos_completos", "incompatibilidade", "motivos", "artifact_id", "instrumento", "sel_base", "sel_competencia", "sel_estado", "sel_artefatos", F.coalesce("cobertura_estado", F.lit("AUSENTE")).alias("cobertura"), F.coalesce("pior_integridade", F.lit("NAO_VERIFICADO")).alias("integridade"), "integridade_registro", F.coalesce("achados", F.lit(0)).alias("n_resultados"), F.concat_ws("|", *rule.record_key).alias("chave"))
+def _shared_aux(rules: list[Rule], aux: dict[str, DataFrame]) -> DataFrame:
+    """The rows of all rules' reference tables as (rule_id, artifact_id, mes, k1, k2, n)."""
+    parts = []
+    for r in rules:
+        n = F.col(r.positive).cast("long") if r.positive else F.lit(1).cast("long")
+        k2 = F.col(r.aux_key[1]) if len(r.aux_key) > 1 else F.lit("")
+        parts.append(aux[r.rule_id].select(F.lit(r.rule_id).alias("rule_id"), "artifact_id", F.col(r.month_column).alias("mes"), F.col(r.aux_key[0]).alias("k1"), k2.alias("k2"), n.alias("n")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def by_month(rules: list[Rule], decided: DataFrame, aux: DataFrame, integrity: DataFrame) -> DataFrame:
+    """All that the records of one required month share under a rule: (rule_id, sel_competencia,
+    sel_estado, sel_artefatos, escopo, esc_motivo, todas_com_linhas, integridade_ok,
+    pior_integridade); a row for each rule and known month of its source. ``aux`` is as
+    ``_shared_aux`` makes it; ``decided`` as ``combine_parts`` does."""
+    of = F.explode(F.array(*[F.struct(F.lit(r.rule_id).alias("rule_id"), F.lit(r.source).alias("fonte")) for r in rules]))
+    mine = decided.select(of.alias("r"), "*").filter("r.fonte = fonte").select("r.rule_id", "competencia", "estado", "artifact_ids")
+    name = F.when(F.col("estado") == "SELECIONADA", F.concat_ws("|", "rule_id", scope_name(F.col("artifact_ids"), F.col("competencia"))))
+    months = mine.select("rule_id", F.col("competencia").alias("sel_competencia"), F.col("estado").alias("sel_estado"), F.col("artifact_ids").alias("sel_artefatos"), name.alias("escopo"))
+    tagged = aux.select(F.concat_ws("|", "rule_id", "artifact_id").alias("artifact_id"), "mes")
+    tags = F.explode(F.array(*[F.lit(r.rule_id) for r in rules]))
+    known = integrity.select(tags.alias("r"), "*").select(F.concat_ws("|", "r", "artifact_id").alias("artifact_id"), "estado")
+    scope = _members(months).select("escopo", "competencia", F.concat_ws("|", "rule_id", "artifact_id").alias("artifact_id"))
+    return months.join(scope_state(scope, tagged, known, "mes"), "escopo", "left")
+
+
+def _members(months: DataFrame) -> DataFrame:
+    return months.filter("escopo is not null").select("rule_id", "escopo", F.col("sel_competencia").alias("competencia"), F.explode("sel_artefatos").alias("artifact_id"))
+
+
+def _target() -> Column:
+    """Whether the existence test is asked for a record at all."""
+    return (F.col("previa") == "APLICAVEL") & (F.size("motivos_previos") == 0)
+
+
+def _prior_reasons() -> Column:
+    return present(F.when(F.col("falta"), "CAMPO_INSUFICIENTE"), _selection_reason(F.col("esc_motivo")))
+
+
+_KEY = ["escopo", "k1", "k2"]
+
 
+def key_outcomes(rules: list[Rule], asked: DataFrame, months: DataFrame, aux: DataFrame) -> DataFrame:
+    """(*_KEY, achados, resultado) of the distinct keys ``asked``: each is tested once, however many
+    records have it."""
+    scope = _members(months).select("escopo", F.concat_ws("|", "rule_id", "artifact_id").alias("artifact_id"))
+    rows = aux.select(F.concat_ws("|", "rule_id", "artifact_id").alias("artifact_id"), "k1", "k2", "n")
+    found = existence(asked.select(*_KEY), scope, rows, ("k1", "k2"), ("k1", "k2"), "n")
+    missing = F.lit(None).cast("string")
+    for r in rules:
+        if r.no_leading:
+            missing = F.when(F.startswith(F.col("escopo"), F.lit(f"{r.rule_id}|")), r.no_leading).otherwise(missing)
+    result = F.when(F.col("achados") > 0, "CORRESPONDENCIA").when(F.col("poderia"), "CAMPO_INSUFICIENTE").when(~F.col("tem_lider") & missing.isNotNull(), missing).otherwise("AUSENCIA")
+    return found.select(*_KEY, "achados", result.alias("resultado"))
 
-def evaluate_rules(rules: list[Rule], records: DataFrame, aux: dict[str, DataFrame], decided: DataFrame, coverage: DataFrame, integrity: DataFrame) -> DataFrame:
-    """All rules over all records: one lazy plan for each rule, as many rows as records x rules.
-    ``aux`` holds the reference table of each rule id."""
+
+def _final() -> dict[str, Column]:
+    """The columns of an evaluation, from the inputs, ``achados`` and ``resultado``."""
+    some = lambda *x: F.array(*[F.lit(y) for y in x])
+    none = F.array().cast("array<string>")
+    unknown = F.when(_quarantined(), some("APLICABILIDADE_DESCONHECIDA", "ARQUIVO_EM_QUARENTENA")).otherwise(some("APLICABILIDADE_DESCONHECIDA", "CAMPO_INSUFICIENTE"))
+    absent = F.when(absence_supported(), none).otherwise(some("COBERTURA_INSUFICIENTE"))
+    tested = F.when(F.col("resultado") == "CORRESPONDENCIA", none).when(F.col("resultado") == "AUSENCIA", absent).otherwise(F.array("resultado"))
+    reasons = F.when(F.col("previa") == "DESCONHECIDA", unknown).when(F.col("previa") != "APLICAVEL", none).when(_target(), tested).otherwise(F.col("motivos_previos"))
+    applies = F.when(_target() & (F.col("resultado") == "APLICABILIDADE_DESCONHECIDA"), "DESCONHECIDA").otherwise(F.col("previa"))
+    against = F.when(_target() & (F.size(reasons) == 0), F.col("resultado") == "AUSENCIA")
+    complete = F.size(F.array_remove(reasons, "APLICABILIDADE_DESCONHECIDA")) == 0
+    return {"estado": decide_state(applies, complete, against, reasons), "aplicabilidade": applies, "insumos_completos": complete, "incompatibilidade": against, "motivos": reasons}
+
+
+def evaluate_rules(rules: list[Rule], records: DataFrame, aux: dict[str, DataFrame], decided: DataFrame, coverage: DataFrame, integrity: DataFrame, origins: set[str] | None = None) -> DataFrame:
+    """All rules over all records, as many rows as records x rules. ``aux`` holds the reference table
+    of each rule id.
+
+    Records are read once for all rules: each becomes a row a rule, of the few columns needed. What
+    depends on the month, the coverage cell or the file has few rows and is sent to all tasks; the
+    existence test runs over distinct keys, and its outcomes come back by one join, which shuffles
+    only if they are too many to be sent. All joins are left joins by unique keys, so no record is
+    multiplied. ``origins``: where the inputs come from; more than one is refused, as is a rule
+    given twice."""
     if len({r.rule_id for r in rules}) < len(rules):
         raise ValueError("a rule is given twice")
-    parts = [evaluate_rule(r, records, aux[r.rule_id], decided, coverage, integrity) for r in rules]
-    return reduce(DataFrame.unionByName, parts)
+    if origins is not None and len(origins) > 1:
+        raise ValueError(f"inputs of different origins: {sorted(origins)}")
+    own = sent(written(integrity.select("artifact_id", F.col("estado").alias("integridade_registro")), "own"))
+    given = _shared_aux(rules, aux)
+    months = written(by_month(rules, decided, given, integrity), "months")
+    cover = coverage.filter(F.col("familia_regra").isin([r.family for r in rules])).select(F.col("familia_regra").alias("familia"), "instrumento", F.col("competencia").alias("competencia_processamento"), F.col("base_temporal").alias("sel_base"), F.col("estado").alias("cobertura_estado"))
+    base = records.join(own, "artifact_id", "left").withColumn("integridade_registro", F.coalesce("integridade_registro", F.lit("NAO_VERIFICADO")))
+    wide = base.select("row_id", "artifact_id", "instrumento", "competencia_processamento", "integridade_registro", F.explode(F.array(*[_asked(r) for r in rules])).alias("q")).select("row_id", "artifact_id", "instrumento", "competencia_processamento", "integridade_registro", "q.*")
+    state = F.when(F.col("sel_competencia").isNull(), "NAO_RESOLVIDA").otherwise(F.coalesce("sel_estado", F.lit("AUSENTE")))
+    ready = wide.join(sent(months), ["rule_id", "sel_competencia"], "left").withColumns({"sel_estado": state, "sel_artefatos": F.coalesce("sel_artefatos", F.array().cast("array<string>"))}).withColumn("motivos_previos", _prior_reasons())
+    asked = written(ready.filter(_target()).groupBy(*_KEY).agg(F.count("*").alias("n")), "keys")
+    facts = written(key_outcomes(rules, asked, months, given), "outcomes")
+    few = sent(facts)
+    tested = ready.join(sent(cover), ["familia", "instrumento", "competencia_processamento", "sel_base"], "left")
+    tested = split_join(tested, facts, _KEY, asked, F.xxhash64("row_id")) if few is facts else tested.join(few, _KEY, "left")
+    found = F.when(_target(), F.coalesce("achados", F.lit(0))).otherwise(0).cast("long")
+    key = F.when(F.col("k2") == "", F.col("k1")).otherwise(F.concat_ws("|", "k1", "k2"))
+    return tested.select("row_id", "rule_id", *[c.alias(n) for n, c in _final().items()], "artifact_id", "instrumento", "sel_base", "sel_competencia", "sel_estado", "sel_artefatos", F.coalesce("cobertura_estado", F.lit("AUSENTE")).alias("cobertura"), F.coalesce("pior_integridade", F.lit("NAO_VERIFICADO")).alias("integridade"), "integridade_registro", found.alias("n_resultados"), key.alias("chave"))
+
+
+def evaluate_rule(rule: Rule, records: DataFrame, aux: DataFrame, decided: DataFrame, coverage: DataFrame, integrity: DataFrame) -> DataFrame:
+    """One row for each record."""
+    return evaluate_rules([rule], records, {rule.rule_id: aux}, decided, coverage, integrity)
+
+
+def check_invariant(records: DataFrame, evals: DataFrame, rules: list[Rule]) -> DataFrame:
+    """One row: records, rules, evaluations and whether the latter are their product; the run's id is
+    the hash of the rules and of what was evaluated, whatever the order of rows."""
+    from datavouch.functions.identity import content_id, multiset_fingerprint
+
+    n = records.agg(F.count("*").alias("registros"))
+    content = multiset_fingerprint(evals.select("row_id", "rule_id", "estado"))
+    j = n.crossJoin(content).withColumns({"regras": F.lit(",".join(sorted(r.rule_id for r in rules))), "n_regras": F.lit(len(rules)).cast("long")})
+    return j.select("registros", "n_regras", F.col("n_rows").alias("avaliacoes"), (F.col("n_rows") == F.col("registros") * F.col("n_regras")).alias("completo"), content_id("val_", "regras", "n_rows", *[f"limb_{i}" for i in range(4)]).alias("run_id"))
+
 
+def single_result(state: Column) -> Column:
+    """A record's outcome under one rule alone."""
+    return F.when(state == "VIOLACAO", "ALERTA").when(state == "CONFORME", "SEM_VIOLACAO_VERIFICADA").otherwise("ABSTENCAO")
 
-def evidence(evals: DataFrame) -> DataFrame:
-    """Evidence of violations, matches and proven inapplicability; its id is the hash of its content."""
+
+def _evidence_fields() -> dict[str, Column]:
     na = F.col("estado") == "NAO_APLICAVEL"
     kind = F.when(na, "APLICABILIDADE").when(F.col("estado") == "CONFORME", "VINCULO_ENCONTRADO").when(F.col("estado") == "VIOLACAO", "AUSENCIA_NA_FONTE")
-    fields = {
+    return {
         "tipo": kind,
         "rule_id": F.col("rule_id"),
+        "consulta": F.when(na, "aplicabilidade").otherwise("existencia"),
         "parametros": F.when(na, F.to_json(F.struct("instrumento"), {"ignoreNullFields": "false"})).otherwise(F.to_json(F.struct("chave"), {"ignoreNullFields": "false"})),
+        "conjunto": F.when(~na, F.concat(F.lit("aux_"), "rule_id")),
         "artifact_ids": F.when(na, F.col("artifact_id")).otherwise(F.array_join("sel_artefatos", ";")),
         "cobertura": F.when(na, "DISPONIVEL").otherwise(F.col("cobertura")),
         "integridade": F.when(na, F.col("integridade_registro")).otherwise(F.col("integridade")),
         "n_resultados": F.when(na, 0).otherwise(F.col("n_resultados")).cast("string"),
+        "chaves_amostra": F.when(~na & (F.col("n_resultados") > 0), F.col("chave")),
     }
-    rows = evals.filter("estado <> 'INCONCLUSIVO'").select(*[c.alias(n) for n, c in fields.items()])
-    return rows.select(F.concat(F.lit("ev_"), F.sha2(F.concat_ws("\x1f", *fields), 256)).alias("ev_id"), *fields).distinct()
 
 
-def validate_evaluations(evals: DataFrame) -> DataFrame:
-    """(row_id, rule_id, problema): rows that break the output contract."""
+def evidence_id() -> Column:
+    """The id of an evaluation's evidence: the hash of its content; null for inconclusive ones."""
+    fields = _evidence_fields()
+    digest = F.sha2(F.concat_ws("\x1f", *[F.coalesce(c, F.lit("")) for c in fields.values()]), 256)
+    return F.when(F.col("estado") != "INCONCLUSIVO", F.concat(F.lit("ev_"), digest))
+
+
+def evidence(evals: DataFrame, datasets: dict[str, str] | None = None) -> DataFrame:
+    """Evidence of violations, matches and proven inapplicability; its id is the hash of its content.
+    ``datasets``: the hash of each rule's reference table, kept beside it."""
+    rows = evals.filter("estado <> 'INCONCLUSIVO'").select(evidence_id().alias("ev_id"), *[c.alias(n) for n, c in _evidence_fields().items()]).distinct()
+    if datasets is None:
+        return rows
+    hashes = F.create_map(*[F.lit(x) for p in datasets.items() for x in p])
+    return rows.withColumn("conjunto_hash", F.when(F.col("conjunto").isNotNull(), hashes[F.col("rule_id")]))
+
+
+def validate_evaluations(evals: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(row_id, rule_id, problema): rows that break the output contract.
+
+    The state must be the truth table's; a violation or match needs a selected version; an
+    inconclusive row needs a reason; all others need evidence, their ``ev_id`` (as computed where the
+    column is absent), which must be among ``known`` (ev_id) if that is given."""
     expected = decide_state(F.col("aplicabilidade"), F.col("insumos_completos"), F.col("incompatibilidade"), F.col("motivos"))
+    rows = evals if "ev_id" in evals.columns else evals.withColumn("ev_id", evidence_id())
+    lost = F.col("ev_id").isNull()
+    if known is not None:
+        rows = rows.join(known.select("ev_id", F.lit(True).alias("_known")).distinct(), "ev_id", "left")
+        lost = lost | F.col("_known").isNull()
     problem = (
         F.when(~F.col("estado").eqNullSafe(expected), "ESTADO_DIVERGENTE")
         .when(F.col("estado").isin("VIOLACAO", "CONFORME") & ~F.col("sel_estado").eqNullSafe(F.lit("SELECIONADA")), "SELECAO_INVALIDA")
         .when((F.col("estado") == "INCONCLUSIVO") & (F.size("motivos") == 0), "SEM_MOTIVO")
+        .when((F.col("estado") != "INCONCLUSIVO") & lost, "SEM_EVIDENCIA")
     )
-    return evals.withColumn("problema", problem).filter("problema is not null").select("row_id", "rule_id", "problema")
+    return rows.withColumn("problema", problem).filter("problema is not null").select("row_id", "rule_id", "problema")
+
+
+_LISTS = {"violacoes": "VIOLACAO", "conformes": "CONFORME", "inconclusivas": "INCONCLUSIVO", "nao_aplicaveis": "NAO_APLICAVEL"}
+
+
+def _result() -> Column:
+    return F.when(F.size("violacoes") > 0, "ALERTA").when((F.size("inconclusivas") > 0) | (F.size("conformes") == 0), "ABSTENCAO").otherwise("SEM_VIOLACAO_VERIFICADA")
 
 
 def aggregate_records(evals: DataFrame, failures: DataFrame | None = None) -> DataFrame:
     """Four sorted rule lists and the outcome of each record; records with failures have none."""
     if failures is not None:
         evals = evals.join(failures.select("row_id").distinct(), "row_id", "left_anti")
-    lists = {"violacoes": "VIOLACAO", "conformes": "CONFORME", "inconclusivas": "INCONCLUSIVO", "nao_aplicaveis": "NAO_APLICAVEL"}
-    grouped = evals.groupBy("row_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("estado") == s, F.col("rule_id")))).alias(n) for n, s in lists.items()])
-    result = F.when(F.size("violacoes") > 0, "ALERTA").when((F.size("inconclusivas") > 0) | (F.size("conformes") == 0), "ABSTENCAO").otherwise("SEM_VIOLACAO_VERIFICADA")
-    return grouped.withColumn("resultado", result)
+    grouped = evals.groupBy("row_id").agg(*[F.array_sort(F.collect_list(F.when(F.col("estado") == s, F.col("rule_id")))).alias(n) for n, s in _LISTS.items()])
+    return grouped.withColumn("resultado", _result())
 
 
 def check_aggregates(aggs: DataFrame, evals: DataFrame) -> DataFrame:

@@ -140,6 +140,11 @@ class Flow:
         aux = {r.rule_id: self.aux(r.rule_id) for r in RULES}
         return rules.evaluate_rules(RULES, self.stored_records, aux, self.decided, self.coverage, self.versions)
 
+    @cached_property
+    def stored_evaluations(self) -> DataFrame:
+        """For steps that read the evaluations more than once."""
+        return written(self.evaluations)
+
     @cached_property
     def aggregates(self) -> DataFrame:
         return rules.aggregate_records(self.evaluations)
@@ -150,7 +155,7 @@ class Flow:
 
     @cached_property
     def population(self) -> DataFrame:
-        return self.records.withColumn("rotulo", labels.label(F.col("pa_indica_bruto")))
+        return self.stored_records.withColumn("rotulo", labels.label(F.col("pa_indica_bruto")))
 
     def one_rule(self, k: int) -> DataFrame:
         r = RULES[k]
@@ -187,37 +192,49 @@ def _coverage_sql() -> str:
 
 
 def _eval_sql(r: rules.Rule) -> str:
-    aux = AUX_VIEW[r.rule_id]
-    k, a = r.record_key, r.aux_key
-    pos = f" and x.{r.positive} > 0" if r.positive else ""
-    exact = " and ".join(f"x.{q} = t.{c}" for c, q in zip(k, a, strict=True)) + pos
-    wild = " and ".join(f"(x.{q} = t.{c} or x.{q} is null)" for c, q in zip(k, a, strict=True)) + (f" and (x.{r.positive} > 0 or x.{r.positive} is null)" if r.positive else "")
-    nulls = " or ".join(f"x.{q} is null" for q in (*a, *([r.positive] if r.positive else [])))
-    missing = " or ".join(f"{c} is null" for c in r.fields()) + (" or co_registro is null" if r.mapping else "")
-    lead = f" when not exists (select 1 from scoped x where x.escopo = t.escopo and x.{a[0]} = t.{k[0]}) then '{r.no_leading}'" if r.no_leading else ""
-    own = "competencia_atendimento" if r.base == "ATENDIMENTO" else "competencia_processamento"
-    codes = ", ".join(f"('{x}','{y}')" for x, y in _MAP)
-    ins = ", ".join(f"'{x}'" for x in r.instruments)
+    """The evaluations of a rule as a union of the cases that a record can be in: not covered by the
+    rule, of unknown applicability, without sufficient inputs, or tested. Reasons are rows, and what
+    a test's outcome means is a table."""
+    aux, k, a = AUX_VIEW[r.rule_id], r.record_key, r.aux_key
+    count = f"x.{r.positive}" if r.positive else "1"
+    same = " and ".join(f"coalesce(x.{q} = t.{c}, false)" for c, q in zip(k, a, strict=True))
+    may = " and ".join(f"coalesce(x.{q} = t.{c}, true)" for c, q in zip(k, a, strict=True))
+    blank = " or ".join(f"{c} is null" for c in (*r.fields(), *(["co_registro"] if r.mapping else [])))
+    asked = "competencia_atendimento" if r.base == "ATENDIMENTO" else "competencia_processamento"
+    means = [("1", "''", "CONFORME", "APLICAVEL"), ("2", "'CAMPO_INSUFICIENTE'", "INCONCLUSIVO", "APLICAVEL"), ("4", "''", "VIOLACAO", "APLICAVEL"), ("5", "'COBERTURA_INSUFICIENTE'", "INCONCLUSIVO", "APLICAVEL")]
+    if r.no_leading:
+        means.append(("3", f"'{r.no_leading}'", "INCONCLUSIVO", "DESCONHECIDA" if r.no_leading == "APLICABILIDADE_DESCONHECIDA" else "APLICAVEL"))
+    table = ", ".join(f"({n}, {why}, '{state}', '{applies}')" for n, why, state, applies in means)
+    lead = f"when count(*) filter (x.{a[0]} = t.{k[0]}) = 0 then 3" if r.no_leading else ""
+    reasons = ", ".join(f"('{s}','{w}')" for s, w in rules.REASON_OF_SELECTION.items())
     return f"""select * from (
-      with codes(ins, cod) as (values {codes}),
-      base as (select r.*, c.cod as co_registro, s.estado as sel_estado, s.competencia_requerida as sel_competencia, s.artifact_ids as sel_artefatos, coalesce(v.estado, 'NAO_VERIFICADO') as integ, case when s.estado = 'SELECIONADA' then s.competencia_requerida || '|' || array_to_string(s.artifact_ids, ';') end as escopo
-        from records r left join codes c on c.ins = r.instrumento left join selecoes s on s.row_id = r.row_id and s.rule_id = '{r.rule_id}' left join versions v on v.artifact_id = r.artifact_id),
-      esc as (select distinct escopo, sel_competencia as mes, unnest(sel_artefatos) as artifact_id from base where escopo is not null),
-      scoped as (select e.escopo, x.* from esc e join {aux} x on x.artifact_id = e.artifact_id),
-      linhas as (select e.escopo, e.mes, e.artifact_id, v.estado as integ, count(x.artifact_id) as n, count(*) filter (x.artifact_id is not null and x.{r.month_column} is distinct from e.mes) as outras from esc e left join {aux} x on x.artifact_id = e.artifact_id left join versions v on v.artifact_id = e.artifact_id group by all),
-      sit as (select escopo, bool_or(integ is null) as fora, bool_or(coalesce(integ, '') like 'QUARENTENA%') as quar, bool_or(outras > 0) as dive, bool_and(n = 0) as vazio, bool_and(n > 0) as todas, bool_and(coalesce(integ, '') = 'OK') as ok from linhas group by escopo),
-      pre as (select b.*, s.todas, s.ok, case when integ like 'QUARENTENA%' or instrumento is null then 'DESCONHECIDA' when instrumento not in ({ins}) then 'NAO_APLICAVEL_DEMONSTRADA' else 'APLICAVEL' end as previa,
-        list_sort(list_distinct(list_filter([case when {missing} then 'CAMPO_INSUFICIENTE' end, case sel_estado when 'AUSENTE' then 'ARQUIVO_AUSENTE' when 'AMBIGUA' then 'VERSAO_AMBIGUA' when 'INCOMPLETA' then 'COBERTURA_INSUFICIENTE' when 'EM_QUARENTENA' then 'ARQUIVO_EM_QUARENTENA' when 'FORA_DO_CORTE' then 'FORA_DO_CORTE' when 'SELECIONADA' then case when fora then 'ARQUIVO_AUSENTE' when quar then 'ARQUIVO_EM_QUARENTENA' when dive then 'VIGENCIA_NAO_RESOLVIDA' when vazio then 'COBERTURA_INSUFICIENTE' end else 'VIGENCIA_NAO_RESOLVIDA' end], lambda m: m is not null))) as mp
-        from base b left join sit s on s.escopo = b.escopo),
-      alvo as (select distinct escopo, {', '.join(k)} from pre where previa = 'APLICAVEL' and len(mp) = 0),
-      pred as (select t.*, (select count(*) from scoped x where x.escopo = t.escopo and {exact}) as achados,
-        case when exists (select 1 from scoped x where x.escopo = t.escopo and {exact}) then 'CORRESPONDENCIA' when exists (select 1 from (select * from scoped x where {nulls}) x where x.escopo = t.escopo and {wild}) then 'CAMPO_INSUFICIENTE'{lead} else 'AUSENCIA' end as resultado from alvo t),
-      fatos as (select p.*, q.resultado, coalesce(q.achados, 0) as achados, c.estado as cob from pre p left join pred q on p.previa = 'APLICAVEL' and len(p.mp) = 0 and q.escopo = p.escopo and {' and '.join(f'q.{c} = p.{c}' for c in k)}
+      with porque(sel, motivo) as (values {reasons}),
+      significa(caso, motivo, estado, aplic) as (values {table}),
+      codigos(ins, co_registro) as (values {", ".join(f"('{x}','{y}')" for x, y in _MAP)}),
+      ficha as (select r.*, c.co_registro, s.estado as sel_estado, s.competencia_requerida as mes, s.artifact_ids as sel_artefatos, coalesce(v.estado like 'QUARENTENA%', false) as suspeito
+        from records r join selecoes s on s.row_id = r.row_id and s.rule_id = '{r.rule_id}' left join codigos c on c.ins = r.instrumento left join versions v on v.artifact_id = r.artifact_id),
+      arquivo as (select m.mes, m.artifact_id, any_value(v.estado) as integ, count(x.artifact_id) as n, count(x.artifact_id) filter (x.{r.month_column} is null or x.{r.month_column} <> m.mes) as alheias
+        from (select distinct mes, unnest(sel_artefatos) as artifact_id from ficha where sel_estado = 'SELECIONADA') m left join versions v using (artifact_id) left join {aux} x using (artifact_id) group by all),
+      defeito as (select mes, arg_min(motivo, ordem) as motivo from (
+          select mes, 1 as ordem, 'ARQUIVO_AUSENTE' as motivo from arquivo where integ is null union all select mes, 2, 'ARQUIVO_EM_QUARENTENA' from arquivo where integ like 'QUARENTENA%'
+          union all select mes, 3, 'VIGENCIA_NAO_RESOLVIDA' from arquivo where alheias > 0 union all select mes, 4, 'COBERTURA_INSUFICIENTE' from arquivo group by mes having sum(n) = 0) group by mes),
+      firme as (select mes from arquivo group by mes having min(n) > 0 and count(*) = count(*) filter (integ = 'OK')),
+      fora as (select row_id from ficha where not suspeito and instrumento not in ({", ".join(f"'{x}'" for x in r.instruments)})),
+      duvida as (select row_id, unnest(['APLICABILIDADE_DESCONHECIDA', case when suspeito then 'ARQUIVO_EM_QUARENTENA' else 'CAMPO_INSUFICIENTE' end]) as motivo from ficha where suspeito or instrumento is null),
+      lacuna as (select * from (select row_id, 'CAMPO_INSUFICIENTE' as motivo from ficha where {blank} union select row_id, motivo from ficha join porque on sel = sel_estado union select row_id, motivo from ficha join defeito using (mes) where sel_estado = 'SELECIONADA')
+        where row_id not in (select row_id from fora union select row_id from duvida)),
+      aptas as (select * from ficha where row_id not in (select row_id from fora union select row_id from duvida union select row_id from lacuna)),
+      linha as (select q.mes, x.* from (select distinct mes, unnest(sel_artefatos) as artifact_id from aptas) q join {aux} x using (artifact_id)),
+      teste as (select t.*, count(*) filter ({same} and {count} > 0) as achados, case when count(*) filter ({same} and {count} > 0) > 0 then 1 when count(*) filter ({may} and coalesce({count} > 0, true)) > 0 then 2 {lead} else 4 end as caso
+        from (select distinct mes, {", ".join(k)} from aptas) t left join linha x on x.mes = t.mes group by all),
+      julgada as (select p.row_id, achados, case when caso = 4 and (f.mes is null or p.mes is distinct from p.{asked} or c.estado is distinct from 'DISPONIVEL') then 5 else caso end as caso
+        from aptas p join teste t on t.mes = p.mes and {" and ".join(f"t.{c} = p.{c}" for c in k)} left join firme f on f.mes = p.mes
         left join cobertura c on c.familia_regra = '{r.family}' and c.instrumento = p.instrumento and c.competencia = p.competencia_processamento and c.base_temporal = '{r.base}'),
-      dec as (select *, case when previa <> 'APLICAVEL' then previa when resultado = 'APLICABILIDADE_DESCONHECIDA' then 'DESCONHECIDA' else 'APLICAVEL' end as aplicabilidade,
-        case when previa = 'DESCONHECIDA' and integ like 'QUARENTENA%' then ['APLICABILIDADE_DESCONHECIDA','ARQUIVO_EM_QUARENTENA'] when previa = 'DESCONHECIDA' then ['APLICABILIDADE_DESCONHECIDA','CAMPO_INSUFICIENTE'] when previa <> 'APLICAVEL' then [] when len(mp) > 0 then mp when resultado = 'CORRESPONDENCIA' then []
-          when resultado = 'AUSENCIA' and cob = 'DISPONIVEL' and ok and todas and sel_competencia = {own} then [] when resultado = 'AUSENCIA' then ['COBERTURA_INSUFICIENTE'] else [resultado] end as ms from fatos)
-      select row_id, '{r.rule_id}' as rule_id, case when aplicabilidade = 'NAO_APLICAVEL_DEMONSTRADA' then 'NAO_APLICAVEL' when aplicabilidade <> 'APLICAVEL' or len(ms) > 0 then 'INCONCLUSIVO' when resultado = 'AUSENCIA' then 'VIOLACAO' else 'CONFORME' end as estado, aplicabilidade, array_to_string(ms, ';') as motivos, achados as n_resultados, sel_estado, artifact_id, cnes, cbo, competencia_processamento, instrumento, sel_artefatos from dec) e"""
+      caso as (select row_id, 'NAO_APLICAVEL' as estado, 'NAO_APLICAVEL_DEMONSTRADA' as aplicabilidade, '' as motivos, 0 as n_resultados from fora
+        union all select row_id, 'INCONCLUSIVO', 'DESCONHECIDA', string_agg(motivo, ';' order by motivo), 0 from duvida group by row_id
+        union all select row_id, 'INCONCLUSIVO', 'APLICAVEL', string_agg(motivo, ';' order by motivo), 0 from lacuna group by row_id
+        union all select row_id, estado, aplic, motivo, achados from julgada join significa using (caso))
+      select row_id, '{r.rule_id}' as rule_id, estado, aplicabilidade, motivos, n_resultados, sel_estado, artifact_id, procedimento, cnes, cbo, co_registro, competencia_processamento, instrumento, sel_artefatos from caso join ficha using (row_id)) e"""
 
 
 ORACLE: dict[str, str] = {

@@ -35,8 +35,7 @@ def joined(c: str):
 @_query("flow_pair_rule_outcome", "select row_id, estado, motivos, case when estado = 'VIOLACAO' then 'ALERTA' when estado = 'CONFORME' then 'SEM_VIOLACAO_VERIFICADA' else 'ABSTENCAO' end as resultado from av0")
 def flagship(f: Flow) -> DataFrame:
     """Does each record's (procedure, occupation) exist in the version of its month, and if not, is that proven?"""
-    ev = f.one_rule(0)
-    return ev.join(rules.aggregate_records(ev).select("row_id", "resultado"), "row_id").select("row_id", "estado", joined("motivos"), "resultado")
+    return f.one_rule(0).select("row_id", "estado", joined("motivos"), rules.single_result(F.col("estado")).alias("resultado"))
 
 
 @_query("r13_evaluate_rules", "select row_id, rule_id, estado, aplicabilidade, motivos, n_resultados from avaliacoes")
