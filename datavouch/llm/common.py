@@ -2,35 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from datavouch.functions.tables import sent, split_join
+from datavouch.functions.tables import shared_path as shared_dir
+from datavouch.functions.tables import written as saved
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the setting is absent (as in tests on one machine) is one chosen here.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/spark-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+__all__ = ["ascii_lower", "encode", "partitions", "ragged_offsets", "saved", "sent", "shared_dir", "split_join", "table"]
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
-    """Cuts the lineage: writes ``df`` to the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}-{what}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def partitions(spark: SparkSession) -> int:

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import encode, saved
+from datavouch.llm.common import encode, saved, split_join
 from datavouch.llm.components import connected
 
 BITS = 64
@@ -139,29 +139,34 @@ def _group_value(groups: tuple[tuple[int, ...], ...], i: int):
     return F.col("fp").bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
 
 
-def plan(nodes: DataFrame, tau: int, m: int) -> Plan:
-    """Groups and thresholds for all distinct fingerprints ``nodes`` (fp)."""
+def plan(nodes: DataFrame, tau: int, choices: tuple[int, ...] = (2, 3)) -> Plan:
+    """Groups and thresholds for all distinct fingerprints ``nodes`` (fp): of the numbers of groups in
+    ``choices`` and the thresholds that the dynamic program finds for each, the cheapest. More
+    fingerprints make fewer, wider groups the cheaper, so buckets don't fill up as the table grows."""
     n, both = _bit_statistics(nodes)
     if not n:
+        m = choices[0]
         return Plan(tuple(tuple(range(BITS * i // m, BITS * (i + 1) // m)) for i in range(m)), (tau - m + 1, *[0] * (m - 1)))
-    groups = group_bits(n, both, m)
-    counted = [nodes.groupBy(F.lit(i).alias("g"), _group_value(groups, i).alias("v")).agg(F.count("*").cast("double").alias("c")) for i in range(m)]
-    same = counted[0]
-    for x in counted[1:]:
-        same = same.unionByName(x)
-    squares = {r.g: r.s for r in same.groupBy("g").agg(F.sum(F.col("c") * F.col("c")).alias("s")).collect()}
+    grouped = {m: group_bits(n, both, m) for m in choices}
+    values = [F.struct(F.lit(m).alias("m"), F.lit(i).alias("g"), _group_value(groups, i).alias("v")) for m, groups in grouped.items() for i in range(m)]
+    counted = nodes.select(F.explode(F.array(*values)).alias("x")).groupBy("x.m", "x.g", "x.v").agg(F.count("*").cast("double").alias("c"))
+    squares = {(r.m, r.g): r.s for r in counted.groupBy("m", "g").agg(F.sum(F.col("c") * F.col("c")).alias("s")).collect()}
     p = np.diag(both) / n
-    costs = []
-    for i, bits in enumerate(groups):
-        equal = p[list(bits)] ** 2 + (1 - p[list(bits)]) ** 2
-        odds = (1 - equal) / np.maximum(equal, 1e-9)
-        one, two = odds.sum(), (odds.sum() ** 2 - (odds**2).sum()) / 2
-        near = [1.0, 1.0 + one, 1.0 + one + two]
-        cost = {-1: 0.0}
-        for e in range(min(tau, 2) + 1):
-            cost[e] = n * _ball(len(bits), e) + squares[i] * near[e]
-        costs.append(cost)
-    return Plan(groups, allocate(costs, tau - m + 1))
+    found = []
+    for m, groups in grouped.items():
+        costs = []
+        for i, bits in enumerate(groups):
+            equal = p[list(bits)] ** 2 + (1 - p[list(bits)]) ** 2
+            odds = (1 - equal) / np.maximum(equal, 1e-9)
+            one, two = odds.sum(), (odds.sum() ** 2 - (odds**2).sum()) / 2
+            near = [1.0, 1.0 + one, 1.0 + one + two]
+            cost = {-1: 0.0}
+            for e in range(min(tau, 2) + 1):
+                cost[e] = n * _ball(len(bits), e) + squares[m, i] * near[e]
+            costs.append(cost)
+        chosen = allocate(costs, tau - m + 1)
+        found.append((sum(c[e] for c, e in zip(costs, chosen, strict=True)), Plan(groups, chosen)))
+    return min(found, key=lambda x: x[0])[1]
 
 
 def _flips(bits: tuple[int, ...], most: int) -> list[int]:
@@ -179,14 +184,17 @@ def _star(hot: DataFrame) -> DataFrame:
     return met.groupBy("z").agg(F.collect_set("fp").alias("all")).filter(F.size("all") > 1).select(F.array_min("all").alias("a"), F.explode("all").alias("b")).filter("a <> b").distinct()
 
 
-def links(nodes: DataFrame, tau: int = 2, m: int = 3) -> DataFrame:
+def links(nodes: DataFrame, tau: int = 2, choices: tuple[int, ...] = (2, 3)) -> DataFrame:
     """(a, b) among distinct fingerprints whose connected components are those of all pairs that
-    differ in at most ``tau`` bits (tau 0 to 2; every returned pair does so)."""
+    differ in at most ``tau`` bits (tau 0 to 2; every returned pair does so).
+
+    Buckets of more than ``HOT`` fingerprints, which only dense clusters fill, are linked in linear
+    time through one-bit neighbours; both ways give whole components."""
     if tau not in (0, 1, 2):
         raise ValueError(f"tau must be 0, 1 or 2, not {tau}")
     if tau == 0:
         return nodes.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    chosen = plan(nodes, tau, m)
+    chosen = plan(nodes, tau, choices)
     buckets = None
     for i, e in enumerate(chosen.thresholds):
         if e < 0:
@@ -198,7 +206,7 @@ def links(nodes: DataFrame, tau: int = 2, m: int = 3) -> DataFrame:
             own = own.unionByName(nodes.select("fp", flips.alias("f")).select("fp", F.lit(i).alias("g"), value.bitwiseXOR(F.col("f")).alias("v"), F.lit(1).alias("probe")))
         buckets = own if buckets is None else buckets.unionByName(own)
     sizes = buckets.groupBy("g", "v").agg(F.count("*").alias("size"), F.min("probe").alias("indexed")).filter("size > 1 and indexed = 0").select("g", "v", "size")
-    shared = saved(buckets.join(sizes, ["g", "v"]), "buckets")
+    shared = saved(split_join(buckets, sizes, ["g", "v"], sizes.select("g", "v", F.col("size").alias("n")), F.xxhash64("fp"), "inner"), "buckets")
     hot = shared.filter(F.col("size") > HOT).select("fp").distinct()
     few = shared.filter(F.col("size") <= HOT).groupBy("g", "v").agg(F.collect_list(F.when(F.col("probe") == 0, F.col("fp"))).alias("own"), F.collect_list("fp").alias("all"))
     pairs = few.select(F.explode("own").alias("a"), "all").select("a", F.explode("all").alias("b")).filter("a <> b").filter(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= tau)
@@ -212,18 +220,17 @@ def _pairs_one(hot: DataFrame) -> DataFrame:
     return hot.select(F.col("fp").alias("a"), flips.alias("f")).select("a", F.col("a").bitwiseXOR(F.col("f")).alias("b")).filter("a < b").join(hot.select(F.col("fp").alias("b")), "b").select("a", "b")
 
 
-def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2, m: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 3, tau: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of ``docs``.
 
     component_id is the smallest id that can be reached through links of at most ``tau`` bits.
-    Null and empty texts have the fingerprint zero and are linked like any other. A null id keeps
-    its fingerprint and takes part in its group; a group of null ids alone has a null component_id.
-    Repeated rows are kept. An empty table gives no rows.
+    Null and empty texts have the fingerprint zero and are linked like any other; texts are taken
+    whole, however long. A null id keeps its fingerprint and takes part in its group; a group of null
+    ids alone has a null component_id. Repeated rows are kept. Other columns of ``docs``, whatever
+    their names, are left out. An empty table gives no rows.
     """
     fps = saved(fingerprints(docs, width, id_col, text_col), "fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = saved(nodes, "nodes")
-    edges = links(nodes.select("fp"), tau, m)
-    component = connected(nodes, edges)
-    out = fps.join(component, "fp", "left")
+    nodes = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")), "nodes")
+    component = connected(nodes.select("fp", "rep"), links(nodes.select("fp"), tau))
+    out = split_join(fps, component, ["fp"], nodes.select("fp", "n"), F.xxhash64("doc_id"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
