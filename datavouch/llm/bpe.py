@@ -6,8 +6,11 @@ of their joined bytes gives back the two. A byte string has exactly one walk of
 and that is its BPE encoding. ``Transducer`` makes this deterministic while it reads: a state is
 the set of walks still possible, each with the tokens it has yet to emit. Tokens that all walks
 share are emitted at once, so output lags by no more than the longest token. States and transitions
-are built when first met; once there are ``MAX_STATES``, a pre-token that needs another one is
-encoded by the nondeterministic walk itself.
+are built when first met; once there are ``MAX_STATES``, they are forgotten and built anew from the
+state at hand.
+
+Decoding runs a state machine over the ids: its state is the open UTF-8 sequence, its output whole
+characters. What a token does in a state is worked out once, byte by byte.
 """
 
 from __future__ import annotations
@@ -151,29 +154,15 @@ class Transducer:
         self.steps[state << 8 | byte] = step = (number, emitted)
         return step
 
-    def walk(self, word: bytes) -> list[int]:
-        """The encoding by the nondeterministic transducer: every prefix has one compatible walk,
-        so the last token of each is enough to find the way back."""
-        n = len(word)
-        token_at, start_at = [-1] * (n + 1), [0] * (n + 1)
-        child, ends, fits = self.child, self.ends, self.fits
-        for i in range(n):
-            before = token_at[i]
-            node = 0
-            for j in range(i, n):
-                node = child[node].get(word[j])
-                if node is None:
-                    break
-                token = ends[node]
-                if token >= 0:
-                    fit = fits.get(before << 20 | token)
-                    if fit or fit is None and self.compatible(before, token):
-                        token_at[j + 1], start_at[j + 1] = token, i
-        out = []
-        while n:
-            out.append(token_at[n])
-            n = start_at[n]
-        return out[::-1]
+    def _renew(self, state: int) -> int:
+        """Forgets all states but the start and the given one, whose new number it returns."""
+        key = self.states[state]
+        self.states = [(-1, (((), 0),))]
+        self.number, self.steps = {self.states[0]: 0}, {}
+        if key not in self.number:
+            self.number[key] = 1
+            self.states.append(key)
+        return self.number[key]
 
     def encode(self, word: bytes) -> list[int]:
         if len(self.fits) > MAX_FITS:
@@ -184,7 +173,8 @@ class Transducer:
             known = steps.get(state << 8 | byte)
             if known is None:
                 if len(self.states) >= MAX_STATES:
-                    return self.walk(word)
+                    state = self._renew(state)
+                    steps = self.steps
                 known = self._step(state, byte)
             state, emitted = known
             if emitted:
@@ -218,37 +208,60 @@ class Pieces(dict):
         return ids
 
 
-class Utf8Stream:
-    """Incremental UTF-8 decoding: bytes in, whole characters out. Open sequences are kept for the
-    next call; bytes that can't be part of a character become U+FFFD, as ``bytes.decode`` does."""
+#: Classes of bytes in UTF-8 (Unicode, table 3-7) by their first and last byte: ASCII; continuation
+#: bytes in three parts, which some leads allow in part; leads of two, three and four bytes; and
+#: bytes that never occur.
+_KINDS = {"ascii": (0x00, 0x7F), "low": (0x80, 0x8F), "mid": (0x90, 0x9F), "high": (0xA0, 0xBF), "two": (0xC2, 0xDF), "e0": (0xE0, 0xE0), "three": (0xE1, 0xEC), "ed": (0xED, 0xED), "three_": (0xEE, 0xEF), "f0": (0xF0, 0xF0), "four": (0xF1, 0xF3), "f4": (0xF4, 0xF4)}
+_ANY = ("low", "mid", "high")
+#: From a state and a class to the next state: how many continuation bytes are due, and which the
+#: lead allows next. "" is the state between characters.
+_MOVES = {
+    "": {"ascii": "", "two": "1", "e0": "2 high", "three": "2", "ed": "2 low", "three_": "2", "f0": "3 high", "four": "3", "f4": "3 low"},
+    "1": dict.fromkeys(_ANY, ""),
+    "2": dict.fromkeys(_ANY, "1"),
+    "2 high": {"high": "1"},
+    "2 low": {"low": "1", "mid": "1"},
+    "3": dict.fromkeys(_ANY, "2"),
+    "3 high": {"mid": "2", "high": "2"},
+    "3 low": {"low": "2"},
+}
+
+
+class Utf8Machine:
+    """Incremental UTF-8 decoding: bytes in, whole characters out, as UTF-8. What can't be part of a
+    character becomes U+FFFD, once for each maximal part of one, as ``bytes.decode`` does."""
+
+    BAD = "\ufffd".encode()
 
     def __init__(self) -> None:
-        self.open = b""
-
-    def feed(self, data: bytes, last: bool = False) -> str:
-        data = self.open + data
-        cut = len(data)
-        if not last:
-            for back in range(1, min(3, cut) + 1):
-                byte = data[-back]
-                if byte >= 0xC0:
-                    need = 2 if byte < 0xE0 else 3 if byte < 0xF0 else 4
-                    if need > back and self._starts(data[cut - back :]):
-                        cut -= back
-                    break
-                if byte < 0x80:
-                    break
-        self.open = data[cut:]
-        return data[:cut].decode("utf-8", "replace")
+        kind = {byte: name for name, (a, b) in _KINDS.items() for byte in range(a, b + 1)}
+        #: By state, the next state of each byte, or None.
+        self.moves = {state: [allowed.get(kind.get(byte, "")) for byte in range(256)] for state, allowed in _MOVES.items()}
+
+    def feed(self, state: tuple[str, bytes], data: bytes) -> tuple[tuple[str, bytes], bytes]:
+        """The state (its name and the open bytes) after ``data``, and the characters that ended."""
+        name, held = state
+        out = bytearray()
+        open_ = bytearray(held)
+        for byte in data:
+            to = self.moves[name][byte]
+            if to is None and name:  # the open sequence ends here; the byte starts anew
+                out += self.BAD
+                open_.clear()
+                to = self.moves[""][byte]
+            if to is None:
+                out += self.BAD
+                name = ""
+                continue
+            open_.append(byte)
+            name = to
+            if not name:
+                out += open_
+                open_.clear()
+        return (name, bytes(open_)), bytes(out)
 
-    @staticmethod
-    def _starts(part: bytes) -> bool:
-        """Whether the bytes can begin a well-formed character (Unicode, table 3-7)."""
-        lead = part[0]
-        if lead < 0xC2 or lead > 0xF4:
-            return False
-        low, high = {0xE0: (0xA0, 0xBF), 0xED: (0x80, 0x9F), 0xF0: (0x90, 0xBF), 0xF4: (0x80, 0x8F)}.get(lead, (0x80, 0xBF))
-        return len(part) < 2 or low <= part[1] <= high
+    def end(self, state: tuple[str, bytes]) -> bytes:
+        return self.BAD if state[0] else b""
 
 
 def plain_pattern(pattern: str) -> str:
@@ -299,6 +312,10 @@ class Codec:
         self.blobs = np.array([b""] * (max(ranks.values()) + 1), object)
         for token, rank in ranks.items():
             self.blobs[rank] = token
+        self.machine = Utf8Machine()
+        self.token_moves: dict[tuple[tuple[str, bytes], int], tuple[tuple[str, bytes], bytes]] = {}
+        #: Tokens that are whole characters.
+        self.whole = np.array([self.machine.feed(("", b""), x) == (("", b""), x) for x in self.blobs])
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers; none for null."""
@@ -306,23 +323,41 @@ class Codec:
         split = self.split_all if self.beyond_bmp(text) else self.split_bmp  # the same matches, by shorter ranges
         return b"".join(map(self.pieces.__getitem__, split(text)))
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(self.blobs[np.frombuffer(ids, "<u4")].tolist())
+    def decode(self, ids: bytes, chunk: int = 4096) -> Iterator[bytes]:
+        """The text's bytes, in chunks of ids; no character is split between chunks. Tokens that
+        begin and end between characters leave the machine where it was and are taken as they are."""
+        machine, moves, state = self.machine, self.token_moves, ("", b"")
+        numbers = np.frombuffer(ids, "<u4")
+        for i in range(0, len(numbers), chunk):
+            part = numbers[i : i + chunk]
+            if not state[0] and self.whole[part].all():
+                yield b"".join(self.blobs[part].tolist())
+                continue
+            out = []
+            for token in part.tolist():
+                known = moves.get((state, token))
+                if known is None:
+                    if len(moves) >= MAX_FITS:
+                        moves.clear()
+                    known = moves[state, token] = machine.feed(state, self.blobs[token])
+                state, data = known
+                out.append(data)
+            yield b"".join(out)
+        yield machine.end(state)
 
     def decode_text(self, ids: bytes, chunk: int = 4096) -> Iterator[str]:
-        """Decodes in chunks of ids; no character is split between chunks."""
-        stream, numbers = Utf8Stream(), np.frombuffer(ids, "<u4")
-        for i in range(0, len(numbers), chunk):
-            yield stream.feed(b"".join(self.blobs[numbers[i : i + chunk]].tolist()))
-        yield stream.feed(b"", last=True)
+        for part in self.decode(ids, chunk):
+            yield part.decode("utf-8", "surrogatepass")
 
 
 def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256[, ids]) for each row.
 
     ``vocabulary`` is the path of a rank file that every executor has (an installed package's file).
-    Null and empty texts have no tokens. Ids are decoded again; the second digest is of the bytes
-    so decoded. Repeated rows are kept; an empty table gives no rows.
+    Null and empty texts have no tokens; texts are taken whole, however long. Ids are decoded again
+    by the state machine; the second digest is of the bytes so decoded. Repeated rows and equal ids
+    are kept as they are; other columns are left out, whatever their names; an empty table gives no
+    rows.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
@@ -334,7 +369,10 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
                 ids = own.encode(text.as_py())
                 counts.append(len(ids) // 4)
                 shas.append(hashlib.sha256(ids).hexdigest())
-                backs.append(hashlib.sha256(own.decode(ids)).hexdigest())
+                back = hashlib.sha256()
+                for part in own.decode(ids):
+                    back.update(part)
+                backs.append(back.hexdigest())
                 if keep_ids:
                     kept.append(np.frombuffer(ids, "<u4").astype(np.int32).tolist())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(shas, pa.string()), pa.array(backs, pa.string())]
