@@ -1,20 +1,22 @@
 """Licence scan: Dice coefficient over word bigrams against templates, in DataFrame operations only.
 
-Each line of a document, and a document of several lines as a whole, is a unit. A unit's text is
-normalised (A-Z lower-cased, other ASCII characters than digits and letters become one space) and
-cut into words; its bigrams are taken once each. Dice >= t needs a number of bigrams between
-b t / (2 - t) and b (2 - t) / t for a template of b bigrams, so templates are laid out by the sizes
-that they can match and found by an equi-join on the unit's size.
+A text is normalised (A-Z lower-cased, runs of other ASCII characters than digits and letters become
+one space, line ends too) and cut into words; its bigrams are looked up in the templates' postings.
+A template of b bigrams needs at least b t / (2 - t) of them for a coefficient of t, which most
+templates fail at once. For the others the best place is sought: against the threshold, a template's
+bigram is worth 2 - t and any other costs t, and the run of greatest sum is found by running minima.
+A bigram that has just been seen is worth nothing; after 2 b / t bigrams it counts again, so two
+copies of a licence never look better than one. The coefficient of that run then decides.
 """
 
 from __future__ import annotations
 
-import math
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from datavouch.functions.tables import SENT_ROWS
 from datavouch.llm.common import ascii_lower
 
 # Licence notices and short licence texts in their public wording.
@@ -39,11 +41,16 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("BSD-2-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 ]
 # End of the fixed values.
 
-#: ASCII characters other than digits, small letters and the line feed.
-_OTHER = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+_OTHER = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Characters of all templates together; they go to every task.
+MOST_CHARS = 16_000_000
 
 
 def bigrams(text: str) -> list[str]:
@@ -53,43 +60,68 @@ def bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
-def _bounds(b: int, threshold: float) -> tuple[int, int]:
-    """Sizes that can reach the threshold against a template of ``b`` bigrams."""
-    return math.ceil(b * threshold / (2 - threshold) - 1e-9), math.floor(b * (2 - threshold) / threshold + 1e-9)
+def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Templates from text files (whole licences, say), named as the files are without their ending."""
+    files = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.element_at(F.split(F.input_file_name(), "/"), -1), r"\A(.*?)(\.txt)?\z", 1).alias("name"), "value")
+    if (files.agg(F.sum(F.length("value"))).first()[0] or 0) > MOST_CHARS:
+        raise ValueError(f"templates of more than {MOST_CHARS} characters")
+    return sorted((r.name, r.value) for r in files.collect())
 
 
-def layout(templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> list[tuple[int, list[tuple[str, list[str]]]]]:
-    """For each size of a unit, the licences and bigrams that it can match, by name."""
-    sets = sorted((name, grams) for name, text in (TEMPLATES if templates is None else templates) if (grams := bigrams(text)))
-    sizes: dict[int, list[tuple[str, list[str]]]] = {}
-    for name, grams in sets:
-        low, high = _bounds(len(grams), threshold)
-        for n in range(max(low, 1), high + 1):
-            sizes.setdefault(n, []).append((name, grams))
-    return sorted(sizes.items())
+def postings(templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> tuple[list[tuple], list[tuple]]:
+    """Rows (tid, licence, size, least, apart) of the templates, and (gram, tid, gid) of their
+    bigrams, as many as these are. ``least``: bigrams that a match shares; ``apart``: distance after
+    which a bigram counts again."""
+    given = TEMPLATES if templates is None else templates
+    if sum(len(text) for _, text in given) > MOST_CHARS:
+        raise ValueError(f"templates of more than {MOST_CHARS} characters")
+    mille = round(1000 * threshold)
+    kinds, grams = [], []
+    for tid, (licence, own) in enumerate(sorted((name, found) for name, text in given if (found := bigrams(text)))):
+        b = len(own)
+        kinds.append((tid, licence, b, -(-b * mille // (2000 - mille)), -(-2000 * b // mille)))
+        grams += [(g, tid, gid) for gid, g in enumerate(own)]
+    return kinds, grams
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, licence, n_units, dice): for each document and licence the number of units for which
-    that licence is the best match, and its best coefficient.
-
-    The coefficient is 2 s / (a + b) with s bigrams shared (each counted once), a bigrams of the unit
-    (repeats counted) and b of the template. A unit counts for one licence: that of the greatest
-    coefficient, then of the smallest name. Units of fewer than two words, null and empty texts
-    match nothing. Documents without a match have no row; rows with equal ids count together. An
-    empty table, or no template, gives no rows.
+    """(doc_id, licence, dice, first_word, n_words): for each document and licence its best place.
+
+    The coefficient of a place is 2 s / (a + b) with s bigrams of the template found there (each
+    counted once), a those and all others of the place, and b bigrams of the template. Each template
+    has one place in a document, that of the greatest sum, of equals the first to end and then the
+    first to start; a licence takes its best
+    (then its largest template, then the earliest place). Where places of different licences overlap,
+    the one of greater coefficient stays, of equals that of the larger template, then of the smaller
+    name. Null and empty texts and those of one word match nothing; texts are taken whole. Rows of
+    equal id and text count once; rows of equal id and other text are documents of their own. Other
+    columns are left out, whatever their names. An empty table, or no template, gives no rows.
     """
-    laid = layout(templates, threshold)
-    table = docs.sparkSession.createDataFrame(laid, "size int, fitting array<struct<licence:string,template:array<string>>>")
-    least, most = (laid[0][0], laid[-1][0]) if laid else (1, 0)
-    plain = F.regexp_replace(ascii_lower(F.col(text_col)), _OTHER, " ")
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.transform(F.split(plain, "\n"), lambda x: F.filter(F.split(x, " "), lambda w: w != "")).alias("lines"))
-    units = F.when(F.size("lines") > 1, F.concat("lines", F.array(F.flatten("lines")))).otherwise(F.col("lines"))
-    unit = lines.select("doc_id", F.explode(F.filter(units, lambda u: (F.size(u) - 1).between(least, most))).alias("words"))
-    pairs = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.concat_ws(" ", F.get("words", i - 1), F.get("words", i)))
-    sized = unit.select("doc_id", (F.size("words") - 1).alias("size"), pairs.alias("grams"))
-    dice = F.transform("fitting", lambda t: F.lit(2.0) * F.size(F.array_intersect(F.col("grams"), t["template"])) / (F.col("size") + F.size(t["template"])))
-    matched = sized.join(F.broadcast(table), "size").select("doc_id", F.col("fitting.licence").alias("names"), dice.alias("all"))
-    best = matched.select("doc_id", "names", "all", F.array_max("all").alias("dice")).filter(F.col("dice") >= threshold)
-    best = best.select("doc_id", F.element_at("names", F.array_position("all", F.col("dice")).cast("int")).alias("licence"), "dice")
-    return best.groupBy("doc_id", "licence").agg(F.count("*").alias("n_units"), F.max("dice").alias("dice"))
+    spark, mille = docs.sparkSession, round(1000 * threshold)
+    kinds, grams = postings(templates, threshold)
+    kind = F.broadcast(spark.createDataFrame(kinds, "tid int, licence string, size int, least int, apart int"))
+    index = spark.createDataFrame(grams, "gram string, tid int, gid int")
+    index = F.broadcast(index) if len(grams) <= SENT_ROWS else index
+    plain = F.btrim(F.regexp_replace(ascii_lower(F.col(text_col)), _OTHER, " "), F.lit(" "))
+    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.split(plain, " ").alias("w")).filter(F.size("w") > 1)
+    pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
+    found = words.select("doc_id", "h", F.posexplode(pairs).alias("p", "gram")).join(index, "gram")
+    hits = found.groupBy("doc_id", "h", "tid", "gid", "p").agg(F.lit(1).alias("one"))
+    one = ["doc_id", "h", "tid"]
+    every = Window.partitionBy(*one)
+    so_far = every.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    x = hits.withColumn("hits", F.count("*").over(every)).join(kind, "tid").filter("hits >= least")
+    before = F.lag("p").over(Window.partitionBy(*one, "gid").orderBy("p"))
+    x = x.withColumn("fresh", F.when(before.isNull() | (F.col("p") - before > F.col("apart")), 1).otherwise(0))
+    high = (2000 - mille) * F.sum("fresh").over(so_far) - mille * (F.col("p") - F.row_number().over(every.orderBy("p")))
+    x = x.withColumn("high", high).withColumn("low", F.min(F.struct((F.col("high") - (2000 - mille) * F.col("fresh")).alias("value"), "p")).over(so_far))
+    best = F.max(F.struct((F.col("high") - F.col("low.value")).alias("score"), (-F.col("p")).alias("end"), F.col("low.p").alias("start"))).over(every)
+    x = x.withColumn("best", best).filter("p between best.start and -best.end")
+    place = x.groupBy(*one, "licence", "size").agg(F.count_distinct("gid").alias("s"), F.count("*").alias("n"), F.min("p").alias("start"), F.max("p").alias("end"))
+    place = place.withColumn("a", F.col("s") + F.col("end") - F.col("start") + 1 - F.col("n")).filter(2000 * F.col("s") >= mille * (F.col("a") + F.col("size")))
+    match = F.struct((F.lit(2.0) * F.col("s") / (F.col("a") + F.col("size"))).alias("dice"), "size", "licence", "start", "end")
+    better = lambda o, m: (o["dice"] > m["dice"]) | (o["dice"] == m["dice"]) & ((o["size"] > m["size"]) | (o["size"] == m["size"]) & (o["licence"] < m["licence"]))
+    beaten = lambda m: F.exists("all", lambda o: (o["licence"] != m["licence"]) & (o["start"] <= m["end"]) & (m["start"] <= o["end"]) & better(o, m))
+    kept = place.groupBy("doc_id", "h").agg(F.collect_list(match).alias("all")).select("doc_id", "h", F.explode(F.filter("all", lambda m: ~beaten(m))).alias("m"))
+    top = kept.groupBy("doc_id", "h", "m.licence").agg(F.max(F.struct("m.dice", "m.size", (-F.col("m.start")).alias("start"), "m.end")).alias("t"))
+    return top.select("doc_id", "licence", "t.dice", (-F.col("t.start")).cast("long").alias("first_word"), (F.col("t.end") + F.col("t.start") + 2).cast("long").alias("n_words"))

@@ -66,17 +66,25 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 
 def _licence_sql() -> str:
-    rows = ", ".join(f"({n}, {k}, {_quoted(name)}, [{', '.join(map(_quoted, grams))}])" for n, fitting in licences.layout() for k, (name, grams) in enumerate(fitting))
-    other = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
+    kinds, grams = licences.postings()
+    names = ", ".join(f"({t}, {_quoted(name)}, {b}, {least}, {apart})" for t, name, b, least, apart in kinds)
+    index = ", ".join(f"({_quoted(g)}, {t})" for g, t, _ in grams)
+    other = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-WITH laid(size, k, licence, template) AS (VALUES {rows}),
-lines AS (SELECT doc_id, list_transform(string_split(regexp_replace({_LOWER.format("text")}, '{other}', ' ', 'g'), chr(10)), lambda x: list_filter(string_split(x, ' '), lambda w: w <> '')) AS lines FROM documents WHERE text IS NOT NULL),
-numbered AS (SELECT row_number() OVER () AS row_no, doc_id, CASE WHEN len(lines) > 1 THEN list_concat(lines, [flatten(lines)]) ELSE lines END AS units FROM lines),
-unit AS (SELECT row_no, doc_id, unnest(units) AS words, generate_subscripts(units, 1) AS unit_no FROM numbered),
-sized AS (SELECT row_no, doc_id, unit_no, len(words) - 1 AS size, list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) AS grams FROM unit WHERE len(words) > 1),
-matched AS (SELECT row_no, doc_id, unit_no, licence, k, 2.0::DOUBLE * len(list_intersect(grams, template)) / (size + len(template)) AS dice FROM sized JOIN laid USING (size)),
-best AS (SELECT doc_id, licence, dice FROM matched WHERE dice >= 0.8 QUALIFY row_number() OVER (PARTITION BY row_no, unit_no ORDER BY dice DESC, k) = 1)
-SELECT doc_id, licence, count(*) AS n_units, max(dice) AS dice FROM best GROUP BY doc_id, licence"""
+WITH kinds(tid, licence, size, least, apart) AS (VALUES {names}), postings(gram, tid) AS (VALUES {index}),
+docs AS (SELECT row_number() OVER () AS d, doc_id, string_split(trim(regexp_replace({_LOWER.format("text")}, '{other}', ' ', 'g'), ' '), ' ') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
+pairs AS (SELECT d, doc_id, unnest(range(len(w) - 1)) AS p, w FROM docs WHERE len(w) > 1),
+hits AS (SELECT d, doc_id, tid, p, gram, count(*) OVER (PARTITION BY d, tid) AS hits FROM (SELECT d, doc_id, p, w[p + 1] || ' ' || w[p + 2] AS gram FROM pairs) JOIN postings USING (gram)),
+likely AS (SELECT * FROM hits JOIN kinds USING (tid) WHERE hits >= least),
+fresh AS (SELECT *, coalesce((p - lag(p) OVER (PARTITION BY d, tid, gram ORDER BY p) > apart)::INT, 1) AS fresh FROM likely),
+sums AS (SELECT *, 1200 * sum(fresh) OVER o - 800 * (p - row_number() OVER o) AS high FROM fresh WINDOW o AS (PARTITION BY d, tid ORDER BY p ROWS UNBOUNDED PRECEDING)),
+runs AS (SELECT *, min(high - 1200 * fresh) OVER o AS low, arg_min(p, high - 1200 * fresh) OVER o AS start FROM sums WINDOW o AS (PARTITION BY d, tid ORDER BY p ROWS UNBOUNDED PRECEDING)),
+ends AS (SELECT d, tid, p AS stop, start FROM runs QUALIFY row_number() OVER (PARTITION BY d, tid ORDER BY high - low DESC, p) = 1),
+places AS (SELECT d, doc_id, licence, size, count(DISTINCT gram) AS s, start, stop, count(DISTINCT gram) + stop - start + 1 - count(*) AS a FROM likely JOIN ends USING (d, tid) WHERE p BETWEEN start AND stop GROUP BY d, doc_id, licence, size, start, stop),
+matches AS (SELECT *, 2.0::DOUBLE * s / (a + size) AS dice FROM places WHERE 2000 * s >= 800 * (a + size)),
+kept AS (SELECT * FROM matches m WHERE NOT EXISTS (SELECT 1 FROM matches o WHERE o.d = m.d AND o.licence <> m.licence AND o.start <= m.stop AND m.start <= o.stop AND (o.dice > m.dice OR o.dice = m.dice AND (o.size > m.size OR o.size = m.size AND o.licence < m.licence))))
+SELECT doc_id, licence, dice, start::BIGINT AS first_word, (stop - start + 2)::BIGINT AS n_words FROM kept
+QUALIFY row_number() OVER (PARTITION BY d, licence ORDER BY dice DESC, size DESC, start, stop DESC) = 1"""
 
 
 def _url_sql() -> str:
