@@ -370,6 +370,57 @@ def test_labelled_pages_come_out_as_labelled():
         assert re.sub(r"\W+", "", got) == re.sub(r"\W+", "", inside)
 
 
+HELD_OUT = [
+    ('<div class="content no-sidebar"><p>First words here.</p><p>And more of them.</p></div>', "First words here.\nAnd more of them."),
+    ('<article><div class="article-header"><h1>A title</h1></div><p>One two three four.</p></article>', "A title\nOne two three four."),
+    ('<article><p>One two three four.</p><p class="related-work">Others did the same before.</p><p>End of it.</p></article>', "One two three four.\nOthers did the same before.\nEnd of it."),
+    ('<main><div class="search-and-replace">Find a word and put another.</div><p>That is all.</p></main>', "Find a word and put another.\nThat is all."),
+    ('<body><div><p>See <a href="/x">the whole long title of the paper</a> for more on this.</p><p>It is short.</p></div></body>', "See the whole long title of the paper for more on this.\nIt is short."),
+    ('<body><nav><a href="/">Home</a><a href="/b">Blog</a></nav><article><h2>Ten tips</h2></article><div><p>The long text is outside of any article here.</p><p>It goes on for a while, as texts do, and ends.</p></div><footer><p>Legal notes and more.</p></footer></body>', "Ten tips\nThe long text is outside of any article here.\nIt goes on for a while, as texts do, and ends."),
+    ('<body><div class="cookie-consent"><p>We and our partners store things.</p></div><article><p>Rain <span class="ad">Buy!</span> fell.</p><div class="ad-slot"><p>Umbrellas at half the price, only today and only here.</p></div><p>It fell on.</p></article><ul class="comment-list"><li><p>Nice rain.</p></li></ul></body>', "Rain fell.\nIt fell on."),
+    ("<div><h1>Nuts</h1>Some text<br>and some more<ul><li>one nut</li><li>two nuts</li></ul></div><aside><p>Seen in shops.</p></aside>", "Nuts\nSome text\nand some more\none nut\ntwo nuts"),
+]
+
+
+@pytest.mark.parametrize(("page", "want"), HELD_OUT)
+def test_pages_that_were_not_learnt(page, want):
+    assert html.extract(page) == want
+
+
+def test_main_text_of_a_table(spark):
+    long = "<article>" + "<p>some words of a very long page</p>" * 20_000 + "</article>"
+    rows = [(1, None, "<p>a b c</p>"), (1, None, "<p>a b c</p>"), (None, "u", None), (2, "u", ""), (3, "u", long), (4, "u", "<nav>x</nav>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'t' as text", "5 as n_chars")
+    got = html.main_text(pages).collect()
+    assert sorted((r.page_id or 0, r.url, len(r.text), r.n_chars) for r in got if r.page_id != 1) == [(0, "u", 0, 0), (2, "u", 0, 0), (3, "u", 619_999, 619_999), (4, "u", 0, 0)]
+    assert [(r.text, r.n_chars) for r in got if r.page_id == 1] == [("a b c", 5)] * 2
+    assert html.main_text(pages.limit(0)).count() == 0
+
+
+def test_given_pages_give_their_articles(spark):
+    """The given pages hold one article element each: their text is its text, found by another parser."""
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.deep, self.words = 0, []
+
+        def handle_starttag(self, tag, attrs):
+            self.deep += tag == "article" or self.deep > 0 and tag == "article"
+
+        def handle_endtag(self, tag):
+            self.deep -= tag == "article"
+
+        def handle_data(self, data):
+            self.words += data.split() if self.deep > 0 else []
+
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        other = Article()
+        other.feed(r.html or "")
+        assert "".join(html.extract(r.html).split()) == "".join(other.words), r.page_id
+
+
 def test_region_is_the_best_run():
     random.seed(4)
     for _ in range(200):
