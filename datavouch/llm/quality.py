@@ -1,11 +1,16 @@
 """Quality classifier by positive-unlabelled learning (non-negative risk; Kiryo et al., 2017).
 
 Only trusted positives and unlabelled web text are learned from. A text becomes shares of byte
-classes, of pairs of neighbouring classes and of single ASCII marks, and measures of repetition.
-First models, each on half of the sample, tell positives from unlabelled text; on the other half,
-the least ratio of both shares above a score estimates the class prior (Scott, 2015). The final
-model minimises the non-negative unbiased risk pi R_p(+1) + max(0, R_u(-1) - pi R_p(-1)) with the
-logistic loss.
+classes, of pairs of neighbouring classes and of single ASCII marks, and measures of repetition, so
+the form of a text counts and not what it says: fluent text of poor content looks good.
+
+The positives are a bounded sample; all else is taken over all documents that aren't held out, whose
+features are stored once. Two first models, each against half of the documents, tell positives from
+unlabelled text; on the other half, the least ratio of both shares above a score estimates the class
+prior (Scott, 2015). The final model minimises pi R_p(+1) + max(0, R_u(-1) - pi R_p(-1)) with the
+logistic loss. For this loss R_p(+1) - R_p(-1) is linear, so the unbiased risk is convex and Newton
+steps, each one pass that sums a gradient and a Hessian, soon reach its least value; a step into a
+negative R_u(-1) - pi R_p(-1) is halved until the risk is non-negative.
 """
 
 from __future__ import annotations
@@ -18,11 +23,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import encode
+from datavouch.llm.common import encode, saved
 
-#: Documents of each kind (positive, unlabelled) that the model is fitted on at most: those whose
-#: hashed ids are smallest.
+#: Labelled positives that the model is fitted on at most: those whose hashed ids are smallest.
 SAMPLE = 12_000
+#: Newton steps of the first models and of the final one.
+FIRST_STEPS, STEPS = 6, 8
 CLASSES = 9
 _CLASS = np.full(256, 8, np.uint8)  # marks
 _CLASS[[9, 11, 12, 13, 32]] = 0
@@ -99,72 +105,128 @@ class Model:
         return _sigmoid(np.clip((x - self.mean) / self.scale, -6, 6) @ self.weights + self.bias)
 
 
-def _descend(gradient, width: int, rounds: int, rate: float = 0.05) -> np.ndarray:
-    """Adam on the whole sample; ``gradient`` is of weights and, last, the bias."""
-    w, m, v = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    for t in range(1, rounds + 1):
-        g = gradient(w)
-        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return w
-
-
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+def estimate_prior(positive: np.ndarray, cuts: np.ndarray, above: np.ndarray) -> float:
     """Upper-tail ratio of the scores: the least share of unlabelled over that of positives among
-    thresholds that keep at least ``least`` of the positives."""
-    cuts = np.quantile(positive, np.linspace(0.02, 1 - least, 20))
+    thresholds ``cuts``; ``above`` is the share of unlabelled scores at or over each."""
     p = (positive[None, :] >= cuts[:, None]).mean(1)
-    u = (unlabelled[None, :] >= cuts[:, None]).mean(1)
-    return float(np.clip((u / np.maximum(p, 1e-9)).min(), 0.02, 0.98))
-
-
-def fit_pu(positive: np.ndarray, unlabelled: np.ndarray, prior: float | None = None, penalty: float = 5e-3, rounds: int = 300) -> Model:
-    """The model from features of trusted positives and of unlabelled texts."""
-    both = np.concatenate([positive, unlabelled]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    p, u = (np.clip((x - mean) / scale, -6, 6) for x in (positive, unlabelled))
-    width = p.shape[1]
-
-    def against(w: np.ndarray, p: np.ndarray, u: np.ndarray) -> np.ndarray:
-        gp, gu = -_sigmoid(-(p @ w[:-1] + w[-1])), _sigmoid(u @ w[:-1] + w[-1])
-        return np.append(p.T @ gp / len(p) + u.T @ gu / len(u) + penalty * w[:-1], gp.mean() + gu.mean())
-
-    if prior is None:  # each half is scored by the model of the other
-        found = []
-        for k in (0, 1):
-            learn, check = (slice(k, None, 2), slice(1 - k, None, 2)) if min(len(p), len(u)) > 1 else (slice(None), slice(None))
-            w = _descend(lambda w, s=learn: against(w, p[s], u[s]), width, rounds // 2)
-            found.append(estimate_prior(p[check] @ w[:-1], u[check] @ w[:-1]))
-        prior = sum(found) / 2
-
-    def risk(w: np.ndarray) -> np.ndarray:
-        fp, fu = p @ w[:-1] + w[-1], u @ w[:-1] + w[-1]
-        plus = -_sigmoid(-fp)  # derivative of the loss of +1
-        minus_p, minus_u = _sigmoid(fp), _sigmoid(fu)
-        negative = _logistic(-fu).mean() - prior * _logistic(-fp).mean()
-        g = np.append(u.T @ minus_u / len(u) - prior * (p.T @ minus_p) / len(p), minus_u.mean() - prior * minus_p.mean())
-        if negative < 0:  # the non-negative correction: step back from the overfitted part
-            return -g
-        g = g + prior * np.append(p.T @ plus / len(p), plus.mean())
-        g[:-1] += penalty * w[:-1]
-        return g
-
-    w = _descend(risk, width, rounds)
+    return float(np.clip((above / np.maximum(p, 1e-9)).min(), 0.02, 0.98))
+
+
+def _cuts(positive: np.ndarray, least: float = 0.5) -> np.ndarray:
+    """Thresholds that keep at least ``least`` of the positives."""
+    return np.quantile(positive, np.linspace(0.02, 1 - least, 20))
+
+
+def _blocks(table: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The features of a batch of (half, x), and the halves."""
+    x = np.frombuffer(b"".join(table.column(1).to_pylist()), np.float32).reshape(-1, WIDTH).astype(np.float64)
+    return x, table.column(0).to_numpy(zero_copy_only=False)
+
+
+def _summed(rows: DataFrame, made, width: int) -> np.ndarray:
+    """The sum over all rows (half, x) of ``made``, which turns a batch into a vector of ``width``
+    numbers. A row a task comes together, in the order of tasks, so equal inputs give equal sums."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                total += made(*_blocks(batch))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["task", "total"])
+
+    parts = rows.mapInArrow(run, "task int, total binary")
+    # many tasks meet in some sixty-four sums first, so the driver gets no more than that
+    lots = parts.groupBy((F.col("task") % 64).alias("lot")).applyInArrow(_lot, "lot int, total binary").collect()
+    return sum((np.frombuffer(r.total) for r in sorted(lots, key=lambda r: r.lot)), np.zeros(width))
+
+
+def _lot(table: pa.Table) -> pa.Table:
+    rows = sorted(zip(table["task"].to_pylist(), table["total"].to_pylist(), strict=True))
+    return pa.table({"lot": pa.array([rows[0][0] % 64], pa.int32()), "total": pa.array([sum(np.frombuffer(x) for _, x in rows).tobytes()], pa.binary())})
+
+
+def _scaled(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    """Standardised features and, last, one for the bias."""
+    return np.hstack([np.clip((x - mean) / scale, -6, 6), np.ones((len(x), 1))])
+
+
+def _negative_parts(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Of unlabelled rows as negatives: sum of losses, their number, gradient and Hessian, flat."""
+    f = x @ w
+    s = _sigmoid(f)
+    return np.concatenate([[_logistic(-f).sum(), len(x)], x.T @ s, ((x * (s * (1 - s))[:, None]).T @ x).ravel()])
+
+
+def _unflat(total: np.ndarray, k: int) -> tuple[float, np.ndarray, np.ndarray]:
+    """Mean loss, gradient and Hessian of ``_negative_parts`` sums."""
+    n = max(total[1], 1.0)
+    return total[0] / n, total[2 : 2 + k] / n, total[2 + k :].reshape(k, k) / n
+
+
+def fit_pu(positive: np.ndarray, unlabelled: DataFrame, strength: float = 20.0) -> Model:
+    """The model from the features of trusted positives and all unlabelled rows (half, x), half being
+    0 or 1 at random. About twenty passes over ``unlabelled``, which should be stored. The ridge
+    falls with the number of positives; ``strength`` was chosen on labelled rows that are learned
+    from (two thirds against one), not on held-out ones."""
+    k, penalty = WIDTH + 1, 0.005 + strength / max(len(positive), 1)
+    total = _summed(unlabelled, lambda x, _: np.concatenate([[len(x)], x.sum(0), (x * x).sum(0)]), 1 + 2 * WIDTH)
+    n = total[0] + len(positive)
+    mean = (total[1 : WIDTH + 1] + positive.sum(0)) / n
+    scale = np.sqrt(np.maximum((total[WIDTH + 1 :] + (positive.astype(np.float64) ** 2).sum(0)) / n - mean**2, 0)) + 1e-3
+    p = _scaled(positive, mean, scale)
+    ridge = penalty * np.eye(k)
+    ridge[-1, -1] = 1e-9
+
+    # first models: positives against each half of the unlabelled rows
+    first = [np.zeros(k), np.zeros(k)]
+    for _ in range(FIRST_STEPS):
+        now = list(first)
+        sums = _summed(unlabelled, lambda x, h, now=now: np.concatenate([_negative_parts(_scaled(x[h == j], mean, scale), now[j]) for j in (0, 1)]), 2 * (2 + k + k * k))
+        for j, part in enumerate(np.split(sums, 2)):
+            own = p[j::2] if len(p) > 1 else p
+            s = _sigmoid(own @ now[j])
+            _, g, h = _unflat(part, k)
+            g = g - own.T @ (1 - s) / len(own) + ridge @ now[j]
+            first[j] = now[j] - np.linalg.solve(h + (own * (s * (1 - s))[:, None]).T @ own / len(own) + ridge, g)
+    scores = [(p[1 - j :: 2] if len(p) > 1 else p) @ first[j] for j in (0, 1)]
+    cuts = [_cuts(x) for x in scores]
+
+    def above(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+        f = [np.sort(_scaled(x[h == 1 - j], mean, scale) @ first[j]) for j in (0, 1)]
+        return np.concatenate([np.append(len(f[j]) - np.searchsorted(f[j], cuts[j]), len(f[j])) for j in (0, 1)]).astype(np.float64)
+
+    counted = np.split(_summed(unlabelled, above, 2 * (len(cuts[0]) + 1)), 2)
+    prior = sum(estimate_prior(scores[j], cuts[j], counted[j][:-1] / max(counted[j][-1], 1.0)) for j in (0, 1)) / 2
+
+    # the final model; its risk but for the ridge is risk_u(w) - prior * mean of p @ w
+    pull = prior * p.mean(0)
+    of = lambda w: _unflat(_summed(unlabelled, lambda x, _: _negative_parts(_scaled(x, mean, scale), w), 2 + k + k * k), k)
+    w, (risk_u, g, h) = np.zeros(k), of(np.zeros(k))
+    for _ in range(STEPS):
+        step = np.linalg.solve(h + ridge, g - pull + ridge @ w)
+        for _ in range(6):
+            to = w - step
+            risk_u, g, h = of(to)
+            if risk_u - prior * _logistic(-(p @ to)).mean() >= 0:
+                break
+            step = step / 2
+        w = to
+        if np.abs(step).max() < 1e-4:
+            break
     return Model(mean, scale, w[:-1], float(w[-1]), prior)
 
 
-def _features_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
-    """Features of the documents whose ids (at most ``SAMPLE``) are given, in the order of ids."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+def _featured(rows: DataFrame) -> DataFrame:
+    """(key, x) of (key, text): the features as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [features(t.as_py()).tobytes() for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary())], ["doc_id", "x"])
+            made = [features(t.as_py()).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "x"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id", "left_semi").mapInArrow(run, f"doc_id {kind}, x binary").collect()
-    rows = sorted((r.doc_id, bytes(r.x)) for r in rows)
-    return np.array([np.frombuffer(x, np.float32) for _, x in rows]).reshape(-1, WIDTH)
+    return rows.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, x binary")
 
 
 def held_out():
@@ -173,16 +235,26 @@ def held_out():
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model | None:
-    """Learns from labels that aren't held out; none without positives or documents."""
-    trusted = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
-    free = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
-    parts = [_features_of(docs, x.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)) for x in (trusted, free)]
-    return fit_pu(*parts) if all(map(len, parts)) else None
+    """Learns from labels that aren't held out; none without positives or documents.
+
+    Null ids are unlabelled text like any other; labels without an id say nothing. Of rows with equal
+    ids, one (of the least hash of its text) stands for a sampled positive, so no more than
+    ``sample`` rows come to the driver. Other columns don't matter, whatever their names."""
+    ids = labels.filter((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id").distinct()
+    chosen = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    trusted = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi")
+    one = trusted.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    rows = sorted((r.key, bytes(r.x)) for r in _featured(one.select(F.col("doc_id").alias("key"), "text")).collect())
+    positive = np.array([np.frombuffer(x, np.float32) for _, x in rows]).reshape(-1, WIDTH)
+    half = F.pmod(F.xxhash64("doc_id", "text"), F.lit(2)).cast("int")
+    unlabelled = saved(_featured(docs.filter(~held_out()).select(half.alias("key"), "text")), "features")
+    return fit_pu(positive, unlabelled) if len(positive) and not unlabelled.isEmpty() else None
 
 
 def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, held_out, score, predicted, *keep) for each row; without a model the score is 0.5.
-    Null texts score as empty ones."""
+    Null texts score as empty ones; texts are taken whole. Repeated rows and equal or null ids are
+    kept; of other columns those in ``keep`` alone, whatever the names. Empty tables work."""
     source = docs.select("doc_id", "text", held_out().alias("held_out"), *[F.col(c).alias(f"keep_{c}") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
