@@ -583,14 +583,56 @@ def test_quality_on_held_out_rows(spark):
     assert auc > 0.95 and np.mean(np.array(good) >= 0.5) > 0.9
 
 
+def unlabelled(spark, rows):
+    return spark.createDataFrame([(i % 2, bytearray(np.asarray(x, np.float32).tobytes())) for i, x in enumerate(rows)], "key int, x binary")
+
+
 def test_quality_edges(spark):
     scored = quality.score(docs(spark, ODD, extra=True), None).collect()
     assert [r.score for r in scored] == [0.5] * len(ODD)
-    model = quality.fit_pu(np.array([quality.features("a good text, with words.")] * 5), np.array([quality.features("!!! ###")] * 5))
+    model = quality.fit_pu(np.array([quality.features("a good text, with words.")] * 5), unlabelled(spark, [quality.features("!!! ###")] * 5))
     for r in quality.score(docs(spark, [*ODD, None]), model).collect():
         assert 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert quality.fit(docs(spark, ["a"]), empty) is None
+    assert quality.fit(docs(spark, {}), spark.createDataFrame([(1, 1, 0)], empty.schema)) is None
+
+
+def test_quality_learns_from_repeated_and_null_ids(spark):
+    good = [f"a fine day number {i}, with some words to tell of it." for i in range(40)]
+    bad = [f"### {i} !!! $$$ %%% ***" for i in range(40)]
+    rows = [(i, t, 1) for i, t in enumerate(good)] + [(i, good[0] + " again", 1) for i in range(40)] + [(1000 + i, t, 2) for i, t in enumerate(bad)] + [(None, t, 3) for t in bad]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, key int").selectExpr("*", "'x' as half", "'y' as x")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 1, 0)] + [(0, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, labels)
+    got = quality.score(frame, model).collect()
+    assert len(got) == len(rows)
+    assert np.mean([r.score for r in got if r.doc_id is not None and r.doc_id < 1000]) > np.mean([r.score for r in got if r.doc_id is None]) + 0.3
+
+
+def test_pu_risk_is_least_where_a_plain_search_finds_it(spark):
+    """The Newton steps against gradient descent on the same risk, written out anew on one array."""
+    rng = np.random.default_rng(3)
+    pos, neg = rng.normal(0.6, 1, (300, quality.WIDTH)), rng.normal(-0.6, 1, (300, quality.WIDTH))
+    pos[:, 4:] = neg[:, 4:] = 0
+    mixed = np.concatenate([pos[150:], neg]).astype(np.float32)
+    model = quality.fit_pu(pos[:150].astype(np.float32), unlabelled(spark, mixed))
+    assert 0.15 < model.prior < 0.6
+    ridge = 0.005 + 20 / 150
+    z = lambda x: np.clip((x - model.mean) / model.scale, -6, 6)
+    p, u = z(pos[:150].astype(np.float32).astype(np.float64)), z(mixed.astype(np.float64))
+
+    def risk(w, b):
+        loss = lambda f: np.log1p(np.exp(-f))
+        fp, fu = p @ w + b, u @ w + b
+        return model.prior * loss(fp).mean() + max(0.0, loss(-fu).mean() - model.prior * loss(-fp).mean()) + 0.5 * ridge * (w @ w)
+
+    w, b = np.zeros(quality.WIDTH), 0.0
+    for _ in range(4000):
+        s = 1 / (1 + np.exp(-(u @ w + b)))
+        w, b = w - 0.3 * (u.T @ s / len(u) - model.prior * p.mean(0) + ridge * w), b - 0.3 * (s.mean() - model.prior)
+    assert risk(model.weights, model.bias) <= risk(w, b) + 1e-4
+    assert np.mean(model.score(neg) < 0.5) > 0.8 and np.mean(model.score(pos) >= 0.5) > 0.6
 
 
 # --- 10 fingerprints -----------------------------------------------------------------------------
