@@ -9,6 +9,7 @@ window's words are hit.
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -22,6 +23,7 @@ from datavouch.llm.common import encode, saved
 #: Characters of items that one automaton may hold; more items make more shards, and no item is lost.
 SHARD_CHARS = 8_000_000
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_WORD = re.compile(rb"[^ ]+")
 
 
 def words(text: str | None) -> list[bytes]:
@@ -170,70 +172,55 @@ def _usable(items: DataFrame, id_col: str) -> DataFrame:
     return items.select(F.col(id_col).cast("string").alias("item_id"), "text").filter("text is not null and item_id is not null")
 
 
-def _shard_count(items: DataFrame, id_col: str) -> int:
-    total = _usable(items, id_col).agg(F.sum(F.length("text"))).first()[0] or 0
-    return -(-total // SHARD_CHARS) or 1
+_SPAN = pa.struct([("a", pa.int64()), ("b", pa.int64())])
+_SPANS = "array<struct<a:long,b:long>>"
 
 
-def _shard(items: DataFrame, id_col: str, k: int, shards: int) -> list[tuple[str, list[bytes]]]:
-    """The items of one shard, cut into words."""
-    part = _usable(items, id_col).filter(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-    return [(r.item_id, words(r.text)) for r in part.collect()]
+def _marked(source: DataFrame, items: DataFrame, item_col: str, width: int) -> DataFrame:
+    """``source`` (text_, ...) with ``spans`` (disjoint, in order, of word numbers) and ``items``.
 
-
-def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, least_hits: int = 1, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, *keep) for each row.
-
-    A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is
-    one window. A document word inside any occurrence is hit. ``contaminated``: at least
-    ``least_hits`` words are hit and ``share`` * n_hit >= n_words. Null texts and ids of items are no items;
-    null documents have no words; repeated rows are kept; empty tables work.
-    ``keep``: further columns of ``docs`` to carry along.
-
-    Documents aren't shuffled while one shard of ``SHARD_CHARS`` holds all items (its size is
-    checked first); further shards each take a pass, and their hits are merged by row.
-    """
-    spark = docs.sparkSession
-    shards = _shard_count(items, item_col)
-    names = list(dict.fromkeys(keep))
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_"), *[F.col(c).alias(f"keep_{c}") for c in names])
+    While one shard of ``SHARD_CHARS`` holds all items, as their size is checked to, documents are
+    read once and not shuffled. Further shards each take a pass, whose hits are stored and merged by
+    row; one shard at a time is in the driver and sent to the tasks."""
+    spark = source.sparkSession
+    usable = _usable(items, item_col)
+    shards = -(-(usable.agg(F.sum(F.length("text"))).first()[0] or 0) // SHARD_CHARS) or 1
     if shards == 1:
-        return _judged(source, spark, _shard(items, item_col, 0, 1), width, least_hits, share, names)
-    source = saved(source.withColumn("row_", F.expr("uuid()")), "documents")
+        return _hits(source, spark, [(r.item_id, words(r.text)) for r in usable.collect()], width)[0]
+    usable = saved(usable.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards))), "items")
+    source = saved(source.withColumn("row_", F.monotonically_increasing_id()), "documents")
     hits = None
     for k in range(shards):
-        found = _hits(source.select("row_", "text_"), spark, _shard(items, item_col, k, shards), width)
+        part = [(r.item_id, words(r.text)) for r in usable.filter(F.col("shard") == k).collect()]
+        found, sent = _hits(source.select("row_", "text_"), spark, part, width)
+        found = saved(found.filter("size(spans) > 0").select("row_", "spans", "items"), "hits")
+        sent.destroy()
         hits = found if hits is None else hits.unionByName(found)
-    merged = hits.groupBy("row_").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return _finish(source.join(merged, "row_", "left"), share, least_hits, names)
+    merged = hits.groupBy("row_").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+    # overlapping spans of different shards become one
+    join = lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["b"] >= s["a"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["a"].alias("a"), F.greatest(F.element_at(done, -1)["b"], s["b"]).alias("b"))))).otherwise(F.concat(done, F.array(s)))
+    merged = merged.withColumn("spans", F.aggregate("spans", F.array().cast(_SPANS), join))
+    return source.join(merged, "row_", "left").withColumns({"spans": F.coalesce("spans", F.array().cast(_SPANS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
 
 
-def _verdict(n: int, spans: list[tuple[int, int]], found, least: int, share: int) -> tuple[int, int, int, str, bool]:
-    hit = sum(b - a for a, b in spans)
-    return n, hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), hit >= least and hit > 0 and share * hit >= n
-
-
-_RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
-_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
-
-
-def _judged(source: DataFrame, spark, part: list, width: int, least: int, share: int, names: list[str]) -> DataFrame:
+def _hits(source: DataFrame, spark, part: list, width: int):
+    """``source`` with spans and items of one shard, and the broadcast shard."""
     sent = spark.sparkContext.broadcast(part)
     key = uuid.uuid4().hex
+    at = source.columns.index("text_")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             automaton = _built(key, sent, width)
-            rows = []
-            for text in batch.column(1):
-                seq = words(text.as_py())
-                rows.append(_verdict(len(seq), *automaton.scan(seq), least, share))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _TYPES, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[2:]], [batch.schema.names[0], "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[2:]])
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name.startswith("keep_"))
-    out = source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_RESULT}" + (", " + kinds if kinds else ""))
-    return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *[F.col(f"keep_{c}").alias(c) for c in names])
+            spans, found = [], []
+            for text in batch.column(at):
+                own, items = automaton.scan(words(text.as_py()))
+                spans.append([{"a": a, "b": b} for a, b in own])
+                found.append(sorted(items))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(spans, pa.list_(_SPAN)), pa.array(found, pa.list_(pa.string()))], [*batch.schema.names, "spans", "items"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema)
+    return source.mapInArrow(run, f"{kinds}, spans {_SPANS}, items array<string>"), sent
 
 
 _BUILT: dict[str, Automaton] = {}
@@ -247,43 +234,63 @@ def _built(key: str, sent, width: int) -> Automaton:
     return _BUILT[key]
 
 
-def _hits(source: DataFrame, spark, part: list, width: int) -> DataFrame:
-    sent = spark.sparkContext.broadcast(part)
-    key = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            automaton = _built(key, sent, width)
-            keys, spans, found = [], [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                own, items = automaton.scan(words(text.as_py()))
-                if own:
-                    keys.append(row)
-                    spans.append([{"a": a, "b": b} for a, b in own])
-                    found.append(sorted(items))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(spans, pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))), pa.array(found, pa.list_(pa.string()))], ["row_", "spans", "items"])
-
-    return source.mapInArrow(run, "row_ string, spans array<struct<a:long,b:long>>, items array<string>")
-
+def decontaminate(docs: DataFrame, items: DataFrame, width: int = 13, least_hits: int = 1, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_hit, n_items, items_sha256, contaminated, *keep) for each row.
 
-def _finish(source: DataFrame, share: int, least: int, names: list[str]) -> DataFrame:
-    """Merges the spans of all shards by row."""
+    A window is ``width`` consecutive words of an item; an item of fewer words, but not none, is
+    one window. A document word inside any occurrence is hit. ``contaminated``: at least
+    ``least_hits`` words are hit and ``share`` * n_hit >= n_words. Null texts and ids of items are no items;
+    null documents have no words; texts are taken whole, however long; repeated rows and items are
+    kept, equal ids of items count once; empty tables work. ``keep``: further columns of ``docs`` to
+    carry along; others are left out, whatever their names.
+    """
+    names = list(dict.fromkeys(keep))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_"), *[F.col(c).alias(f"keep_{c}") for c in names])
+    marked = _marked(source, items, item_col, width).select("doc_id", "text_", "spans", "items", *[f"keep_{c}" for c in names])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, spans, found in zip(batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                union: list[tuple[int, int]] = []
-                for a, b in sorted((s["a"], s["b"]) for s in spans or []):
-                    if union and a <= union[-1][1]:
-                        union[-1] = (union[-1][0], max(b, union[-1][1]))
-                    else:
-                        union.append((a, b))
-                rows.append(_verdict(len(words(text.as_py())), union, found or [], least, share))
-            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, _TYPES, strict=True)]
+                n, hit = len(words(text.as_py())), sum(s["b"] - s["a"] for s in spans)
+                rows.append((n, hit, len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), hit >= least_hits and hit > 0 and share * hit >= n))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_())
+            made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *made, *batch.columns[4:]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *batch.schema.names[4:]])
 
-    source = source.select("doc_id", "text_", "spans", "items", *[c for c in source.columns if c.startswith("keep_")])
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema if f.name.startswith("keep_"))
-    out = source.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, {_RESULT}" + (", " + kinds if kinds else ""))
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name.startswith("keep_"))
+    out = marked.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean{kinds}")
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *[F.col(f"keep_{c}").alias(c) for c in names])
+
+
+def without_spans(docs: DataFrame, items: DataFrame, width: int = 13, longest: int = 0, share: int = 20, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, text, spans, *keep): the documents below the coverage limit (``share`` * hit words <
+    words), each without the spans of hit words longer than ``longest`` words. ``spans`` are the
+    word ranges cut out, [a, b). What is left of a text keeps its white space and marks; where a span
+    was, one space stands. Rows are treated as by ``decontaminate``; a null text stays null."""
+    names = list(dict.fromkeys(keep))
+    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text_"), *[F.col(c).alias(f"keep_{c}") for c in names])
+    marked = _marked(source, items, item_col, width).select("doc_id", "text_", "spans", *[f"keep_{c}" for c in names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, texts, cuts = [], [], []
+            for i, (text, spans) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                places = [m.span() for m in _WORD.finditer(encode(text).translate(_FOLD))]
+                hit = sum(s["b"] - s["a"] for s in spans)
+                if hit and share * hit >= len(places):
+                    continue
+                gone = [s for s in spans if s["b"] - s["a"] > longest]
+                data, out, at = encode(text), [], 0
+                for s in gone:
+                    out.append(data[at : places[s["a"]][0]].rstrip())
+                    at = places[s["b"] - 1][1]
+                kept.append(i)
+                texts.append(None if text is None else b" ".join([*out, data[at:].lstrip() if out else data[at:]]).decode("utf-8", "surrogatepass"))
+                cuts.append(gone)
+            part = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string()), pa.array(cuts, pa.list_(_SPAN)), *part.columns[3:]], ["doc_id", "text", "spans", *batch.schema.names[3:]])
+
+    kinds = "".join(f", `{f.name}` {f.dataType.simpleString()}" for f in marked.schema if f.name.startswith("keep_"))
+    out = marked.mapInArrow(run, f"doc_id {source.schema['doc_id'].dataType.simpleString()}, text string, spans {_SPANS}{kinds}")
+    return out.select("doc_id", "text", "spans", *[F.col(f"keep_{c}").alias(c) for c in names])

@@ -120,5 +120,19 @@ SELECT doc_id, len(words)::BIGINT AS n_words, len(gone)::BIGINT AS n_removed,
 FROM k"""
 
 
+_CUT = f"list_filter(regexp_split_to_array({_LOWER.format('text')}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"
+_BENCHMARK_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS d, doc_id, coalesce({_CUT}, []) AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item_id, {_CUT} AS w FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, n, array_to_string(w[s + 1 : s + n], ' ') AS win FROM (SELECT item_id, w, least(13, len(w)) AS n, unnest(range(len(w) - least(13, len(w)) + 1)) AS s FROM i WHERE len(w) > 0)),
+dw AS (SELECT d, n, s, array_to_string(w[s + 1 : s + n], ' ') AS win FROM (SELECT d, w, n, unnest(range(len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)),
+hit AS (SELECT d, n, s, item_id FROM dw JOIN win USING (n, win)),
+pos AS (SELECT d, count(DISTINCT p) AS n_hit FROM (SELECT d, unnest(range(s, s + n)) AS p FROM (SELECT DISTINCT d, n, s FROM hit)) GROUP BY d),
+own AS (SELECT d, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT d, item_id FROM hit) GROUP BY d)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN pos USING (d) LEFT JOIN own USING (d)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _licence_sql(), "op4_url_filter": _url_sql(), "op6_substring_dedup": _REPEATS_SQL, "op8_warc": _WARC_SQL}
+    return {"op1_license_scan": _licence_sql(), "op4_url_filter": _url_sql(), "op6_substring_dedup": _REPEATS_SQL, "op7_decontamination": _BENCHMARK_SQL, "op8_warc": _WARC_SQL}
