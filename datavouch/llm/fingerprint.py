@@ -86,8 +86,10 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     with equal ids follow each other in the order of their texts. Null texts are as empty; null ids
     come before all others. One document alone is its own next.
 
-    Rows are dealt into runs of neighbouring ids; the first text of each run also goes to the run
-    before, so each task has every next text at hand and all texts are shuffled once.
+    Rows are dealt into runs of neighbouring ids, and runs by ranges of about equal rows to tasks; the
+    first text of each run also goes to the run before, so each task has every next text at hand and
+    all texts are shuffled once. Rows of one id are one run. Texts are taken whole; other columns are
+    left out, whatever their names; an empty table gives no rows.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next;
     near_* are 1.0 for equal canonical bytes and else 0.0.
     """
@@ -109,7 +111,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     dealt = keyed.withColumn("runs", runs("k")).select("k", "none", "text", F.explode("runs").alias("run"), F.element_at("runs", 1).alias("home"))
     dealt = dealt.select("run", (F.col("run") != F.col("home")).alias("guest"), "k", "none", "text")
     width = F.lit(len(bounds))
-    order = dealt.repartition(parts, "run").sortWithinPartitions("run", "guest", "k", "text").select("run", "guest", "k", "none", "text", width.alias("width"))
+    order = dealt.repartitionByRange(parts, "run").sortWithinPartitions("run", "guest", "k", "text").select("run", "guest", "k", "none", "text", width.alias("width"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(held, nxt, canon, canon_next):
