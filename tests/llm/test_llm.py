@@ -501,13 +501,29 @@ def test_decontamination_against_brute_force(spark, monkeypatch, limit):
     random.seed(7)
     pick = lambda n: " ".join(random.choices(["A", "b", "c", "É", "7"], k=n))
     items = {i: pick(random.choice([0, 1, 3, 5, 12, 13, 14, 20, 40])) for i in range(25)} | {98: "", 99: None}
-    items = {i: t for i, t in items.items() if t is None or len(t.split()) not in (1,)}
+    items |= {50: "zebra", 51: "Zebra", 52: items[3]}
     texts = {i: " ".join([pick(random.randint(0, 30)), (items[random.choice(list(items))] or "").lower(), "- other words, here"]) for i in range(60)} | {200: None, 201: "", 202: "?!"}
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string").selectExpr("*", "'n' as n_words")
     got = {r.doc_id: tuple(r)[1:] for r in decontaminate.decontaminate(docs(spark, texts, extra=True), bench).collect()}
     assert got == brute_hits(texts, items)
 
 
+@pytest.mark.parametrize("limit", [8_000_000, 60])
+def test_spans_are_cut_out(spark, monkeypatch, limit):
+    monkeypatch.setattr(decontaminate, "SHARD_CHARS", limit)
+    item = " ".join(f"q{i}" for i in range(15))
+    bench = spark.createDataFrame([("a", item), ("b", "other words of a test that no text here holds, none at all, ever")], "item_id string, text string")
+    around = lambda n: " ".join(f"w{i}" for i in range(n))
+    texts = [f"{around(400)}, {item.upper()}; {around(5)}\n", f"{around(20)} {item}", f"{around(3)}\n\tx", None, "", item]
+    frame = docs(spark, texts, extra=True).selectExpr("*", "'l' as lang", "3 as spans")
+    got = {r.doc_id: (r.text, [tuple(s) for s in r.spans], r.lang) for r in decontaminate.without_spans(frame, bench, keep=("lang",)).collect()}
+    assert got == {0: (f"{around(400)}, ; {around(5)}\n".replace(", ;", ", ;"), [(400, 415)], "l"), 2: (texts[2], [], "l"), 3: (None, [], "l"), 4: ("", [], "l")}
+    whole = {r.doc_id: r.text for r in decontaminate.without_spans(frame, bench, longest=15).collect()}
+    assert whole[0] == texts[0] and set(whole) == {0, 2, 3, 4}
+    judged = {r.doc_id: (r.contaminated, r.lang) for r in decontaminate.decontaminate(frame, bench, keep=("lang",)).collect()}
+    assert judged == {0: (False, "l"), 1: (True, "l"), 2: (False, "l"), 3: (False, "l"), 4: (False, "l"), 5: (True, "l")}
+
+
 def test_short_items_are_found_at_every_length():
     items = [("a", [b"x"]), ("b", [b"x", b"y"]), ("c", [b"q"] * 13), ("d", [b"y"])]
     a = decontaminate.Automaton(items, 13)
