@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,7 +38,12 @@ def multiset_fingerprint(df: DataFrame, cols: list[str] | None = None) -> DataFr
 
 def logical_hash(df: DataFrame, cols: list[str] | None = None) -> str:
     """The fingerprint as one hexadecimal text."""
-    return multiset_fingerprint(df, cols).select(F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[f"limb_{i}" for i in range(_LIMBS)]), 256)).first()[0]
+    return fingerprint_hash(multiset_fingerprint(df, cols).first())
+
+
+def fingerprint_hash(row) -> str:
+    """The text of the one row of ``multiset_fingerprint``."""
+    return hashlib.sha256("|".join([str(row.n_rows), *[row[f"limb_{i}"] for i in range(_LIMBS)]]).encode()).hexdigest()
 
 
 def content_id(prefix: str, *cols: str) -> Column:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from datavouch.functions.identity import multiset_fingerprint
+
 
 def multiset_difference(old: DataFrame, new: DataFrame, cols: list[str]) -> DataFrame:
     """Distinct rows with how often they were added (positive) or removed; nulls are equal. One pass."""
@@ -24,21 +28,44 @@ def compare_versions(old: DataFrame, new: DataFrame, cols: list[str], by: list[s
     return j.withColumn("veredito", F.when((added == 0) & (removed == 0), "SEM_MUDANCA").when((added > 0) & (removed > 0), "AMBIGUA").otherwise("REVISAO"))
 
 
-def classify_keys(prev: DataFrame, curr: DataFrame, key: list[str]) -> DataFrame:
-    """One outcome for each key of two polls (with artifact_id and resultado)."""
+def classify_keys(prev: DataFrame, curr: DataFrame, key: list[str], window_start: DataFrame | None = None) -> DataFrame:
+    """One outcome for each key of two polls (with artifact_id and resultado). A key that is gone is
+    DESAPARECIDA only from its source's ``window_start`` (fonte, inicio) on; older ones have merely left
+    the window (FORA_DA_JANELA)."""
     p = prev.select(*key, F.col("artifact_id").alias("antes"), F.lit(True).alias("havia"))
     c = curr.select(*key, F.col("artifact_id").alias("agora"), "resultado", F.lit(True).alias("ha"))
     out = F.when(F.col("ha").isNull(), "DESAPARECIDA").when(F.col("resultado") != "OBTIDO", "INCONCLUSIVA").when(F.col("havia").isNull() | F.col("antes").isNull(), "NOVA").when(F.col("antes") == F.col("agora"), "INALTERADA").otherwise("BYTES_MUDARAM")
     on = F.lit(True)
     for k in key:
         on = on & F.col(f"p.{k}").eqNullSafe(F.col(f"c.{k}"))
-    return p.alias("p").join(c.alias("c"), on, "full").select(*[F.coalesce(f"p.{k}", f"c.{k}").alias(k) for k in key], "antes", "agora", out.alias("situacao"))
+    j = p.alias("p").join(c.alias("c"), on, "full").select(*[F.coalesce(f"p.{k}", f"c.{k}").alias(k) for k in key], "antes", "agora", out.alias("situacao"))
+    if window_start is None:
+        return j
+    left = (F.col("situacao") == "DESAPARECIDA") & ~F.coalesce(F.col("competencia") >= F.col("inicio"), F.lit(False))
+    return j.join(window_start.select("fonte", "inicio"), "fonte", "left").withColumn("situacao", F.when(left, "FORA_DA_JANELA").otherwise(F.col("situacao"))).drop("inicio")
 
 
-def recent_months(listing: DataFrame, k: int, by: str = "fonte") -> DataFrame:
-    """The last ``k`` months with a listed file of each source."""
+def recent_months(listing: DataFrame, k: int, by: str = "fonte", first: str | None = None, last: str | None = None) -> DataFrame:
+    """(by, competencia, ordem, janela_incompleta): the last ``k`` months with a listed file of each
+    source, within the study's bounds; sources with fewer have an incomplete window."""
     months = listing.select(by, "competencia").distinct()
-    return months.withColumn("ordem", F.dense_rank().over(Window.partitionBy(by).orderBy(F.col("competencia").desc()))).filter(F.col("ordem") <= k)
+    if first is not None:
+        months = months.filter(F.col("competencia") >= first)
+    if last is not None:
+        months = months.filter(F.col("competencia") <= last)
+    ranked = months.withColumn("ordem", F.dense_rank().over(Window.partitionBy(by).orderBy(F.col("competencia").desc()))).filter(F.col("ordem") <= k)
+    return ranked.withColumn("janela_incompleta", F.count("*").over(Window.partitionBy(by)) < k)
+
+
+def watch_verdict(outcomes: DataFrame, windows: DataFrame) -> DataFrame:
+    """One row: the verdict over the outcomes (situacao) of a poll, and how many of each there are.
+    Nothing is said beyond what was observed: an outcome that failed or a window that is incomplete
+    makes the poll inconclusive."""
+    n = lambda *s: F.count_if(F.col("situacao").isin(*s))
+    g = outcomes.agg(F.count("*").alias("chaves"), n("INCONCLUSIVA", "DESAPARECIDA").alias("inconclusivas"), n("BYTES_MUDARAM", "REVISAO", "AMBIGUA").alias("revisoes"), n("NOVA").alias("novas"))
+    open_ = windows.agg(F.coalesce(F.bool_or("janela_incompleta"), F.lit(True)).alias("aberta"))
+    verdict = F.when(F.col("chaves") == 0, "SEM_OBSERVACAO").when(F.col("aberta") | (F.col("inconclusivas") > 0), "VIGILANCIA_INCONCLUSIVA").when(F.col("revisoes") > 0, "REVISAO_OBSERVADA").when(F.col("novas") > 0, "ARQUIVOS_NOVOS").otherwise("SEM_REVISAO_OBSERVADA")
+    return g.crossJoin(open_).select("chaves", "inconclusivas", "revisoes", "novas", verdict.alias("veredito"))
 
 
 def concurrent_versions(loaded: DataFrame, key: list[str]) -> DataFrame:
@@ -46,19 +73,62 @@ def concurrent_versions(loaded: DataFrame, key: list[str]) -> DataFrame:
     return loaded.groupBy(*key).agg(F.count_distinct("artifact_id").alias("n_versoes"), F.array_join(F.array_sort(F.collect_set("artifact_id")), ";").alias("artifact_ids")).filter("n_versoes > 1")
 
 
-def plan_files(listing: DataFrame, pattern: str, months: DataFrame) -> DataFrame:
-    """(competencia, nome, parte, situacao): listed names that match the pattern (groups: month,
-    part), and months without a file."""
-    named = listing.select("nome", F.regexp_extract("nome", pattern, 1).alias("competencia"), F.regexp_extract("nome", pattern, 2).alias("parte")).filter("competencia <> ''")
-    j = months.select("competencia").join(named, "competencia", "left")
-    return j.select("competencia", "nome", "parte", F.when(F.col("nome").isNull(), "SEM_ARQUIVO").otherwise("PLANEJADO").alias("situacao"))
+def without_concurrent(records: DataFrame, loaded: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Records without those of any version of a month (``competencia`` of ``key``) that has concurrent
+    ones, and (competencia, marca): the processing months found in what left, as incomplete."""
+    months = concurrent_versions(loaded, key).select(*[k for k in key if k != "parte"]).distinct()
+    gone = loaded.join(months, months.columns, "left_semi").select("artifact_id").distinct()
+    marks = records.join(gone, "artifact_id", "left_semi").select(F.col("competencia_processamento").alias("competencia")).distinct().withColumn("marca", F.lit("versoes_concorrentes"))
+    return records.join(gone, "artifact_id", "left_anti"), marks
+
+
+def plan_files(listing: DataFrame, pattern: str, months: DataFrame, parts: list[str] | None = None, region: str | None = None) -> DataFrame:
+    """(competencia, parte, nome, regiao, versao, situacao): listed names that match the pattern, whose
+    named groups may be ``mes``, ``parte``, ``regiao`` and ``versao``; requested months without a file
+    and, with ``parts`` declared, parts of a month that are missing. Names of another ``region``
+    don't count; the versions of one file are all planned."""
+    names = [g for g in re.compile(pattern.replace("\\A", "^").replace("\\z", "$")).groupindex]
+    plain = re.sub(r"\?P?<[a-z]+>", "", pattern)
+    group = lambda g: F.regexp_extract("nome", plain, names.index(g) + 1) if g in names else F.lit(None).cast("string")
+    named = listing.select("nome", group("mes").alias("competencia"), group("parte").alias("parte"), group("regiao").alias("regiao"), group("versao").alias("versao")).filter("competencia <> ''")
+    if region is not None:
+        named = named.filter(F.col("regiao").eqNullSafe(F.lit(region)))
+    asked = months.select("competencia").distinct()
+    if parts is None:
+        j = asked.join(named, "competencia", "left")
+    else:
+        j = asked.select("competencia", F.explode(F.array(*[F.lit(p) for p in parts])).alias("parte")).join(named, ["competencia", "parte"], "left")
+    some = named.select("competencia").distinct().withColumn("ha", F.lit(True))
+    state = F.when(F.col("nome").isNotNull(), "PLANEJADO").when(F.col("ha").isNull(), "SEM_ARQUIVO").otherwise("PARTE_AUSENTE")
+    return j.join(some, "competencia", "left").select("competencia", "parte", "nome", "regiao", "versao", state.alias("situacao"))
 
 
 def swap_version(selections: DataFrame, source: str, old: str, new: str) -> DataFrame:
-    """One version of one source replaced in all selections; the others are untouched."""
-    swapped = F.transform("artifact_ids", lambda a: F.when(a == old, F.lit(new)).otherwise(a))
+    """One version of one source replaced in all selections, which say so in ``troca``; the others are
+    untouched. A swap without effect is an error."""
+    swapped = F.array_sort(F.transform("artifact_ids", lambda a: F.when(a == old, F.lit(new)).otherwise(a)))
     hit = (F.col("fonte") == source) & F.array_contains("artifact_ids", old)
-    return selections.withColumn("trocada", hit).withColumn("artifact_ids", F.when(hit, swapped).otherwise(F.col("artifact_ids")))
+    if old == new or selections.filter(hit).isEmpty():
+        raise ValueError(f"replacing {old} by {new} changes no selection of {source}")
+    return selections.withColumns({"troca": F.when(hit, F.lit(f"{old}>{new}")), "artifact_ids": F.when(hit, swapped).otherwise(F.col("artifact_ids"))})
+
+
+def check_ablation(base: DataFrame, variant: DataFrame, affected: list[str]) -> DataFrame:
+    """(problema, n): what makes two runs more than one ablation: other records or rules, other
+    selections of sources than the ablated one (rules not in ``affected``), a version of another month
+    in place of the required one, and pairs whose inputs are the same but whose state isn't."""
+    cols = ("estado", "sel_competencia", "sel_estado", "sel_artefatos")
+    b, v = (df.select("row_id", "rule_id", *[F.col(c).alias(f"{p}_{c}") for c in cols]) for df, p in ((base, "b"), (variant, "v")))
+    j = b.join(v, ["row_id", "rule_id"], "full")
+    same = lambda c: F.col(f"b_{c}").eqNullSafe(F.col(f"v_{c}"))
+    inputs = same("sel_competencia") & same("sel_estado") & same("sel_artefatos")
+    why = (
+        F.when(F.col("b_estado").isNull() | F.col("v_estado").isNull(), "PARES_DIFERENTES")
+        .when(~F.col("rule_id").isin(*affected) & ~inputs, "OUTRO_FATOR_MUDOU")
+        .when(~same("sel_competencia"), "MES_TROCADO")
+        .when(inputs & ~same("estado"), "PAR_NAO_AFETADO_MUDOU")
+    )
+    return j.withColumn("problema", why).filter("problema is not null").groupBy("problema").agg(F.count("*").alias("n"))
 
 
 def compare_ablation(base: DataFrame, variant: DataFrame) -> DataFrame:
@@ -68,6 +138,25 @@ def compare_ablation(base: DataFrame, variant: DataFrame) -> DataFrame:
     return j.groupBy("rule_id", "antes", "depois").agg(F.count("*").alias("n"))
 
 
+def diff_outputs(a: DataFrame, b: DataFrame, drop: tuple[str, ...] = ("run_id",), lineage: str = "artifact_id") -> DataFrame:
+    """One row: how two runs' tables compare, and by what: DIVERGENTE if the schemas, the numbers of
+    rows, the contents without the columns ``drop`` or the multisets of lineage differ, else IGUAL."""
+    kinds = lambda df: sorted((n, t) for n, t in df.dtypes if n not in drop)
+    same = kinds(a) == kinds(b)
+    cols = [n for n, _ in kinds(a)]
+    of = lambda df, p: multiset_fingerprint(df, cols).select(F.col("n_rows").alias(f"{p}_n"), F.concat_ws("|", *[f"limb_{i}" for i in range(4)]).alias(f"{p}_h"))
+    if not same:
+        n = lambda df, p: df.agg(F.count("*").alias(f"{p}_n"))
+        return n(a, "a").crossJoin(n(b, "b")).select(F.lit(False).alias("esquema"), (F.col("a_n") == F.col("b_n")).alias("linhas"), F.lit(False).alias("conteudo"), F.lit(None).cast("boolean").alias("linhagem"), F.lit("DIVERGENTE").alias("situacao"))
+    j = of(a, "a").crossJoin(of(b, "b"))
+    if lineage in cols:
+        line = a.groupBy(lineage).agg(F.count("*").alias("n")).exceptAll(b.groupBy(lineage).agg(F.count("*").alias("n"))).agg((F.count("*") == 0).alias("linhagem"))
+    else:
+        line = j.select(F.lit(True).alias("linhagem"))
+    out = j.crossJoin(line).select(F.lit(True).alias("esquema"), (F.col("a_n") == F.col("b_n")).alias("linhas"), (F.col("a_h") == F.col("b_h")).alias("conteudo"), "linhagem")
+    return out.withColumn("situacao", F.when(F.col("linhas") & F.col("conteudo") & F.col("linhagem"), "IGUAL").otherwise("DIVERGENTE"))
+
+
 def diff_metrics(a: DataFrame, b: DataFrame, key: list[str], value: str) -> DataFrame:
     """Metrics that differ, are missing or are extra, by name and stratum."""
     x = a.select(*key, F.col(value).alias("valor_a"), F.lit(True).alias("em_a"))
@@ -77,7 +166,14 @@ def diff_metrics(a: DataFrame, b: DataFrame, key: list[str], value: str) -> Data
     return j.select(*key, "valor_a", "valor_b", state.alias("situacao"))
 
 
+def diff_splits(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(particao, so_a, so_b, situacao): rows of each partition that one split alone has."""
+    x, y = (df.groupBy("particao", "row_id").agg(F.count("*").alias(p)) for df, p in ((a, "na"), (b, "nb")))
+    g = x.join(y, ["particao", "row_id"], "full").groupBy("particao").agg(F.count_if(F.col("nb").isNull()).alias("so_a"), F.count_if(F.col("na").isNull()).alias("so_b"))
+    return g.withColumn("situacao", F.when((F.col("so_a") == 0) & (F.col("so_b") == 0), "IGUAL").otherwise("DIVERGENTE"))
+
+
 def overall(items: DataFrame) -> DataFrame:
-    """The worst state of a list of comparisons."""
+    """The worst state of a list of comparisons; none at all is inconclusive."""
     severity = F.when(F.col("situacao") == "IGUAL", 0).when(F.col("situacao") == "DIVERGENTE", 2).otherwise(1)
-    return items.agg(F.coalesce(F.max_by("situacao", severity), F.lit("IGUAL")).alias("situacao"), F.count("*").alias("itens"))
+    return items.agg(F.coalesce(F.max_by("situacao", F.struct(severity, "situacao")), F.lit("INCONCLUSIVA")).alias("situacao"), F.count("*").alias("itens"))

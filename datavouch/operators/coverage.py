@@ -50,6 +50,36 @@ def mark_incomplete(coverage: DataFrame, marks: DataFrame) -> DataFrame:
     return j.select(*_KEY, F.when(F.col("marca").isNotNull() & (F.col("estado") == "DISPONIVEL"), "INSUFICIENTE").otherwise(F.col("estado")).alias("estado"), F.when(F.col("marca").isNotNull(), F.concat_ws(" ", F.concat(F.lit("incompleta="), "marca"), "motivo")).otherwise(F.col("motivo")).alias("motivo"))
 
 
+def mark_empty(coverage: DataFrame, present: DataFrame) -> DataFrame:
+    """Months whose source is there (``present``: competencia) although the population has none of
+    their records are a limit of the population, not an absence."""
+    j = coverage.join(present.select("competencia").distinct().withColumn("presente", F.lit(True)), "competencia", "left")
+    empty = F.coalesce(F.col("presente"), F.lit(False)) & F.col("motivo").eqNullSafe(F.lit("sem_producao"))
+    return j.select(*_KEY, F.when(empty, "INSUFICIENTE").otherwise(F.col("estado")).alias("estado"), F.when(empty, "populacao_vazia").otherwise(F.col("motivo")).alias("motivo"))
+
+
+def recompute_coverage(old: DataFrame, records: DataFrame, available: DataFrame, families: DataFrame, months: DataFrame, bases: DataFrame, present: DataFrame) -> DataFrame:
+    """The matrix of a cut population, with the marks of the ``old`` one and its empty months marked."""
+    return mark_incomplete(mark_empty(build_coverage(records, available, families, months, bases), present), read_marks(old))
+
+
+def incompleteness(parts: DataFrame, expected: DataFrame, failed: DataFrame) -> DataFrame:
+    """(fonte, competencia, marca): months of a source whose files aren't whole, and why, the first
+    that holds. ``parts`` as ``resolve_parts`` makes it; ``expected``: the declared parts; ``failed``:
+    versions (artifact_id) that could not be normalized."""
+    bad = failed.select("artifact_id").distinct().withColumn("falhou", F.lit(True))
+    broken = parts.filter("estado = 'SELECIONADA'").select("fonte", "competencia", F.explode("artifact_ids").alias("artifact_id")).join(bad, "artifact_id").select("fonte", "competencia", "falhou").distinct()
+    has = lambda *s: F.bool_or(F.col("estado").isin(*s))
+    months = parts.groupBy("fonte", "competencia").agg(has("AMBIGUA").alias("dupla"), has("EM_QUARENTENA", "FORA_DO_CORTE").alias("ruim"), has("AUSENTE").alias("sem"), F.array_sort(F.collect_set("parte")).alias("partes"))
+    declared = expected.groupBy("fonte", "competencia").agg(F.array_sort(F.collect_set("parte")).alias("esperadas"))
+    j = months.join(declared, ["fonte", "competencia"], "left").join(broken, ["fonte", "competencia"], "left")
+    mark = (
+        F.when(F.col("dupla"), "republicada").when(F.col("ruim"), "sem_versao_integra").when(F.col("sem"), "nunca_obtida").when(F.col("falhou"), "nao_normalizada")
+        .when(F.col("esperadas").isNull() & (F.size("partes") > 0), "partes_nao_declaradas").when(F.size(F.array_except("esperadas", "partes")) > 0, "parte_ausente").when(F.size(F.array_except("partes", "esperadas")) > 0, "parte_nao_declarada")
+    )
+    return j.select("fonte", "competencia", mark.alias("marca")).filter("marca is not null")
+
+
 def read_marks(coverage: DataFrame) -> DataFrame:
     """The marks that ``mark_incomplete`` wrote."""
     mark = F.regexp_extract("motivo", r"\Aincompleta=(\S+)", 1)
@@ -70,9 +100,13 @@ def month_mismatch(records: DataFrame) -> DataFrame:
     return records.filter(~F.col("deletado")).groupBy("artifact_id").agg(F.count_if(~F.col("competencia_processamento").eqNullSafe(month)).alias("n_divergentes"), F.count("*").alias("n_linhas"))
 
 
-def admit_versions(versions: DataFrame, allowed: list[str], cutoff_artifacts: DataFrame) -> DataFrame:
-    """Versions with the reason why they are left out, null if admitted."""
+def admit_versions(versions: DataFrame, allowed: list[str], cutoff_artifacts: DataFrame, region: str | None = None) -> DataFrame:
+    """Versions with the reason why they are left out, null if admitted. With ``region``, those of
+    another region (``uf``) are out; national ones (null) are admitted everywhere."""
     seen = cutoff_artifacts.select("artifact_id").distinct().withColumn("visto", F.lit(True))
     j = versions.join(seen, "artifact_id", "left")
-    why = F.when(~F.col("fonte").isin(allowed), "FAMILIA_FORA").when(F.col("visto").isNull(), "FORA_DO_CORTE")
+    why = F.when(~F.col("fonte").isin(allowed), "FAMILIA_FORA")
+    if region is not None:
+        why = why.when(F.col("uf").isNotNull() & (F.col("uf") != region), "REGIAO_FORA")
+    why = why.when(F.col("visto").isNull(), "FORA_DO_CORTE")
     return j.select("artifact_id", "fonte", why.alias("motivo"))

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datavouch.functions.months import month_shift
+from datavouch.operators import rules
+
 
 def reverify_evidence(evidence: DataFrame, counted: DataFrame) -> DataFrame:
     """(ev_id, citados, recontados, divergente): matches counted again in the cited versions.
@@ -14,31 +19,67 @@ def reverify_evidence(evidence: DataFrame, counted: DataFrame) -> DataFrame:
     return j.groupBy("ev_id", "citados").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("recontados")).withColumn("divergente", F.col("citados") != F.col("recontados"))
 
 
-# Sentences of the claims by state.
+# Sentences of the claims by state, of selections and of outcomes.
 CLAIMS = {"VIOLACAO": "A regra %s nao encontra a chave %s na versao aplicavel.", "CONFORME": "A regra %s encontra a chave %s na versao aplicavel.", "INCONCLUSIVO": "A regra %s nao pode ser decidida para a chave %s.", "NAO_APLICAVEL": "A regra %s nao se aplica (%s)."}
+SELECTION_CLAIM = "Para a regra %s, a versao do mes %s esta %s."
+RESULT_CLAIM = "O resultado do registro e %s."
 # End of the fixed values.
 
 
-def claims(evals: DataFrame) -> DataFrame:
-    """(row_id, rule_id, afirmacao): one sentence for each evaluation."""
-    out = F.lit(None).cast("string")
-    for state, text in CLAIMS.items():
-        out = F.when(F.col("estado") == state, F.format_string(text, "rule_id", F.coalesce("chave", F.lit("")))).otherwise(out)
-    return evals.select("row_id", "rule_id", out.alias("afirmacao"))
-
-
-def provenance_edges(evals: DataFrame) -> DataFrame:
-    """(sujeito, relacao, objeto): records from files, evaluations from records, rules and versions."""
-    name = F.concat_ws("/", F.lit("avaliacao"), "row_id", "rule_id")
-    record = evals.select(F.concat(F.lit("registro/"), "row_id").alias("sujeito"), F.lit("DERIVADO_DE").alias("relacao"), F.concat(F.lit("artefato/"), "artifact_id").alias("objeto")).distinct()
-    uses = evals.select(name.alias("sujeito"), F.lit("USOU").alias("relacao"), F.explode(F.array(F.concat(F.lit("registro/"), "row_id"), F.concat(F.lit("regra/"), "rule_id"))).alias("objeto"))
-    version = evals.select(name.alias("sujeito"), F.lit("USOU").alias("relacao"), F.explode("sel_artefatos").alias("a")).select("sujeito", "relacao", F.concat(F.lit("artefato/"), "a").alias("objeto"))
-    return record.unionByName(uses).unionByName(version)
+def _evaluation() -> Column:
+    return F.concat_ws("/", F.lit("avaliacao"), "row_id", "rule_id")
+
+
+def claims(evals: DataFrame, aggregates: DataFrame | None = None) -> DataFrame:
+    """(row_id, assunto, afirmacao, referencias): a sentence for each evaluation, which refers to the
+    evaluation and its evidence; one for its selection, which refers to the versions; and one for each
+    outcome of ``aggregates``, which refers to the rules that it rests on."""
+    text = F.lit(None).cast("string")
+    for state, pattern in CLAIMS.items():
+        text = F.when(F.col("estado") == state, F.format_string(pattern, "rule_id", F.coalesce("chave", F.lit("")))).otherwise(text)
+    own = evals.select("row_id", F.col("rule_id").alias("assunto"), text.alias("afirmacao"), F.array_compact(F.array(_evaluation(), rules.evidence_id())).alias("referencias"))
+    chosen = F.format_string(SELECTION_CLAIM, "rule_id", F.coalesce("sel_competencia", F.lit("?")), "sel_estado")
+    selection = evals.select("row_id", F.concat(F.lit("selecao/"), "rule_id").alias("assunto"), chosen.alias("afirmacao"), F.transform("sel_artefatos", lambda a: F.concat(F.lit("artefato/"), a)).alias("referencias"))
+    out = own.unionByName(selection)
+    if aggregates is None:
+        return out
+    rests = F.when(F.col("resultado") == "ALERTA", F.col("violacoes")).when(F.col("resultado") == "ABSTENCAO", F.concat("inconclusivas", "nao_aplicaveis")).otherwise(F.col("conformes"))
+    result = aggregates.select("row_id", F.lit("resultado").alias("assunto"), F.format_string(RESULT_CLAIM, "resultado").alias("afirmacao"), F.transform(rests, lambda r: F.concat(F.lit("regra/"), r)).alias("referencias"))
+    return out.unionByName(result)
+
+
+def unresolved_references(claimed: DataFrame, known: DataFrame) -> DataFrame:
+    """(row_id, assunto, referencia): references of claims that no known node (nome) has."""
+    each = claimed.select("row_id", "assunto", F.explode("referencias").alias("referencia"))
+    return each.join(known.select(F.col("nome").alias("referencia")).distinct(), "referencia", "left_anti").select("row_id", "assunto", "referencia")
+
+
+def provenance_edges(evals: DataFrame, datasets: DataFrame | None = None) -> DataFrame:
+    """(sujeito, relacao, objeto): datasets from their files, records from datasets, evidence from
+    the rule's table and the versions, evaluations from records, rules and evidence.
+    ``datasets``: (artifact_id, dataset) of the records' files; without it records come from files."""
+    edge = lambda df, subject, relation, target: df.select(subject.alias("sujeito"), F.lit(relation).alias("relacao"), target.alias("objeto"))
+    name, record, file = _evaluation(), F.concat(F.lit("registro/"), "row_id"), F.concat(F.lit("artefato/"), "artifact_id")
+    if datasets is None:
+        parts = [edge(evals, record, "DERIVADO_DE", file).distinct()]
+    else:
+        owned = evals.select("row_id", "artifact_id").distinct().join(datasets.select("artifact_id", "dataset").distinct(), "artifact_id")
+        dataset = F.concat(F.lit("conjunto/"), "dataset")
+        parts = [edge(datasets, dataset, "DERIVADO_DE", file).distinct(), edge(owned, record, "DERIVADO_DE", dataset)]
+    parts.append(edge(evals.select("row_id", "rule_id", F.explode(F.array(record, F.concat(F.lit("regra/"), "rule_id"))).alias("o")), name, "USOU", F.col("o")))
+    shown = evals.withColumn("ev_id", rules.evidence_id()).filter("ev_id is not null")
+    evidence = F.concat(F.lit("evidencia/"), "ev_id")
+    parts.append(edge(shown, name, "USOU", evidence))
+    rests = F.when(F.col("estado") == "NAO_APLICAVEL", F.array(file)).otherwise(F.concat(F.array(F.concat(F.lit("conjunto/aux_"), "rule_id")), F.transform("sel_artefatos", lambda a: F.concat(F.lit("artefato/"), a))))
+    parts.append(edge(shown.select("ev_id", F.explode(rests).alias("o")).distinct(), evidence, "DERIVADO_DE", F.col("o")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def missing_edges(edges: DataFrame, evals: DataFrame) -> DataFrame:
-    """Evaluations that lack the edge to their record."""
-    need = evals.select(F.concat_ws("/", F.lit("avaliacao"), "row_id", "rule_id").alias("sujeito"), F.concat(F.lit("registro/"), "row_id").alias("objeto"))
+    """(sujeito, objeto): edges that evaluations need and don't have: to the record and the rule,
+    and to their evidence unless they are inconclusive."""
+    needs = F.array_compact(F.array(F.concat(F.lit("registro/"), "row_id"), F.concat(F.lit("regra/"), "rule_id"), F.concat(F.lit("evidencia/"), rules.evidence_id())))
+    need = evals.select(_evaluation().alias("sujeito"), F.explode(needs).alias("objeto"))
     return need.join(edges, ["sujeito", "objeto"], "left_anti")
 
 
@@ -48,43 +89,118 @@ def limitations(evals: DataFrame) -> DataFrame:
     return g.select("row_id", F.array_compact(F.array(F.lit("NAO_E_CAUSA_OFICIAL"), F.lit("RETROSPECTIVO"), F.when(F.col("s"), "INSTANTANEO"), F.when(F.col("v"), "AUSENCIA"))).alias("limitacoes"))
 
 
-def check_bundles(evals: DataFrame) -> DataFrame:
-    """Violations whose evidence isn't usable: no selected version, a bad one, or no coverage."""
-    bad = (F.col("sel_estado") != "SELECIONADA") | (F.col("integridade") != "OK") | (F.col("cobertura") != "DISPONIVEL")
-    return evals.filter((F.col("estado") == "VIOLACAO") & bad).select("row_id", "rule_id")
-
-
-def repair_candidates(violations: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(escopo_mes, cnes, cbo, operacao, custo, origem): what would clear each violated pair. Adding the
-    pair costs 1; reclassifying another occupation of the establishment with links costs 2; where
-    the establishment is absent it has to be registered first, at 3."""
-    wanted = violations.select("competencia", "cnes", "cbo").distinct()
-    known = pairs.groupBy("competencia", "cnes").agg(F.collect_set(F.when(F.col("n_vinculos") > 0, F.col("cbo"))).alias("outras"))
-    j = wanted.join(known, ["competencia", "cnes"], "left")
-    add = j.filter("outras is not null").select("competencia", "cnes", "cbo", F.lit("INCLUIR_VINCULO").alias("operacao"), F.lit(1).alias("custo"), F.lit(None).cast("string").alias("origem"))
-    move = j.select("competencia", "cnes", "cbo", F.explode("outras").alias("origem")).filter("origem <> cbo").select("competencia", "cnes", "cbo", F.lit("RECLASSIFICAR").alias("operacao"), F.lit(2).alias("custo"), "origem")
-    new = j.filter("outras is null").select("competencia", "cnes", "cbo", F.lit("CADASTRAR_ESTABELECIMENTO").alias("operacao"), F.lit(3).alias("custo"), F.lit(None).cast("string").alias("origem"))
+def check_bundles(evals: DataFrame, known: DataFrame) -> DataFrame:
+    """(row_id, rule_id, problema): evaluations whose evidence doesn't bear them. ``evals`` has
+    ``ev_id``, what the evaluation cites; ``known`` is the evidence (ev_id, tipo, artifact_ids).
+
+    Cited evidence must exist; a violation needs evidence of absence, from intact and covered
+    versions; the versions that evidence cites must be the selected ones (for inapplicability the
+    record's own file)."""
+    ev = known.select("ev_id", F.col("tipo").alias("ev_tipo"), F.split("artifact_ids", ";").alias("ev_artefatos"))
+    j = evals.join(ev, "ev_id", "left")
+    allowed = F.when(F.col("estado") == "NAO_APLICAVEL", F.array("artifact_id")).otherwise(F.col("sel_artefatos"))
+    usable = (F.col("ev_tipo") == "AUSENCIA_NA_FONTE") & (F.col("sel_estado") == "SELECIONADA") & (F.col("integridade") == "OK") & (F.col("cobertura") == "DISPONIVEL")
+    why = (
+        F.when(F.col("ev_id").isNotNull() & F.col("ev_tipo").isNull(), "EVIDENCIA_INEXISTENTE")
+        .when((F.col("estado") == "VIOLACAO") & ~F.coalesce(usable, F.lit(False)), "AUSENCIA_NAO_UTILIZAVEL")
+        .when(F.size(F.array_except("ev_artefatos", allowed)) > 0, "ARTEFATO_NAO_SELECIONADO")
+    )
+    return j.withColumn("problema", why).filter("problema is not null").select("row_id", "rule_id", "problema")
+
+
+# The operations, their cost, authority and governance.
+OPERATIONS = {"INCLUIR_CBO": (1, "DESCONHECIDA", "DESCONHECIDA"), "RECLASSIFICAR_CBO": (2, "DESCONHECIDA", "DESCONHECIDA"), "CADASTRAR_ESTABELECIMENTO": (3, "DESCONHECIDA", "DESCONHECIDA")}
+OUTSIDE_AUTHORITIES = ("GESTOR_ESTADUAL", "MINISTERIO_SAUDE")
+# End of the fixed values.
+_PAIR = ["competencia", "cnes", "cbo"]
+
+
+def repair_candidates(violations: DataFrame, pairs: DataFrame, establishments: DataFrame) -> DataFrame:
+    """(competencia, cnes, cbo, operacao, custo, origem, admissivel, depende_de): single operations
+    that could clear each violated pair. Adding the pair and reclassifying another occupation that
+    has links need the establishment (``establishments``: competencia, cnes); where it is absent they
+    depend on its registration, which is admissible just there."""
+    wanted = violations.select(*_PAIR).distinct()
+    there = establishments.select("competencia", "cnes").distinct().withColumn("existe", F.lit(True))
+    linked = pairs.filter("n_vinculos > 0").select("competencia", "cnes", F.col("cbo").alias("origem")).distinct()
+    j = wanted.join(there, ["competencia", "cnes"], "left").withColumn("existe", F.coalesce("existe", F.lit(False)))
+    cost = lambda op: F.lit(OPERATIONS[op][0])
+    none = F.lit(None).cast("string")
+    needs = F.when(~F.col("existe"), "CADASTRAR_ESTABELECIMENTO")
+    add = j.select(*_PAIR, F.lit("INCLUIR_CBO").alias("operacao"), cost("INCLUIR_CBO").alias("custo"), none.alias("origem"), F.col("existe").alias("admissivel"), needs.alias("depende_de"))
+    move = j.join(linked, ["competencia", "cnes"]).filter("origem <> cbo").select(*_PAIR, F.lit("RECLASSIFICAR_CBO").alias("operacao"), cost("RECLASSIFICAR_CBO").alias("custo"), "origem", F.col("existe").alias("admissivel"), needs.alias("depende_de"))
+    new = j.filter("not existe").select(*_PAIR, F.lit("CADASTRAR_ESTABELECIMENTO").alias("operacao"), cost("CADASTRAR_ESTABELECIMENTO").alias("custo"), none.alias("origem"), F.lit(True).alias("admissivel"), none.alias("depende_de"))
     return add.unionByName(move).unionByName(new)
 
 
-def repair_plans(candidates: DataFrame, most: int = 3) -> DataFrame:
-    """The cheapest candidates of each pair, at most ``most`` by cost and origin, numbered."""
-    w = Window.partitionBy("competencia", "cnes", "cbo")
-    order = w.orderBy("custo", F.coalesce("origem", F.lit("")), "operacao")
-    return candidates.withColumn("menor", F.min("custo").over(w)).filter("custo = menor").withColumn("ordem", F.row_number().over(order)).filter(F.col("ordem") <= most).drop("menor")
-
-
-def repair_impact(plans: DataFrame, evals: DataFrame) -> DataFrame:
-    """(competencia, cnes, cbo, resolvidos, prejudicados): records that the plan's pair clears, and
-    those that lose the occupation that a reclassification takes from. ``evals``: (competencia,
-    cnes, cbo, estado)."""
-    by = evals.groupBy("competencia", "cnes", "cbo").agg(F.count_if(F.col("estado") == "VIOLACAO").alias("violados"), F.count_if(F.col("estado") == "CONFORME").alias("conformes"))
-    gain = plans.join(by.select("competencia", "cnes", "cbo", F.col("violados").alias("resolvidos")), ["competencia", "cnes", "cbo"], "left")
-    lost = by.select("competencia", "cnes", F.col("cbo").alias("origem"), F.col("conformes").alias("prejudicados"))
-    return gain.join(lost, ["competencia", "cnes", "origem"], "left").fillna({"resolvidos": 0, "prejudicados": 0}).select("competencia", "cnes", "cbo", "operacao", "custo", "ordem", "resolvidos", "prejudicados")
-
-
-def executability(plans: DataFrame, open_month: str) -> DataFrame:
-    """Whether a plan can still be carried out: the month is open, closed, or unknown."""
-    state = F.when(F.col("competencia").isNull(), "INDETERMINADA").when(F.col("competencia") >= open_month, "EXECUTAVEL").otherwise("SOMENTE_RETIFICACAO")
-    return plans.withColumn("executabilidade", state)
+def repair_plans(candidates: DataFrame, most: int = 3, budget: int | None = None) -> DataFrame:
+    """(competencia, cnes, cbo, operacoes, origens, custo, delta): sequences of up to ``most``
+    operations on a pair that can be carried out in their order, whatever they achieve: what an
+    operation depends on comes before it, and none is done twice. ``delta`` is the change of each
+    occupation's links. With ``budget``, plans of higher cost are left out and ``minimo_provado`` is
+    false where that may have cut something."""
+    one = candidates.select(*_PAIR, "operacao", "origem", "custo", "depende_de", F.concat_ws(":", "operacao", F.coalesce("origem", F.lit(""))).alias("nome"))
+    plans = one.select(*_PAIR, F.array("nome").alias("nomes"), F.array("operacao").alias("operacoes"), F.array(F.coalesce("origem", F.lit(""))).alias("origens"), "custo", F.array_compact(F.array("depende_de")).alias("precisa"))
+    found = plans
+    for _ in range(most - 1):
+        longer = plans.join(one.select(*_PAIR, "nome", "operacao", F.coalesce("origem", F.lit("")).alias("origem"), F.col("custo").alias("mais"), "depende_de"), _PAIR)
+        # names ascend but for what others depend on, which goes first: each set is made once
+        after = (F.col("nome") > F.element_at("nomes", -1)) & ~F.array_contains("nomes", F.col("nome"))
+        plans = longer.filter(after if budget is None else after & (F.col("custo") + F.col("mais") <= budget)).select(*_PAIR, F.concat("nomes", F.array("nome")).alias("nomes"), F.concat("operacoes", F.array("operacao")).alias("operacoes"), F.concat("origens", F.array("origem")).alias("origens"), (F.col("custo") + F.col("mais")).alias("custo"), F.array_distinct(F.concat("precisa", F.array_compact(F.array("depende_de")))).alias("precisa"))
+        found = found.unionByName(plans)
+    ready = found.filter(F.size(F.array_except("precisa", "operacoes")) == 0)
+    within = F.lit(True) if budget is None else F.col("custo") <= budget
+    gain = F.array_repeat(F.struct(F.col("cbo").alias("cbo"), F.lit(1).alias("n")), F.size(F.filter("operacoes", lambda o: o != "CADASTRAR_ESTABELECIMENTO")))
+    loss = F.transform(F.filter("origens", lambda o: o != ""), lambda o: F.struct(o.alias("cbo"), F.lit(-1).alias("n")))
+    return ready.filter(within).select(*_PAIR, "operacoes", "origens", "custo", F.concat(gain, loss).alias("delta"), F.lit(budget is None).alias("minimo_provado"))
+
+
+def repair_impact(plans: DataFrame, pairs: DataFrame, records: DataFrame, establishments: DataFrame) -> DataFrame:
+    """Plans with ``resolvidos``, ``prejudicados`` and ``minimo``: records that the plan's new counts
+    clear, and records that lose their match since the occupation's count falls to zero. The test is
+    made again for the pairs that a plan changes alone. ``records``: (competencia, cnes, cbo, estado);
+    ``pairs``: (competencia, cnes, cbo, n_vinculos). A plan clears its pair where the establishment is
+    there, or is registered first; ``minimo`` marks the cheapest plans of a pair that clear it and
+    harm none."""
+    by = records.groupBy(*_PAIR).agg(F.count_if(F.col("estado") == "VIOLACAO").alias("violados"), F.count_if(F.col("estado") == "CONFORME").alias("conformes"))
+    now = pairs.groupBy(*_PAIR).agg(F.sum("n_vinculos").alias("antes"))
+    there = establishments.select("competencia", "cnes").distinct().withColumn("existe", F.lit(True))
+    numbered = plans.withColumn("plano", F.concat_ws("+", F.zip_with("operacoes", "origens", lambda o, g: F.concat_ws(":", o, g))))
+    change = numbered.select("competencia", "cnes", F.col("cbo").alias("alvo"), "plano", F.explode("delta").alias("d")).groupBy("competencia", "cnes", "alvo", "plano", F.col("d.cbo").alias("cbo")).agg(F.sum("d.n").alias("delta"))
+    j = change.join(now, _PAIR, "left").join(by, _PAIR, "left").fillna({"antes": 0, "violados": 0, "conformes": 0})
+    after = F.col("antes") + F.col("delta")
+    effect = j.groupBy("competencia", "cnes", F.col("alvo").alias("cbo"), "plano").agg(F.sum(F.when((F.col("antes") <= 0) & (after > 0), F.col("violados")).otherwise(0)).alias("r"), F.sum(F.when((F.col("antes") > 0) & (after <= 0), F.col("conformes")).otherwise(0)).alias("prejudicados"), F.bool_and(after >= 0).alias("possivel"))
+    out = numbered.join(effect, [*_PAIR, "plano"], "left").join(there, ["competencia", "cnes"], "left")
+    stands = F.coalesce("existe", F.lit(False)) | F.array_contains("operacoes", "CADASTRAR_ESTABELECIMENTO")
+    out = out.filter(F.coalesce("possivel", F.lit(True))).withColumns({"resolvidos": F.when(stands, F.coalesce("r", F.lit(0))).otherwise(0), "prejudicados": F.coalesce("prejudicados", F.lit(0))})
+    good = (F.col("resolvidos") > 0) & (F.col("prejudicados") == 0)
+    least = F.min(F.when(good, F.col("custo"))).over(Window.partitionBy(*_PAIR))
+    return out.withColumn("minimo", F.coalesce(good & (F.col("custo") == least), F.lit(False))).select(*_PAIR, "plano", "operacoes", "custo", "resolvidos", "prejudicados", "minimo", "minimo_provado")
+
+
+def executability(plans: DataFrame, now_month: str, open_month: str | None = None, operations: dict[str, tuple[int, str, str]] | None = None) -> DataFrame:
+    """Plans with ``executabilidade`` and ``condicoes``. A closed month makes a plan a past hypothesis,
+    an unknown one leaves it undetermined; then authority and governance decide.
+
+    ``open_month`` counts only if it is the clock's month (``now_month``) or the one before; without
+    it months before that are closed and later ones unknown."""
+    ops = operations or OPERATIONS
+    last = month_shift(F.lit(now_month), -1)
+    if open_month is None:
+        closed = F.when(F.col("competencia") < last, F.lit(True))
+    else:
+        current = F.lit(open_month).isin(now_month) | (F.lit(open_month) == last)
+        closed = F.when(current, F.when(F.col("competencia") < open_month, F.lit(True)).when(F.col("competencia") == open_month, F.lit(False))).otherwise(F.when(F.col("competencia") < last, F.lit(True)))
+    look = lambda i: F.create_map(*[F.lit(x) for k, v in ops.items() for x in (k, v[i])])
+    authority, governance = look(1), look(2)
+    outside, unknown = "FORA_DA_GOVERNANCA_MUNICIPAL", "DESCONHECIDA"
+    clash = F.exists("operacoes", lambda o: authority[o].isin(*OUTSIDE_AUTHORITIES) & (governance[o] != outside))
+    state = (
+        F.when(closed.eqNullSafe(F.lit(True)), "HIPOTESE_PASSADA")
+        .when(closed.isNull() | clash, "INDETERMINADO")
+        .when(F.exists("operacoes", lambda o: governance[o] == outside), outside)
+        .when(F.exists("operacoes", lambda o: (governance[o] == unknown) | (authority[o] == unknown)), "INDETERMINADO")
+        .otherwise("POTENCIALMENTE_EXECUTAVEL_SOB_CONDICOES")
+    )
+    why = F.array_compact(F.array(F.when(closed.isNull(), "CONFIRMAR_COMPETENCIA_ABERTA"), F.when(F.exists("operacoes", lambda o: authority[o] == unknown), "CONFIRMAR_AUTORIDADE"), F.when(F.exists("operacoes", lambda o: governance[o] == unknown), "CONFIRMAR_GOVERNANCA"), F.lit("CONFIRMAR_VERDADE_FACTUAL")))
+    return plans.withColumns({"executabilidade": state, "condicoes": why})

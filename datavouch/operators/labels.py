@@ -70,16 +70,46 @@ def cohort_reason(order: list[tuple[str, Column]]) -> Column:
     return out
 
 
-def split_cohort(first: str, last: str, places: DataFrame | None = None) -> list[tuple[str, Column]]:
-    """The order of exclusions of the split by time."""
+def in_territory(records: DataFrame, places: DataFrame) -> DataFrame:
+    """``records`` with ``no_territorio``: whether their municipality is one of ``places`` (codigo)."""
+    known = places.select(F.substring("codigo", 1, 6).alias("municipio_estabelecimento")).distinct().withColumn("no_territorio", F.lit(True))
+    return records.join(known, "municipio_estabelecimento", "left").withColumn("no_territorio", F.coalesce("no_territorio", F.lit(False)))
+
+
+def split_cohort(first: str, last: str, instruments: tuple[str, ...] | None = None, spec: Mapping[str, tuple[str, str]] | None = None) -> list[tuple[str, Column]]:
+    """The order of exclusions of the split by time, of records marked by ``in_territory``."""
+    month, order = F.col("competencia_processamento"), _cohort_start(first, last)
+    order.append(("INSTRUMENTO", F.col("instrumento").isNull() if instruments is None else F.col("instrumento").isNull() | ~F.col("instrumento").isin(*instruments)))
+    if spec:
+        inside = F.lit(False)
+        for a, b in spec.values():
+            inside = inside | month.between(a, b)
+        order.append(("FORA_DAS_PARTICOES", ~inside))
+    return order
+
+
+def report_cohort(first: str, last: str, instruments: tuple[str, ...]) -> list[tuple[str, Column]]:
+    """The order of the report: rows of concurrent versions (``concorrente``) go first, months late."""
+    known = dict(_cohort_start(first, last))
+    names = ("DELETADO", "SEM_MUNICIPIO", "FORA_DO_TERRITORIO", "SEM_COMPETENCIA", "FORA_DO_PERIODO")
+    return [("VERSOES_CONCORRENTES", F.col("concorrente")), *[(n, known[n]) for n in names], ("INSTRUMENTO", F.col("instrumento").isNull() | ~F.col("instrumento").isin(*instruments))]
+
+
+def crop_cohort(months: list[str]) -> list[tuple[str, Column]]:
+    """The order of a validation's crop to some months."""
+    known = dict(_cohort_start("", ""))
+    names = ("DELETADO", "SEM_COMPETENCIA", "FORA_DO_PERIODO", "SEM_MUNICIPIO", "FORA_DO_TERRITORIO")
+    return [(n, ~F.col("competencia_processamento").isin(months) if n == "FORA_DO_PERIODO" else known[n]) for n in names]
+
+
+def _cohort_start(first: str, last: str) -> list[tuple[str, Column]]:
     month = F.col("competencia_processamento")
     return [
         ("DELETADO", F.col("deletado")),
         ("SEM_COMPETENCIA", month.isNull()),
         ("FORA_DO_PERIODO", ~month.between(first, last)),
         ("SEM_MUNICIPIO", F.col("municipio_estabelecimento").isNull()),
-        ("FORA_DO_TERRITORIO", F.col("municipio_estabelecimento").try_cast("long") % 7 == 0),
-        ("INSTRUMENTO", F.col("instrumento").isNull()),
+        ("FORA_DO_TERRITORIO", ~F.col("no_territorio")),
     ]
 
 
@@ -94,10 +124,18 @@ def split_by_time(records: DataFrame, spec: dict[str, tuple[str, str]]) -> DataF
     return records.withColumn("particao", name).filter("particao is not null")
 
 
-def check_source_split(parts: DataFrame) -> DataFrame:
-    """Sources (files, any version of them) whose rows lie in more than one partition."""
-    source = F.regexp_replace("artifact_id", r"_[a-z]\z", "")
-    return parts.groupBy(source.alias("fonte_arquivo")).agg(F.array_join(F.array_sort(F.collect_set("particao")), ";").alias("particoes"), F.count_distinct("particao").alias("n"), F.count_distinct("artifact_id").alias("n_versoes")).filter("n > 1")
+def check_source_split(parts: DataFrame, sources: DataFrame, inspected: DataFrame | None = None, test: str = "teste") -> DataFrame:
+    """(fonte_arquivo, particoes, n, n_versoes, problema): sources whose rows, of any of their
+    versions, lie in more than one partition; inspected sources (fonte_arquivo) that come back in the
+    test partition; and versions without a source. ``sources``: (artifact_id, fonte_arquivo)."""
+    j = parts.select("artifact_id", "particao").distinct().join(sources.select("artifact_id", "fonte_arquivo").distinct(), "artifact_id", "left")
+    g = j.groupBy("fonte_arquivo").agg(F.array_sort(F.collect_set("particao")).alias("lista"), F.count_distinct("artifact_id").alias("n_versoes"))
+    if inspected is None:
+        g = g.withColumn("vista", F.lit(False))
+    else:
+        g = g.join(inspected.select("fonte_arquivo").distinct().withColumn("vista", F.lit(True)), "fonte_arquivo", "left")
+    why = F.when(F.col("fonte_arquivo").isNull(), "SEM_FONTE").when(F.size("lista") > 1, "EM_VARIAS_PARTICOES").when(F.col("vista") & F.array_contains("lista", test), "INSPECIONADA_NO_TESTE")
+    return g.select("fonte_arquivo", F.array_join("lista", ";").alias("particoes"), F.size("lista").cast("long").alias("n"), "n_versoes", why.alias("problema")).filter("problema is not null")
 
 
 def split_labels(labels: DataFrame, parts: DataFrame) -> DataFrame:
@@ -111,6 +149,21 @@ def same_keys(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return na.join(nb, key, "full").agg(F.count_if(F.col("na") > 1).alias("repetidas_a"), F.count_if(F.col("nb") > 1).alias("repetidas_b"), F.count_if(F.col("nb").isNull()).alias("so_a"), F.count_if(F.col("na").isNull()).alias("so_b"))
 
 
+def straddling_datasets(datasets: DataFrame, files: DataFrame) -> DataFrame:
+    """(dataset, dentro, fora): datasets (dataset, artifact_id) that lie partly in a window of files;
+    such a window is refused, since a dataset is taken whole or not at all."""
+    inside = files.select("artifact_id").distinct().withColumn("ha", F.lit(True))
+    j = datasets.select("dataset", "artifact_id").distinct().join(inside, "artifact_id", "left")
+    return j.groupBy("dataset").agg(F.count_if(F.col("ha").isNotNull()).alias("dentro"), F.count_if(F.col("ha").isNull()).alias("fora")).filter("dentro > 0 and fora > 0")
+
+
+def check_profile(profiled: DataFrame, records: DataFrame) -> DataFrame:
+    """(dimensao, linhas, deletadas, confere): each dimension's totals against the records'."""
+    total = records.agg(F.count("*").alias("t"), F.count_if("deletado").alias("d"))
+    g = profiled.groupBy("dimensao").agg(F.sum("linhas").alias("linhas"), F.sum("deletadas").alias("deletadas"))
+    return g.crossJoin(F.broadcast(total)).select("dimensao", "linhas", "deletadas", ((F.col("linhas") == F.col("t")) & (F.col("deletadas") == F.col("d"))).alias("confere"))
+
+
 def window_production(records: DataFrame, files: DataFrame) -> DataFrame:
     """Rows of the files of a window (artifact_id)."""
     return records.join(files.select("artifact_id").distinct(), "artifact_id", "left_semi")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datavouch.functions.tables import written
+
 
 def ratio(num: Column | str, den: Column | str, scale: int = 6) -> Column:
     """Half-even ratio; null where the denominator is zero."""
@@ -32,7 +34,8 @@ def common_domain() -> Column:
 
 
 # The metrics' names.
-METRICS = ("cobertura_rejeicoes", "cobertura_verificabilidade", "precisao_alertas", "falsos_alertas_aprovacoes", "abstencao", "alerta_aprovacao_parcial")
+METRICS = ("cobertura_rejeicoes", "cobertura_verificabilidade", "precisao_alertas", "falsos_alertas_aprovacoes", "abstencao", "alerta_aprovacao_parcial", "rejeicoes_sem_alerta_fora_de_escopo_documentada", "rejeicoes_sem_alerta_causa_indeterminada")
+OUT_OF_SCOPE = "FORA_DE_ESCOPO_DOCUMENTADA"
 # End of the fixed values.
 
 
@@ -41,6 +44,8 @@ def _counts() -> dict[str, tuple[Column, Column]]:
     alert, gave_up = s == "ALERTA", s == "ABSTENCAO"
     every = F.lit(True)
     pairs = [(alert, r == "NAO_APROVADO"), (~gave_up, every), (r == "NAO_APROVADO", alert & r.isin("NAO_APROVADO", "APROVADO_TOTAL")), (alert, r == "APROVADO_TOTAL"), (gave_up, every), (alert, r == "APROVADO_PARCIAL")]
+    documented, missed = F.col("causa").eqNullSafe(F.lit(OUT_OF_SCOPE)), (r == "NAO_APROVADO") & ~alert
+    pairs += [(documented, missed), (~documented, missed)]
     return dict(zip(METRICS, pairs, strict=True))
 
 
@@ -51,16 +56,23 @@ def strata(df: DataFrame) -> Column:
 
 
 def ratio_metrics(population: DataFrame, outcomes: DataFrame, methods: list[str]) -> DataFrame:
-    """(metodo, metrica, estrato, numerador, denominador, valor). Rows without an outcome abstain."""
-    cols = ("row_id", "rotulo", "instrumento", "procedimento", "cbo", "cnes", "competencia_atendimento", "competencia_processamento")
+    """(metodo, metrica, estrato, numerador, denominador, valor). Rows without an outcome abstain.
+    ``causa`` of the population says where a rejection is documented as out of scope. Each stratum's
+    size is there once, as the metric ``tamanho_estrato`` of ``populacao``."""
+    if "causa" not in population.columns:
+        population = population.withColumn("causa", F.lit(None).cast("string"))
+    cols = ("causa", "row_id", "rotulo", "instrumento", "procedimento", "cbo", "cnes", "competencia_atendimento", "competencia_processamento")
     wide = population.select(*cols).crossJoin(F.broadcast(outcomes.sparkSession.createDataFrame([(m,) for m in methods], "metodo string")))
     j = wide.join(outcomes.select("metodo", "row_id", "situacao"), ["metodo", "row_id"], "left").fillna({"situacao": "ABSTENCAO"})
-    g = j.select("metodo", "situacao", "rotulo", F.explode(strata(j)).alias("estrato"))
+    g = j.select("metodo", "situacao", "rotulo", "causa", F.explode(strata(j)).alias("estrato"))
     counts = _counts()
     aggs = [x for k, (n, d) in counts.items() for x in (F.count_if(n & d).alias(f"n_{k}"), F.count_if(d).alias(f"d_{k}"))]
     out = g.groupBy("metodo", "estrato").agg(*aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metrica"), F.col(f"n_{k}").alias("numerador"), F.col(f"d_{k}").alias("denominador")) for k in counts]))
-    return out.select("metodo", "estrato", rows.alias("m")).select("metodo", "m.metrica", "estrato", "m.numerador", "m.denominador", ratio("m.numerador", "m.denominador").alias("valor"))
+    found = out.select("metodo", "estrato", rows.alias("m")).select("metodo", "m.metrica", "estrato", "m.numerador", "m.denominador")
+    size = population.select(F.explode(strata(population)).alias("estrato")).groupBy("estrato").agg(F.count("*").alias("numerador")).crossJoin(F.broadcast(population.agg(F.count("*").alias("denominador"))))
+    found = found.unionByName(size.select(F.lit("populacao").alias("metodo"), F.lit("tamanho_estrato").alias("metrica"), "estrato", "numerador", "denominador"))
+    return found.withColumn("valor", ratio("numerador", "denominador"))
 
 
 def paired_divergence(population: DataFrame, outcomes: DataFrame, a: str, b: str) -> DataFrame:
@@ -87,25 +99,57 @@ def draw(seed: int, rep: Column, pos: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), n)
 
 
+#: Clusters whose sums every task may hold at most; more of them are joined instead.
+SENT_CLUSTERS = 1_000_000
+
+
 def cluster_bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """One row: the ratio, the percentile interval over whole clusters drawn with replacement, and
-    the number of valid replicates; null below two clusters. ``sums`` (grupo, num, den) is ranked by
-    name; draws are counter-based, so the result doesn't depend on partitions."""
-    from pyspark.sql import Window
-
-    spark = sums.sparkSession
-    ranked = sums.withColumn("pos", (F.row_number().over(Window.orderBy("grupo")) - 1).cast("long"))
-    n = ranked.agg(F.count("*").alias("n"))
-    reps = spark.range(replicates).select(F.col("id").alias("rep"))
-    drawn = reps.crossJoin(F.broadcast(n)).filter("n >= 2").select("rep", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("k"))
-    picked = drawn.select("rep", draw(seed, F.col("rep"), F.col("k"), F.col("n")).alias("pos")).join(ranked, "pos")
-    per = picked.groupBy("rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).select((F.col("num").cast("double") / F.col("den")).alias("r"))
+    the number of valid replicates; null below two clusters. Replicates whose denominator is zero
+    don't count. ``sums`` (grupo, num, den) is ranked by name; draws are counter-based, so the result
+    doesn't depend on partitions. Each task draws some replicates from the sums, which it holds."""
+    sums = written(sums, "sums")
+    point = sums.agg(F.sum("num").alias("numerador"), F.sum("den").alias("denominador"), F.count("*").alias("grupos"))
+    n = point.first().grupos
+    reps = sums.sparkSession.range(replicates).select(F.col("id").alias("rep"))
+    if n < 2:
+        per = reps.select(F.lit(None).cast("double").alias("r"))
+    elif n <= SENT_CLUSTERS:
+        held = sums.agg(F.array_sort(F.collect_list(F.struct("grupo", "num", "den"))).alias("c")).select(F.col("c.num").alias("nums"), F.col("c.den").alias("dens"))
+        at = lambda k: draw(seed, F.col("rep"), k, F.lit(n)).cast("int")
+        zero = F.struct(F.lit(0).cast("long").alias("num"), F.lit(0).cast("long").alias("den"))
+        add = lambda acc, k: F.transform(F.array(at(k)), lambda i: F.struct((acc["num"] + F.get("nums", i)).alias("num"), (acc["den"] + F.get("dens", i)).alias("den")))[0]
+        drawn = reps.repartition(64).crossJoin(F.broadcast(held)).select(F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), zero, add).alias("t"))
+        per = drawn.select(F.when(F.col("t.den") > 0, F.col("t.num").cast("double") / F.col("t.den")).alias("r"))
+    else:
+        ranked = _ranked(sums)
+        every = reps.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
+        picked = every.select("rep", draw(seed, F.col("rep"), F.col("k"), F.lit(n)).alias("pos")).join(ranked, "pos")
+        per = picked.groupBy("rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).select(F.when(F.col("den") > 0, F.col("num").cast("double") / F.col("den")).alias("r"))
     tail = (1 - level) / 2
     limits = per.agg(F.bround(F.percentile("r", tail), 9).alias("inferior"), F.bround(F.percentile("r", 1 - tail), 9).alias("superior"), F.count("r").alias("replicas"))
-    point = sums.agg(F.sum("num").alias("numerador"), F.sum("den").alias("denominador"), F.count("*").alias("grupos"))
     return point.crossJoin(limits).select("numerador", "denominador", ratio("numerador", "denominador").alias("valor"), "inferior", "superior", "replicas", "grupos")
 
 
+def _ranked(sums: DataFrame) -> DataFrame:
+    """``sums`` with ``pos``, the rank by name: within ranges of names, after the counts of those before."""
+    placed = written(sums.repartitionByRange("grupo").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row a range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("grupo"))
+    return placed.join(F.broadcast(before), "part").select("num", "den", (F.col("before") + rank - 1).cast("long").alias("pos"))
+
+
+def paired_difference(population: DataFrame, outcomes: DataFrame, a: str, b: str, cluster: str, replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """The difference of two methods' coverage of rejections, with its interval: both are measured on
+    the same draws of whole clusters. ``numerador`` is the difference of their alerts."""
+    alert = lambda m: F.max(F.when((F.col("metodo") == m) & (F.col("situacao") == "ALERTA"), 1).otherwise(0))
+    both = outcomes.filter(F.col("metodo").isin(a, b)).groupBy("row_id").agg((alert(a) - alert(b)).alias("d"))
+    df = population.filter("rotulo = 'NAO_APROVADO'").select("row_id", F.coalesce(cluster, F.lit("SEM_GRUPO")).alias("grupo")).join(both, "row_id", "left")
+    sums = df.groupBy("grupo").agg(F.sum(F.coalesce("d", F.lit(0)).cast("long")).alias("num"), F.count("*").alias("den"))
+    return cluster_bootstrap(sums, replicates, seed, level)
+
+
 def result_coverage(population: DataFrame, outcomes: DataFrame, methods: list[str]) -> DataFrame:
     """(metodo, faltam, sobram, repetidas): rows without an outcome, outcomes without a row, repeats."""
     wide = population.select("row_id").crossJoin(F.broadcast(outcomes.sparkSession.createDataFrame([(m,) for m in methods], "metodo string"))).withColumn("na_populacao", F.lit(True))

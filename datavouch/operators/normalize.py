@@ -58,8 +58,8 @@ def distinct_entities(df: DataFrame, key: list[str]) -> tuple[DataFrame, DataFra
 
 
 def require_month(df: DataFrame, column: str, month: str, deleted: str = "deletado") -> DataFrame:
-    """Up to ten months other than the file's among live rows."""
-    return df.filter(~F.col(deleted) & ~F.col(column).eqNullSafe(F.lit(month))).select(F.col(column).alias("competencia")).distinct().orderBy("competencia").limit(10)
+    """(competencia, n): all months other than the file's among live rows, and how many rows have them."""
+    return df.filter(~F.col(deleted) & ~F.col(column).eqNullSafe(F.lit(month))).groupBy(F.col(column).alias("competencia")).agg(F.count("*").alias("n"))
 
 
 def reconcile(physical: DataFrame, canonical: DataFrame, excluded: DataFrame) -> DataFrame:
@@ -115,11 +115,12 @@ def check_lineage(df: DataFrame, declared: DataFrame) -> DataFrame:
 
 
 def territory_codes(df: DataFrame, column: str, prefix: str) -> DataFrame:
-    """(codigo, valido): six digits with the region's prefix, whose check digit fits if a seventh is there."""
+    """(codigo, valido, n): six digits with the region's prefix, whose check digit fits if a seventh
+    is there; a list is unique where every n, how often the code occurs, is one."""
     c = F.col(column)
     digits = [F.substring(c, i, 1).try_cast("int") for i in range(1, 7)]
     # weights 1 2 1 2 1 2; digits of a product are added
     parts = [d if i % 2 == 0 else F.floor(d * 2 / 10) + d * 2 % 10 for i, d in enumerate(digits)]
     check = F.pmod(10 - F.pmod(reduce(lambda a, b: a + b, parts), F.lit(10)), F.lit(10))
     right = full_match(c, f"{prefix}[0-9]{{4}}([0-9])?") & ((F.length(c) == 6) | (F.substring(c, 7, 1).try_cast("int") == check))
-    return df.select(c.alias("codigo"), F.coalesce(right, F.lit(False)).alias("valido")).distinct()
+    return df.select(c.alias("codigo"), F.coalesce(right, F.lit(False)).alias("valido")).groupBy("codigo", "valido").agg(F.count("*").alias("n"))

@@ -47,11 +47,36 @@ def inconclusive_classes(selections: DataFrame, obs: DataFrame) -> DataFrame:
     return sets.join(refined.select("estado", "citadas", name.alias("classe")), ["estado", "citadas"]).groupBy("classe").agg(F.count("*").alias("n"))
 
 
-def availability(coverage: DataFrame, months: DataFrame) -> DataFrame:
-    """Coverage cells by state within the cohort's months."""
+def availability(coverage: DataFrame, months: DataFrame, instruments: tuple[str, ...] | None = None) -> DataFrame:
+    """Coverage cells by state within the cohort's months and instruments."""
+    if instruments is not None:
+        coverage = coverage.filter(F.col("instrumento").isin(*instruments))
     return coverage.join(months.select("competencia").distinct(), "competencia", "left_semi").groupBy("familia_regra", "base_temporal", "estado").agg(F.count("*").alias("n"))
 
 
+def inconclusive_rates(evals: DataFrame, sources: DataFrame) -> DataFrame:
+    """(rule_id, fonte, base, numerador, denominador): inconclusive evaluations by rule and by the
+    source and month kind that it asks for. ``sources``: (rule_id, fonte, base)."""
+    g = evals.groupBy("rule_id").agg(F.count_if(F.col("estado") == "INCONCLUSIVO").alias("numerador"), F.count("*").alias("denominador"))
+    return g.join(F.broadcast(sources.select("rule_id", "fonte", "base")), "rule_id").select("rule_id", "fonte", "base", "numerador", "denominador")
+
+
+def observability_report(cohort: DataFrame, labels: DataFrame, selections: DataFrame, obs: DataFrame, coverage: DataFrame, months: DataFrame, evals: DataFrame, sources: DataFrame, fields: list[str], dims: list[str], instruments: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """All tables of the report by name. ``cohort`` has ``motivo``, null for included rows."""
+    inside = cohort.filter("motivo is null")
+    return {
+        "ausencias": field_missingness(inside, fields),
+        "dimensoes": dimension_counts(inside, dims),
+        "exclusoes": exclusion_counts(cohort),
+        "defasagens": lag_histogram(inside),
+        "rotulos": label_distribution(labels),
+        "inconclusivas": inconclusive_classes(selections, obs),
+        "disponibilidade": availability(coverage, months, instruments),
+        "metricas": report_metrics(cohort, fields),
+        "taxas": inconclusive_rates(evals, sources),
+    }
+
+
 def report_metrics(df: DataFrame, fields: list[str], reason: str = "motivo") -> DataFrame:
     """(metrica, numerador, denominador): share of included rows, and of missing values among them."""
     inc = F.col(reason).isNull()

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datavouch.functions.months import month_diff
+from datavouch.functions.tables import written
 
 
 def hash_order(seed: int, key: str) -> Column:
@@ -43,12 +46,32 @@ def stratified_sample(rows: DataFrame, allocation: DataFrame, seed: int = 42) ->
     return rows.join(F.broadcast(allocation.select("estrato", "alocado")), "estrato").withColumn("posicao", r).filter("posicao <= alocado").select("estrato", "row_id", "posicao")
 
 
-def blind_package(sample: DataFrame, records: DataFrame, allowed: list[str], seed: int = 42) -> DataFrame:
-    """Cases with anonymous ids in hash order, of allowed columns alone; ``row_id`` stays for the
-    private map and is dropped by the caller of the public part."""
+def blind_package(sample: DataFrame, records: DataFrame, allowed: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Cases with anonymous ids in hash order, of allowed columns alone; the private map (caso,
+    row_id), whose hash ``identity.logical_hash`` gives; and the columns that were left out."""
+    if "row_id" in allowed:
+        raise ValueError("row_id would undo the blinding")
     chosen = sample.select("row_id").join(records.select("row_id", *allowed), "row_id")
     n = F.row_number().over(Window.orderBy(hash_order(seed + 1, "row_id"), "row_id"))  # as many rows as the sample
-    return chosen.withColumn("caso", F.concat(F.lit("caso_"), F.lpad(n.cast("string"), 6, "0"))).select("caso", "row_id", *allowed)
+    named = written(chosen.withColumn("caso", F.concat(F.lit("caso_"), F.lpad(n.cast("string"), 6, "0"))), "cases")
+    return named.select("caso", *allowed), named.select("caso", "row_id"), sorted(c for c in records.columns if c not in allowed)
+
+
+def check_batches(a: DataFrame, b: DataFrame, cases: DataFrame, training: DataFrame | None = None) -> DataFrame:
+    """(problema, n): what makes two batches (caso, categoria, avaliador, amostra, formulario) unfit for
+    comparison: another sample or form, a case left out, added or judged twice, a case of the
+    ``training`` set, or the same rater in both."""
+    parts = []
+    for df in (a, b):
+        parts += [df.join(cases.select("caso"), "caso", "left_anti").select(F.lit("CASO_ESTRANHO").alias("problema")), cases.select("caso").join(df, "caso", "left_anti").select(F.lit("CASO_FALTANTE").alias("problema"))]
+        parts.append(df.groupBy("caso").agg(F.count("*").alias("n")).filter("n > 1").select(F.lit("CASO_REPETIDO").alias("problema")))
+        if training is not None:
+            parts.append(df.join(training.select("caso"), "caso", "left_semi").select(F.lit("CASO_DE_TREINO").alias("problema")))
+    both = a.select("amostra", "formulario", "avaliador", F.lit("a").alias("lote")).unionByName(b.select("amostra", "formulario", "avaliador", F.lit("b").alias("lote")))
+    g = both.agg(F.count_distinct("amostra").alias("s"), F.count_distinct("formulario").alias("f"))
+    parts += [g.filter("s > 1").select(F.lit("AMOSTRA_DIFERENTE").alias("problema")), g.filter("f > 1").select(F.lit("FORMULARIO_DIFERENTE").alias("problema"))]
+    parts.append(both.groupBy("avaliador").agg(F.count_distinct("lote").alias("n")).filter("n > 1").select(F.lit("MESMO_AVALIADOR").alias("problema")))
+    return reduce(DataFrame.unionByName, parts).groupBy("problema").agg(F.count("*").alias("n"))
 
 
 def agreement(pairs: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from datavouch.functions.identity import logical_hash
 from datavouch.functions.months import month_index, month_text
 
 _INTACT = ("OK", "NAO_VERIFICADO")
@@ -69,14 +70,18 @@ def combine_parts(parts: DataFrame, expected: DataFrame) -> DataFrame:
 
 
 def rule_sources(rules: DataFrame, criteria: DataFrame, policy: str = "DOCUMENTADA") -> DataFrame:
-    """(rule_id, fonte, base, deslocamento, resolvido): the policy's criterion for each rule's source.
+    """(rule_id, fonte, base, deslocamento, resolvido, motivo): the policy's criterion for each rule's source.
     ATENDIMENTO and PROCESSAMENTO baselines ask every source for that month; the documented method
-    takes a criterion only where source, base and offset are the rule's own."""
+    takes a criterion only where source, base and offset are the rule's own. Unresolved rules say
+    whether the source has no criterion or another one."""
     if policy in ("ATENDIMENTO", "PROCESSAMENTO"):
-        return rules.select("rule_id", "fonte", F.lit(policy).alias("base"), F.lit(0).alias("deslocamento"), F.lit(True).alias("resolvido"))
+        return rules.select("rule_id", "fonte", F.lit(policy).alias("base"), F.lit(0).alias("deslocamento"), F.lit(True).alias("resolvido"), F.lit(None).cast("string").alias("motivo"))
     c = criteria.select(F.col("fonte").alias("c_fonte"), F.col("base").alias("c_base"), F.col("deslocamento").alias("c_desl")).distinct()
     same = (F.col("fonte") == F.col("c_fonte")) & F.col("base").eqNullSafe(F.col("c_base")) & F.col("deslocamento").eqNullSafe(F.col("c_desl"))
-    return rules.join(c, same, "left").select("rule_id", "fonte", "base", "deslocamento", F.col("c_fonte").isNotNull().alias("resolvido"))
+    some = c.select(F.col("c_fonte").alias("fonte"), F.lit(True).alias("ha")).distinct()
+    found = F.col("c_fonte").isNotNull()
+    why = F.when(~found, F.when(F.col("ha").isNull(), "CRITERIO_AUSENTE").otherwise("CRITERIO_DIVERGENTE"))
+    return rules.join(some, "fonte", "left").join(c, same, "left").select("rule_id", "fonte", "base", "deslocamento", found.alias("resolvido"), why.alias("motivo"))
 
 
 def required_months(records: DataFrame, sources: DataFrame) -> DataFrame:
@@ -105,12 +110,20 @@ def join_decisions(required: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def derive_selections(required: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Selections from a given snapshot set, by exact (fonte, base, month)."""
+    """Selections from a given snapshot set, by exact (fonte, base, month). A key that the set has
+    twice is an error, since it would multiply records."""
     key = ["fonte", "base", "competencia_requerida"]
+    if twice := repeated_snapshot_keys(snapshot).limit(1).collect():
+        raise ValueError(f"the snapshot set has a key twice: {twice[0].asDict()}")
     joined = required.join(snapshot.select(*key, "estado", "artifact_ids"), key, "left")
     return joined.withColumn("estado", F.when(F.col("competencia_requerida").isNull(), "NAO_RESOLVIDA").otherwise(F.coalesce("estado", F.lit("AUSENTE"))))
 
 
+def repeated_snapshot_keys(snapshot: DataFrame) -> DataFrame:
+    """(fonte, base, competencia_requerida, n): keys that a snapshot set has more than once."""
+    return snapshot.groupBy("fonte", "base", "competencia_requerida").agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def check_selections(sel: DataFrame, required: DataFrame) -> DataFrame:
     """Selections whose base or month isn't the policy's, or whose state is unknown."""
     states = ["SELECIONADA", "AUSENTE", "AMBIGUA", "INCOMPLETA", "EM_QUARENTENA", "FORA_DO_CORTE", "NAO_RESOLVIDA"]
@@ -137,9 +150,17 @@ def version_integrity(obs: DataFrame, versions: DataFrame, cutoff: Column | None
     return worst.join(seen, "artifact_id", "left").select("artifact_id", state.alias("estado"))
 
 
-def snapshot_set(sel: DataFrame) -> DataFrame:
-    """Distinct selections, one for each (fonte, base, month)."""
-    return sel.filter(F.col("competencia_requerida").isNotNull()).select("fonte", "base", "competencia_requerida", "estado", F.array_join("artifact_ids", ";").alias("artifact_ids")).distinct()
+def snapshot_set(sel: DataFrame, cutoff: Column | None = None, now: Column | None = None) -> DataFrame:
+    """Distinct selections, one for each (fonte, base, month), all of one cutoff; ``congelado``: the
+    cutoff has passed, so later observations can't change them. ``snapshot_id`` names the set."""
+    cut = F.lit(None).cast("timestamp") if cutoff is None else cutoff
+    passed = F.coalesce(cut < (F.current_timestamp() if now is None else now), F.lit(False))
+    return sel.filter(F.col("competencia_requerida").isNotNull()).select("fonte", "base", "competencia_requerida", "estado", F.array_join("artifact_ids", ";").alias("artifact_ids")).distinct().withColumns({"corte": cut.cast("timestamp"), "congelado": passed})
+
+
+def snapshot_id(snapshot: DataFrame) -> str:
+    """The id of a set from its content, whatever the order of rows."""
+    return "snap_" + logical_hash(snapshot.select("fonte", "base", "competencia_requerida", "estado", "artifact_ids", F.col("corte").cast("string").alias("corte")))[:32]
 
 
 def latest_versions(obs: DataFrame, key: tuple[str, ...] = ("fonte", "competencia", "parte")) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from datavouch.functions.months import month_index
 from datavouch.functions.tables import written
-from datavouch.operators import coverage, labels, rules, temporal
+from datavouch.operators import coverage, labels, metrics, rules, temporal
 from datavouch.plans import adapter
 from datavouch.plans.adapter import CUTOFF, INSTRUMENTS, RULE_ROWS
 
@@ -116,6 +116,19 @@ class Flow:
                 parts.append(n.crossJoin(coverage.available_months(aux, r.month_column, r.aux_key)))
         return reduce(DataFrame.unionByName, parts)
 
+    @cached_property
+    def places(self) -> DataFrame:
+        """The territory: a list of municipalities, as one would be given."""
+        m = F.col("municipio_estabelecimento")
+        return self.stored_records.filter(m.isNotNull()).select(m.alias("codigo")).distinct().filter(F.col("codigo").cast("int") % 7 != 0)
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """The outcomes of all rules and of the first alone, from one evaluation."""
+        ev = self.stored_evaluations
+        first = ev.filter(F.col("rule_id") == RULES[0].rule_id)
+        return written(metrics.method_outcomes({"regras": rules.aggregate_records(ev), "par": rules.aggregate_records(first)}))
+
     @cached_property
     def available(self) -> DataFrame:
         return self._available(RULES)
@@ -155,7 +168,7 @@ class Flow:
 
     @cached_property
     def population(self) -> DataFrame:
-        return self.stored_records.withColumn("rotulo", labels.label(F.col("pa_indica_bruto")))
+        return self.stored_records.withColumns({"rotulo": labels.label(F.col("pa_indica_bruto")), "causa": F.when(F.col("quantidade_apresentada") % 5 == 0, metrics.OUT_OF_SCOPE)})
 
     def one_rule(self, k: int) -> DataFrame:
         r = RULES[k]
@@ -181,13 +194,14 @@ def _coverage_sql() -> str:
     available = " union ".join(
         f"select f.fam, f.ins, a.{r.month_column} as mes from fam f join {AUX_VIEW[r.rule_id]} a on f.fam = '{r.family}' and {' and '.join(f'a.{c} is not null' for c in r.aux_key)}" + (" join codes c on c.ins = f.ins and c.cod = a.co_registro" if r.mapping else "") for r in RULES
     )
-    return f"""select g.*, case when n_prod = 0 then 'AUSENTE' when n_reg = 0 then 'INSUFICIENTE' when base_temporal = 'ATENDIMENTO' and n_nulo > 0 then 'INSUFICIENTE' when n_falta = 0 then 'DISPONIVEL' when n_falta = n_nec then 'AUSENTE' else 'INSUFICIENTE' end as estado from (
+    return f"""select g.*, case when n_prod = 0 then 'AUSENTE' when n_reg = 0 then 'INSUFICIENTE' when base_temporal = 'ATENDIMENTO' and n_nulo > 0 then 'INSUFICIENTE' when n_falta = 0 then 'DISPONIVEL' when n_falta = n_nec then 'AUSENTE' else 'INSUFICIENTE' end as estado,
+      case when n_prod = 0 then 'sem_producao' when n_reg = 0 then 'sem_registros' when base_temporal = 'ATENDIMENTO' and n_nulo > 0 then 'atendimento_nulo' when n_falta > 0 then 'faltam=' || l_falta end as motivo from (
       with fam(fam, ins) as (values {families}), codes(ins, cod) as (values {codes}), have as ({available}), bases(b) as (values ('PROCESSAMENTO'),('ATENDIMENTO')),
       vivos as (select * from records where not deletado),
       nec as (select distinct instrumento as ins, competencia_processamento as mes, 'PROCESSAMENTO' as b, competencia_processamento as alvo from vivos union select distinct instrumento, competencia_processamento, 'ATENDIMENTO', competencia_atendimento from vivos where competencia_atendimento is not null),
       cel as (select instrumento as ins, competencia_processamento as mes, count(*) as n, count(*) filter (competencia_atendimento is null) as nulo from vivos where instrumento is not null group by 1, 2),
-      falta as (select f.fam, n.ins, n.mes, n.b, count(*) as n_nec, count(*) filter (h.mes is null) as n_falta from nec n join fam f on f.ins = n.ins left join have h on h.fam = f.fam and h.ins = n.ins and h.mes = n.alvo group by all)
-      select f.fam as familia_regra, f.ins as instrumento, m.competencia, b.b as base_temporal, (select count(*) from vivos v where v.competencia_processamento = m.competencia) as n_prod, coalesce(c.n, 0) as n_reg, coalesce(c.nulo, 0) as n_nulo, coalesce(x.n_nec, 0) as n_nec, coalesce(x.n_falta, 0) as n_falta
+      falta as (select f.fam, n.ins, n.mes, n.b, count(*) as n_nec, count(*) filter (h.mes is null) as n_falta, array_to_string(list_sort(list(n.alvo) filter (h.mes is null)), ',') as l_falta from nec n join fam f on f.ins = n.ins left join have h on h.fam = f.fam and h.ins = n.ins and h.mes = n.alvo group by all)
+      select f.fam as familia_regra, f.ins as instrumento, m.competencia, b.b as base_temporal, (select count(*) from vivos v where v.competencia_processamento = m.competencia) as n_prod, coalesce(c.n, 0) as n_reg, coalesce(c.nulo, 0) as n_nulo, coalesce(x.n_nec, 0) as n_nec, coalesce(x.n_falta, 0) as n_falta, x.l_falta
       from fam f cross join months m cross join bases b left join cel c on c.ins = f.ins and c.mes = m.competencia left join falta x on x.fam = f.fam and x.ins = f.ins and x.mes = m.competencia and x.b = b.b) g"""
 
 
@@ -237,6 +251,15 @@ def _eval_sql(r: rules.Rule) -> str:
       select row_id, '{r.rule_id}' as rule_id, estado, aplicabilidade, motivos, n_resultados, sel_estado, artifact_id, procedimento, cnes, cbo, co_registro, competencia_processamento, instrumento, sel_artefatos from caso join ficha using (row_id)) e"""
 
 
+def ratio_sql(n: str, d: str, scale: int) -> str:
+    """Half-even ratio of whole numbers as an exact decimal, null where ``d`` isn't positive."""
+    one = 10**scale
+    top, low = f"(abs(cast({n} as hugeint)) * {one})", f"cast({d} as hugeint)"
+    q, r = f"({top} // {low})", f"({top} % {low})"
+    whole = f"({q} + case when 2 * {r} > {low} or 2 * {r} = {low} and {q} % 2 = 1 then 1 else 0 end)"
+    return f"case when {d} > 0 then cast(cast(sign({n}) * {whole} as decimal(20,0)) * cast('{1 / one:.{scale}f}' as decimal({scale + 1},{scale})) as decimal(20,{scale})) end"
+
+
 ORACLE: dict[str, str] = {
     "regras(rule_id, familia, fonte, base, deslocamento)": f"values {_RULE_VALUES}",
     "conhecidas": "select o.*, v.estado as integridade from observations o left join versions v on v.artifact_id = o.artifact_id",

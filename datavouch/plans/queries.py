@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from datavouch.functions import identity, months, text
 from datavouch.operators import baseline, changes, coverage, explain, labels, metrics, normalize, report, rules, sampling, temporal, values
-from datavouch.plans.core import RULES, SPLIT, Flow, oracle
+from datavouch.plans.core import RULES, SPLIT, Flow, oracle, ratio_sql
 from datavouch.sources import canonical, fixed_width, observations
 from datavouch.streaming import watch
 
@@ -74,12 +74,12 @@ _SCOPES = "select competencia, artifact_ids as ids from meses_estado where fonte
 
 @_query(
     "r04_scope_state",
-    "select competencia || '|' || array_to_string(ids, ';') as escopo, bool_and(n > 0) as todas_com_linhas, bool_and(coalesce(integ,'') = 'OK') as integridade_ok, bool_or(outras > 0) as divergente from (select s.competencia, s.ids, u.artifact_id, v.estado as integ, count(x.artifact_id) as n, count(*) filter (x.artifact_id is not null and x.competencia_arquivo <> s.competencia) as outras from esc s, unnest(s.ids) as u(artifact_id) left join versions v on v.artifact_id = u.artifact_id left join estab_occ x on x.artifact_id = u.artifact_id group by all) group by competencia, ids",
+    "select competencia || '|' || array_to_string(ids, ';') as escopo, bool_and(n > 0) as todas_com_linhas, bool_and(coalesce(integ,'') = 'OK') as integridade_ok, bool_or(outras > 0) as divergente, coalesce(min(coalesce(integ, 'NAO_VERIFICADO')) filter (integ is distinct from 'OK'), 'OK') as pior_integridade from (select s.competencia, s.ids, u.artifact_id, v.estado as integ, count(x.artifact_id) as n, count(*) filter (x.artifact_id is not null and x.competencia_arquivo <> s.competencia) as outras from esc s, unnest(s.ids) as u(artifact_id) left join versions v on v.artifact_id = u.artifact_id left join estab_occ x on x.artifact_id = u.artifact_id group by all) group by competencia, ids",
     esc=_SCOPES,
 )
 def _r04(f):
     st = rules.scope_state(rules.scopes(f.decided.filter("fonte = 'pf'")), f.aux(RULES[1].rule_id), f.versions, "competencia_arquivo")
-    return st.select("escopo", "todas_com_linhas", "integridade_ok", F.coalesce(F.col("esc_motivo") == "VIGENCIA_NAO_RESOLVIDA", F.lit(False)).alias("divergente"))
+    return st.select("escopo", "todas_com_linhas", "integridade_ok", F.coalesce(F.col("esc_motivo") == "VIGENCIA_NAO_RESOLVIDA", F.lit(False)).alias("divergente"), "pior_integridade")
 
 
 @_query("r05_existence", "select escopo, cnes, cbo, achados, resultado from (select * from (with esc as (select distinct competencia_requerida || '|' || array_to_string(artifact_ids, ';') as escopo, unnest(artifact_ids) as artifact_id from selecoes where fonte = 'pf' and estado = 'SELECIONADA'), scoped as (select e.escopo, x.* from esc e join estab_occ x on x.artifact_id = e.artifact_id), ks as (select distinct s.competencia_requerida || '|' || array_to_string(s.artifact_ids, ';') as escopo, cnes, cbo from records join selecoes s using (row_id) where s.fonte = 'pf' and s.estado = 'SELECIONADA' and cbo is not null) select k.*, (select count(*) from scoped x where x.escopo = k.escopo and x.cnes = k.cnes and x.cbo = k.cbo and x.n_vinculos > 0) as achados, case when exists (select 1 from scoped x where x.escopo = k.escopo and x.cnes = k.cnes and x.cbo = k.cbo and x.n_vinculos > 0) then 'CORRESPONDENCIA' when exists (select 1 from scoped x where x.escopo = k.escopo and x.cnes = k.cnes and x.cbo = k.cbo and x.n_vinculos is null) then 'CAMPO_INSUFICIENTE' when not exists (select 1 from scoped x where x.escopo = k.escopo and x.cnes = k.cnes) then 'COBERTURA_INSUFICIENTE' else 'AUSENCIA' end as resultado from ks k))")
@@ -99,14 +99,35 @@ def _r11(f):
     return f.evaluations.groupBy("aplicabilidade", "estado").agg(F.count("*").alias("n"))
 
 
-@_query("r12_evidence", "select case estado when 'NAO_APLICAVEL' then 'APLICABILIDADE' when 'CONFORME' then 'VINCULO_ENCONTRADO' else 'AUSENCIA_NA_FONTE' end as tipo, rule_id, count(distinct case when estado = 'NAO_APLICAVEL' then concat_ws('~', instrumento, artifact_id) else concat_ws('~', case rule_id when 'PROC_CBO_SIGTAP' then procedimento || '|' || cbo when 'ESTAB_CBO_CNES' then cnes || '|' || cbo when 'INSTRUMENTO_REGISTRO_SIGTAP' then procedimento || '|' || cod else procedimento end, array_to_string(sel_artefatos, ';'), estado, n_resultados) end) as n from (select a.*, r.procedimento, m.cod from avaliacoes a join records r using (row_id) left join (values ('C','01'),('I','02'),('P','06'),('S','07'),('A','08'),('B','09')) m(ins, cod) on m.ins = a.instrumento) where estado <> 'INCONCLUSIVO' group by 1, 2")
+_KEYS = " ".join(f"when '{r.rule_id}' then {" || '|' || ".join(r.record_key)}" for r in RULES)
+_FOUND_EV = f"""select distinct 'ev_' || sha256(concat_ws(chr(31), tipo, rule_id, consulta, parametros, conjunto, artifact_ids, cob, integ, n, amostra)) as ev_id, tipo, rule_id, consulta, parametros, nullif(conjunto, '') as conjunto, artifact_ids, cob as cobertura, integ as integridade, n as n_resultados, nullif(amostra, '') as chaves_amostra from (
+  select rule_id, case estado when 'NAO_APLICAVEL' then 'APLICABILIDADE' when 'CONFORME' then 'VINCULO_ENCONTRADO' else 'AUSENCIA_NA_FONTE' end as tipo, case when na then 'aplicabilidade' else 'existencia' end as consulta,
+    case when na then '{{"instrumento":"' || instrumento || '"}}' else '{{"chave":"' || chave || '"}}' end as parametros, case when na then '' else 'aux_' || rule_id end as conjunto, case when na then artifact_id else array_to_string(sel_artefatos, ';') end as artifact_ids,
+    case when na then 'DISPONIVEL' else cob end as cob, case when na then proprio else pior end as integ, case when na then '0' else cast(n_resultados as varchar) end as n, case when na or n_resultados = 0 then '' else chave end as amostra
+  from (select a.*, a.estado = 'NAO_APLICAVEL' as na, case a.rule_id {_KEYS} end as chave, coalesce(v.estado, 'NAO_VERIFICADO') as proprio, coalesce(c.estado, 'AUSENTE') as cob, coalesce((select min(coalesce(w.estado, 'NAO_VERIFICADO')) from unnest(a.sel_artefatos) u(x) left join versions w on w.artifact_id = u.x where w.estado is distinct from 'OK'), 'OK') as pior
+    from avaliacoes a join regras q using (rule_id) left join versions v on v.artifact_id = a.artifact_id left join cobertura c on c.familia_regra = q.familia and c.instrumento = a.instrumento and c.competencia = a.competencia_processamento and c.base_temporal = q.base where a.estado <> 'INCONCLUSIVO'))"""
+
+
+@_query("r12_evidence", "select * from evid", evid=_FOUND_EV)
 def _r12(f):
-    return rules.evidence(f.evaluations).groupBy("tipo", "rule_id").agg(F.count_distinct("parametros", "artifact_ids", "n_resultados").alias("n"))
+    return rules.evidence(f.evaluations)
+
+
+@_query("r13_check_invariant", "select (select count(*) from records) as registros, 4 as n_regras, count(*) as avaliacoes, count(*) = 4 * (select count(*) from records) as completo from avaliacoes")
+def _r13i(f):
+    return rules.check_invariant(f.stored_records, f.stored_evaluations, RULES).drop("run_id")
 
 
-@_query("r14_validate_evaluations", "select row_id, rule_id, cast(null as varchar) as problema from avaliacoes where estado in ('VIOLACAO','CONFORME') and sel_estado <> 'SELECIONADA' or estado = 'INCONCLUSIVO' and motivos = ''")
+@_query(
+    "r14_validate_evaluations",
+    "select row_id, rule_id, problema from (select row_id, rule_id, case when h % 7 = 0 and estado = 'CONFORME' then 'ESTADO_DIVERGENTE' when h % 11 = 0 and estado in ('CONFORME','VIOLACAO') then 'SELECAO_INVALIDA' when h % 13 = 0 and estado <> 'INCONCLUSIVO' then 'SEM_EVIDENCIA' end as problema from avaliacoes join (select row_id, cast(quantidade_apresentada as bigint) as h from records) using (row_id)) where problema is not null",
+)
 def _r14(f):
-    return rules.validate_evaluations(f.evaluations)
+    """Faults put into some rows: a match called a violation, a selection lost, evidence lost."""
+    h = f.stored_records.select("row_id", F.col("quantidade_apresentada").alias("h"))
+    ev = f.stored_evaluations.withColumn("ev_id", rules.evidence_id()).join(h, "row_id")
+    bad = ev.withColumns({"estado": F.when((F.col("h") % 7 == 0) & (F.col("estado") == "CONFORME"), "VIOLACAO").otherwise(F.col("estado")), "sel_estado": F.when((F.col("h") % 11 == 0) & F.col("estado").isin("CONFORME", "VIOLACAO"), "AUSENTE").otherwise(F.col("sel_estado")), "ev_id": F.when((F.col("h") % 13 == 0), None).otherwise(F.col("ev_id"))})
+    return rules.validate_evaluations(bad, ev.select("ev_id"))
 
 
 @_query("r15_aggregate_records", "select row_id, coalesce(array_to_string(v, ';'), '') as violacoes, coalesce(array_to_string(c, ';'), '') as conformes, coalesce(array_to_string(i, ';'), '') as inconclusivas, coalesce(array_to_string(n, ';'), '') as nao_aplicaveis, resultado from agregados")
@@ -223,7 +244,7 @@ def _n07(f):
     return normalize.distinct_entities(f.records.select("cnes", F.col("municipio_estabelecimento").alias("municipio")), ["cnes"])[0].groupBy("municipio").agg(F.count("*").alias("n"))
 
 
-@_query("n08_require_month", "select distinct competencia_processamento as competencia from records where not deletado and competencia_processamento <> '199601' order by 1 limit 10")
+@_query("n08_require_month", "select competencia_processamento as competencia, count(*) as n from records where not deletado and competencia_processamento <> '199601' group by 1")
 def _n08(f):
     return normalize.require_month(f.records, "competencia_processamento", "199601")
 
@@ -270,12 +291,13 @@ def _n15(f):
     return normalize.check_key(f.records, ["cnes", "cbo"])
 
 
-@_query("n16_check_lineage", "select row_id, 'ARTEFATO_NAO_DECLARADO' as problema from records where artifact_id like '%\\_b' escape '\\'")
+@_query("n16_check_lineage", "select row_id, case when quantidade_apresentada = 7 then 'ARTEFATO_DIVERGENTE' else 'ARTEFATO_NAO_DECLARADO' end as problema from records where quantidade_apresentada = 7 or artifact_id like '%\\_b' escape '\\'")
 def _n16(f):
-    return normalize.check_lineage(f.records, f.records.filter(~F.col("artifact_id").endswith("_b")).select("artifact_id").distinct())
+    wrong = f.records.withColumn("artifact_id", F.when(F.col("quantidade_apresentada") == 7, "art_outro").otherwise(F.col("artifact_id")))
+    return normalize.check_lineage(wrong, f.records.filter(~F.col("artifact_id").endswith("_b")).select("artifact_id").distinct())
 
 
-@_query("n17_territory_codes", "select codigo, case when length(codigo) = 6 then true else cast(substr(codigo,7,1) as int) = (10 - (select sum(case when i % 2 = 1 then d else (2*d)//10 + (2*d)%10 end) from (select i, cast(substr(codigo, i, 1) as int) as d from range(1,7) t(i))) % 10) % 10 end as valido from (select distinct municipio_estabelecimento || case when cast(municipio_estabelecimento as int) % 2 = 0 then '' else cast(cast(municipio_estabelecimento as int) % 10 as varchar) end as codigo from records where municipio_estabelecimento is not null)")
+@_query("n17_territory_codes", "select codigo, case when length(codigo) = 6 then true else cast(substr(codigo,7,1) as int) = (10 - (select sum(case when i % 2 = 1 then d else (2*d)//10 + (2*d)%10 end) from (select i, cast(substr(codigo, i, 1) as int) as d from range(1,7) t(i))) % 10) % 10 end as valido, n from (select codigo, count(*) as n from (select municipio_estabelecimento || case when cast(municipio_estabelecimento as int) % 2 = 0 then '' else cast(cast(municipio_estabelecimento as int) % 10 as varchar) end as codigo from records where municipio_estabelecimento is not null) group by 1)")
 def _n17(f):
     m = F.col("municipio_estabelecimento")
     codes = f.records.filter(m.isNotNull()).select(F.concat(m, F.when(m.cast("int") % 2 == 0, "").otherwise((m.cast("int") % 10).cast("string"))).alias("c"))
@@ -327,11 +349,21 @@ def _t08(f):
     return temporal.derive_selections(f.required, snap).groupBy("rule_id", "estado").agg(F.count("*").alias("n"))
 
 
-@_query("t09_rule_sources", "select rule_id, fonte, base, deslocamento, not (fonte = 'sig' and base = 'ATENDIMENTO') as resolvido from regras")
+@_query("t08_repeated_snapshot_keys", "select fonte, base, competencia_requerida, 2 as n from (select distinct fonte, base, competencia_requerida from selecoes where fonte = 'sig' and competencia_requerida is not null)")
+def _t08r(f):
+    """A snapshot set in which one source's months are twice, with another state."""
+    snap = temporal.snapshot_set(f.selections)
+    return temporal.repeated_snapshot_keys(snap.unionByName(snap.filter("fonte = 'sig'").withColumn("estado", F.lit("OUTRO"))))
+
+
+@_query("t09_rule_sources", "select q.rule_id, q.fonte, q.base, q.deslocamento, not (q.fonte = 'sig' and q.base = 'ATENDIMENTO') as resolvido, case when q.fonte = 'sig' and q.base = 'ATENDIMENTO' then 'CRITERIO_DIVERGENTE' end as motivo, count(r.competencia_requerida) filter (not (q.fonte = 'sig' and q.base = 'ATENDIMENTO')) as com_mes from regras q join requeridas r using (rule_id) group by all")
 def _t09(f):
-    """One documented criterion is another than the rule's own, so that rule stays unresolved."""
+    """One documented criterion is another than the rule's own, so that rule and all of its records
+    stay unresolved."""
     criteria = f.rule_table.select("fonte", "base", F.when(F.col("base") == "ATENDIMENTO", 1).otherwise(F.col("deslocamento")).alias("deslocamento"))
-    return temporal.rule_sources(f.rule_table, criteria)
+    sources = temporal.rule_sources(f.rule_table, criteria)
+    months = temporal.required_months(f.records, sources).groupBy("rule_id").agg(F.count("competencia_requerida").alias("com_mes"))
+    return sources.join(months, "rule_id")
 
 
 @_query("t10_check_selections", "select rule_id, count(*) as n from selecoes where estado <> 'NAO_RESOLVIDA' and fonte = 'pf' group by 1")
@@ -360,9 +392,9 @@ def _t12(f):
     return temporal.version_integrity(partial, f.versions, f.cutoff)
 
 
-@_query("t13_snapshot_set", "select distinct fonte, base, competencia_requerida, estado, array_to_string(artifact_ids, ';') as artifact_ids from selecoes where competencia_requerida is not null")
+@_query("t13_snapshot_set", "select distinct fonte, base, competencia_requerida, estado, array_to_string(artifact_ids, ';') as artifact_ids, timestamp '2024-03-01 00:00:00' as corte, true as congelado from selecoes where competencia_requerida is not null")
 def _t13(f):
-    return temporal.snapshot_set(f.selections)
+    return temporal.snapshot_set(f.selections, f.cutoff)
 
 
 @_query("t14_latest_versions", "select fonte, competencia, parte, last(artifact_id order by observado_em, observation_id) as artifact_id, max(observado_em) as observado_em from observations where artifact_id is not null group by all")
@@ -381,9 +413,9 @@ def _t15(f):
 _KEY = "familia_regra, instrumento, competencia, base_temporal"
 
 
-@_query("c1_build_coverage", f"select {_KEY}, estado from cobertura")
+@_query("c1_build_coverage", f"select {_KEY}, estado, motivo from cobertura")
 def _c1(f):
-    return f.coverage.select(*_KEY.split(", "), "estado")
+    return f.coverage.select(*_KEY.split(", "), "estado", "motivo")
 
 
 @_query("c2_available_months", "select distinct competencia_arquivo as competencia from estab_occ where competencia_arquivo not in (select competencia from months where mi % 5 = 0)")
@@ -391,10 +423,10 @@ def _c2(f):
     return coverage.available_months(f.view("estab_occ"), "competencia_arquivo", ("cnes", "cbo"), f.view("months").filter("mi % 5 = 0"))
 
 
-@_query("c3_mark_incomplete", f"select {_KEY}, case when mi % 6 = 0 and estado = 'DISPONIVEL' then 'INSUFICIENTE' else estado end as estado from cobertura join months using (competencia)")
+@_query("c3_mark_incomplete", f"select {_KEY}, case when mi % 6 = 0 and estado = 'DISPONIVEL' then 'INSUFICIENTE' else estado end as estado, case when mi % 6 = 0 then concat_ws(' ', 'incompleta=republicada', motivo) else motivo end as motivo from cobertura join months using (competencia)")
 def _c3(f):
     marks = f.view("months").filter("mi % 6 = 0").select("competencia", F.lit("republicada").alias("marca"))
-    return coverage.mark_incomplete(f.coverage, marks).select(*_KEY.split(", "), "estado")
+    return coverage.mark_incomplete(f.coverage, marks).select(*_KEY.split(", "), "estado", "motivo")
 
 
 @_query("c3_read_marks", "select distinct competencia, 'republicada' as marca from cobertura join months using (competencia) where mi % 6 = 0")
@@ -409,18 +441,29 @@ def _c4(f):
     return coverage.incomplete_months(bad, f.records)
 
 
-@_query("c5_recompute_coverage", f"select {_KEY}, case when n_prod = 0 then 'AUSENTE' else estado end as estado from cobertura where competencia >= '199901'")
+@_query("c4_incompleteness", "select fonte, competencia, marca from (select p.fonte, p.competencia, case when bool_or(estado = 'AMBIGUA') then 'republicada' when bool_or(estado in ('EM_QUARENTENA','FORA_DO_CORTE')) then 'sem_versao_integra' when bool_or(estado = 'AUSENTE') then 'nunca_obtida' when bool_or(estado = 'SELECIONADA' and substr(p.competencia, 6, 1) = '7') then 'nao_normalizada' when any_value(d.esperadas) is null and count(parte) > 0 then 'partes_nao_declaradas' when len(list_filter(any_value(d.esperadas), lambda e: not list_contains(list(parte), e))) > 0 then 'parte_ausente' end as marca from partes_estado p left join declaradas d on d.fonte = p.fonte and d.competencia = p.competencia group by p.fonte, p.competencia) where marca is not null")
+def _c4i(f):
+    """Versions of months that end in 7 could not be normalized."""
+    failed = f.parts.select("competencia", F.explode("artifact_ids").alias("artifact_id")).filter(F.substring("competencia", 6, 1) == "7").select("artifact_id")
+    return coverage.incompleteness(f.parts, f._by_month("expected_parts"), failed)
+
+
+@_query("c5_recompute_coverage", f"select {_KEY}, case when competencia < '199901' then 'INSUFICIENTE' when mi % 6 = 0 and estado = 'DISPONIVEL' then 'INSUFICIENTE' else estado end as estado, nullif(concat_ws(' ', case when mi % 6 = 0 then 'incompleta=republicada' end, case when competencia < '199901' then 'populacao_vazia' else motivo end), '') as motivo from cobertura join months using (competencia)")
 def _c5(f):
-    """The population is cut to the months from 1996-01 on; other months of the grid have no production."""
-    cut = f.records.filter("competencia_processamento >= '199901'")
+    """The population is cut to the months from 1999-01 on; the source has the others too, and some
+    months were marked before."""
+    cut = f.stored_records.filter("competencia_processamento >= '199901'")
     bases = f.spark.createDataFrame([("PROCESSAMENTO",), ("ATENDIMENTO",)], "base_temporal string")
-    return coverage.build_coverage(cut, f.available, f.families, f.months.filter("competencia >= '199901'"), bases).select(*_KEY.split(", "), "estado")
+    marks = f._months.filter("mi % 6 = 0").select("competencia", F.lit("republicada").alias("marca"))
+    old = coverage.mark_incomplete(f.coverage, marks)
+    return coverage.recompute_coverage(old, cut, f.available, f.families, f.months, bases, f.months).select(*_KEY.split(", "), "estado", "motivo")
 
 
-@_query("c6_admit_versions", "select artifact_id, case when artifact_id like 'art\\_sia%' escape '\\' then 'FAMILIA_FORA' when not exists (select 1 from observations o where o.artifact_id = v.artifact_id and observado_em <= timestamp '2024-03-01 00:00:00') then 'FORA_DO_CORTE' end as motivo from versions v")
+@_query("c6_admit_versions", "select artifact_id, case when artifact_id like 'art\\_sia%' escape '\\' then 'FAMILIA_FORA' when artifact_id like 'art\\_pf%\\_b' escape '\\' then 'REGIAO_FORA' when not exists (select 1 from observations o where o.artifact_id = v.artifact_id and observado_em <= timestamp '2024-03-01 00:00:00') then 'FORA_DO_CORTE' end as motivo from versions v")
 def _c6(f):
     v = f.versions.withColumn("fonte", F.element_at(F.split("artifact_id", "_"), 2))
-    return coverage.admit_versions(v, ["sig", "pf"], temporal.as_known_at(f.obs, f.cutoff)).select("artifact_id", "motivo")
+    v = v.withColumn("uf", F.when(F.col("fonte") == "pf", F.element_at(F.split("artifact_id", "_"), -1)))
+    return coverage.admit_versions(v, ["sig", "pf"], temporal.as_known_at(f.obs, f.cutoff), "a").select("artifact_id", "motivo")
 
 
 @_query("c7_month_mismatch", "select artifact_id, count(*) filter (competencia_processamento is distinct from substr(artifact_id, 9, 6)) as n_divergentes, count(*) as n_linhas from records where not deletado group by 1")
@@ -445,6 +488,12 @@ _DIMS = ("competencia_processamento", "competencia_atendimento", "instrumento",
 _NAMES = ("NAO_APROVADO", "APROVADO_TOTAL", "APROVADO_PARCIAL", "DESCONHECIDO")
 
 
+@_query("l3_check_profile", " union all ".join(f"select '{d}' as dimensao, count(*) as linhas, count(*) filter (deletado) as deletadas, true as confere from records" for d in ("competencia_processamento", "instrumento", "pa_indica_bruto")))
+def _l3c(f):
+    dims = ["competencia_processamento", "instrumento", "pa_indica_bruto"]
+    return labels.check_profile(labels.profile(f.stored_records, dims), f.stored_records)
+
+
 @_query("l3_profile", " union all ".join(f"select '{d}' as dimensao, {d} as valor, count(*) as linhas, count(*) filter (deletado) as deletadas, " + ", ".join(f"count(*) filter (rotulo = '{n}') as {n.lower()}" for n in _NAMES) + f" from rotulos group by {d}" for d in _DIMS))
 def _l3(f):
     return labels.profile(f.records, list(_DIMS))
@@ -454,7 +503,7 @@ _REASON = "case when deletado then 'DELETADO' when competencia_processamento not
 
 
 def _cohort(f: Flow) -> DataFrame:
-    return f.records.withColumn("motivo", labels.cohort_reason(labels.split_cohort("199501", "200112")))
+    return labels.in_territory(f.stored_records, f.places).withColumn("motivo", labels.cohort_reason(labels.split_cohort("199501", "200112", spec=SPLIT)))
 
 
 @_query("k1_cohort_reason", f"select row_id, {_REASON} as motivo from records")
@@ -465,14 +514,31 @@ def _k1(f):
 _PART = "case when competencia_processamento between '199501' and '199712' then 'desenvolvimento' when competencia_processamento between '199801' and '199906' then 'calibracao' when competencia_processamento between '199907' and '200112' then 'teste' end"
 
 
+@_query("k1_report_cohort", "select row_id, case when artifact_id like '%\\_a' escape '\\' and quantidade_apresentada = 9 then 'VERSOES_CONCORRENTES' when deletado then 'DELETADO' when municipio_estabelecimento is null then 'SEM_MUNICIPIO' when cast(municipio_estabelecimento as int) % 7 = 0 then 'FORA_DO_TERRITORIO' when competencia_processamento not between '199501' and '199812' then 'FORA_DO_PERIODO' when instrumento is null or instrumento not in ('C','I') then 'INSTRUMENTO' end as motivo from records")
+def _k1r(f):
+    r = labels.in_territory(f.stored_records, f.places).withColumn("concorrente", F.col("artifact_id").endswith("_a") & (F.col("quantidade_apresentada") == 9))
+    return r.select("row_id", labels.cohort_reason(labels.report_cohort("199501", "199812", ("C", "I"))).alias("motivo"))
+
+
+@_query("k1_crop_cohort", "select row_id, case when deletado then 'DELETADO' when competencia_processamento not in ('199601','199602') then 'FORA_DO_PERIODO' when municipio_estabelecimento is null then 'SEM_MUNICIPIO' when cast(municipio_estabelecimento as int) % 7 = 0 then 'FORA_DO_TERRITORIO' end as motivo from records")
+def _k1c(f):
+    return labels.in_territory(f.stored_records, f.places).select("row_id", labels.cohort_reason(labels.crop_cohort(["199601", "199602"])).alias("motivo"))
+
+
 @_query("k2_split_by_time", f"select row_id, {_PART} as particao from records where {_REASON} is null and {_PART} is not null")
 def _k2(f):
     return labels.split_by_time(_cohort(f).filter("motivo is null"), SPLIT).select("row_id", "particao")
 
 
-@_query("k3_check_source_split", "select regexp_replace(artifact_id, '_[a-z]$', '') as fonte_arquivo, array_to_string(list_sort(list(distinct p)), ';') as particoes, count(distinct p) as n, count(distinct artifact_id) as n_versoes from (select artifact_id, case when quantidade_apresentada % 2 = 0 then 'x' else 'y' end as p from records) group by 1 having count(distinct p) > 1")
+@_query("k3_check_source_split", "select fonte_arquivo, particoes, n, n_versoes, case when n > 1 then 'EM_VARIAS_PARTICOES' when mes % 5 = 0 then 'INSPECIONADA_NO_TESTE' end as problema from (select regexp_replace(artifact_id, '_[a-z]$', '') as fonte_arquivo, any_value(cast(substr(artifact_id, 13, 2) as int)) as mes, array_to_string(list_sort(list(distinct p)), ';') as particoes, count(distinct p) as n, count(distinct artifact_id) as n_versoes from (select artifact_id, case when cast(substr(artifact_id, 13, 2) as int) % 4 = 0 and artifact_id like '%\\_a' escape '\\' then 'desenvolvimento' else 'teste' end as p from records) group by 1) where n > 1 or mes % 5 = 0 and particoes = 'teste'")
 def _k3(f):
-    return labels.check_source_split(f.records.withColumn("particao", F.when(F.col("quantidade_apresentada") % 2 == 0, "x").otherwise("y")))
+    """In months divisible by four one version of a file is in the development set; files of months
+    divisible by five have been inspected."""
+    month = F.substring("artifact_id", 13, 2).cast("int")
+    files = f.stored_records.select("artifact_id").distinct()
+    parts = files.withColumn("particao", F.when((month % 4 == 0) & F.col("artifact_id").endswith("_a"), "desenvolvimento").otherwise("teste"))
+    sources = files.withColumn("fonte_arquivo", F.regexp_replace("artifact_id", r"_[a-z]\z", ""))
+    return labels.check_source_split(parts, sources, sources.filter(month % 5 == 0))
 
 
 @_query("k4_split_labels", f"select particao, rotulo, count(*) as n from (select {_PART} as particao, rotulo from rotulos) where particao is not null group by all")
@@ -491,17 +557,28 @@ def _k6(f):
     return labels.window_production(f.records, files).groupBy("artifact_id").agg(F.count("*").alias("n"))
 
 
+@_query("k6_straddling_datasets", "select substr(artifact_id, 9, 4) as dataset, count(distinct artifact_id) filter (substr(artifact_id, 9, 6) between '199601' and '199706') as dentro, count(distinct artifact_id) filter (substr(artifact_id, 9, 6) not between '199601' and '199706') as fora from records group by 1 having count(distinct artifact_id) filter (substr(artifact_id, 9, 6) between '199601' and '199706') > 0 and count(distinct artifact_id) filter (substr(artifact_id, 9, 6) not between '199601' and '199706') > 0")
+def _k6s(f):
+    """Datasets of a year each, and a window that ends in the middle of one."""
+    files = f.stored_records.select("artifact_id").distinct()
+    inside = files.filter(F.substring("artifact_id", 9, 6).between("199601", "199706"))
+    return labels.straddling_datasets(files.withColumn("dataset", F.substring("artifact_id", 9, 4)), inside)
+
+
 # --- metrics -------------------------------------------------------------------------------------
 
 _OUT = "select 'regras' as metodo, row_id, case resultado when 'ALERTA' then 'ALERTA' when 'ABSTENCAO' then 'ABSTENCAO' else 'SEM_ALERTA' end as situacao from agregados union all select 'par', row_id, case estado when 'VIOLACAO' then 'ALERTA' when 'CONFORME' then 'SEM_ALERTA' else 'ABSTENCAO' end from av0"
-_LINES = "select m.metodo, p.*, coalesce(s.situacao, 'ABSTENCAO') as situacao, rotulo in ('NAO_APROVADO','APROVADO_TOTAL') and instrumento is not null and procedimento is not null and cbo is not null and cnes is not null and competencia_atendimento is not null and competencia_processamento is not null as comum from rotulos p cross join (values ('regras'),('par')) m(metodo) left join saidas s on s.metodo = m.metodo and s.row_id = p.row_id"
+_LINES = "select m.metodo, p.*, coalesce(s.situacao, 'ABSTENCAO') as situacao, rotulo in ('NAO_APROVADO','APROVADO_TOTAL') and instrumento is not null and procedimento is not null and cbo is not null and cnes is not null and competencia_atendimento is not null and competencia_processamento is not null as comum, case when quantidade_apresentada % 5 = 0 then 'FORA_DE_ESCOPO_DOCUMENTADA' end as causa from rotulos p cross join (values ('regras'),('par')) m(metodo) left join saidas s on s.metodo = m.metodo and s.row_id = p.row_id"
 _STRATA = "select unnest(list_filter(['TOTAL', case when comum then 'dominio_comum' end, 'instrumento=' || coalesce(instrumento, 'None'), 'competencia=' || competencia_processamento, 'estabelecimento=' || cnes], lambda x: x is not null)) as estrato, * from linhas"
-_PAIRS = (("cobertura_rejeicoes", "situacao = 'ALERTA'", "rotulo = 'NAO_APROVADO'"), ("cobertura_verificabilidade", "situacao <> 'ABSTENCAO'", "true"), ("precisao_alertas", "rotulo = 'NAO_APROVADO'", "situacao = 'ALERTA' and rotulo in ('NAO_APROVADO','APROVADO_TOTAL')"), ("falsos_alertas_aprovacoes", "situacao = 'ALERTA'", "rotulo = 'APROVADO_TOTAL'"), ("abstencao", "situacao = 'ABSTENCAO'", "true"), ("alerta_aprovacao_parcial", "situacao = 'ALERTA'", "rotulo = 'APROVADO_PARCIAL'"))
+_PAIRS = (("cobertura_rejeicoes", "situacao = 'ALERTA'", "rotulo = 'NAO_APROVADO'"), ("cobertura_verificabilidade", "situacao <> 'ABSTENCAO'", "true"), ("precisao_alertas", "rotulo = 'NAO_APROVADO'", "situacao = 'ALERTA' and rotulo in ('NAO_APROVADO','APROVADO_TOTAL')"), ("falsos_alertas_aprovacoes", "situacao = 'ALERTA'", "rotulo = 'APROVADO_TOTAL'"), ("abstencao", "situacao = 'ABSTENCAO'", "true"), ("alerta_aprovacao_parcial", "situacao = 'ALERTA'", "rotulo = 'APROVADO_PARCIAL'"), ("rejeicoes_sem_alerta_fora_de_escopo_documentada", "causa is not null", "rotulo = 'NAO_APROVADO' and situacao <> 'ALERTA'"), ("rejeicoes_sem_alerta_causa_indeterminada", "causa is null", "rotulo = 'NAO_APROVADO' and situacao <> 'ALERTA'"))
 
 
 def _outcomes(f: Flow) -> DataFrame:
-    every = f.aggregates  # first: its coverage also serves the one rule
-    return metrics.method_outcomes({"regras": every, "par": rules.aggregate_records(f.one_rule(0))})
+    return f.outcomes
+
+
+def _valued(sql: str, scale: int = 6) -> str:
+    return f"select *, {ratio_sql('numerador', 'denominador', scale)} as valor from ({sql})"
 
 
 @_query("m1_method_outcomes", "select metodo, row_id, situacao, 1 as vezes from saidas", saidas=_OUT)
@@ -511,23 +588,26 @@ def _m1(f):
 
 @_query(
     "m2_ratio_metrics",
-    " union all ".join(f"select metodo, '{m}' as metrica, estrato, count(*) filter (({n}) and ({d})) as numerador, count(*) filter ({d}) as denominador from estratos group by metodo, estrato" for m, n, d in _PAIRS),
+    _valued(" union all ".join(f"select metodo, '{m}' as metrica, estrato, count(*) filter (({n}) and ({d})) as numerador, count(*) filter ({d}) as denominador from estratos group by metodo, estrato" for m, n, d in _PAIRS) + " union all select 'populacao', 'tamanho_estrato', estrato, count(*), (select count(*) from rotulos) from estratos where metodo = 'par' group by estrato"),
     saidas=_OUT,
     linhas=_LINES,
     estratos=_STRATA,
 )
 def _m2(f):
-    return metrics.ratio_metrics(f.population, _outcomes(f), ["regras", "par"]).drop("valor")
+    return metrics.ratio_metrics(f.population, _outcomes(f), ["regras", "par"])
 
 
-@_query("m3_paired_divergence", "select 'so_regras' as metrica, count(*) filter (rotulo = 'NAO_APROVADO' and a = 'ALERTA' and b <> 'ALERTA') as numerador, count(*) filter (rotulo = 'NAO_APROVADO') as denominador from pares union all select 'so_par', count(*) filter (rotulo = 'NAO_APROVADO' and b = 'ALERTA' and a <> 'ALERTA'), count(*) filter (rotulo = 'NAO_APROVADO') from pares union all select 'discordancia', count(*) filter (a <> b), count(*) from pares", saidas=_OUT, pares="select p.row_id, p.rotulo, x.situacao as a, y.situacao as b from rotulos p join saidas x on x.row_id = p.row_id and x.metodo = 'regras' join saidas y on y.row_id = p.row_id and y.metodo = 'par'")
+@_query("m3_paired_divergence", _valued("select 'so_regras' as metrica, count(*) filter (rotulo = 'NAO_APROVADO' and a = 'ALERTA' and b <> 'ALERTA') as numerador, count(*) filter (rotulo = 'NAO_APROVADO') as denominador from pares union all select 'so_par', count(*) filter (rotulo = 'NAO_APROVADO' and b = 'ALERTA' and a <> 'ALERTA'), count(*) filter (rotulo = 'NAO_APROVADO') from pares union all select 'discordancia', count(*) filter (a <> b), count(*) from pares"), saidas=_OUT, pares="select p.row_id, p.rotulo, x.situacao as a, y.situacao as b from rotulos p join saidas x on x.row_id = p.row_id and x.metodo = 'regras' join saidas y on y.row_id = p.row_id and y.metodo = 'par'")
 def _m3(f):
-    return metrics.paired_divergence(f.population, _outcomes(f), "regras", "par").drop("valor")
+    return metrics.paired_divergence(f.population, _outcomes(f), "regras", "par")
 
 
 _SUMS = "select coalesce({c}, 'SEM_GRUPO') as grupo, count(*) filter (rotulo = 'NAO_APROVADO' and situacao = 'ALERTA') as num, count(*) filter (rotulo = 'NAO_APROVADO') as den from linhas where metodo = 'regras' group by 1 having count(*) filter (rotulo = 'NAO_APROVADO') > 0"
-_BOOT = """select (select sum(num) from somas) as numerador, (select sum(den) from somas) as denominador, round_even(quantile_cont(r, 0.025), 9) as inferior, round_even(quantile_cont(r, 0.975), 9) as superior, count(*) as replicas, (select count(*) from somas) as grupos from (
-  select rep, cast(sum(num) as double) / sum(den) as r from (select rep, cast(('0x' || substr(sha256('42:' || rep || ':' || k), 1, 12)) as bigint) % n as pos from range({reps}) a(rep), (select count(*) as n from somas), lateral (select unnest(range(n)) as k)) d join (select *, row_number() over (order by grupo) - 1 as pos from somas) using (pos) group by rep)"""
+_BOOT = """select *, {valor} as valor from (select (select sum(num) from somas) as numerador, (select sum(den) from somas) as denominador, round_even(quantile_cont(r, 0.025), 9) as inferior, round_even(quantile_cont(r, 0.975), 9) as superior, count(*) as replicas, (select count(*) from somas) as grupos from (
+  select rep, cast(sum(num) as double) / sum(den) as r from (select rep, cast(('0x' || substr(sha256('42:' || rep || ':' || k), 1, 12)) as bigint) % n as pos from range({reps}) a(rep), (select count(*) as n from somas), lateral (select unnest(range(n)) as k)) d join (select *, row_number() over (order by grupo) - 1 as pos from somas) using (pos) group by rep))"""
+
+
+_BOOT_2000 = _BOOT.format(reps=2000, valor=ratio_sql("numerador", "denominador", 6))
 
 
 def _sums(f: Flow, cluster: str) -> DataFrame:
@@ -536,21 +616,27 @@ def _sums(f: Flow, cluster: str) -> DataFrame:
     return metrics.cluster_sums(df, F.col("situacao") == "ALERTA", F.col("rotulo") == "NAO_APROVADO", cluster)
 
 
-@_query("m5_cluster_bootstrap", _BOOT.format(reps=200), saidas=_OUT, linhas=_LINES, somas=_SUMS.format(c="cnes"))
+@_query("m5_cluster_bootstrap", _BOOT_2000, saidas=_OUT, linhas=_LINES, somas=_SUMS.format(c="cnes"))
 def _m5(f):
-    return metrics.cluster_bootstrap(_sums(f, "cnes"), 200).drop("valor")
+    return metrics.cluster_bootstrap(_sums(f, "cnes"))
 
 
-@_query("m6_block_sensitivity", _BOOT.format(reps=200), saidas=_OUT, linhas=_LINES, somas=_SUMS.format(c="competencia_atendimento"))
+@_query("m6_block_sensitivity", _BOOT_2000, saidas=_OUT, linhas=_LINES, somas=_SUMS.format(c="competencia_atendimento"))
 def _m6(f):
-    return metrics.cluster_bootstrap(_sums(f, "competencia_atendimento"), 200).drop("valor")
+    return metrics.cluster_bootstrap(_sums(f, "competencia_atendimento"))
+
 
+_DIFFERENCE = "select coalesce({c}, 'SEM_GRUPO') as grupo, count(*) filter (metodo = 'regras' and situacao = 'ALERTA') - count(*) filter (metodo = 'par' and situacao = 'ALERTA') as num, count(*) filter (metodo = 'par') as den from linhas where rotulo = 'NAO_APROVADO' group by 1"
 
-@_query("m4_paired_difference", "select grupo, sum(case when metodo = 'regras' then num else -num end) as diferenca, max(den) as den from (select metodo, coalesce(cnes, 'SEM_GRUPO') as grupo, count(*) filter (rotulo = 'NAO_APROVADO' and situacao = 'ALERTA') as num, count(*) filter (rotulo = 'NAO_APROVADO') as den from linhas group by all) where den > 0 group by grupo", saidas=_OUT, linhas=_LINES)
+
+@_query("m4_paired_difference", _BOOT_2000, saidas=_OUT, linhas=_LINES, somas=_DIFFERENCE.format(c="cnes"))
 def _m4(f):
-    out = _outcomes(f)
-    df = f.population.join(out.groupBy("row_id").agg(F.sum(F.when(F.col("situacao") == "ALERTA", F.when(F.col("metodo") == "regras", 1).otherwise(-1)).otherwise(0)).alias("d")), "row_id", "left")
-    return df.groupBy(F.coalesce("cnes", F.lit("SEM_GRUPO")).alias("grupo")).agg(F.sum(F.when(F.col("rotulo") == "NAO_APROVADO", F.col("d")).otherwise(0)).alias("diferenca"), F.count_if(F.col("rotulo") == "NAO_APROVADO").alias("den")).filter("den > 0")
+    return metrics.paired_difference(f.population, _outcomes(f), "regras", "par", "cnes")
+
+
+@_query("m4_difference_by_month", _BOOT_2000, saidas=_OUT, linhas=_LINES, somas=_DIFFERENCE.format(c="competencia_processamento"))
+def _m4b(f):
+    return metrics.paired_difference(f.population, _outcomes(f), "regras", "par", "competencia_processamento")
 
 
 @_query("m7_result_coverage", "select metodo, (select count(*) from records) - count(*) filter (quantidade_apresentada <= 40) as faltam, 0 as sobram, 0 as repetidas from saidas join records using (row_id) group by metodo", saidas=_OUT)
