@@ -330,18 +330,24 @@ class Codec:
         numbers = np.frombuffer(ids, "<u4")
         for i in range(0, len(numbers), chunk):
             part = numbers[i : i + chunk]
-            if not state[0] and self.whole[part].all():
-                yield b"".join(self.blobs[part].tolist())
-                continue
-            out = []
-            for token in part.tolist():
-                known = moves.get((state, token))
+            own, n, at, out = self.blobs[part].tolist(), len(part), 0, []
+            splits = iter([*np.flatnonzero(~self.whole[part]).tolist(), n])
+            while at < n:
+                if not state[0]:  # between characters: whole tokens up to the next that isn't
+                    split = next(x for x in splits if x >= at)
+                    out += own[at:split]
+                    at = split
+                    if at == n:
+                        break
+                key = state, int(part[at])
+                known = moves.get(key)
                 if known is None:
                     if len(moves) >= MAX_FITS:
                         moves.clear()
-                    known = moves[state, token] = machine.feed(state, self.blobs[token])
+                    known = moves[key] = machine.feed(state, own[at])
                 state, data = known
                 out.append(data)
+                at += 1
             yield b"".join(out)
         yield machine.end(state)
 
