@@ -5,9 +5,9 @@ and may end a token where the token may follow the one before it; two tokens are
 of their joined bytes gives back the two. A byte string has exactly one walk of compatible tokens,
 and that is its BPE encoding. ``Transducer`` makes this deterministic while it reads: a state is
 the set of walks still possible, each with the tokens it has yet to emit. Tokens that all walks
-share are emitted at once, so output lags by no more than the longest token. States and transitions
-are built when first met; once there are ``MAX_STATES``, they are forgotten and built anew from the
-state at hand.
+share are emitted at once, so output lags by no more than the longest token. A transition is built
+when it is missing for the second time; the first time, the pre-token is encoded by the
+nondeterministic walk. Once there are ``MAX_STATES`` states, they are forgotten and built anew.
 
 Decoding runs a state machine over the ids: its state is the open UTF-8 sequence, its output whole
 characters. What a token does in a state is worked out once, byte by byte.
@@ -34,6 +34,7 @@ from datavouch.llm.common import encode
 #: keeps at most. None of them changes a result.
 MAX_STATES = 50_000
 MAX_FITS = 1_000_000
+MAX_MET = 500_000
 MAX_PIECES = 250_000
 
 
@@ -65,6 +66,8 @@ class Transducer:
         self.number = {self.states[0]: 0}
         #: From state * 256 + byte to the next state and what is emitted.
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
+        #: Steps that were missing once.
+        self.met: set[int] = set()
 
     def merge(self, word: bytes, least: int = 1) -> list[bytes]:
         """BPE by its definition: the adjacent pair of least rank is joined until none is left, or
@@ -154,11 +157,36 @@ class Transducer:
         self.steps[state << 8 | byte] = step = (number, emitted)
         return step
 
+    def walk(self, word: bytes) -> list[int]:
+        """The encoding by the nondeterministic transducer: every prefix has one compatible walk,
+        so the last token of each is enough to find the way back."""
+        n = len(word)
+        token_at, start_at = [-1] * (n + 1), [0] * (n + 1)
+        child, ends, fits = self.child, self.ends, self.fits
+        for i in range(n):
+            before = token_at[i]
+            node = 0
+            for j in range(i, n):
+                node = child[node].get(word[j])
+                if node is None:
+                    break
+                token = ends[node]
+                if token >= 0:
+                    fit = fits.get(before << 20 | token)
+                    if fit or fit is None and self.compatible(before, token):
+                        token_at[j + 1], start_at[j + 1] = token, i
+        out = []
+        while n:
+            out.append(token_at[n])
+            n = start_at[n]
+        return out[::-1]
+
     def _renew(self, state: int) -> int:
         """Forgets all states but the start and the given one, whose new number it returns."""
         key = self.states[state]
         self.states = [(-1, (((), 0),))]
         self.number, self.steps = {self.states[0]: 0}, {}
+        self.met.clear()
         if key not in self.number:
             self.number[key] = 1
             self.states.append(key)
@@ -172,6 +200,12 @@ class Transducer:
         for byte in word:
             known = steps.get(state << 8 | byte)
             if known is None:
+                key = state << 8 | byte
+                if key not in self.met:  # for a word that may never come again
+                    if len(self.met) >= MAX_MET:
+                        self.met.clear()
+                    self.met.add(key)
+                    return self.walk(word)
                 if len(self.states) >= MAX_STATES:
                     state = self._renew(state)
                     steps = self.steps
