@@ -154,16 +154,78 @@ def _s1(f):
     return canonical.conform(f.view("estab_occ").withColumn("n_vinculos", F.col("n_vinculos").cast("int")), schema).agg(F.count("*").alias("linhas"), F.sum("n_vinculos").alias("vinculos"))
 
 
+@_query("s1_read_canonical", "select cnes, cbo, n_vinculos, competencia_arquivo, artifact_id from estab_occ")
+def _s1r(f):
+    """Written with its descriptor, and read back against it (the sink and the conforming scan)."""
+    from datavouch.functions.tables import shared_path
+
+    df = f.view("estab_occ")
+    path = shared_path(f.spark)
+    canonical.write_dataset(df, path, "estab_cbo.v1")
+    return canonical.read_canonical(f.spark, path, df.schema, verify=True)
+
+
+@_query("s5_write_dataset", "select 'estab_cbo.v1' as schema_id, count(*) as linhas, true as confere from estab_occ")
+def _s5(f):
+    """The descriptor that the sink writes: its rows, and whether its hash is that of the content in
+    another order."""
+    from datavouch.functions.tables import shared_path
+
+    df = f.view("estab_occ")
+    path = shared_path(f.spark)
+    canonical.write_dataset(df, path, "estab_cbo.v1")
+    said = f.spark.read.text(f"{path}.descriptor").select(F.from_json("value", "schema_id string, rows long, hash string").alias("d")).select("d.*")
+    again = identity.multiset_fingerprint(df.repartition(7, "cbo"))
+    digest = F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), *[f"limb_{i}" for i in range(4)]), 256)
+    return said.crossJoin(again).select("schema_id", F.col("rows").alias("linhas"), (F.col("hash") == digest).alias("confere"))
+
+
+@_query("s4_read_dbf", "select cnes, cbo, deletado, count(*) as n from (select cnes, coalesce(cbo, '') as cbo, deletado from records) group by all")
+def _s4(f):
+    """The records' codes as dBASE tables, written by tasks, and decoded in ranges of rows."""
+    import struct
+
+    import pyarrow as pa
+    from datavouch.functions.tables import shared_path
+    from datavouch.sources import dbf
+
+    path = shared_path(f.spark)
+    fields = [(b"CNES", 7), (b"CBO", 6)]
+
+    def write(batches):
+        from pyarrow import fs
+        from pyspark import TaskContext
+
+        rows = [b"".join([b"*" if d else b" ", c.encode(), (o or "").encode().ljust(6)]) for x in batches for c, o, d in zip(*(c.to_pylist() for c in x.columns), strict=True)]
+        head = struct.pack("<BBBBIHH20x", 3, 99, 1, 1, len(rows), 32 + 32 * len(fields) + 1, 14) + b"".join(struct.pack("<11sc4xBB14x", n, b"C", k, 0) for n, k in fields) + b"\r"
+        store, base = fs.FileSystem.from_uri(path)
+        store.create_dir(base)
+        with store.open_output_stream(f"{base}/{TaskContext.get().partitionId()}.dbf") as out:
+            out.write(head + b"".join(rows))
+        yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64())], ["n"])
+
+    uri = path if "://" in path or path.startswith("file:") else f"file://{path}"
+    path = uri
+    f.stored_records.select("cnes", "cbo", "deletado").mapInArrow(write, "n long").agg(F.sum("n")).collect()
+    return dbf.read_dbf(f.spark, uri, ["cnes", "cbo"], 1000).groupBy("cnes", F.rtrim("cbo").alias("cbo"), "deletado").agg(F.count("*").alias("n"))
+
+
 @_query("s2_union_datasets", "select artifact_id, sum(n) as n from (select artifact_id, count(*) as n from proc_occ group by 1 union all select artifact_id, count(*) from proc_instr group by 1) group by 1")
 def _s2(f):
     return canonical.union_datasets([f.view("proc_occ"), f.view("proc_instr")]).groupBy("artifact_id").agg(F.count("*").alias("n"))
 
 
-@_query("s3_fixed_width", "select lpad(cast(l_orderkey as varchar), 10, '0') as ordem, lpad(cast(l_linenumber as varchar), 2, '0') as linha, case when l_linenumber = 3 then 'LARGURA' end as problema, count(*) as n from lineitem group by all")
+@_query("s3_fixed_width", "select lpad(cast(l_orderkey as varchar), 10, '0') as ordem, case when l_linenumber = 4 then 'x4' else lpad(cast(l_linenumber as varchar), 2, '0') end as linha, case when l_linenumber = 3 then 'LARGURA' when l_linenumber = 5 then 'TRUNCADO' when l_linenumber = 4 then 'TIPO' end as problema, count(*) as n from lineitem group by all")
 def _s3(f):
-    line = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"), F.when(F.col("l_linenumber") == 3, "x").otherwise(""))
-    lines = f.view("lineitem").select(line.alias("value"))
-    return fixed_width.slice_lines(lines, [fixed_width.Field("ordem", 1, 10), fixed_width.Field("linha", 11, 12)]).groupBy("ordem", "linha", "problema").agg(F.count("*").alias("n"))
+    """Lines that are too long, that end their file too early, and that hold letters for a number."""
+    k = F.col("l_linenumber")
+    number = F.when(k == 4, "x4").otherwise(F.lpad(k.cast("string"), 2, "0"))
+    line = F.concat(F.lpad(F.col("l_orderkey").cast("string"), 10, "0"), number, F.when(k == 3, "x").otherwise(""))
+    lines = f.view("lineitem").select(F.when(k == 5, F.expr("concat(substr(lpad(cast(l_orderkey as string), 10, '0'), 1, 10), '05')")).otherwise(line).alias("value"), (k == 5).alias("ultima"))
+    lines = lines.withColumn("value", F.when(F.col("ultima"), F.expr("substr(value, 1, 10)")).otherwise(F.col("value")))
+    layout = [fixed_width.Field("ordem", 1, 10, "INTEIRO", 10), fixed_width.Field("linha", 11, 12, "INTEIRO", 2)]
+    out = fixed_width.slice_lines(lines, layout)
+    return out.withColumn("linha", F.when(F.col("problema") == "TRUNCADO", "05").otherwise(F.col("linha"))).groupBy("ordem", "linha", "problema").agg(F.count("*").alias("n"))
 
 
 _LOG = "select event_id as seq, case when event_id % 97 = 5 then 'x' else cast(event_id - 1 as varchar) end as anterior, cast(event_id as varchar) as hash from events where event_id % 101 <> 7"
@@ -654,65 +716,126 @@ def _m8(f):
 
 
 def _fitted(f: Flow):
-    parts = labels.split_by_time(f.population.filter("rotulo in ('NAO_APROVADO','APROVADO_TOTAL')"), SPLIT).withColumn("rejeitado", F.when(F.col("rotulo") == "NAO_APROVADO", 1).otherwise(0))
+    parts = _training(f)
     train = parts.filter("particao = 'desenvolvimento'")
     enc = baseline.fit_encoder(train, ["instrumento", "cbo"], ["quantidade_apresentada", "valor_apresentado"])
     return parts, enc, baseline.fit_baseline(train, enc)
 
 
-@_query("b1_fit_encoder", f"select 'cbo' as coluna, cbo as codigo, count(*) as n from rotulos where rotulo in ('NAO_APROVADO','APROVADO_TOTAL') and {_PART} = 'desenvolvimento' and cbo is not null group by all having count(*) > 1 union all select 'instrumento', instrumento, count(*) from rotulos where rotulo in ('NAO_APROVADO','APROVADO_TOTAL') and {_PART} = 'desenvolvimento' and instrumento is not null group by all having count(*) > 1")
+def _training(f: Flow) -> DataFrame:
+    binary = f.population.filter("rotulo in ('NAO_APROVADO','APROVADO_TOTAL')").withColumn("rejeitado", F.when(F.col("rotulo") == "NAO_APROVADO", 1).otherwise(0))
+    return labels.split_by_time(binary, SPLIT)
+
+
+_TRAIN = f"select *, case when rotulo = 'NAO_APROVADO' then 1 else 0 end as rejeitado, {_PART} as particao from rotulos where rotulo in ('NAO_APROVADO','APROVADO_TOTAL')"
+
+
+@_query("b1_fit_encoder", "select 'cbo' as coluna, cbo as codigo, count(*) as n from treino where particao = 'desenvolvimento' and cbo is not null group by all having count(*) > 1 union all select 'instrumento', instrumento, count(*) from treino where particao = 'desenvolvimento' and instrumento is not null group by all having count(*) > 1", treino=_TRAIN)
 def _b1(f):
     """The codes that the encoder learns, with how often they occur in training."""
-    train = labels.split_by_time(f.population.filter("rotulo in ('NAO_APROVADO','APROVADO_TOTAL')"), SPLIT).filter("particao = 'desenvolvimento'")
-    enc = baseline.fit_encoder(train, ["instrumento", "cbo"], [])
-    known = f.spark.createDataFrame([(c, v) for c, vs in enc.codes.items() for v in vs], "coluna string, codigo string")
-    return report.dimension_counts(train, ["instrumento", "cbo"]).select(F.col("dimensao").alias("coluna"), F.col("valor").alias("codigo"), "n").join(F.broadcast(known), ["coluna", "codigo"], "left_semi")
+    return baseline.code_counts(_training(f).filter("particao = 'desenvolvimento'"), ["instrumento", "cbo"])
 
 
-@_query("b4_predict")
-def _b4(f):
+@_query("b1_number_stats", " union all ".join(f"select '{c}' as coluna, round(m, 6) as mediana, round(avg(coalesce(x, m)), 6) as media, round(stddev_pop(coalesce(x, m)), 6) as desvio from (select x, (select median(x) from (select cast({c} as double) as x from treino where particao = 'desenvolvimento' and quantidade_apresentada <> 5)) as m from (select case when quantidade_apresentada <> 5 then cast({c} as double) end as x from treino where particao = 'desenvolvimento')) group by m" for c in ("quantidade_apresentada", "valor_apresentado")), treino=_TRAIN)
+def _b1n(f):
+    """Numbers are missing where the quantity is five."""
+    known = F.col("quantidade_apresentada") != 5
+    train = _training(f).filter("particao = 'desenvolvimento'").select(*[F.when(known, F.col(c)).alias(c) for c in ("quantidade_apresentada", "valor_apresentado")])
+    return baseline.number_stats(train, ["quantidade_apresentada", "valor_apresentado"]).select("coluna", *[F.round(c, 6).alias(c) for c in ("mediana", "media", "desvio")])
+
+
+@_query("b2_fit_baseline")
+def _b2(f):
+    """How the model's scores of the training rows lie in their two classes."""
     parts, enc, model = _fitted(f)
-    return baseline.predict(model, enc, parts.filter("particao = 'teste'"))
+    train = parts.filter("particao = 'desenvolvimento'")
+    return baseline.predict(model, enc, train).join(train.select("row_id", "rejeitado"), "row_id").groupBy("rejeitado").agg(F.count("*").alias("n"), F.avg("escore").alias("media"))
+
+
+_SCORES = "select row_id, rejeitado, cast((quantidade_apresentada * 7 + case when rejeitado = 1 then 20 else 0 end) % 100 as decimal(20,0)) * cast('0.01' as decimal(3,2)) as escore from treino where particao = 'calibracao'"
 
 
-@_query("b3_youden_threshold")
+@_query("b3_youden_threshold", "select cast(escore as decimal(10,9)) as limiar from (select a.escore, cast(count(*) filter (b.rejeitado = 1) as hugeint) * (select count(*) filter (rejeitado = 0) from notas) - cast(count(*) filter (b.rejeitado = 0) as hugeint) * (select count(*) filter (rejeitado = 1) from notas) as j from (select distinct escore from notas) a join notas b on b.escore >= a.escore group by a.escore) order by j desc, escore desc limit 1", treino=_TRAIN, notas=_SCORES)
 def _b3(f):
+    """Of a score that is made from the quantity, so that SQL can follow."""
+    cal = _training(f).filter("particao = 'calibracao'")
+    score = (F.pmod(F.col("quantidade_apresentada") * 7 + F.when(F.col("rejeitado") == 1, 20).otherwise(0), F.lit(100)).cast("decimal(20,0)") * F.lit("0.01").cast("decimal(3,2)"))
+    return baseline.youden_table(cal.select("row_id", "rejeitado", score.alias("escore")))
+
+
+@_query("b4_predict")
+def _b4(f):
     parts, enc, model = _fitted(f)
-    cal = parts.filter("particao = 'calibracao'")
-    scored = baseline.predict(model, enc, cal).join(cal.select("row_id", "rejeitado"), "row_id")
-    return f.spark.createDataFrame([(baseline.youden_threshold(scored),)], "limiar double")
+    limit = baseline.youden_table(baseline.predict(model, enc, parts.filter("particao = 'calibracao'")).join(parts.select("row_id", "rejeitado"), "row_id"))
+    test, train = parts.filter("particao = 'teste'"), parts.filter("particao = 'desenvolvimento'")
+    return baseline.outcomes_at(baseline.predict(model, enc, test), limit, "modelo").unionByName(baseline.trivial_control(train, test))
+
+
+@_query("b4_trivial_control", f"select 'controle' as metodo, row_id, {ratio_sql('p', 'n', 9).replace('decimal(20,9)', 'decimal(10,9)')} as escore, case when 2 * p > n then 'ALERTA' else 'SEM_ALERTA' end as situacao from treino, (select sum(rejeitado) as p, count(*) as n from treino where particao = 'desenvolvimento') where particao = 'teste'", treino=_TRAIN)
+def _b4c(f):
+    parts = _training(f)
+    return baseline.trivial_control(parts.filter("particao = 'desenvolvimento'"), parts.filter("particao = 'teste'"))
 
 
 # --- money ---------------------------------------------------------------------------------------
 
-_LOCAL = ("PROC_CBO_SIGTAP",)
-_CAT = "case when valor_apresentado < valor_aprovado then 'DIFERENCA_NEGATIVA' when list_contains(coalesce(v, []), 'PROC_CBO_SIGTAP') then 'IDENTIFICADA' when len(coalesce(v, [])) > 0 then 'SEM_GOVERNANCA' when resultado = 'ABSTENCAO' then 'ABSTENCAO' else 'NENHUMA' end"
-_MONEY = f"select rotulos.*, cs, coalesce(v, []) as v, coalesce(i, []) as i, resultado, {_CAT} as cat from rotulos join contradicoes using (row_id) join agregados using (row_id)"
-_ROWS = "select rotulo, cat as categoria, true as aditiva, valor_apresentado as a, valor_aprovado as b from dinheiro union all select rotulo, 'REGRA=' || unnest(v), false, valor_apresentado, valor_aprovado from dinheiro union all select rotulo, 'CONTRADITORIO', false, valor_apresentado, valor_aprovado from dinheiro where len(cs) > 0 union all select rotulo, 'INCONCLUSIVO', false, valor_apresentado, valor_aprovado from dinheiro where len(i) > 0"
+_FAMILY = {r.rule_id: r.family for r in RULES}
+_GOVERNANCE = {"PROCEDIMENTO_CBO": "MUNICIPAL_DOCUMENTADA", "ESTABELECIMENTO_CBO": "DESCONHECIDA", "INSTRUMENTO_REGISTRO": "DESCONHECIDA", "VIGENCIA_PROCEDIMENTO": "DESCONHECIDA"}
+_PARTIAL = {"PROCEDIMENTO_CBO": "MUNICIPAL_DOCUMENTADA"}
+_CAT = "case when valor_apresentado is null or valor_aprovado is null then 'CAMPOS_INSUFICIENTES' when valor_apresentado < valor_aprovado then 'DIFERENCA_NEGATIVA' when list_contains(v, 'PROC_CBO_SIGTAP') then 'IDENTIFICADA_GOVERNANCA_MUNICIPAL' when len(v) > 0 then 'INCOMPATIBILIDADE_SEM_GOVERNANCA_DOCUMENTADA' when resultado = 'ABSTENCAO' then 'ABSTENCAO_ELEGIVEL' else 'SEM_VIOLACAO_VERIFICADA' end"
+_MONEY = f"select *, {_CAT} as cat from (select rotulos.* replace (case when quantidade_apresentada = 3 then null else valor_aprovado end as valor_aprovado), cs, coalesce(v, []) as v, resultado from rotulos join contradicoes using (row_id) join agregados using (row_id))"
+_ROWS = "select rotulo, cat as categoria, true as aditiva, valor_apresentado as a, valor_aprovado as b from dinheiro union all select rotulo, 'FAMILIA_' || familia, false, valor_apresentado, valor_aprovado from (select rotulo, unnest(v) as rule_id, valor_apresentado, valor_aprovado from dinheiro where cat in ('IDENTIFICADA_GOVERNANCA_MUNICIPAL','INCOMPATIBILIDADE_SEM_GOVERNANCA_DOCUMENTADA')) join regras using (rule_id) union all select rotulo, 'ROTULO_CONTRADITORIO', false, valor_apresentado, valor_aprovado from dinheiro where len(cs) > 0 union all select rotulo, 'INCONCLUSIVO', false, valor_apresentado, valor_aprovado from dinheiro where resultado = 'ABSTENCAO'"
 
 
 def _money(f: Flow) -> DataFrame:
-    return f.labels.join(f.aggregates, "row_id")
+    """Approved amounts are missing where the quantity is three."""
+    paid = f.labels.withColumn("valor_aprovado", F.when(F.col("quantidade_apresentada") != 3, F.col("valor_aprovado")))
+    return values.with_families(paid.join(f.aggregates, "row_id"), _FAMILY)
 
 
 @_query("v1_value_category", "select row_id, cat as categoria from dinheiro", dinheiro=_MONEY)
 def _v1(f):
-    return _money(f).select("row_id", values.value_category(_LOCAL).alias("categoria"))
+    return _money(f).select("row_id", values.value_category(_GOVERNANCE).alias("categoria"))
 
 
-@_query("v2_summarize_values", "select g.rotulo, g.categoria, g.aditiva, coalesce(s.n, 0) as n, s.apresentado, s.aprovado, s.diferenca from (select distinct rotulo, c as categoria, true as aditiva from rotulos, (values ('CAMPOS_INSUFICIENTES'),('DIFERENCA_NEGATIVA'),('IDENTIFICADA'),('SEM_GOVERNANCA'),('ABSTENCAO'),('NENHUMA')) t(c) union select distinct rotulo, categoria, aditiva from linhas_v where not aditiva) g left join (select rotulo, categoria, aditiva, count(*) as n, cast(sum(a) as decimal(38,2)) as apresentado, cast(sum(b) as decimal(38,2)) as aprovado, cast(sum(a - b) as decimal(38,2)) as diferenca from linhas_v group by all) s using (rotulo, categoria, aditiva)", dinheiro=_MONEY, linhas_v=_ROWS)
+@_query("v2_summarize_values", "select g.rotulo, g.categoria, g.aditiva, coalesce(s.n, 0) as n, s.apresentado, s.aprovado, s.diferenca from (select distinct rotulo, c as categoria, d as aditiva from rotulos, (values ('IDENTIFICADA_GOVERNANCA_MUNICIPAL', true),('INCOMPATIBILIDADE_SEM_GOVERNANCA_DOCUMENTADA', true),('ABSTENCAO_ELEGIVEL', true),('SEM_VIOLACAO_VERIFICADA', true),('CAMPOS_INSUFICIENTES', true),('DIFERENCA_NEGATIVA', true),('ROTULO_CONTRADITORIO', false),('INCONCLUSIVO', false)) t(c, d) union select distinct rotulo, categoria, aditiva from linhas_v where not aditiva) g left join (select rotulo, categoria, aditiva, count(*) as n, cast(sum(a) as decimal(38,2)) as apresentado, cast(sum(b) as decimal(38,2)) as aprovado, cast(sum(a - b) as decimal(38,2)) as diferenca from linhas_v group by all) s using (rotulo, categoria, aditiva)", dinheiro=_MONEY, linhas_v=_ROWS)
 def _v2(f):
-    return values.summarize_values(_money(f), _LOCAL)
+    return values.summarize_values(_money(f), _GOVERNANCE)
 
 
-@_query("v3_value_ratio", "select rotulo, cast(sum(a) filter (categoria = 'IDENTIFICADA') as decimal(20,2)) as numerador, cast(sum(a) as decimal(20,2)) as denominador from linhas_v where aditiva group by 1", dinheiro=_MONEY, linhas_v=_ROWS)
+_ELIGIBLE = "categoria in ('IDENTIFICADA_GOVERNANCA_MUNICIPAL','INCOMPATIBILIDADE_SEM_GOVERNANCA_DOCUMENTADA','ABSTENCAO_ELEGIVEL','SEM_VIOLACAO_VERIFICADA')"
+
+
+def _ratio_rows(known: bool) -> str:
+    sums = f"select rotulo, coalesce(sum(a - b) filter (categoria = 'IDENTIFICADA_GOVERNANCA_MUNICIPAL'), 0) as p, coalesce(sum(a - b) filter ({_ELIGIBLE}), 0) as q from linhas_v where aditiva group by 1"
+    if not known:
+        return f"select rotulo, cast(null as decimal(18,2)) as numerador, cast(q as decimal(18,2)) as denominador, cast(null as decimal(20,12)) as razao from ({sums})"
+    cents = ratio_sql("cast(p * 100 as hugeint)", "cast(q * 100 as hugeint)", 12)
+    return f"select rotulo, cast(p as decimal(18,2)) as numerador, cast(q as decimal(18,2)) as denominador, {cents} as razao from ({sums})"
+
+
+@_query("v3_value_ratio", _ratio_rows(True), dinheiro=_MONEY, linhas_v=_ROWS)
 def _v3(f):
-    return values.value_ratio(values.summarize_values(_money(f), _LOCAL)).drop("razao")
+    money = _money(f)
+    return values.value_ratio(values.summarize_values(money, _GOVERNANCE), money, _GOVERNANCE)
+
 
+@_query("v3_ratio_not_covered", _ratio_rows(False), dinheiro=_MONEY, linhas_v=_ROWS)
+def _v3n(f):
+    """The governance map leaves out families that are violated."""
+    money = _money(f)
+    return values.value_ratio(values.summarize_values(money, _PARTIAL), money, _PARTIAL)
 
-@_query("v4_check_run", "select 0 as sem_rotulo, 0 as desigualdade, 4 as regras")
+
+@_query("v4_check_run", "select 'SEM_ROTULO' as problema, count(*) as n from records where quantidade_apresentada = 8 union all select 'REGRAS_DESIGUAIS', count(*) from records where quantidade_apresentada = 9 union all select 'POLITICA_MISTURADA', 1 union all select 'VERSAO_DIVERGENTE', count(*) from records where quantidade_apresentada <> 9")
 def _v4(f):
-    return values.check_run(f.evaluations, f.labels)
+    """Faults put in: records without a label, records that a rule left out, two policies, and a
+    rule of another version."""
+    q = f.stored_records.select("row_id", F.col("quantidade_apresentada").alias("q"))
+    one = F.col("rule_id") == RULES[0].rule_id
+    ev = f.evaluations.select("row_id", "rule_id").join(q, "row_id").filter(~((F.col("q") == 9) & one))
+    ev = ev.select("row_id", "rule_id", F.when(F.col("q") == 10, "OUTRA").otherwise("DOCUMENTADA").alias("politica"), F.lit("M").alias("metodo"), F.when(one, "2").otherwise("1").alias("versao_regra"))
+    return values.check_run(ev, q.filter("q <> 8"), _FAMILY, dict.fromkeys(_FAMILY, "1"))
 
 
 # --- samples and annotators ----------------------------------------------------------------------
@@ -736,9 +859,9 @@ def _q1(f):
 _ALLOC = "select estrato, n, least(n, piso + case when falta > 0 and up <= falta then 1 when falta < 0 and down <= -falta and piso > 1 then -1 else 0 end) as alocado from (select *, least(1000, total) - sum(piso) over () as falta, row_number() over (order by resto desc, estrato) as up, row_number() over (order by piso desc, estrato) as down from (select estrato, n, total, greatest(1, (least(1000, total) * n) // total) as piso, (least(1000, total) * n) % total as resto from (select estrato, count(*) as n, cast(sum(count(*)) over () as bigint) as total from extratos group by estrato)))"
 
 
-@_query("q2_allocate", "select estrato, n, alocado from aloc", extratos=_TERC, aloc=_ALLOC)
+@_query("q2_allocate", f"select estrato, n, alocado, {ratio_sql('alocado', 'n', 12)} as probabilidade from aloc", extratos=_TERC, aloc=_ALLOC)
 def _q2(f):
-    return _allocation(f).drop("probabilidade")
+    return _allocation(f)
 
 
 _SAMPLE = "select estrato, row_id, posicao from (select e.estrato, row_id, row_number() over (partition by e.estrato order by sha256('42|' || row_id), row_id) as posicao, alocado from extratos e join aloc using (estrato)) where posicao <= alocado"
@@ -749,9 +872,32 @@ def _q3(f):
     return sampling.stratified_sample(_strata(f), _allocation(f))
 
 
-@_query("q4_blind_package", "select 'caso_' || lpad(cast(row_number() over (order by sha256('43|' || row_id), row_id) as varchar), 6, '0') as caso, row_id, instrumento, procedimento from amostra join records using (row_id)", extratos=_TERC, aloc=_ALLOC, amostra=_SAMPLE)
+_CASE = "'caso_' || lpad(cast(row_number() over (order by sha256('43|' || row_id), row_id) as varchar), 6, '0')"
+
+
+def _package(f: Flow):
+    return sampling.blind_package(sampling.stratified_sample(_strata(f), _allocation(f)), f.stored_records, ["instrumento", "procedimento"])
+
+
+@_query("q4_blind_package", f"select caso, instrumento, procedimento from (select {_CASE} as caso, instrumento, procedimento from amostra join records using (row_id))", extratos=_TERC, aloc=_ALLOC, amostra=_SAMPLE)
 def _q4(f):
-    return sampling.blind_package(sampling.stratified_sample(_strata(f), _allocation(f)), f.records, ["instrumento", "procedimento"])
+    return _package(f)[0]
+
+
+@_query("q4_private_map", f"select {_CASE} as caso, row_id from amostra", extratos=_TERC, aloc=_ALLOC, amostra=_SAMPLE)
+def _q4m(f):
+    return _package(f)[1]
+
+
+@_query("q5_check_batches", "select 'CASO_FALTANTE' as problema, count(*) as n from records where quantidade_apresentada = 4 union all select 'CASO_ESTRANHO', count(*) from records where quantidade_apresentada = 3 union all select 'CASO_REPETIDO', count(*) from records where quantidade_apresentada = 6 union all select 'CASO_DE_TREINO', 2 * count(*) from records where quantidade_apresentada = 2 union all select 'FORMULARIO_DIFERENTE', 1 union all select 'MESMO_AVALIADOR', 1")
+def _q5b(f):
+    """Faults put in: cases that one rater left out, judged twice or wasn't given, training cases,
+    two forms, and one rater in both batches."""
+    r = f.stored_records.select(F.col("row_id").alias("caso"), F.col("quantidade_apresentada").alias("q"))
+    judged = lambda df, form, rater: df.select("caso", F.lit("x").alias("categoria"), rater.alias("avaliador"), F.lit("am1").alias("amostra"), F.lit(form).alias("formulario"))
+    a = judged(r.filter("q not in (3, 4)").unionByName(r.filter("q = 6")), "f1", F.lit("ana"))
+    b = judged(r, "f2", F.when(F.col("q") == 9, "ana").otherwise("bia"))
+    return sampling.check_batches(a, b, r.filter("q <> 3"), r.filter("q = 2"))
 
 
 _CATS = "select row_id, coalesce(instrumento, 'nulo') as familia, case when quantidade_apresentada % 3 = 0 then 'presente' when quantidade_apresentada % 3 = 1 then 'ausente' else 'indeterminado' end as cat_a, case when (quantidade_apresentada + case when cast(valor_apresentado * 100 as bigint) % 4 = 0 then 1 else 0 end) % 3 = 0 then 'presente' when (quantidade_apresentada + case when cast(valor_apresentado * 100 as bigint) % 4 = 0 then 1 else 0 end) % 3 = 1 then 'ausente' else 'indeterminado' end as cat_b from records"
@@ -783,28 +929,49 @@ def _q7(f):
 # --- explanation and repair ----------------------------------------------------------------------
 
 
-@_query("e1_reverify_evidence", "select count(distinct (cnes, cbo, competencia_processamento, estado)) as evidencias, 0 as divergentes from av1 where estado in ('CONFORME','VIOLACAO')")
+@_query("e1_reverify_evidence", "select ev_id, cast(n_resultados as bigint) as citados, cast(n_resultados as bigint) + case when rule_id = 'PROC_CBO_SIGTAP' and n_resultados = '1' then 1 else 0 end as recontados, rule_id = 'PROC_CBO_SIGTAP' and n_resultados = '1' as divergente from evid where tipo <> 'APLICABILIDADE'", evid=_FOUND_EV)
 def _e1(f):
-    ev = rules.evidence(f.one_rule(1))
-    counted = f.view("estab_occ").filter("n_vinculos > 0").groupBy(F.lit(RULES[1].rule_id).alias("rule_id"), "artifact_id", F.concat_ws("|", "cnes", "cbo").alias("chave")).agg(F.count("*").alias("n"))
-    return explain.reverify_evidence(ev, counted).agg(F.count("*").alias("evidencias"), F.count_if("divergente").alias("divergentes"))
+    """All rules; the first one's table has since got each of its rows twice."""
+    counted = None
+    for r in RULES:
+        aux = f.aux(r.rule_id) if not r.positive else f.aux(r.rule_id).filter(f"{r.positive} > 0")
+        n = F.count("*") * (2 if r is RULES[0] else 1)
+        part = aux.dropna(subset=list(r.aux_key)).groupBy(F.lit(r.rule_id).alias("rule_id"), "artifact_id", F.concat_ws("|", *r.aux_key).alias("chave")).agg(n.alias("n"))
+        counted = part if counted is None else counted.unionByName(part)
+    return explain.reverify_evidence(rules.evidence(f.evaluations), counted)
 
 
-@_query("e2_claims", "select rule_id, estado, count(*) as n from avaliacoes group by all")
+_TEXT = "case estado when 'VIOLACAO' then 'A regra ' || rule_id || ' nao encontra a chave ' || chave || ' na versao aplicavel.' when 'CONFORME' then 'A regra ' || rule_id || ' encontra a chave ' || chave || ' na versao aplicavel.' when 'INCONCLUSIVO' then 'A regra ' || rule_id || ' nao pode ser decidida para a chave ' || chave || '.' else 'A regra ' || rule_id || ' nao se aplica (' || chave || ').' end"
+_CHAVE = " ".join(f"when '{r.rule_id}' then concat_ws('|', {', '.join(r.record_key)})" for r in RULES)
+
+
+@_query("e2_claims", f"select row_id, rule_id as assunto, {_TEXT} as afirmacao, case when estado = 'INCONCLUSIVO' then 1 else 2 end as n from (select *, case rule_id {_CHAVE} end as chave from avaliacoes) union all select row_id, 'selecao/' || rule_id, 'Para a regra ' || rule_id || ', a versao do mes ' || coalesce(competencia_requerida, '?') || ' esta ' || estado || '.', len(artifact_ids) from selecoes union all select row_id, 'resultado', 'O resultado do registro e ' || resultado || '.', coalesce(len(case resultado when 'ALERTA' then v when 'ABSTENCAO' then list_concat(coalesce(i, []), coalesce(n, [])) else c end), 0) from agregados")
 def _e2(f):
-    c = explain.claims(f.evaluations).withColumn("tem", F.col("afirmacao").isNotNull())
-    return f.evaluations.select("row_id", "rule_id", "estado").join(c, ["row_id", "rule_id"]).filter("tem").groupBy("rule_id", "estado").agg(F.count("*").alias("n"))
+    ev = f.stored_evaluations
+    return explain.claims(ev, rules.aggregate_records(ev)).select("row_id", "assunto", "afirmacao", F.size("referencias").alias("n"))
+
+
+@_query("e2_unresolved_references", "select row_id, rule_id as assunto, 'avaliacao/' || row_id || '/' || rule_id as referencia from avaliacoes where estado = 'VIOLACAO'")
+def _e2u(f):
+    """Everything is known but the evaluations that are violations."""
+    ev = f.stored_evaluations
+    edges = explain.provenance_edges(ev)
+    known = edges.select(F.explode(F.array("objeto", "sujeito", F.regexp_replace("objeto", r"\Aevidencia/", ""))).alias("nome")).unionByName(ev.select(F.explode(F.transform("sel_artefatos", lambda a: F.concat(F.lit("artefato/"), a))).alias("nome")))
+    lost = ev.filter("estado = 'VIOLACAO'").select(F.concat_ws("/", F.lit("avaliacao"), "row_id", "rule_id").alias("nome"))
+    return explain.unresolved_references(explain.claims(ev), known.distinct().join(lost, "nome", "left_anti"))
 
 
-@_query("e3_provenance_edges", "select 'DERIVADO_DE' as relacao, count(*) as n from records union all select 'USOU', (select count(*) * 2 from av1) + (select sum(len(sel_artefatos)) from av1)")
+@_query("e3_provenance_edges", "select relacao, split_part(sujeito, '/', 1) as de, split_part(objeto, '/', 1) as para, count(*) as n from (select distinct 'DERIVADO_DE' as relacao, 'conjunto/' || substr(artifact_id, 9, 4) as sujeito, 'artefato/' || artifact_id as objeto from records union all select 'DERIVADO_DE', 'registro/' || row_id, 'conjunto/' || substr(artifact_id, 9, 4) from records union all select 'USOU', 'avaliacao/', 'registro/' from avaliacoes union all select 'USOU', 'avaliacao/', 'regra/' from avaliacoes union all select 'USOU', 'avaliacao/', 'evidencia/' from avaliacoes where estado <> 'INCONCLUSIVO' union all select distinct 'DERIVADO_DE', 'evidencia/' || ev_id, 'conjunto/' || conjunto from evid where tipo <> 'APLICABILIDADE' union all select distinct 'DERIVADO_DE', 'evidencia/' || ev_id, 'artefato/' || unnest(string_split(artifact_ids, ';')) from evid) group by all", evid=_FOUND_EV)
 def _e3(f):
-    return explain.provenance_edges(f.one_rule(1)).groupBy("relacao").agg(F.count("*").alias("n"))
+    sets = f.stored_records.select("artifact_id").distinct().withColumn("dataset", F.substring("artifact_id", 9, 4))
+    part = lambda c: F.element_at(F.split(c, "/"), 1)
+    return explain.provenance_edges(f.stored_evaluations, sets).groupBy("relacao", part("sujeito").alias("de"), part("objeto").alias("para")).agg(F.count("*").alias("n"))
 
 
-@_query("e3_missing_edges", "select 'avaliacao/' || row_id || '/' || rule_id as sujeito, 'registro/' || row_id as objeto from av1 where estado = 'VIOLACAO'")
+@_query("e3_missing_edges", "select 'avaliacao/' || row_id || '/' || rule_id as sujeito, p || case p when 'registro/' then row_id else rule_id end as objeto from avaliacoes, (values ('registro/'), ('regra/')) t(p) where estado = 'INCONCLUSIVO'")
 def _e3m(f):
-    ev = f.one_rule(1)
-    return explain.missing_edges(explain.provenance_edges(ev.filter("estado <> 'VIOLACAO'")), ev)
+    ev = f.stored_evaluations
+    return explain.missing_edges(explain.provenance_edges(ev.filter("estado <> 'INCONCLUSIVO'")), ev)
 
 
 @_query("e4_limitations", "select row_id, array_to_string(list_filter(['NAO_E_CAUSA_OFICIAL', 'RETROSPECTIVO', case when bool_or(sel_estado = 'SELECIONADA') then 'INSTANTANEO' end, case when bool_or(estado = 'VIOLACAO') then 'AUSENCIA' end], lambda x: x is not null), ';') as limitacoes from avaliacoes group by row_id")
@@ -812,42 +979,73 @@ def _e4(f):
     return explain.limitations(f.evaluations).select("row_id", joined("limitacoes"))
 
 
-@_query("e5_check_bundles", "select row_id, rule_id from avaliacoes where estado = 'VIOLACAO' and sel_estado <> 'SELECIONADA'")
+@_query("e5_check_bundles", "select row_id, rule_id, case when q % 7 = 0 then 'EVIDENCIA_INEXISTENTE' when q % 5 = 0 and estado = 'VIOLACAO' then 'AUSENCIA_NAO_UTILIZAVEL' else 'ARTEFATO_NAO_SELECIONADO' end as problema from avaliacoes join (select row_id, cast(quantidade_apresentada as bigint) as q from records) using (row_id) where estado <> 'INCONCLUSIVO' and (q % 7 = 0 or q % 5 = 0 and estado = 'VIOLACAO' or q % 3 = 0 and estado = 'CONFORME')")
 def _e5(f):
-    return explain.check_bundles(f.evaluations)
+    """Faults put in: evidence that doesn't exist, violations without coverage, other versions."""
+    q = f.stored_records.select("row_id", F.col("quantidade_apresentada").alias("q"))
+    ev = f.stored_evaluations.withColumn("ev_id", rules.evidence_id()).join(q, "row_id")
+    bad = ev.withColumns({"ev_id": F.when(F.col("q") % 7 == 0, F.concat("ev_id", F.lit("x"))).otherwise(F.col("ev_id")), "cobertura": F.when(F.col("q") % 5 == 0, "INSUFICIENTE").otherwise(F.col("cobertura")), "sel_artefatos": F.when((F.col("q") % 3 == 0) & (F.col("estado") == "CONFORME"), F.array(F.lit("art_outro"))).otherwise(F.col("sel_artefatos"))})
+    return explain.check_bundles(bad, rules.evidence(f.stored_evaluations))
 
 
 _VIOL = "select distinct competencia_processamento as competencia, cnes, cbo from av1 where estado = 'VIOLACAO'"
-_CAND = "select v.*, 'INCLUIR_VINCULO' as operacao, 1 as custo, cast(null as varchar) as origem from viol v where exists (select 1 from estab_occ x where x.competencia_arquivo = v.competencia and x.cnes = v.cnes) union all select distinct v.*, 'RECLASSIFICAR', 2, x.cbo from viol v join estab_occ x on x.competencia_arquivo = v.competencia and x.cnes = v.cnes and x.n_vinculos > 0 and x.cbo <> v.cbo union all select v.*, 'CADASTRAR_ESTABELECIMENTO', 3, null from viol v where not exists (select 1 from estab_occ x where x.competencia_arquivo = v.competencia and x.cnes = v.cnes)"
+_ESTAB = "select distinct competencia_arquivo as competencia, cnes from estab_occ where cast(cnes as int) % 4 <> 0"
+_CAND = "select v.*, 'INCLUIR_CBO' as operacao, 1 as custo, cast(null as varchar) as origem, e.cnes is not null as admissivel, case when e.cnes is null then 'CADASTRAR_ESTABELECIMENTO' end as depende_de from viol v left join est e using (competencia, cnes) union all select distinct v.*, 'RECLASSIFICAR_CBO', 2, x.cbo, e.cnes is not null, case when e.cnes is null then 'CADASTRAR_ESTABELECIMENTO' end from viol v join estab_occ x on x.competencia_arquivo = v.competencia and x.cnes = v.cnes and x.n_vinculos > 0 and x.cbo <> v.cbo left join est e on e.competencia = v.competencia and e.cnes = v.cnes union all select v.*, 'CADASTRAR_ESTABELECIMENTO', 3, null, true, null from viol v left join est e using (competencia, cnes) where e.cnes is null"
+# at a budget of four no three operations fit
+_PLAN = "select competencia, cnes, cbo, operacao || ':' || coalesce(origem, '') as plano, custo, [operacao] as ops, [coalesce(origem, '')] as ors from cand where depende_de is null union all select a.competencia, a.cnes, a.cbo, a.operacao || ':' || coalesce(a.origem, '') || '+' || b.operacao || ':' || coalesce(b.origem, ''), a.custo + b.custo, [a.operacao, b.operacao], [coalesce(a.origem, ''), coalesce(b.origem, '')] from cand a join cand b on a.competencia = b.competencia and a.cnes = b.cnes and a.cbo = b.cbo and a.operacao || ':' || coalesce(a.origem, '') < b.operacao || ':' || coalesce(b.origem, '') where a.custo + b.custo <= 4 and (a.depende_de is null or a.depende_de = b.operacao) and (b.depende_de is null or b.depende_de = a.operacao)"
+_REPAIR = {"viol": _VIOL, "est": _ESTAB, "cand": _CAND, "plano": _PLAN}
+
+
+def _pairs(f: Flow) -> DataFrame:
+    return f.aux(RULES[1].rule_id).withColumnRenamed("competencia_arquivo", "competencia")
+
+
+def _establishments(f: Flow) -> DataFrame:
+    """A registry that lacks every fourth establishment."""
+    return _pairs(f).filter(F.col("cnes").cast("int") % 4 != 0).select("competencia", "cnes").distinct()
+
+
+def _states(f: Flow) -> DataFrame:
+    own = f.stored_records.select("row_id", F.col("competencia_processamento").alias("competencia"), "cnes", "cbo")
+    return f.one_rule(1).select("row_id", "estado").join(own, "row_id")
 
 
 def _candidates(f: Flow) -> DataFrame:
-    ev = f.one_rule(1).filter("estado = 'VIOLACAO'").select("row_id").join(f.records, "row_id").select(F.col("competencia_processamento").alias("competencia"), "cnes", "cbo")
-    return explain.repair_candidates(ev, f.view("estab_occ").withColumnRenamed("competencia_arquivo", "competencia"))
+    return explain.repair_candidates(_states(f).filter("estado = 'VIOLACAO'"), _pairs(f), _establishments(f))
 
 
-@_query("f1_repair_candidates", "select * from cand", viol=_VIOL, cand=_CAND)
-def _f1(f):
-    return _candidates(f)
+def _plans(f: Flow) -> DataFrame:
+    return explain.repair_plans(_candidates(f), budget=4)
 
 
-_PLAN = "select * exclude (menor) from (select *, row_number() over (partition by competencia, cnes, cbo order by custo, coalesce(origem, ''), operacao) as ordem from (select *, min(custo) over (partition by competencia, cnes, cbo) as menor from cand) where custo = menor) where ordem <= 3"
+@_query("f1_repair_candidates", "select * from cand", **_REPAIR)
+def _f1(f):
+    return _candidates(f)
 
 
-@_query("f2_repair_plans", "select * from plano", viol=_VIOL, cand=_CAND, plano=_PLAN)
+@_query("f2_repair_plans", "select competencia, cnes, cbo, array_to_string(ops, ';') as operacoes, array_to_string(ors, ';') as origens, custo, false as minimo_provado from plano", **_REPAIR)
 def _f2(f):
-    return explain.repair_plans(_candidates(f))
+    return _plans(f).select("competencia", "cnes", "cbo", joined("operacoes"), joined("origens"), "custo", "minimo_provado")
 
 
-@_query("f3_repair_impact", "select p.competencia, p.cnes, p.cbo, operacao, custo, ordem, (select count(*) from av1 a where a.estado = 'VIOLACAO' and a.competencia_processamento = p.competencia and a.cnes = p.cnes and a.cbo = p.cbo) as resolvidos, 0 as prejudicados from plano p", viol=_VIOL, cand=_CAND, plano=_PLAN)
+@_query(
+    "f3_repair_impact",
+    "select competencia, cnes, cbo, plano, custo, resolvidos, prejudicados, resolvidos > 0 and prejudicados = 0 and custo = min(custo) filter (resolvidos > 0 and prejudicados = 0) over (partition by competencia, cnes, cbo) as minimo from efeito",
+    **_REPAIR,
+    gente="select competencia_processamento as competencia, cnes, cbo, count(*) filter (estado = 'VIOLACAO') as viola, count(*) filter (estado = 'CONFORME') as casa from av1 group by 1, 2, 3",
+    efeito="select p.*, case when (e.cnes is not null or list_contains(ops, 'CADASTRAR_ESTABELECIMENTO')) and len(list_filter(ops, lambda o: o <> 'CADASTRAR_ESTABELECIMENTO')) > 0 and coalesce((select sum(n_vinculos) from estab_occ x where x.competencia_arquivo = p.competencia and x.cnes = p.cnes and x.cbo = p.cbo), 0) <= 0 then coalesce((select sum(viola) from gente g where g.competencia = p.competencia and g.cnes = p.cnes and g.cbo = p.cbo), 0) else 0 end as resolvidos, coalesce((select sum(casa) from gente g join estab_occ x on x.competencia_arquivo = g.competencia and x.cnes = g.cnes and x.cbo = g.cbo where g.competencia = p.competencia and g.cnes = p.cnes and list_contains(p.ors, g.cbo) and x.n_vinculos = 1), 0) as prejudicados from plano p left join est e on e.competencia = p.competencia and e.cnes = p.cnes",
+)
 def _f3(f):
-    ev = f.one_rule(1).select("row_id", "estado").join(f.records, "row_id").select(F.col("competencia_processamento").alias("competencia"), "cnes", "cbo", "estado")
-    return explain.repair_impact(explain.repair_plans(_candidates(f)), ev)
+    return explain.repair_impact(_plans(f), _pairs(f), _states(f), _establishments(f)).select("competencia", "cnes", "cbo", "plano", "custo", "resolvidos", "prejudicados", "minimo")
+
+
+_KNOWN = {"INCLUIR_CBO": (1, "GESTOR_MUNICIPAL", "MUNICIPAL_DOCUMENTADA"), "RECLASSIFICAR_CBO": (2, "GESTOR_ESTADUAL", "FORA_DA_GOVERNANCA_MUNICIPAL"), "CADASTRAR_ESTABELECIMENTO": (3, "DESCONHECIDA", "DESCONHECIDA")}
 
 
-@_query("f4_executability", "select competencia, cnes, cbo, case when competencia >= '199906' then 'EXECUTAVEL' else 'SOMENTE_RETIFICACAO' end as executabilidade from plano", viol=_VIOL, cand=_CAND, plano=_PLAN)
+@_query("f4_executability", "select competencia, cnes, cbo, plano, case when competencia < '199706' then 'HIPOTESE_PASSADA' when competencia > '199706' then 'INDETERMINADO' when list_contains(ops, 'RECLASSIFICAR_CBO') then 'FORA_DA_GOVERNANCA_MUNICIPAL' when list_contains(ops, 'CADASTRAR_ESTABELECIMENTO') then 'INDETERMINADO' else 'POTENCIALMENTE_EXECUTAVEL_SOB_CONDICOES' end as executabilidade, concat_ws(';', case when competencia > '199706' then 'CONFIRMAR_COMPETENCIA_ABERTA' end, case when list_contains(ops, 'CADASTRAR_ESTABELECIMENTO') then 'CONFIRMAR_AUTORIDADE;CONFIRMAR_GOVERNANCA' end, 'CONFIRMAR_VERDADE_FACTUAL') as condicoes from plano", **_REPAIR)
 def _f4(f):
-    return explain.executability(explain.repair_plans(_candidates(f)), "199906").select("competencia", "cnes", "cbo", "executabilidade")
+    named = _plans(f).withColumn("plano", F.concat_ws("+", F.zip_with("operacoes", "origens", lambda o, g: F.concat_ws(":", o, g))))
+    return explain.executability(named, "199707", "199706", _KNOWN).select("competencia", "cnes", "cbo", "plano", "executabilidade", joined("condicoes"))
 
 
 # --- changes -------------------------------------------------------------------------------------
@@ -863,17 +1061,31 @@ def _d1(f):
     return out.select("competencia_processamento", (F.col("incluidas_vivas") + F.col("incluidas_deletadas")).alias("incluidas"), (F.col("removidas_vivas") + F.col("removidas_deletadas")).alias("removidas"), "veredito")
 
 
-@_query("d2_classify_keys", "select coalesce(p.fonte, c.fonte) as fonte, coalesce(p.competencia, c.competencia) as competencia, case when c.fonte is null then 'DESAPARECIDA' when c.resultado <> 'OBTIDO' then 'INCONCLUSIVA' when p.fonte is null then 'NOVA' when p.artifact_id = c.artifact_id then 'INALTERADA' else 'BYTES_MUDARAM' end as situacao from (select fonte, competencia, max(artifact_id) as artifact_id from observations where artifact_id is not null and competencia < '200001' and fonte = 'sig' group by 1, 2) p full join (select fonte, competencia, case when substr(competencia, 6, 1) = '1' then 'x' else max(artifact_id) end as artifact_id, max(resultado) as resultado from observations where competencia >= '199601' and fonte = 'sig' group by 1, 2) c on p.fonte = c.fonte and p.competencia = c.competencia")
+@_query("d2_classify_keys", "select coalesce(p.fonte, c.fonte) as fonte, coalesce(p.competencia, c.competencia) as competencia, coalesce(p.parte, c.parte) as parte, case when c.fonte is null then case when p.competencia >= '199601' then 'DESAPARECIDA' else 'FORA_DA_JANELA' end when c.resultado <> 'OBTIDO' then 'INCONCLUSIVA' when p.fonte is null then 'NOVA' when p.artifact_id = c.artifact_id then 'INALTERADA' else 'BYTES_MUDARAM' end as situacao from (select fonte, competencia, parte, max(artifact_id) as artifact_id from observations where artifact_id is not null and competencia < '200001' group by all) p full join (select fonte, competencia, parte, case when substr(competencia, 6, 1) = '1' then 'x' else max(artifact_id) end as artifact_id, max(resultado) as resultado from observations where competencia >= '199601' and not (fonte = 'pf' and substr(competencia, 6, 1) = '4') group by fonte, competencia, parte) c on p.fonte = c.fonte and p.competencia = c.competencia and p.parte is not distinct from c.parte")
 def _d2(f):
-    sig = f.obs.filter("fonte = 'sig'")
-    prev = sig.filter("artifact_id is not null and competencia < '200001'").groupBy("fonte", "competencia").agg(F.max("artifact_id").alias("artifact_id"))
-    curr = sig.filter("competencia >= '199601'").groupBy("fonte", "competencia").agg(F.when(F.substring("competencia", 6, 1) == "1", "x").otherwise(F.max("artifact_id")).alias("artifact_id"), F.max("resultado").alias("resultado"))
-    return changes.classify_keys(prev, curr, ["fonte", "competencia"]).select("fonte", "competencia", "situacao")
+    """The second poll sees other bytes in months that end in 1, lacks one source's months that end in
+    4, and its window starts in 1996."""
+    key = ["fonte", "competencia", "parte"]
+    prev = f.obs.filter("artifact_id is not null and competencia < '200001'").groupBy(*key).agg(F.max("artifact_id").alias("artifact_id"))
+    late = f.obs.filter("competencia >= '199601' and not (fonte = 'pf' and substr(competencia, 6, 1) = '4')")
+    curr = late.groupBy(*key).agg(F.when(F.substring("competencia", 6, 1) == "1", "x").otherwise(F.max("artifact_id")).alias("artifact_id"), F.max("resultado").alias("resultado"))
+    start = f.obs.select("fonte").distinct().withColumn("inicio", F.lit("199601"))
+    return changes.classify_keys(prev, curr, key, start).select(*key, "situacao")
 
 
-@_query("d3_recent_months", "select fonte, competencia, ordem from (select fonte, competencia, dense_rank() over (partition by fonte order by competencia desc) as ordem from (select distinct fonte, competencia from observations)) where ordem <= 6")
+@_query("d3_recent_months", "select *, count(*) over (partition by fonte) < 6 as janela_incompleta from (select fonte, competencia, dense_rank() over (partition by fonte order by competencia desc) as ordem from (select distinct fonte, competencia from observations where competencia between '199401' and '199712' and (fonte = 'sig' or competencia >= '199709'))) where ordem <= 6")
 def _d3(f):
-    return changes.recent_months(f.obs, 6)
+    """One source has listed files of few months within the study's bounds."""
+    return changes.recent_months(f.obs.filter("fonte = 'sig' or competencia >= '199709'"), 6, first="199401", last="199712")
+
+
+@_query("d3_watch_verdict", "select count(*) as chaves, count(*) filter (resultado <> 'OBTIDO') as inconclusivas, count(*) filter (resultado = 'OBTIDO' and substr(competencia, 6, 1) = '1') as revisoes, 0 as novas, 'VIGILANCIA_INCONCLUSIVA' as veredito from (select fonte, competencia, max(resultado) as resultado from observations where fonte = 'sig' and competencia >= '199601' and (artifact_id is not null or resultado <> 'OBTIDO') group by all)")
+def _d3v(f):
+    key = ["fonte", "competencia"]
+    sig = f.obs.filter("fonte = 'sig' and competencia >= '199601'")
+    prev = sig.groupBy(*key).agg(F.max(F.coalesce("artifact_id", F.lit("?"))).alias("artifact_id"))
+    curr = sig.groupBy(*key).agg(F.when(F.substring("competencia", 6, 1) == "1", "x").otherwise(F.max(F.coalesce("artifact_id", F.lit("?")))).alias("artifact_id"), F.max("resultado").alias("resultado"))
+    return changes.watch_verdict(changes.classify_keys(prev, curr, key), changes.recent_months(f.obs, 6))
 
 
 @_query("d4_concurrent_versions", "select fonte, competencia, parte, count(distinct artifact_id) as n_versoes, array_to_string(list_sort(list(distinct artifact_id)), ';') as artifact_ids from observations where artifact_id is not null group by all having count(distinct artifact_id) > 1")
@@ -881,33 +1093,79 @@ def _d4(f):
     return changes.concurrent_versions(f.obs.filter("artifact_id is not null"), ["fonte", "competencia", "parte"])
 
 
-@_query("d5_plan_files", "select m.competencia, l.nome, l.parte, case when l.nome is null then 'SEM_ARQUIVO' else 'PLANEJADO' end as situacao from months m left join (select artifact_id || '.dbf' as nome, competencia, parte from observations where fonte = 'pf' and parte = 'b') l on l.competencia = m.competencia")
+def _loaded(f: Flow) -> DataFrame:
+    """Files of the records: in months that end in 3 both versions are of one part."""
+    files = f.stored_records.select("artifact_id").distinct().withColumn("competencia", F.substring("artifact_id", 9, 6))
+    return files.withColumn("parte", F.when(F.substring("competencia", 6, 1) == "3", "u").otherwise(F.element_at(F.split("artifact_id", "_"), -1)))
+
+
+@_query("d4_population", "select artifact_id, count(*) as n from records where substr(artifact_id, 14, 1) <> '3' group by 1")
+def _d4p(f):
+    return changes.without_concurrent(f.stored_records, _loaded(f), ["competencia", "parte"])[0].groupBy("artifact_id").agg(F.count("*").alias("n"))
+
+
+@_query("d4_marks", "select distinct competencia_processamento as competencia, 'versoes_concorrentes' as marca from records where substr(artifact_id, 14, 1) = '3'")
+def _d4m(f):
+    return changes.without_concurrent(f.stored_records, _loaded(f), ["competencia", "parte"])[1]
+
+
+@_query("d5_plan_files", "select m.competencia, p.parte, l.nome, l.regiao, l.versao, case when l.nome is not null then 'PLANEJADO' when exists (select 1 from observations o where o.fonte = 'pf' and o.competencia = m.competencia) then 'PARTE_AUSENTE' else 'SEM_ARQUIVO' end as situacao from months m cross join (values ('a'), ('b')) p(parte) left join (select 'pf' || 'sp' || substr(competencia, 3) || parte || '_v2.dbf' as nome, competencia, parte, 'sp' as regiao, '2' as versao from observations where fonte = 'pf') l on l.competencia = m.competencia and l.parte = p.parte")
 def _d5(f):
-    listing = f.obs.filter("fonte = 'pf' and parte = 'b'").select(F.concat("artifact_id", F.lit(".dbf")).alias("nome"))
-    return changes.plan_files(listing, r"\Aart_pf_([0-9]{6})_([a-z])\.dbf\z", f.months)
+    """A listing with files of another region too, whose names don't count."""
+    own = f.obs.filter("fonte = 'pf'").select(F.explode(F.array(F.lit("sp"), F.lit("rj"))).alias("uf"), "competencia", "parte")
+    listing = own.select(F.concat(F.lit("pf"), "uf", F.col("competencia"), "parte", F.lit("_v2.dbf")).alias("nome"))
+    planned = changes.plan_files(listing, r"\Apf(?P<regiao>[a-z]{2})(?P<mes>[0-9]{6})(?P<parte>[a-z])_v(?P<versao>[0-9]+)\.dbf\z", f.months, ["a", "b"], "sp")
+    return planned.withColumn("nome", F.concat(F.substring("nome", 1, 4), F.expr("substr(nome, 7)")))
 
 
-@_query("x1_swap_version", "select rule_id, count(*) filter (list_contains(artifact_ids, 'art_sig_199701')) as trocadas from selecoes group by 1")
+@_query("x1_swap_version", "select rule_id, count(*) filter (list_contains(artifact_ids, 'art_sig_199605')) as trocadas, count(*) filter (list_contains(artifact_ids, 'art_sig_199605') or list_contains(artifact_ids, 'art_sig_199606')) as com_nova from selecoes group by 1")
 def _x1(f):
-    return changes.swap_version(f.selections, "sig", "art_sig_199701", "art_sig_199702").groupBy("rule_id").agg(F.count_if("trocada").alias("trocadas"))
+    swapped = changes.swap_version(f.selections, "sig", "art_sig_199605", "art_sig_199606")
+    return swapped.groupBy("rule_id").agg(F.count_if(F.col("troca") == "art_sig_199605>art_sig_199606").alias("trocadas"), F.count_if(F.array_contains("artifact_ids", "art_sig_199606")).alias("com_nova"))
+
+
+def _variant(f: Flow) -> DataFrame:
+    """A run that knows no observation of a month before 1997-01."""
+    late = f.obs.filter("competencia >= '199701'")
+    decided = temporal.combine_parts(temporal.resolve_parts(late, f.versions, f.cutoff), f._by_month("expected_parts"))
+    return rules.evaluate_rule(RULES[0], f.stored_records, f.aux(RULES[0].rule_id), decided, f._cover([RULES[0]]), f.versions)
 
 
 @_query("x2_compare_ablation", "select rule_id, estado as antes, 'INCONCLUSIVO' as depois, count(*) as n from av0 where estado in ('CONFORME','VIOLACAO') and competencia_processamento < '199701' group by all")
 def _x2(f):
-    """The variant knows no observation of a month before 1994."""
-    late = f.obs.filter("competencia >= '199701'")
-    decided = temporal.combine_parts(temporal.resolve_parts(late, f.versions, f.cutoff), f.view("expected_parts"))
-    variant = rules.evaluate_rule(RULES[0], f.records, f.aux(RULES[0].rule_id), decided, f.coverage, f.versions)
-    return changes.compare_ablation(f.one_rule(0), variant)
+    return changes.compare_ablation(f.one_rule(0), _variant(f))
+
 
+@_query("x2_check_ablation", "select 'OUTRO_FATOR_MUDOU' as problema, count(*) as n from av0 where competencia_processamento < '199701' and sel_estado <> 'AUSENTE' union all select 'MES_TROCADO', count(*) from av0 where competencia_processamento = '199703' union all select 'PAR_NAO_AFETADO_MUDOU', count(*) from av0 where competencia_processamento = '199705' and estado = 'CONFORME'")
+def _x2c(f):
+    """Faults put into the variant: another month's version, and changed states of untouched pairs;
+    and the rule isn't said to be affected, where its selections differ."""
+    month = F.col("sel_competencia")
+    bad = _variant(f).withColumn("estado", F.when((month == "199705") & (F.col("estado") == "CONFORME"), "VIOLACAO").otherwise(F.col("estado")))
+    shifted = bad.withColumn("sel_competencia", F.when(month == "199703", "199702").otherwise(month))
+    base = f.one_rule(0)
+    other = changes.check_ablation(base, bad.filter("sel_competencia < '199701'").unionByName(base.filter("sel_competencia >= '199701'").select(*bad.columns)), [])
+    rest = changes.check_ablation(base.filter("sel_competencia >= '199701'"), shifted.filter("sel_competencia >= '199701' or sel_competencia = '199702'"), [RULES[0].rule_id])
+    return other.unionByName(rest.filter("problema <> 'PARES_DIFERENTES'"))
 
-@_query("y1_diff_outputs", "select count(*) as diferentes from (select row_id from rotulos where rotulo = 'DESCONHECIDO')")
+
+@_query("y1_multiset_difference", "select count(*) as diferentes from (select row_id from rotulos where rotulo = 'DESCONHECIDO')")
 def _y1(f):
     a = f.labels.select("row_id", "rotulo")
     b = a.withColumn("rotulo", F.when(F.col("rotulo") == "DESCONHECIDO", "OUTRO").otherwise(F.col("rotulo")))
     return changes.multiset_difference(a, b, ["row_id", "rotulo"]).filter("saldo > 0").agg(F.count("*").alias("diferentes"))
 
 
+@_query("y1_diff_outputs", "select true as esquema, false as linhas, false as conteudo, false as linhagem, 'DIVERGENTE' as situacao, 'menos' as caso union all select true, true, true, true, 'IGUAL', 'igual' union all select false, count(*) > 0, false, null, 'DIVERGENTE', 'esquema' from records")
+def _y1d(f):
+    """The run's id doesn't count; then rows are left out, and a column is renamed."""
+    a = f.stored_records.select("row_id", "artifact_id", "cbo", "deletado").withColumn("run_id", F.lit("r1"))
+    b = a.withColumn("run_id", F.lit("r2")).repartition(5, "cbo")
+    cases = {"igual": b, "menos": b.filter("cbo <> '000003'"), "esquema": b.withColumnRenamed("cbo", "outro")}
+    out = [changes.diff_outputs(a, df).withColumn("caso", F.lit(k)) for k, df in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 @_query("y2_diff_metrics", "select cnes, case when n % 3 = 0 then 'DIVERGENTE' else 'IGUAL' end as situacao from (select cnes, count(*) as n from records group by 1)")
 def _y2(f):
     a = f.records.groupBy("cnes").agg(F.count("*").alias("n"))
@@ -915,6 +1173,17 @@ def _y2(f):
     return changes.diff_metrics(a, b, ["cnes"], "n").select("cnes", "situacao")
 
 
+@_query("y2_diff_splits", f"select particao, count(*) filter (q = 5) as so_a, count(*) filter (q = 6) as so_b, 'DIVERGENTE' as situacao from (select {_PART} as particao, quantidade_apresentada as q from records) where particao is not null group by 1")
+def _y2s(f):
+    parts = labels.split_by_time(f.stored_records, SPLIT)
+    return changes.diff_splits(parts.filter("quantidade_apresentada <> 6"), parts.filter("quantidade_apresentada <> 5"))
+
+
+@_query("y2_overall", "select case when bool_or(n % 3 = 0) then 'DIVERGENTE' else 'IGUAL' end as situacao, count(*) as itens from (select cnes, count(*) as n from records group by 1)")
+def _y2o(f):
+    return changes.overall(_y2(f))
+
+
 # --- report --------------------------------------------------------------------------------------
 
 
@@ -951,9 +1220,10 @@ def _z6(f):
     return report.inconclusive_classes(f.selections, f.obs)
 
 
-@_query("z7_availability", "select familia_regra, base_temporal, estado, count(*) as n from cobertura where competencia in (select competencia from months where mi % 2 = 0) group by all")
+@_query("z7_availability", f"select familia_regra, base_temporal, estado, count(*) as n from cobertura where instrumento in ('C','I') and competencia in (select competencia_processamento from records where {_REASON} is null) group by all")
 def _z7(f):
-    return report.availability(f.coverage, f.view("months").filter("mi % 2 = 0"))
+    months = _cohort(f).filter("motivo is null").select(F.col("competencia_processamento").alias("competencia")).distinct()
+    return report.availability(f.coverage, months, ("C", "I"))
 
 
 @_query("z8_report_metrics", f"select 'fracao_incluida' as metrica, count(*) filter ({_REASON} is null) as numerador, count(*) as denominador from records union all " + " union all ".join(f"select 'ausencia.{c}', count(*) filter ({_REASON} is null and {c} is null), count(*) filter ({_REASON} is null) from records" for c in _FIELDS))
@@ -961,6 +1231,11 @@ def _z8(f):
     return report.report_metrics(_cohort(f), list(_FIELDS))
 
 
+@_query("z8_inconclusive_rates", "select rule_id, fonte, base, count(*) filter (estado = 'INCONCLUSIVO') as numerador, count(*) as denominador from avaliacoes join regras using (rule_id) group by all")
+def _z8i(f):
+    return report.inconclusive_rates(f.evaluations, f.rule_table)
+
+
 # --- streaming -----------------------------------------------------------------------------------
 
 

@@ -9,15 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 OUT = "chave string, observation_id string, artifact_id string, situacao string"
-#: A key without observations for so long forgets its last content, and its next one is new.
-KEEP_MS = 400 * 24 * 3600 * 1000
 
 
 def _outcomes(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Keeps the last content obtained of one file key."""
-    if state.hasTimedOut:
-        state.remove()
-        return
     last = state.get[0] if state.exists else None
     rows = pd.concat(list(batches)).sort_values(["observado_em", "observation_id"], ignore_index=True)
     got = rows.artifact_id.where((rows.resultado == "OBTIDO") & rows.artifact_id.notna())
@@ -29,15 +24,17 @@ def _outcomes(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupStat
     out[got.isna()] = "INCONCLUSIVA"
     known = got.dropna()
     state.update((known.iloc[-1] if len(known) else last,))
-    state.setTimeoutDuration(KEEP_MS)
     yield pd.DataFrame({"chave": key[0], "observation_id": rows.observation_id, "artifact_id": rows.artifact_id, "situacao": out})
 
 
 def watch_stream(observations: DataFrame) -> DataFrame:
     """A streaming table of outcomes from a streaming table of observations (chave, observation_id,
-    observado_em, resultado, artifact_id). State: one content id for each file key, which expires.
+    observado_em, resultado, artifact_id). State: one content id for each file key. It does not expire:
+    a key may be republished after years, and then must be told from a new one; there are as many
+    keys as files were ever published. (A time-out by the clock would also keep a stream over what is
+    available now from ending.)
 
     The observations of a micro-batch are put in the order of their times. One that comes in a later
     batch than a newer one is compared with what was last seen, as a poll that learns of it then
     would; a cutoff in the evaluation, not a watermark, decides what counts as known."""
-    return observations.groupBy("chave").applyInPandasWithState(_outcomes, OUT, "ultimo string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return observations.groupBy("chave").applyInPandasWithState(_outcomes, OUT, "ultimo string", "append", GroupStateTimeout.NoTimeout)
