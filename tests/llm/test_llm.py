@@ -769,3 +769,28 @@ def test_near_copies_count_rows_not_ids(spark):
     rows = [(None, a), (None, a), (7, a), (4, b), (4, b), (4, c), (2, b), (None, "x y"), (None, "x y"), (9, None), (None, "")]
     got = near_copy_stage(spark, rows)
     assert sorted(got, key=str) == sorted([(7, a), (2, b), (4, c), (None, "x y"), (9, None)], key=str)
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    import corpus_pipeline
+
+    shared = " ".join(f"s{i}" for i in range(40))
+    texts = [None, None, "", " \n", "word " * 30_000, f"{shared} one end of it here", f"{shared} another end that is not the same at all, with more", "a few words only"]
+    rows = [(None if i % 3 == 0 else i, t, None if i == 1 else "en", None, None if t is None else len(t)) for i, t in enumerate(texts)]
+    rows += [rows[7], rows[5], rows[6]]
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame(rows, kinds)
+    odd = frame.selectExpr("*", "'x' as row", "1 as score", "'y' as spans", "2 as keep_text", "'z' as fp")
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, odd, SF)
+        left[name] = out.collect()
+        assert stage(spark, odd.limit(0), SF).count() == 0, name
+        if name != "tokens":
+            assert out.columns == list(corpus_pipeline.COLUMNS), name
+    assert len(left["repeats"]) == len(left["tokens"]) == len(rows)
+    assert sorted((r.doc_id or 0, r.text or "") for r in left["near_copies"]) == sorted([(1, ""), (4, texts[4]), (5, texts[5]), (0, texts[6]), (7, texts[7])])
+    assert {r.text for r in left["benchmark"]} == set(texts)
+    cut = [r.text for r in left["repeats"] if r.doc_id == 5]
+    assert cut == ["one end of it here"] * 2  # the rows without an id come first
+    assert all(r.n_tokens == 0 for r in left["tokens"] if r.doc_id in (1, 2))
