@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from datavouch.llm import bpe, decontaminate, fingerprint, html, licences, quality, simhash, substrings, urls, warc
+from datavouch.llm import audit, bpe, collocations, decontaminate, exactdedup, fingerprint, html, licences, quality, simhash, substrings, urls, warc
 from datavouch.llm.common import table
 
 # The URL rules (host, path, verdict).
@@ -54,8 +54,21 @@ def op10_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exactdedup.exact_copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_license_scan, op2_simhash, op3_byte_bpe, op4_url_filter, op5_html_text, op6_substring_dedup, op7_decontamination, op8_warc, op9_quality, op10_fingerprint)}
+    every = (op1_license_scan, op2_simhash, op3_byte_bpe, op4_url_filter, op5_html_text, op6_substring_dedup, op7_decontamination, op8_warc, op9_quality, op10_fingerprint)
+    return {f.__name__: f for f in (*every, op11_filter_audit, op12_collocations, op13_exact_dedup)}
 
 
 def _quoted(text: str) -> str:
@@ -134,5 +147,44 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (d) LEFT JOIN own USING (d)"""
 
 
+_AUDIT_SQL = r"""
+WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+marks AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+fails AS (SELECT w.doc_id, part, concat(CASE WHEN len(words) < 200 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 'B' END,
+    CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' END, CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+    CASE WHEN w.doc_id > min(w.doc_id) OVER (PARTITION BY t) THEN 'E' END) AS failed FROM w),
+cells AS (SELECT part, failed, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM fails LEFT JOIN marks USING (doc_id) GROUP BY ALL),
+l(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders),
+seen AS (SELECT part, filter_order, step, failed, good, toxic, n, substr(filter_order, step, 1) AS own,
+    contains(failed, substr(filter_order, step, 1)) AS here, failed <> '' AND regexp_matches(failed, '[' || substr(filter_order, 1, step - 1) || '_]') AS gone FROM cells, steps),
+done AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (NOT here AND NOT gone), 0) AS kept, coalesce(sum(n) FILTER (here AND NOT gone), 0) AS removed,
+    coalesce(sum(n) FILTER (here AND gone), 0) AS redundant, coalesce(sum(n) FILTER (failed = own), 0) AS unique_fails,
+    coalesce(sum(n) FILTER (here AND NOT gone AND good), 0) AS good_lost, coalesce(sum(n) FILTER (here AND NOT gone AND toxic), 0) AS toxic_lost FROM seen GROUP BY ALL)
+SELECT part, filter_order, step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+  toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM done"""
+
+_PHRASES_SQL = f"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (VALUES (1), (2), (3)) s(m) WHERE len(w) >= m),
+f AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase, w[i : i + m - 1] AS words, count(*) AS f FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= 10),
+cut AS (SELECT c.lang, c.m, c.phrase, c.f AS a, k, h.f AS l, t.f AS r, (1000000::HUGEINT * c.f * c.f) // (h.f::HUGEINT * t.f) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c JOIN f h ON h.lang = c.lang AND h.phrase = array_to_string(c.words[1 : k], ' ') JOIN f t ON t.lang = c.lang AND t.phrase = array_to_string(c.words[k + 1 : c.m], ' ')),
+low AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+kept AS (SELECT * FROM low x WHERE NOT EXISTS (SELECT 1 FROM c y WHERE y.lang = x.lang AND y.m > x.m AND x.phrase IN (array_to_string(y.words[1:2], ' '), array_to_string(y.words[2:3], ' ')) AND 100 * y.f >= 50 * x.a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+_COPIES_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS row_no, doc_id, length(coalesce(text, '')) AS n_chars, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS sha FROM documents)
+SELECT doc_id, first_value(doc_id) OVER o AS keep_id, count(*) OVER (PARTITION BY sha) AS group_size, row_no = first_value(row_no) OVER o AS kept, sha AS text_sha256
+FROM d WINDOW o AS (PARTITION BY sha ORDER BY n_chars DESC, doc_id NULLS LAST, row_no)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": _licence_sql(), "op4_url_filter": _url_sql(), "op6_substring_dedup": _REPEATS_SQL, "op7_decontamination": _BENCHMARK_SQL, "op8_warc": _WARC_SQL}
+    found = {"op11_filter_audit": _AUDIT_SQL, "op12_collocations": _PHRASES_SQL, "op13_exact_dedup": _COPIES_SQL}
+    return found | {"op1_license_scan": _licence_sql(), "op4_url_filter": _url_sql(), "op6_substring_dedup": _REPEATS_SQL, "op7_decontamination": _BENCHMARK_SQL, "op8_warc": _WARC_SQL}
