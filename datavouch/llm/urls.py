@@ -1,6 +1,6 @@
 """URL filters: a sort-merge range join of pages with prefix rules, in DataFrame operations only.
 
-A host's key is its labels in reverse, each followed by a comma (``com,example,``). The keys that
+A host's key is its labels in reverse, each followed by a slash (``com/example/``), which no host holds. The keys that
 start with a rule's key, its host and all subdomains, are an interval of the sorted keys; so are the
 paths that start with the rule's path. Intervals of prefixes are nested or apart, so a sweep over
 starts, ends and pages in the order of keys needs only a stack of the rules that are open: the
@@ -31,7 +31,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def _key(host: Column) -> Column:
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
 
 
 def _rules(rules: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def _dealt(probes: DataFrame, edges: DataFrame, group: list[str], rules: DataFra
 
 def _in_sites(probes: DataFrame, ruled: DataFrame) -> DataFrame:
     """(host, path, site): the sites that each probe lies in, from the sweep over hosts."""
-    sites = saved(ruled.groupBy("site").agg(F.count("*").alias("n")).select(F.split_part("site", F.lit(","), F.lit(1)).alias("first"), "site"), "sites")
+    sites = saved(ruled.groupBy("site").agg(F.count("*").alias("n")).select(F.split_part("site", F.lit("/"), F.lit(1)).alias("first"), "site"), "sites")
     edges = saved(_edges(sites, ["first"], "site"), "site_edges")
     deepest = edges.agg(F.max("level")).first()[0] or 0
     probes = probes.withColumns({"first": F.element_at(F.split("host", r"\."), -1), "key": F.encode(_key(F.col("host")), "UTF-8")})
