@@ -71,7 +71,12 @@ def _fields(kind: str, page_id: int | None, url: str | None, digest: str, size:
 
 
 def _one_line(url: str) -> str:
-    return url.replace("\r", "%0D").replace("\n", "%0A")
+    """The URL as a header field holds it: line ends, and white space at its ends, by their codes."""
+    url = url.replace("\r", "%0D").replace("\n", "%0A")
+    inner = url.strip(" \t")
+    at = url.find(inner)
+    code = lambda x: x.replace(" ", "%20").replace("\t", "%09")
+    return code(url[:at]) + inner + code(url[at + len(inner) :])
 
 
 def _response(page_id: int | None, url: str | None, payload: bytes, digest: str, place: tuple[int, int]) -> bytes:
@@ -110,7 +115,7 @@ def members(stream, size: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
     """The header fields, by lower-case name, and the payload of a record."""
     head, _, rest = record.partition(b"\r\n\r\n")
-    fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
+    fields = {k.strip(" \t").lower(): v.strip(" \t") for k, _, v in (x.partition(":") for x in head.decode("utf-8", "surrogatepass").split("\r\n")[1:])}
     block = rest[: int(fields["content-length"])]
     return fields, block.partition(b"\r\n\r\n")[2]
 
