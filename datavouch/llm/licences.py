@@ -3,10 +3,12 @@
 A text is normalised (A-Z lower-cased, runs of other ASCII characters than digits and letters become
 one space, line ends too) and cut into words; its bigrams are looked up in the templates' postings.
 A template of b bigrams needs at least b t / (2 - t) of them for a coefficient of t, which most
-templates fail at once. For the others the best place is sought: against the threshold, a template's
-bigram is worth 2 - t and any other costs t, and the run of greatest sum is found by running minima.
-A bigram that has just been seen is worth nothing; after 2 b / t bigrams it counts again, so two
-copies of a licence never look better than one. The coefficient of that run then decides.
+templates fail at once. For the others the best place is sought: against the threshold, each of a
+template's bigrams is worth 2 - t once in a place and any other costs t. A place that starts amid
+neighbouring bigrams of the template is never better than one that also takes those before, so only
+the first of each such island is a start; and as b bigrams pay for (2 - t) b / t others, a start needs
+to look no farther. Starts meet the bigrams in their reach by ranges of that length, and a running
+sum finds the best end. The coefficient of the best place then decides, whatever else the text holds.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from datavouch.functions.tables import SENT_ROWS
-from datavouch.llm.common import ascii_lower
+from datavouch.llm.common import ascii_lower, saved
 
 # Licence notices and short licence texts in their public wording.
 TEMPLATES: list[tuple[str, str]] = [
@@ -69,9 +71,9 @@ def read_templates(spark: SparkSession, path: str) -> list[tuple[str, str]]:
 
 
 def postings(templates: list[tuple[str, str]] | None = None, threshold: float = 0.8) -> tuple[list[tuple], list[tuple]]:
-    """Rows (tid, licence, size, least, apart) of the templates, and (gram, tid, gid) of their
-    bigrams, as many as these are. ``least``: bigrams that a match shares; ``apart``: distance after
-    which a bigram counts again."""
+    """Rows (tid, licence, size, least, reach) of the templates, and (gram, tid, gid) of their
+    bigrams, as many as these are. ``least``: bigrams that a match shares; ``reach``: other bigrams
+    that all of the template's can pay for."""
     given = TEMPLATES if templates is None else templates
     if sum(len(text) for _, text in given) > MOST_CHARS:
         raise ValueError(f"templates of more than {MOST_CHARS} characters")
@@ -79,7 +81,7 @@ def postings(templates: list[tuple[str, str]] | None = None, threshold: float =
     kinds, grams = [], []
     for tid, (licence, own) in enumerate(sorted((name, found) for name, text in given if (found := bigrams(text)))):
         b = len(own)
-        kinds.append((tid, licence, b, -(-b * mille // (2000 - mille)), -(-2000 * b // mille)))
+        kinds.append((tid, licence, b, -(-b * mille // (2000 - mille)), (2000 - mille) * b // mille))
         grams += [(g, tid, gid) for gid, g in enumerate(own)]
     return kinds, grams
 
@@ -89,8 +91,8 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
 
     The coefficient of a place is 2 s / (a + b) with s bigrams of the template found there (each
     counted once), a those and all others of the place, and b bigrams of the template. Each template
-    has one place in a document, that of the greatest sum, of equals the first to end and then the
-    first to start; a licence takes its best
+    has one place in a document, that of the greatest sum of all places, of equals the first to end and
+    then the first to start; if any place reaches the threshold, that one does; a licence takes its best
     (then its largest template, then the earliest place). Where places of different licences overlap,
     the one of greater coefficient stays, of equals that of the larger template, then of the smaller
     name. Null and empty texts and those of one word match nothing; texts are taken whole. Rows of
@@ -99,29 +101,33 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, thresh
     """
     spark, mille = docs.sparkSession, round(1000 * threshold)
     kinds, grams = postings(templates, threshold)
-    kind = F.broadcast(spark.createDataFrame(kinds, "tid int, licence string, size int, least int, apart int"))
+    kind = F.broadcast(spark.createDataFrame(kinds, "tid int, licence string, size int, least int, reach int"))
     index = spark.createDataFrame(grams, "gram string, tid int, gid int")
     index = F.broadcast(index) if len(grams) <= SENT_ROWS else index
     plain = F.btrim(F.regexp_replace(ascii_lower(F.col(text_col)), _OTHER, " "), F.lit(" "))
-    words = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("h"), F.split(plain, " ").alias("w")).filter(F.size("w") > 1)
+    words = docs.select(F.struct(F.col(id_col).alias("doc_id")).alias("doc"), F.xxhash64(text_col).alias("h"), F.split(plain, " ").alias("w")).filter(F.size("w") > 1)
     pairs = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.concat(F.get("w", i - 1), F.lit(" "), F.get("w", i)))
-    found = words.select("doc_id", "h", F.posexplode(pairs).alias("p", "gram")).join(index, "gram")
-    hits = found.groupBy("doc_id", "h", "tid", "gid", "p").agg(F.lit(1).alias("one"))
-    one = ["doc_id", "h", "tid"]
+    found = words.select("doc", "h", F.posexplode(pairs).alias("p", "gram")).join(index, "gram")
+    hits = found.groupBy("doc", "h", "tid", "gid", "p").agg(F.lit(1).alias("one"))
+    one = ["doc", "h", "tid"]  # a struct, as null ids are joined too
     every = Window.partitionBy(*one)
-    so_far = every.orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = hits.withColumn("hits", F.count("*").over(every)).join(kind, "tid").filter("hits >= least")
-    before = F.lag("p").over(Window.partitionBy(*one, "gid").orderBy("p"))
-    x = x.withColumn("fresh", F.when(before.isNull() | (F.col("p") - before > F.col("apart")), 1).otherwise(0))
-    high = (2000 - mille) * F.sum("fresh").over(so_far) - mille * (F.col("p") - F.row_number().over(every.orderBy("p")))
-    x = x.withColumn("high", high).withColumn("low", F.min(F.struct((F.col("high") - (2000 - mille) * F.col("fresh")).alias("value"), "p")).over(so_far))
-    best = F.max(F.struct((F.col("high") - F.col("low.value")).alias("score"), (-F.col("p")).alias("end"), F.col("low.p").alias("start"))).over(every)
-    x = x.withColumn("best", best).filter("p between best.start and -best.end")
-    place = x.groupBy(*one, "licence", "size").agg(F.count_distinct("gid").alias("s"), F.count("*").alias("n"), F.min("p").alias("start"), F.max("p").alias("end"))
-    place = place.withColumn("a", F.col("s") + F.col("end") - F.col("start") + 1 - F.col("n")).filter(2000 * F.col("s") >= mille * (F.col("a") + F.col("size")))
+    others = F.col("p") - F.row_number().over(every.orderBy("p"))  # other bigrams up to here
+    x = saved(x.select(*one, "licence", "size", "reach", "gid", "p", others.alias("others")), "hits")
+    range_ = F.floor(F.col("others") / (F.col("reach") + 1))
+    starts = x.groupBy(*one, "reach", "others").agg(F.min("p").alias("start")).select(*one, "start", F.col("others").alias("before"), F.explode(F.array(range_, range_ + 1)).alias("range"))
+    met = x.withColumn("range", range_).join(starts, [*one, "range"]).filter("others between before and before + reach and p >= start")
+    again = F.lag("p").over(Window.partitionBy(*one, "start", "gid").orderBy("p"))
+    met = met.withColumn("fresh", F.when(again.isNull(), 1).otherwise(0))
+    so_far = Window.partitionBy(*one, "start").orderBy("p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    met = met.withColumn("s", F.sum("fresh").over(so_far)).withColumn("cost", F.col("others") - F.col("before"))
+    score = (2000 - mille) * F.col("s") - mille * F.col("cost")
+    best = F.max(F.struct(score.alias("score"), (-F.col("p")).alias("end"), (-F.col("start")).alias("start"), "s", "cost"))
+    place = met.groupBy(*one, "licence", "size").agg(best.alias("b")).select(*one, "licence", "size", "b.s", (F.col("b.s") + F.col("b.cost")).alias("a"), (-F.col("b.start")).alias("start"), (-F.col("b.end")).alias("end"))
+    place = place.filter(2000 * F.col("s") >= mille * (F.col("a") + F.col("size")))
     match = F.struct((F.lit(2.0) * F.col("s") / (F.col("a") + F.col("size"))).alias("dice"), "size", "licence", "start", "end")
     better = lambda o, m: (o["dice"] > m["dice"]) | (o["dice"] == m["dice"]) & ((o["size"] > m["size"]) | (o["size"] == m["size"]) & (o["licence"] < m["licence"]))
     beaten = lambda m: F.exists("all", lambda o: (o["licence"] != m["licence"]) & (o["start"] <= m["end"]) & (m["start"] <= o["end"]) & better(o, m))
-    kept = place.groupBy("doc_id", "h").agg(F.collect_list(match).alias("all")).select("doc_id", "h", F.explode(F.filter("all", lambda m: ~beaten(m))).alias("m"))
-    top = kept.groupBy("doc_id", "h", "m.licence").agg(F.max(F.struct("m.dice", "m.size", (-F.col("m.start")).alias("start"), "m.end")).alias("t"))
-    return top.select("doc_id", "licence", "t.dice", (-F.col("t.start")).cast("long").alias("first_word"), (F.col("t.end") + F.col("t.start") + 2).cast("long").alias("n_words"))
+    kept = place.groupBy("doc", "h").agg(F.collect_list(match).alias("all")).select("doc", "h", F.explode(F.filter("all", lambda m: ~beaten(m))).alias("m"))
+    top = kept.groupBy("doc", "h", "m.licence").agg(F.max(F.struct("m.dice", "m.size", (-F.col("m.start")).alias("start"), "m.end")).alias("t"))
+    return top.select("doc.doc_id", "licence", "t.dice", (-F.col("t.start")).cast("long").alias("first_word"), (F.col("t.end") + F.col("t.start") + 2).cast("long").alias("n_words"))

@@ -80,20 +80,20 @@ _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxy
 
 def _licence_sql() -> str:
     kinds, grams = licences.postings()
-    names = ", ".join(f"({t}, {_quoted(name)}, {b}, {least}, {apart})" for t, name, b, least, apart in kinds)
+    names = ", ".join(f"({t}, {_quoted(name)}, {b}, {least})" for t, name, b, least, _ in kinds)
     index = ", ".join(f"({_quoted(g)}, {t})" for g, t, _ in grams)
     other = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     return f"""
-WITH kinds(tid, licence, size, least, apart) AS (VALUES {names}), postings(gram, tid) AS (VALUES {index}),
+WITH kinds(tid, licence, size, least) AS (VALUES {names}), postings(gram, tid) AS (VALUES {index}),
 docs AS (SELECT row_number() OVER () AS d, doc_id, string_split(trim(regexp_replace({_LOWER.format("text")}, '{other}', ' ', 'g'), ' '), ' ') AS w FROM (SELECT DISTINCT doc_id, text FROM documents)),
 pairs AS (SELECT d, doc_id, unnest(range(len(w) - 1)) AS p, w FROM docs WHERE len(w) > 1),
 hits AS (SELECT d, doc_id, tid, p, gram, count(*) OVER (PARTITION BY d, tid) AS hits FROM (SELECT d, doc_id, p, w[p + 1] || ' ' || w[p + 2] AS gram FROM pairs) JOIN postings USING (gram)),
 likely AS (SELECT * FROM hits JOIN kinds USING (tid) WHERE hits >= least),
-fresh AS (SELECT *, coalesce((p - lag(p) OVER (PARTITION BY d, tid, gram ORDER BY p) > apart)::INT, 1) AS fresh FROM likely),
-sums AS (SELECT *, 1200 * sum(fresh) OVER o - 800 * (p - row_number() OVER o) AS high FROM fresh WINDOW o AS (PARTITION BY d, tid ORDER BY p ROWS UNBOUNDED PRECEDING)),
-runs AS (SELECT *, min(high - 1200 * fresh) OVER o AS low, arg_min(p, high - 1200 * fresh) OVER o AS start FROM sums WINDOW o AS (PARTITION BY d, tid ORDER BY p ROWS UNBOUNDED PRECEDING)),
-ends AS (SELECT d, tid, p AS stop, start FROM runs QUALIFY row_number() OVER (PARTITION BY d, tid ORDER BY high - low DESC, p) = 1),
-places AS (SELECT d, doc_id, licence, size, count(DISTINCT gram) AS s, start, stop, count(DISTINCT gram) + stop - start + 1 - count(*) AS a FROM likely JOIN ends USING (d, tid) WHERE p BETWEEN start AND stop GROUP BY d, doc_id, licence, size, start, stop),
+seen AS (SELECT *, lag(p) OVER (PARTITION BY d, tid, gram ORDER BY p) AS prev FROM likely),
+spans AS (SELECT a.d, a.doc_id, a.tid, a.licence, a.size, a.p AS start, b.p AS stop, count(*) OVER o AS hits, sum((b.prev IS NULL OR b.prev < a.p)::INT) OVER o AS s
+  FROM seen a JOIN seen b ON a.d = b.d AND a.tid = b.tid AND b.p >= a.p WINDOW o AS (PARTITION BY a.d, a.tid, a.p ORDER BY b.p ROWS UNBOUNDED PRECEDING)),
+places AS (SELECT d, doc_id, licence, size, s, start, stop, s + stop - start + 1 - hits AS a FROM spans
+  QUALIFY row_number() OVER (PARTITION BY d, tid ORDER BY 1200 * s - 800 * (stop - start + 1 - hits) DESC, stop, start) = 1),
 matches AS (SELECT *, 2.0::DOUBLE * s / (a + size) AS dice FROM places WHERE 2000 * s >= 800 * (a + size)),
 kept AS (SELECT * FROM matches m WHERE NOT EXISTS (SELECT 1 FROM matches o WHERE o.d = m.d AND o.licence <> m.licence AND o.start <= m.stop AND m.start <= o.stop AND (o.dice > m.dice OR o.dice = m.dice AND (o.size > m.size OR o.size = m.size AND o.licence < m.licence))))
 SELECT doc_id, licence, dice, start::BIGINT AS first_word, (stop - start + 2)::BIGINT AS n_words FROM kept

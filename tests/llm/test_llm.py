@@ -47,14 +47,13 @@ def brute_places(text, templates, mille=800):
     out = []
     for name, template in templates:
         own = set(licences.bigrams(template))
-        apart = -(-2000 * len(own) // mille)
-        seen, worth = {}, []
-        for p, g in enumerate(grams):
-            worth.append(-mille if g not in own else 0 if g in seen and p - seen[g] <= apart else 2000 - mille)
-            if g in own:
-                seen[g] = p
         at = [p for p, g in enumerate(grams) if g in own]
-        best = max(((sum(worth[i : j + 1]), -j, -i) for i in at for j in at if i <= j), default=None)
+
+        def worth(i, j):
+            inside = [g for g in grams[i : j + 1] if g in own]  # noqa: B023
+            return (2000 - mille) * len(set(inside)) - mille * (j - i + 1 - len(inside))
+
+        best = max(((worth(i, j), -j, -i) for i in at for j in at if i <= j), default=None)
         if best and len(at) >= -(-len(own) * mille // (2000 - mille)):
             i, j = -best[2], -best[1]
             s = len({g for g in grams[i : j + 1] if g in own})
@@ -92,6 +91,21 @@ def test_licence_places_against_brute_force(spark):
         assert got == {i: w for i, t in enumerate(texts) if (w := brute_places(t, [one]))}
 
 
+@pytest.mark.parametrize("share", [0.3, 0.5, 0.6, 0.9])
+def test_licences_whatever_precedes(spark, share):
+    """A whole licence is found at its full coefficient after or before a part of itself."""
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 100)
+    w = licence_words(mit)
+    part = " ".join(w[: int(share * len(w))])
+    texts = {}
+    for gap in (0, 1, 5, 20, 60, 100, 200, 400):
+        other = " ".join(f"o{i}" for i in range(gap))
+        texts |= {10 * gap: f"{part} {other} {mit}", 10 * gap + 1: f"{mit} {other} {part}", 10 * gap + 2: f"{part} {other} {mit} {other} {part}"}
+    got = found_places(licences.scan(docs(spark, texts)))
+    assert set(got) == set(texts)
+    assert all([x[:2] for x in v if x[0] == "MIT"] == [("MIT", 1.0)] for i, v in got.items() if i >= 50)
+
+
 def test_licence_of_a_whole_text(spark):
     random.seed(1)
     long = " ".join(f"w{random.randrange(900)}" for _ in range(5600))
@@ -323,6 +337,13 @@ def test_url_rows(spark):
     assert sorted(((r.page_id or 0), r.rule, r.verdict) for r in got) == [(0, "com/en/", "block"), (1, "com/en/", "block"), (1, "com/en/", "block"), (2, "", "block")]
 
 
+def test_hosts_of_odd_characters_are_not_subdomains(spark):
+    pages = spark.createDataFrame([(1, "http://example,evil.com/en/7x"), (2, "http://com,example/en/"), (3, "http://a.example.com/en/7"), (4, "http://.com/en/"), (5, "http://example.com./en/7")], "page_id long, url string")
+    rules = spark.createDataFrame(queries.RULES, "host string, path string, verdict string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(pages, rules).collect()}
+    assert got == {1: ("com/en/", "block"), 2: (None, "allow"), 3: ("example.com/en/7", "allow"), 4: ("com/en/", "block"), 5: (None, "allow")}
+
+
 def test_urls_of_nothing(spark):
     assert judge(spark, ["http://a/b"], [("z", "/", "block")])[0][3] == "allow"
     assert urls.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame(queries.RULES, "host string, path string, verdict string")).count() == 0
@@ -583,6 +604,13 @@ def test_archives_are_gzip_members(spark, tmp_path):
     assert whole.count(b"WARC/1.1\r\n") == 50
 
 
+def test_warc_urls_with_outer_white_space(spark, tmp_path):
+    urls_ = ["http://a.example/a", "http://a.example/b ", " http://a.example/c", "http://a.example/d \t ", "\u00a0http://a.example/e\u00a0", "http://a.example/f\x0b", " ", "", "\t", None, " x ", "http:// /", "http://a.example/\r\n"]
+    pages = spark.createDataFrame([(i, u, f"<p>{i}</p>") for i, u in enumerate(urls_)], "page_id long, url string, html string")
+    got = warc.round_trip(pages, str(tmp_path / "w"))
+    assert sorted(r.page_id for r in got.collect()) == list(range(len(urls_)))
+
+
 def test_warc_of_nothing(spark, tmp_path):
     assert warc.round_trip(spark.createDataFrame([], "page_id long, url string, html string"), str(tmp_path / "e")).count() == 0
 
