@@ -32,6 +32,14 @@ def written(df: DataFrame, what: str = "") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """``df``, dealt by a hash of ``by`` to as many tasks as the session has cores, if it comes from fewer
+    files than that; a table of more files is left where it lies. A file of one row group is read by
+    one task however many splits it has, and joins with small tables never deal its rows out."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *by) if len(df.inputFiles()) < cores else df
+
+
 def sent(df: DataFrame) -> DataFrame:
     """``df`` (a stored table, counting it is cheap) marked for sending to all tasks if it has at most
     ``SENT_ROWS`` rows; else as it is, and joins shuffle."""

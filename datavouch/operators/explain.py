@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datavouch.functions.months import month_shift
+from datavouch.functions.tables import written
 from datavouch.operators import rules
 
 
@@ -178,6 +179,106 @@ def repair_impact(plans: DataFrame, pairs: DataFrame, records: DataFrame, establ
     return out.withColumn("minimo", F.coalesce(good & (F.col("custo") == least), F.lit(False))).select(*_PAIR, "plano", "operacoes", "custo", "resolvidos", "prejudicados", "minimo", "minimo_provado")
 
 
+# What a search says of its cheapest plans.
+MINIMAL, UNPROVEN, INCONCLUSIVE = "MINIMO_NO_CATALOGO", "SOLUCAO_SEM_PROVA_DE_MINIMALIDADE", "BUSCA_INCONCLUSIVA"
+# End of the fixed values.
+
+
+def cheapest_repairs(candidates: DataFrame, pairs: DataFrame, tested: DataFrame, most_operations: int = 3, most_candidates: int = 10_000) -> DataFrame:
+    """(competencia, cnes, cbo, operacoes, origens, custo, avaliados, minimalidade): of each pair all
+    cheapest plans that clear it and violate nothing new, or one row without a plan.
+
+    A search by levels. An operation is tried where what it depends on is done. A plan that gives the
+    pair a link is finished: more operations only cost more, so it is never made longer. An operation that
+    takes a last link from records with a match, whose absence would count, or that brings the first
+    row of an establishment where the absence of other occupations would then count, is dropped, as no
+    other one mends that. What is left open has only prepared others; of open plans that did the same the cheapest stays. So a pair with k
+    linked occupations makes about k plans a level instead of all combinations.
+
+    Plans of a pair are judged in the order of cost, then name, and ``most_candidates`` of them at most
+    (``avaliados``): a search that this cuts is no proof, and one cut before it found a plan is
+    inconclusive; nor is one a proof where an open plan of ``most_operations`` might go on more cheaply.
+    ``tested`` is as ``tested_keys`` makes it, of all rules that read the table; link counts are not
+    negative."""
+    matched = tested.filter("estado = 'CONFORME' and sustentada").select("competencia", "cnes", F.col("cbo").alias("origem")).distinct().withColumn("casa", F.lit(True))
+    others = tested.filter("estado = 'INCONCLUSIVO' and sustentada").select("competencia", "cnes", F.col("cbo").alias("outra")).distinct().join(pairs.select("competencia", "cnes").distinct(), ["competencia", "cnes"], "left_anti")
+    first = candidates.select(*_PAIR).distinct().join(others, ["competencia", "cnes"]).filter("outra <> cbo").select(*_PAIR).distinct().withColumn("estreia", F.lit(True))
+    links = pairs.groupBy("competencia", "cnes", F.col("cbo").alias("origem")).agg(F.sum("n_vinculos").alias("antes"))
+    own = candidates.join(links, ["competencia", "cnes", "origem"], "left").join(matched, ["competencia", "cnes", "origem"], "left").join(first, _PAIR, "left")
+    harms = F.coalesce(F.col("casa") & (F.col("antes") <= 1), F.lit(False)) | (F.coalesce("estreia", F.lit(False)) & (F.col("operacao") != "CADASTRAR_ESTABELECIMENTO"))
+    one = written(own.filter(~harms).select(*_PAIR, F.struct(F.concat_ws(":", "operacao", F.coalesce("origem", F.lit(""))).alias("nome"), "operacao", F.coalesce("origem", F.lit("")).alias("origem"), "custo").alias("op"), "depende_de"), "operations")
+    gives = F.col("op.operacao") != "CADASTRAR_ESTABELECIMENTO"
+    level = one.filter("depende_de is null").select(*_PAIR, F.array("op").alias("ops"), F.col("op.custo").alias("custo"), gives.alias("pronto"))
+    found = level
+    for _ in range(most_operations - 1):
+        done = F.array_sort(F.transform("ops", lambda o: o["nome"]))
+        open_ = level.filter("not pronto").groupBy(*_PAIR, done.alias("_feitas")).agg(F.min(F.struct("custo", "ops")).alias("m")).select(*_PAIR, "m.ops", "m.custo")
+        longer = open_.withColumnRenamed("custo", "_antes").join(one, _PAIR)
+        ready = F.col("depende_de").isNull() | F.exists("ops", lambda o: o["operacao"] == F.col("depende_de"))
+        longer = longer.filter(ready & ~F.exists("ops", lambda o: o["nome"] == F.col("op.nome")))
+        level = longer.select(*_PAIR, F.concat("ops", F.array("op")).alias("ops"), (F.col("_antes") + F.col("op.custo")).alias("custo"), gives.alias("pronto"))
+        found = found.unionByName(level)
+    every = Window.partitionBy(*_PAIR)
+    ranked = found.withColumn("lugar", F.row_number().over(every.orderBy("custo", F.transform("ops", lambda o: o["nome"]))))
+    ranked = ranked.withColumn("minimo", F.min(F.when(F.col("pronto") & (F.col("lugar") <= most_candidates), F.col("custo"))).over(every))
+    cheapest_step = F.min(F.col("ops")[0]["custo"]).over(every)
+    ranked = ranked.withColumn("passo", cheapest_step)
+    may_go_on = F.max(~F.col("pronto") & (F.size("ops") == most_operations) & (F.col("custo") + F.col("passo") < F.col("minimo"))).over(every)
+    cut = F.max(F.when(F.col("custo") <= F.col("minimo"), F.col("lugar"))).over(every) > most_candidates
+    said = F.when(F.col("minimo").isNull(), INCONCLUSIVE).when(cut | F.coalesce(may_go_on, F.lit(False)), UNPROVEN).otherwise(MINIMAL)
+    ranked = ranked.withColumns({"minimalidade": said, "avaliados": F.least(F.count("*").over(every), F.lit(most_candidates))})
+    best = ranked.filter(F.col("pronto") & (F.col("custo") == F.col("minimo")) & (F.col("lugar") <= most_candidates))
+    plans = best.select(*_PAIR, F.transform("ops", lambda o: o["operacao"]).alias("operacoes"), F.transform("ops", lambda o: o["origem"]).alias("origens"), "custo", "avaliados", "minimalidade")
+    tried = ranked.filter("minimo is null").groupBy(*_PAIR).agg(F.max("avaliados").alias("avaliados"))
+    without = candidates.select(*_PAIR).distinct().join(plans.select(*_PAIR).distinct(), _PAIR, "left_anti").join(tried, _PAIR, "left")
+    lost = without.select(*_PAIR, F.lit(None).cast("array<string>").alias("operacoes"), F.lit(None).cast("array<string>").alias("origens"), F.lit(None).cast("int").alias("custo"), F.coalesce("avaliados", F.lit(0)).alias("avaliados"), F.lit(INCONCLUSIVE).alias("minimalidade"))
+    return plans.withColumn("custo", F.col("custo").cast("int")).unionByName(lost)
+
+
+def tested_keys(evals: DataFrame, records: DataFrame) -> DataFrame:
+    """(rule_id, competencia, cnes, cbo, estado, sustentada, n): how many records each key of a version
+    was tested for, by state; of rules that read one table by (cnes, cbo)."""
+    own = records.select("row_id", "cnes", "cbo")
+    asked = evals.filter("testado").select("row_id", "rule_id", F.col("sel_competencia").alias("competencia"), "estado", "sustentada")
+    return asked.join(own, "row_id").groupBy("rule_id", *_PAIR, "estado", "sustentada").agg(F.count("*").alias("n"))
+
+
+def repair_effects(plans: DataFrame, pairs: DataFrame, tested: DataFrame) -> DataFrame:
+    """(competencia, cnes, cbo, plano, custo, resolvidos, novas_violacoes, novas_inconclusivas, regras):
+    what each plan changes in the states of all rules that read the table.
+
+    The changes of counts run through the existence test by keys, not by evaluating again. A changed
+    pair matches while it has links (its rows become one with the total; at none the row goes). Where an
+    establishment's first row comes or its last goes, the test of its other occupations turns too:
+    without any row of the establishment nothing is known of them, with one their absence counts.
+    ``tested`` is as ``tested_keys`` makes it, for every such rule (``no_leading`` ones, whose tables
+    have no null keys); ``regras`` are those in which some record changes its state. Plans that take
+    more links than there are, are left out."""
+    place, one = ["competencia", "cnes"], ["competencia", "cnes", "alvo", "plano"]
+    numbered = plans.withColumn("plano", F.concat_ws("+", F.zip_with("operacoes", "origens", lambda o, g: F.concat_ws(":", o, g))))
+    rows = pairs.groupBy(*_PAIR).agg(F.coalesce(F.sum("n_vinculos"), F.lit(0)).alias("antes"), F.count("*").alias("linhas"))
+    change = numbered.select(*place, F.col("cbo").alias("alvo"), "plano", F.explode("delta").alias("d")).groupBy(*one, F.col("d.cbo").alias("cbo")).agg(F.sum("d.n").alias("delta")).filter("delta <> 0")
+    change = change.join(rows, _PAIR, "left").fillna({"antes": 0, "linhas": 0}).withColumn("depois", F.col("antes") + F.col("delta"))
+    there = rows.groupBy(*place).agg(F.sum("linhas").alias("total"))
+    lead = change.groupBy(*one).agg(F.sum(F.when(F.col("depois") > 0, 1).otherwise(0) - F.col("linhas")).alias("mais"), F.bool_and(F.col("depois") >= 0).alias("possivel"))
+    lead = written(lead.join(there, place, "left").fillna({"total": 0}).select(*one, "possivel", (F.col("total") > 0).alias("havia"), (F.col("total") + F.col("mais") > 0).alias("ha")), "leads")
+    absent = F.when(F.col("ha") & F.col("sustentada"), "VIOLACAO").otherwise("INCONCLUSIVO")
+    exact = change.join(lead, one).join(tested, _PAIR).withColumn("novo", F.when(F.col("depois") > 0, "CONFORME").otherwise(absent))
+    turned = lead.filter("havia <> ha").join(tested, place).join(change.select(*one, "cbo"), [*one, "cbo"], "left_anti").withColumn("novo", absent)
+    columns = [*one, "cbo", "rule_id", "estado", "novo", "n"]
+    moved = exact.select(*columns).unionByName(turned.select(*columns)).filter("estado <> novo")
+    count = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    effect = moved.groupBy(*one).agg(
+        count((F.col("estado") == "VIOLACAO") & (F.col("novo") == "CONFORME") & (F.col("cbo") == F.col("alvo"))).alias("resolvidos"),
+        count(F.col("novo") == "VIOLACAO").alias("novas_violacoes"),
+        count((F.col("estado") == "CONFORME") & (F.col("novo") == "INCONCLUSIVO")).alias("novas_inconclusivas"),
+        F.array_sort(F.collect_set("rule_id")).alias("regras"),
+    )
+    out = numbered.withColumnRenamed("cbo", "alvo").join(lead.select(*one, "possivel"), one, "left").filter("coalesce(possivel, true)").join(effect, one, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return out.select(*place, F.col("alvo").alias("cbo"), "plano", "custo", zero("resolvidos"), zero("novas_violacoes"), zero("novas_inconclusivas"), F.coalesce("regras", F.array().cast("array<string>")).alias("regras"))
+
+
 def executability(plans: DataFrame, now_month: str, open_month: str | None = None, operations: dict[str, tuple[int, str, str]] | None = None) -> DataFrame:
     """Plans with ``executabilidade`` and ``condicoes``. A closed month makes a plan a past hypothesis,
     an unknown one leaves it undetermined; then authority and governance decide.

@@ -49,10 +49,14 @@ def _counts() -> dict[str, tuple[Column, Column]]:
     return dict(zip(METRICS, pairs, strict=True))
 
 
-def strata(df: DataFrame) -> Column:
-    """TOTAL, the common domain and a stratum for each instrument, month and establishment."""
-    named = lambda k, c: F.concat(F.lit(f"{k}="), F.coalesce(F.col(c), F.lit("None")))
-    return F.array_compact(F.array(F.lit("TOTAL"), F.when(common_domain(), "dominio_comum"), named("instrumento", "instrumento"), named("competencia", "competencia_processamento"), named("estabelecimento", "cnes")))
+def by_strata(df: DataFrame, keys: list[str], aggs: list[Column]) -> DataFrame:
+    """(*keys, estrato, *aggs): TOTAL, the common domain and a stratum for each instrument, month and
+    establishment, by grouping sets, so that rows are counted where they are before any is moved."""
+    dims = {"instrumento": "instrumento", "competencia": "competencia_processamento", "estabelecimento": "cnes"}
+    cut = df.withColumns({f"_{k}": F.concat(F.lit(f"{k}="), F.coalesce(F.col(c), F.lit("None"))) for k, c in dims.items()}).withColumn("_comum", F.when(common_domain(), "dominio_comum").otherwise(""))
+    own, names = [F.col(k) for k in keys], ["_comum", *[f"_{k}" for k in dims]]
+    grouped = cut.groupingSets([own, *[[*own, F.col(c)] for c in names]], *own, *[F.col(c) for c in names]).agg(F.coalesce(*names, F.lit("TOTAL")).alias("estrato"), *aggs)
+    return grouped.filter("estrato <> ''").drop(*names)
 
 
 def ratio_metrics(population: DataFrame, outcomes: DataFrame, methods: list[str]) -> DataFrame:
@@ -64,13 +68,12 @@ def ratio_metrics(population: DataFrame, outcomes: DataFrame, methods: list[str]
     cols = ("causa", "row_id", "rotulo", "instrumento", "procedimento", "cbo", "cnes", "competencia_atendimento", "competencia_processamento")
     wide = population.select(*cols).crossJoin(F.broadcast(outcomes.sparkSession.createDataFrame([(m,) for m in methods], "metodo string")))
     j = wide.join(outcomes.select("metodo", "row_id", "situacao"), ["metodo", "row_id"], "left").fillna({"situacao": "ABSTENCAO"})
-    g = j.select("metodo", "situacao", "rotulo", "causa", F.explode(strata(j)).alias("estrato"))
     counts = _counts()
     aggs = [x for k, (n, d) in counts.items() for x in (F.count_if(n & d).alias(f"n_{k}"), F.count_if(d).alias(f"d_{k}"))]
-    out = g.groupBy("metodo", "estrato").agg(*aggs)
+    out = by_strata(j, ["metodo"], aggs)
     rows = F.explode(F.array(*[F.struct(F.lit(k).alias("metrica"), F.col(f"n_{k}").alias("numerador"), F.col(f"d_{k}").alias("denominador")) for k in counts]))
     found = out.select("metodo", "estrato", rows.alias("m")).select("metodo", "m.metrica", "estrato", "m.numerador", "m.denominador")
-    size = population.select(F.explode(strata(population)).alias("estrato")).groupBy("estrato").agg(F.count("*").alias("numerador")).crossJoin(F.broadcast(population.agg(F.count("*").alias("denominador"))))
+    size = by_strata(population, [], [F.count("*").alias("numerador")]).crossJoin(F.broadcast(population.agg(F.count("*").alias("denominador"))))
     found = found.unionByName(size.select(F.lit("populacao").alias("metodo"), F.lit("tamanho_estrato").alias("metrica"), "estrato", "numerador", "denominador"))
     return found.withColumn("valor", ratio("numerador", "denominador"))
 

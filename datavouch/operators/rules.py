@@ -251,14 +251,19 @@ def key_outcomes(rules: list[Rule], asked: DataFrame, months: DataFrame, aux: Da
     return found.select(*_KEY, "achados", result.alias("resultado"))
 
 
-def _final() -> dict[str, Column]:
-    """The columns of an evaluation, from the inputs, ``achados`` and ``resultado``."""
+def _reasons() -> Column:
+    """The reasons of an evaluation, from the inputs and ``resultado``."""
     some = lambda *x: F.array(*[F.lit(y) for y in x])
     none = F.array().cast("array<string>")
     unknown = F.when(_quarantined(), some("APLICABILIDADE_DESCONHECIDA", "ARQUIVO_EM_QUARENTENA")).otherwise(some("APLICABILIDADE_DESCONHECIDA", "CAMPO_INSUFICIENTE"))
     absent = F.when(absence_supported(), none).otherwise(some("COBERTURA_INSUFICIENTE"))
     tested = F.when(F.col("resultado") == "CORRESPONDENCIA", none).when(F.col("resultado") == "AUSENCIA", absent).otherwise(F.array("resultado"))
-    reasons = F.when(F.col("previa") == "DESCONHECIDA", unknown).when(F.col("previa") != "APLICAVEL", none).when(_target(), tested).otherwise(F.col("motivos_previos"))
+    return F.when(F.col("previa") == "DESCONHECIDA", unknown).when(F.col("previa") != "APLICAVEL", none).when(_target(), tested).otherwise(F.col("motivos_previos"))
+
+
+def _final() -> dict[str, Column]:
+    """The columns of an evaluation, from the inputs, ``achados``, ``resultado`` and ``motivos``."""
+    reasons = F.col("motivos")
     applies = F.when(_target() & (F.col("resultado") == "APLICABILIDADE_DESCONHECIDA"), "DESCONHECIDA").otherwise(F.col("previa"))
     against = F.when(_target() & (F.size(reasons) == 0), F.col("resultado") == "AUSENCIA")
     complete = F.size(F.array_remove(reasons, "APLICABILIDADE_DESCONHECIDA")) == 0
@@ -273,7 +278,8 @@ def evaluate_rules(rules: list[Rule], records: DataFrame, aux: dict[str, DataFra
     depends on the month, the coverage cell or the file has few rows and is sent to all tasks; the
     existence test runs over distinct keys, and its outcomes come back by one join, which shuffles
     only if they are too many to be sent. All joins are left joins by unique keys, so no record is
-    multiplied. ``origins``: where the inputs come from; more than one is refused, as is a rule
+    multiplied. ``testado`` says whether the existence test was asked, ``sustentada`` whether an absence
+    would be proven. ``origins``: where the inputs come from; more than one is refused, as is a rule
     given twice."""
     if len({r.rule_id for r in rules}) < len(rules):
         raise ValueError("a rule is given twice")
@@ -292,9 +298,10 @@ def evaluate_rules(rules: list[Rule], records: DataFrame, aux: dict[str, DataFra
     few = sent(facts)
     tested = ready.join(sent(cover), ["familia", "instrumento", "competencia_processamento", "sel_base"], "left")
     tested = split_join(tested, facts, _KEY, asked, F.xxhash64("row_id")) if few is facts else tested.join(few, _KEY, "left")
+    tested = tested.withColumn("motivos", _reasons())  # once, as five columns depend on it
     found = F.when(_target(), F.coalesce("achados", F.lit(0))).otherwise(0).cast("long")
     key = F.when(F.col("k2") == "", F.col("k1")).otherwise(F.concat_ws("|", "k1", "k2"))
-    return tested.select("row_id", "rule_id", *[c.alias(n) for n, c in _final().items()], "artifact_id", "instrumento", "sel_base", "sel_competencia", "sel_estado", "sel_artefatos", F.coalesce("cobertura_estado", F.lit("AUSENTE")).alias("cobertura"), F.coalesce("pior_integridade", F.lit("NAO_VERIFICADO")).alias("integridade"), "integridade_registro", found.alias("n_resultados"), key.alias("chave"))
+    return tested.select("row_id", "rule_id", *[c.alias(n) for n, c in _final().items()], "artifact_id", "instrumento", "sel_base", "sel_competencia", "sel_estado", "sel_artefatos", F.coalesce("cobertura_estado", F.lit("AUSENTE")).alias("cobertura"), F.coalesce("pior_integridade", F.lit("NAO_VERIFICADO")).alias("integridade"), "integridade_registro", found.alias("n_resultados"), key.alias("chave"), _target().alias("testado"), absence_supported().alias("sustentada"))
 
 
 def evaluate_rule(rule: Rule, records: DataFrame, aux: DataFrame, decided: DataFrame, coverage: DataFrame, integrity: DataFrame) -> DataFrame:

@@ -26,24 +26,72 @@ def strata(df: DataFrame) -> DataFrame:
 
 
 def allocate(counts: DataFrame, total: int) -> DataFrame:
-    """(estrato, n, alocado, probabilidade): proportional, at least one a stratum, by the largest
-    remainder with ties by name, exactly ``total`` (all rows if they are fewer). The overshoot from
-    the at-least-one rule is taken back from the largest allocations. ``counts`` has a row a stratum."""
-    one = Window.partitionBy()
-    base = counts.withColumn("todos", F.sum("n").over(one)).withColumn("k", F.count("*").over(one))
-    quota = F.least(F.lit(total), F.col("todos")) * F.col("n")
-    a = base.withColumn("piso", F.greatest(F.lit(1), F.floor(quota / F.col("todos")))).withColumn("resto", quota % F.col("todos"))
-    a = a.withColumn("falta", F.least(F.lit(total), F.col("todos")) - F.sum("piso").over(one))
-    up = F.row_number().over(Window.orderBy(F.col("resto").desc(), "estrato"))
-    down = F.row_number().over(Window.orderBy(F.col("piso").desc(), "estrato"))
-    a = a.withColumn("alocado", F.col("piso") + F.when((F.col("falta") > 0) & (up <= F.col("falta")), 1).when((F.col("falta") < 0) & (down <= -F.col("falta")) & (F.col("piso") > 1), -1).otherwise(0))
-    return a.select("estrato", "n", F.least("alocado", "n").alias("alocado"), F.bround(F.least("alocado", "n").cast("decimal(20,0)") / F.col("n").cast("decimal(20,0)"), 12).cast("decimal(20,12)").alias("probabilidade"))
+    """(estrato, n, alocado, probabilidade): proportional, at least one a stratum, exactly ``total`` (all
+    rows if they are fewer). ``counts`` has a row (estrato, n) a stratum.
+
+    Each stratum begins with its target's whole part, or one. While cases are missing, the stratum that
+    lies farthest below its target gets one; while there are too many, the one that lies farthest above
+    loses one, never its last; ties go by name. Units of one stratum rank a whole case apart, so units
+    are dealt in rounds: a round is full or takes from the strata in the order of their remainders, and
+    the number of full rounds is where the water level of what strata can lose meets the surplus. So no
+    unit is a row. More strata than cases, no case and empty strata are refused."""
+    if total < 1:
+        raise ValueError(f"a sample of {total} cases")
+    counts = written(counts.select("estrato", F.col("n").cast("long").alias("n")), "strata")
+    seen = counts.agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.min("n").alias("least")).first()
+    if seen.k and seen.least < 1:
+        raise ValueError("a stratum is empty")
+    if seen.k and total < seen.n and seen.k > total:
+        raise ValueError(f"{seen.k} strata, but {total} cases")
+    size, every = min(total, seen.n or 0), seen.n or 1
+    product = F.lit(size).cast("decimal(18,0)") * F.col("n").cast("decimal(19,0)")
+    base = counts.withColumn("piso", F.greatest(F.lit(1), F.expr(f"cast(cast({size} as decimal(18,0)) * cast(n as decimal(19,0)) div {every} as bigint)")))
+    base = base.withColumn("resto", (product % F.lit(every)).cast("long")).withColumn("teto", F.col("piso") - 1)
+    missing = size - (base.agg(F.sum("piso")).first()[0] or 0)
+    if missing >= 0:
+        place = F.row_number().over(Window.orderBy(F.col("piso").cast("decimal(19,0)") * F.lit(every).cast("decimal(18,0)") - product, "estrato"))  # a row a stratum
+        given = base.withColumn("alocado", F.col("piso") + F.when((place <= missing), 1).otherwise(0))
+    else:
+        rounds, over = _full_rounds(base, -missing)
+        can = F.when(F.col("teto") > rounds, F.lit(0)).otherwise(1)
+        place = F.row_number().over(Window.orderBy(can, "resto", "estrato"))
+        given = base.withColumn("alocado", F.col("piso") - F.least("teto", F.lit(rounds)) - F.when((can == 0) & (place <= over), 1).otherwise(0))
+    return given.select("estrato", "n", F.col("alocado").cast("long").alias("alocado"), F.bround(F.col("alocado").cast("decimal(20,0)") / F.col("n").cast("decimal(20,0)"), 12).cast("decimal(20,12)").alias("probabilidade"))
+
+
+def _full_rounds(base: DataFrame, surplus: int) -> tuple[int, int]:
+    """How many whole rounds of one case from each stratum that can lose it (``teto``: how many it can)
+    the surplus holds, and what is left of it."""
+    levels = base.groupBy("teto").agg(F.count("*").alias("k"))
+    up, all_ = Window.orderBy("teto"), Window.partitionBy()
+    lost = F.sum(F.col("teto") * F.col("k")).over(up) + F.col("teto") * (F.sum("k").over(all_) - F.sum("k").over(up))  # strata at or below a level, and above it
+    at = levels.select("teto", lost.alias("lost"), (F.sum("k").over(all_) - F.sum("k").over(up)).alias("above"))
+    r = at.filter(F.col("lost") <= surplus).agg(F.max(F.struct("teto", "lost", "above")).alias("m")).first().m
+    level, lost_, above = (r.teto, r.lost, r.above) if r else (0, 0, base.count())
+    more = (surplus - lost_) // above if above else 0
+    return level + more, surplus - lost_ - more * above
+
+
+#: Ranges of hashes that a stratum's rows are counted in, each of about a sample's rows.
+RANGES = 64
 
 
 def stratified_sample(rows: DataFrame, allocation: DataFrame, seed: int = 42) -> DataFrame:
-    """The first rows of each stratum in hash order; it doesn't depend on the order of rows."""
-    r = F.row_number().over(Window.partitionBy("estrato").orderBy(hash_order(seed, "row_id"), "row_id"))
-    return rows.join(F.broadcast(allocation.select("estrato", "alocado")), "estrato").withColumn("posicao", r).filter("posicao <= alocado").select("estrato", "row_id", "posicao")
+    """The first rows of each stratum in hash order; it doesn't depend on the order of rows.
+
+    Rows are first counted in ranges of their hashes, which are narrow where a stratum is large; those
+    after the range in which the sample is complete are left out, so what is sorted is about twice the
+    sample at most, however large a stratum is. Strata without an allocation, or of none, give no rows."""
+    own = allocation.filter("alocado > 0").select("estrato", "alocado", F.col("n").alias("_n"))
+    order = hash_order(seed, "row_id")
+    share = F.conv(F.substring("ordem", 1, 12), 16, 10).cast("double") / float(1 << 48)
+    ranged = rows.select("estrato", "row_id", order.alias("ordem")).join(F.broadcast(own), "estrato").withColumn("faixa", F.least(F.lit(RANGES - 1), F.floor(share * F.col("_n") / F.col("alocado"))).cast("int"))
+    counted = ranged.groupBy("estrato", "alocado", "faixa").agg(F.count("*").alias("c"))
+    until = F.sum("c").over(Window.partitionBy("estrato").orderBy("faixa"))
+    last = counted.withColumn("ate", until).groupBy("estrato").agg(F.coalesce(F.min(F.when(F.col("ate") >= F.col("alocado"), F.col("faixa"))), F.lit(RANGES)).alias("ultima"))
+    few = ranged.join(F.broadcast(last), "estrato").filter("faixa <= ultima")
+    r = F.row_number().over(Window.partitionBy("estrato").orderBy("ordem", "row_id"))
+    return few.withColumn("posicao", r).filter("posicao <= alocado").select("estrato", "row_id", "posicao")
 
 
 def blind_package(sample: DataFrame, records: DataFrame, allowed: list[str], seed: int = 42) -> tuple[DataFrame, DataFrame, list[str]]:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datavouch.functions.months import month_index
-from datavouch.functions.tables import written
+from datavouch.functions.tables import spread, written
 from datavouch.operators import coverage, labels, metrics, rules, temporal
 from datavouch.plans import adapter
 from datavouch.plans.adapter import CUTOFF, INSTRUMENTS, RULE_ROWS
@@ -33,6 +33,7 @@ class Flow:
         self.spark, self.sf_dir = spark, sf_dir
         self._aux: dict[str, DataFrame] = {}
         self._coverage: dict[str, DataFrame] = {}
+        self._one_rule: dict[int, DataFrame] = {}
 
     def view(self, name: str) -> DataFrame:
         return adapter.view(self.spark, self.sf_dir, name)
@@ -52,7 +53,7 @@ class Flow:
     @cached_property
     def stored_records(self) -> DataFrame:
         """The canonical records as ingestion stores them, for steps that read them more than once."""
-        return written(self.records)
+        return written(spread(self.records, "row_id"))
 
     @cached_property
     def obs(self) -> DataFrame:
@@ -160,7 +161,7 @@ class Flow:
 
     @cached_property
     def aggregates(self) -> DataFrame:
-        return rules.aggregate_records(self.evaluations)
+        return rules.aggregate_records(self.stored_evaluations)
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -171,14 +172,33 @@ class Flow:
         return self.stored_records.withColumns({"rotulo": labels.label(F.col("pa_indica_bruto")), "causa": F.when(F.col("quantidade_apresentada") % 5 == 0, metrics.OUT_OF_SCOPE)})
 
     def one_rule(self, k: int) -> DataFrame:
-        r = RULES[k]
-        return rules.evaluate_rule(r, self.stored_records, self.aux(r.rule_id), self.decided, self._cover([r]), self.versions)
+        if k not in self._one_rule:
+            self._one_rule[k] = self.evaluated(RULES[k], self.aux(RULES[k].rule_id))
+        return self._one_rule[k]
+
+    def evaluated(self, r: rules.Rule, aux: DataFrame) -> DataFrame:
+        return rules.evaluate_rule(r, self.stored_records, aux, self.decided, self._cover([x for x in RULES if x.family == r.family]), self.versions)
 
     @cached_property
     def month_index(self):
         return month_index(F.col("competencia_processamento"))
 
 
+_FLOWS: dict[tuple, Flow] = {}
+
+
+def shared_flow(spark: SparkSession, sf_dir: str) -> Flow:
+    """The flow of a session over one folder, whose tables don't change while the session lasts: what one
+    query has stored (records, coverage, evaluations), the next ones read. Flows of other sessions,
+    folders for intermediate tables or numbers of partitions are not shared."""
+    key = (spark.sparkContext.applicationId, sf_dir, spark.conf.get("spark.checkpoint.dir", None), spark.conf.get("spark.sql.shuffle.partitions"))
+    if key not in _FLOWS:
+        for old in [k for k in _FLOWS if k[0] != key[0]]:
+            del _FLOWS[old]
+        _FLOWS[key] = Flow(spark, sf_dir)
+    return _FLOWS[key]
+
+
 def shift_sql(expr: str, n: str) -> str:
     i = f"(cast(substr({expr},1,4) as bigint)*12 + cast(substr({expr},5,2) as bigint) - 1 + {n})"
     return f"lpad(cast({i} // 12 as varchar), 4, '0') || lpad(cast({i} % 12 + 1 as varchar), 2, '0')"
@@ -205,11 +225,11 @@ def _coverage_sql() -> str:
       from fam f cross join months m cross join bases b left join cel c on c.ins = f.ins and c.mes = m.competencia left join falta x on x.fam = f.fam and x.ins = f.ins and x.mes = m.competencia and x.b = b.b) g"""
 
 
-def _eval_sql(r: rules.Rule) -> str:
+def eval_sql(r: rules.Rule, table: str | None = None) -> str:
     """The evaluations of a rule as a union of the cases that a record can be in: not covered by the
     rule, of unknown applicability, without sufficient inputs, or tested. Reasons are rows, and what
     a test's outcome means is a table."""
-    aux, k, a = AUX_VIEW[r.rule_id], r.record_key, r.aux_key
+    aux, k, a = table or AUX_VIEW[r.rule_id], r.record_key, r.aux_key
     count = f"x.{r.positive}" if r.positive else "1"
     same = " and ".join(f"coalesce(x.{q} = t.{c}, false)" for c, q in zip(k, a, strict=True))
     may = " and ".join(f"coalesce(x.{q} = t.{c}, true)" for c, q in zip(k, a, strict=True))
@@ -218,12 +238,12 @@ def _eval_sql(r: rules.Rule) -> str:
     means = [("1", "''", "CONFORME", "APLICAVEL"), ("2", "'CAMPO_INSUFICIENTE'", "INCONCLUSIVO", "APLICAVEL"), ("4", "''", "VIOLACAO", "APLICAVEL"), ("5", "'COBERTURA_INSUFICIENTE'", "INCONCLUSIVO", "APLICAVEL")]
     if r.no_leading:
         means.append(("3", f"'{r.no_leading}'", "INCONCLUSIVO", "DESCONHECIDA" if r.no_leading == "APLICABILIDADE_DESCONHECIDA" else "APLICAVEL"))
-    table = ", ".join(f"({n}, {why}, '{state}', '{applies}')" for n, why, state, applies in means)
+    meaning = ", ".join(f"({n}, {why}, '{state}', '{applies}')" for n, why, state, applies in means)
     lead = f"when count(*) filter (x.{a[0]} = t.{k[0]}) = 0 then 3" if r.no_leading else ""
     reasons = ", ".join(f"('{s}','{w}')" for s, w in rules.REASON_OF_SELECTION.items())
     return f"""select * from (
       with porque(sel, motivo) as (values {reasons}),
-      significa(caso, motivo, estado, aplic) as (values {table}),
+      significa(caso, motivo, estado, aplic) as (values {meaning}),
       codigos(ins, co_registro) as (values {", ".join(f"('{x}','{y}')" for x, y in _MAP)}),
       ficha as (select r.*, c.co_registro, s.estado as sel_estado, s.competencia_requerida as mes, s.artifact_ids as sel_artefatos, coalesce(v.estado like 'QUARENTENA%', false) as suspeito
         from records r join selecoes s on s.row_id = r.row_id and s.rule_id = '{r.rule_id}' left join codigos c on c.ins = r.instrumento left join versions v on v.artifact_id = r.artifact_id),
@@ -276,7 +296,7 @@ ORACLE: dict[str, str] = {
     "requeridas": f"select r.row_id, q.rule_id, q.fonte, q.base, {shift_sql(_BASE_MONTH, 'q.deslocamento')} as competencia_requerida from records r cross join regras q",
     "selecoes": "select q.*, case when q.competencia_requerida is null then 'NAO_RESOLVIDA' else coalesce(m.estado, 'AUSENTE') end as estado, coalesce(m.artifact_ids, []) as artifact_ids, coalesce(m.observation_ids, []) as observation_ids from requeridas q left join meses_estado m on m.fonte = q.fonte and m.competencia = q.competencia_requerida",
     "cobertura": _coverage_sql(),
-    **{f"av{i}": _eval_sql(r) for i, r in enumerate(RULES)},
+    **{f"av{i}": eval_sql(r) for i, r in enumerate(RULES)},
     "avaliacoes": " union all ".join(f"select * from av{i}" for i in range(len(RULES))),
     "agregados": """select row_id, list_sort(list(rule_id) filter (estado = 'VIOLACAO')) as v, list_sort(list(rule_id) filter (estado = 'CONFORME')) as c, list_sort(list(rule_id) filter (estado = 'INCONCLUSIVO')) as i, list_sort(list(rule_id) filter (estado = 'NAO_APLICAVEL')) as n,
         case when bool_or(estado = 'VIOLACAO') then 'ALERTA' when bool_or(estado = 'INCONCLUSIVO') or not bool_or(estado = 'CONFORME') then 'ABSTENCAO' else 'SEM_VIOLACAO_VERIFICADA' end as resultado from avaliacoes group by row_id""",

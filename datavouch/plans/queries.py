@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from datavouch.functions import identity, months, text
 from datavouch.operators import baseline, changes, coverage, explain, labels, metrics, normalize, report, rules, sampling, temporal, values
-from datavouch.plans.core import RULES, SPLIT, Flow, oracle, ratio_sql
+from datavouch.functions.tables import written
+from datavouch.plans.core import RULES, SPLIT, Flow, eval_sql, oracle, ratio_sql, shared_flow
 from datavouch.sources import canonical, fixed_width, observations
 from datavouch.streaming import watch
 
@@ -91,12 +92,12 @@ def _r05(f):
 
 @_query("r10_absence_supported", "select rule_id, count(*) filter (estado = 'VIOLACAO') as sustentadas, count(*) filter (motivos = 'COBERTURA_INSUFICIENTE' and sel_estado = 'SELECIONADA') as nao_sustentadas from avaliacoes group by rule_id")
 def _r10(f):
-    return f.evaluations.groupBy("rule_id").agg(F.count_if(F.col("estado") == "VIOLACAO").alias("sustentadas"), F.count_if((F.array_join("motivos", ";") == "COBERTURA_INSUFICIENTE") & (F.col("sel_estado") == "SELECIONADA")).alias("nao_sustentadas"))
+    return f.stored_evaluations.groupBy("rule_id").agg(F.count_if(F.col("estado") == "VIOLACAO").alias("sustentadas"), F.count_if((F.array_join("motivos", ";") == "COBERTURA_INSUFICIENTE") & (F.col("sel_estado") == "SELECIONADA")).alias("nao_sustentadas"))
 
 
 @_query("r11_decide_state", "select aplicabilidade, estado, count(*) as n from avaliacoes group by all")
 def _r11(f):
-    return f.evaluations.groupBy("aplicabilidade", "estado").agg(F.count("*").alias("n"))
+    return f.stored_evaluations.groupBy("aplicabilidade", "estado").agg(F.count("*").alias("n"))
 
 
 _KEYS = " ".join(f"when '{r.rule_id}' then {" || '|' || ".join(r.record_key)}" for r in RULES)
@@ -110,7 +111,7 @@ _FOUND_EV = f"""select distinct 'ev_' || sha256(concat_ws(chr(31), tipo, rule_id
 
 @_query("r12_evidence", "select * from evid", evid=_FOUND_EV)
 def _r12(f):
-    return rules.evidence(f.evaluations)
+    return rules.evidence(f.stored_evaluations)
 
 
 @_query("r13_check_invariant", "select (select count(*) from records) as registros, 4 as n_regras, count(*) as avaliacoes, count(*) = 4 * (select count(*) from records) as completo from avaliacoes")
@@ -138,7 +139,7 @@ def _r15(f):
 @_query("r16_check_aggregates", "select 'GRAVADO' as lado, count(*) filter (resultado = 'ALERTA') as n from agregados union all select 'RECALCULADO', count(*) filter (resultado = 'ALERTA') from agregados")
 def _r16(f):
     """The stored aggregates have their alerts turned, so each of them is found on both sides."""
-    ev = f.evaluations.select("row_id", "rule_id", "estado")
+    ev = f.stored_evaluations.select("row_id", "rule_id", "estado")
     wrong = rules.aggregate_records(ev).withColumn("resultado", F.when(F.col("resultado") == "ALERTA", "ABSTENCAO").otherwise(F.col("resultado")))
     return rules.check_aggregates(wrong, ev).groupBy("lado").agg(F.count("*").alias("n"))
 
@@ -833,7 +834,7 @@ def _v4(f):
     rule of another version."""
     q = f.stored_records.select("row_id", F.col("quantidade_apresentada").alias("q"))
     one = F.col("rule_id") == RULES[0].rule_id
-    ev = f.evaluations.select("row_id", "rule_id").join(q, "row_id").filter(~((F.col("q") == 9) & one))
+    ev = f.stored_evaluations.select("row_id", "rule_id").join(q, "row_id").filter(~((F.col("q") == 9) & one))
     ev = ev.select("row_id", "rule_id", F.when(F.col("q") == 10, "OUTRA").otherwise("DOCUMENTADA").alias("politica"), F.lit("M").alias("metodo"), F.when(one, "2").otherwise("1").alias("versao_regra"))
     return values.check_run(ev, q.filter("q <> 8"), _FAMILY, dict.fromkeys(_FAMILY, "1"))
 
@@ -856,7 +857,12 @@ def _q1(f):
     return _strata(f)
 
 
-_ALLOC = "select estrato, n, least(n, piso + case when falta > 0 and up <= falta then 1 when falta < 0 and down <= -falta and piso > 1 then -1 else 0 end) as alocado from (select *, least(1000, total) - sum(piso) over () as falta, row_number() over (order by resto desc, estrato) as up, row_number() over (order by piso desc, estrato) as down from (select estrato, n, total, greatest(1, (least(1000, total) * n) // total) as piso, (least(1000, total) * n) % total as resto from (select estrato, count(*) as n, cast(sum(count(*)) over () as bigint) as total from extratos group by estrato)))"
+# the greedy loop itself: one case more or less a step, as a recursion over the list of allocations
+_ALLOC = """with recursive e as (select list(estrato order by estrato) as nomes, list(n order by estrato) as ns, cast(sum(n) as bigint) as total, least(1000, cast(sum(n) as bigint)) as casos from (select estrato, count(*) as n from extratos group by 1)),
+  passo(i, a) as (select 0, list_transform(ns, lambda n: least(n, greatest(1, casos * n // total))) from e
+    union all select i + 1, case when list_sum(a) < casos then list_transform(a, lambda x, k: x + case when k = list_position(longe, list_max(longe)) then 1 else 0 end) else list_transform(a, lambda x, k: x - case when k = list_position(acima, list_max(acima)) then 1 else 0 end) end
+    from (select i, a, casos, list_transform(list_zip(a, ns), lambda z: case when z[1] < z[2] then casos * z[2] - z[1] * total end) as longe, list_transform(list_zip(a, ns), lambda z: case when z[1] > 1 then z[1] * total - casos * z[2] end) as acima from passo, e where list_sum(a) <> casos) q)
+  select nomes[k] as estrato, ns[k] as n, a[k] as alocado from (select *, unnest(range(1, len(ns) + 1)) as k from e, passo where list_sum(a) = casos)"""
 
 
 @_query("q2_allocate", f"select estrato, n, alocado, {ratio_sql('alocado', 'n', 12)} as probabilidade from aloc", extratos=_TERC, aloc=_ALLOC)
@@ -938,7 +944,7 @@ def _e1(f):
         n = F.count("*") * (2 if r is RULES[0] else 1)
         part = aux.dropna(subset=list(r.aux_key)).groupBy(F.lit(r.rule_id).alias("rule_id"), "artifact_id", F.concat_ws("|", *r.aux_key).alias("chave")).agg(n.alias("n"))
         counted = part if counted is None else counted.unionByName(part)
-    return explain.reverify_evidence(rules.evidence(f.evaluations), counted)
+    return explain.reverify_evidence(rules.evidence(f.stored_evaluations), counted)
 
 
 _TEXT = "case estado when 'VIOLACAO' then 'A regra ' || rule_id || ' nao encontra a chave ' || chave || ' na versao aplicavel.' when 'CONFORME' then 'A regra ' || rule_id || ' encontra a chave ' || chave || ' na versao aplicavel.' when 'INCONCLUSIVO' then 'A regra ' || rule_id || ' nao pode ser decidida para a chave ' || chave || '.' else 'A regra ' || rule_id || ' nao se aplica (' || chave || ').' end"
@@ -976,7 +982,7 @@ def _e3m(f):
 
 @_query("e4_limitations", "select row_id, array_to_string(list_filter(['NAO_E_CAUSA_OFICIAL', 'RETROSPECTIVO', case when bool_or(sel_estado = 'SELECIONADA') then 'INSTANTANEO' end, case when bool_or(estado = 'VIOLACAO') then 'AUSENCIA' end], lambda x: x is not null), ';') as limitacoes from avaliacoes group by row_id")
 def _e4(f):
-    return explain.limitations(f.evaluations).select("row_id", joined("limitacoes"))
+    return explain.limitations(f.stored_evaluations).select("row_id", joined("limitacoes"))
 
 
 @_query("e5_check_bundles", "select row_id, rule_id, case when q % 7 = 0 then 'EVIDENCIA_INEXISTENTE' when q % 5 = 0 and estado = 'VIOLACAO' then 'AUSENCIA_NAO_UTILIZAVEL' else 'ARTEFATO_NAO_SELECIONADO' end as problema from avaliacoes join (select row_id, cast(quantidade_apresentada as bigint) as q from records) using (row_id) where estado <> 'INCONCLUSIVO' and (q % 7 = 0 or q % 5 = 0 and estado = 'VIOLACAO' or q % 3 = 0 and estado = 'CONFORME')")
@@ -1039,6 +1045,54 @@ def _f3(f):
     return explain.repair_impact(_plans(f), _pairs(f), _states(f), _establishments(f)).select("competencia", "cnes", "cbo", "plano", "custo", "resolvidos", "prejudicados", "minimo")
 
 
+#: A second rule on the same table, for the month of the service.
+_SERVICE = rules.Rule("ESTAB_CBO_ATENDIMENTO", RULES[1].family, RULES[1].source, "ATENDIMENTO", 0, record_key=RULES[1].record_key, aux_key=RULES[1].aux_key, no_leading="COBERTURA_INSUFICIENTE", positive="n_vinculos", month_column="competencia_arquivo")
+_SERVICE_SQL = f"""select * from (with selecoes as (select r.row_id, '{_SERVICE.rule_id}' as rule_id, r.competencia_atendimento as competencia_requerida, case when r.competencia_atendimento is null then 'NAO_RESOLVIDA' else coalesce(m.estado, 'AUSENTE') end as estado, coalesce(m.artifact_ids, []) as artifact_ids from records r left join meses_estado m on m.fonte = 'pf' and m.competencia = r.competencia_atendimento)
+  select * from ({eval_sql(_SERVICE, "estab_occ")}))"""
+_TESTED_SQL = """select e.rule_id, e.mes as competencia, e.cnes, e.cbo, e.estado, c.estado is not distinct from 'DISPONIVEL' and e.arquivos = (select count(distinct artifact_id) from estab_occ x where list_contains(e.sel_artefatos, x.artifact_id)) as sustentada, count(*) as n
+  from (select a.*, 'PROCESSAMENTO' as base, a.competencia_processamento as mes, len(sel_artefatos) as arquivos from av1 a union all select a.*, 'ATENDIMENTO', r.competencia_atendimento, len(sel_artefatos) from avs a join (select row_id, competencia_atendimento from records) r using (row_id)) e
+  left join cobertura c on c.familia_regra = 'ESTABELECIMENTO_CBO' and c.instrumento = e.instrumento and c.competencia = e.competencia_processamento and c.base_temporal = e.base
+  where e.sel_estado = 'SELECIONADA' and e.cbo is not null and (e.estado in ('CONFORME', 'VIOLACAO') or e.estado = 'INCONCLUSIVO' and e.motivos in ('CAMPO_INSUFICIENTE', 'COBERTURA_INSUFICIENTE')) group by all"""
+_TESTED = {"avs": _SERVICE_SQL, "testadas": _TESTED_SQL, "linhas": "select competencia_arquivo as competencia, cnes, cbo, coalesce(sum(n_vinculos), 0) as antes, count(*) as k from estab_occ group by all"}
+
+
+def _tested(f: Flow) -> DataFrame:
+    both = f.one_rule(1).unionByName(f.evaluated(_SERVICE, f.aux(RULES[1].rule_id)))
+    return written(explain.tested_keys(both, f.stored_records))
+
+
+_DEAR = {"INCLUIR_CBO": 5}
+
+
+@_query(
+    "f2_cheapest_repairs",
+    "select v.competencia, v.cnes, v.cbo, case when p.custo is not null then array_to_string(p.ops, ';') end as operacoes, case when p.custo is not null then array_to_string(p.ors, ';') end as origens, cast(p.custo as int) as custo, coalesce(t.n, 0) as avaliados, case when p.custo is null then 'BUSCA_INCONCLUSIVA' else 'MINIMO_NO_CATALOGO' end as minimalidade from viol v left join (select competencia, cnes, cbo, count(*) as n from planos group by all) t using (competencia, cnes, cbo) left join (select * from planos where pronto qualify custo = min(custo) over (partition by competencia, cnes, cbo)) p using (competencia, cnes, cbo)",
+    **_REPAIR,
+    **_TESTED,
+    util="select c.* replace (case when operacao = 'INCLUIR_CBO' then 5 else custo end as custo) from cand c where (operacao = 'CADASTRAR_ESTABELECIMENTO' or exists (select 1 from estab_occ x where x.competencia_arquivo = c.competencia and x.cnes = c.cnes) or not exists (select 1 from testadas t where t.competencia = c.competencia and t.cnes = c.cnes and t.cbo <> c.cbo and t.estado = 'INCONCLUSIVO' and t.sustentada)) and (origem is null or (select antes from linhas l where l.competencia = c.competencia and l.cnes = c.cnes and l.cbo = c.origem) > 1 or not exists (select 1 from testadas t where t.competencia = c.competencia and t.cnes = c.cnes and t.cbo = c.origem and t.estado = 'CONFORME' and t.sustentada))",
+    planos="select competencia, cnes, cbo, [operacao] as ops, [coalesce(origem, '')] as ors, custo, operacao <> 'CADASTRAR_ESTABELECIMENTO' as pronto from util where depende_de is null union all select a.competencia, a.cnes, a.cbo, [a.operacao, b.operacao], ['', coalesce(b.origem, '')], a.custo + b.custo, true from util a join util b using (competencia, cnes, cbo) where a.operacao = 'CADASTRAR_ESTABELECIMENTO' and b.depende_de = a.operacao",
+)
+def _f2c(f):
+    """Adding a pair is dear here, so that moving one from another occupation is sought first."""
+    dear = _candidates(f).withColumn("custo", F.when(F.col("operacao") == "INCLUIR_CBO", _DEAR["INCLUIR_CBO"]).otherwise(F.col("custo")))
+    return explain.cheapest_repairs(dear, _pairs(f), _tested(f)).select("competencia", "cnes", "cbo", joined("operacoes"), joined("origens"), "custo", F.col("avaliados").cast("long").alias("avaliados"), "minimalidade")
+
+
+@_query(
+    "f3_repair_effects",
+    "select competencia, cnes, cbo, plano, custo, cast(coalesce(sum(n) filter (estado = 'VIOLACAO' and novo = 'CONFORME' and chave = cbo), 0) as bigint) as resolvidos, cast(coalesce(sum(n) filter (estado <> 'VIOLACAO' and novo = 'VIOLACAO'), 0) as bigint) as novas_violacoes, cast(coalesce(sum(n) filter (estado = 'CONFORME' and novo = 'INCONCLUSIVO'), 0) as bigint) as novas_inconclusivas, coalesce(array_to_string(list_sort(list(distinct rule_id) filter (estado <> novo)), ';'), '') as regras from julgados group by competencia, cnes, cbo, plano, custo",
+    **_REPAIR,
+    **_TESTED,
+    # every plan's own table: all occupations of its establishment, with their rows after it
+    depois="select p.competencia, p.cnes, p.cbo, p.plano, o.chave, coalesce(l.antes, 0) + d.delta as links, case when d.delta = 0 then coalesce(l.k, 0) when coalesce(l.antes, 0) + d.delta > 0 then 1 else 0 end as k, coalesce(l.k, 0) as k0, d.delta from plano p, lateral (select distinct cbo as chave from linhas l where l.competencia = p.competencia and l.cnes = p.cnes union select distinct t.cbo from testadas t where t.competencia = p.competencia and t.cnes = p.cnes union select p.cbo) o, lateral (select case when o.chave = p.cbo then len(list_filter(p.ops, lambda x: x <> 'CADASTRAR_ESTABELECIMENTO')) else 0 end - len(list_filter(p.ors, lambda x: x = o.chave)) as delta) d left join linhas l on l.competencia = p.competencia and l.cnes = p.cnes and l.cbo = o.chave",
+    lider="select competencia, cnes, cbo, plano, sum(k) > 0 as ha, sum(k0) > 0 as havia, min(links) filter (delta <> 0) < 0 as impossivel from depois group by all",
+    julgados="select p.competencia, p.cnes, p.cbo, p.plano, p.custo, d.chave, t.rule_id, t.estado, t.n, case when d.delta = 0 and (d.k0 > 0 or s.ha = s.havia) then t.estado when d.delta <> 0 and d.links > 0 then 'CONFORME' when s.ha and t.sustentada then 'VIOLACAO' else 'INCONCLUSIVO' end as novo from plano p join lider s using (competencia, cnes, cbo, plano) join depois d using (competencia, cnes, cbo, plano) left join testadas t on t.competencia = p.competencia and t.cnes = p.cnes and t.cbo = d.chave where not coalesce(s.impossivel, false)",
+)
+def _f3e(f):
+    """Two rules read the table: for the month of processing, and for that of the service."""
+    return explain.repair_effects(_plans(f), _pairs(f), _tested(f)).select("competencia", "cnes", "cbo", "plano", "custo", "resolvidos", "novas_violacoes", "novas_inconclusivas", joined("regras"))
+
+
 _KNOWN = {"INCLUIR_CBO": (1, "GESTOR_MUNICIPAL", "MUNICIPAL_DOCUMENTADA"), "RECLASSIFICAR_CBO": (2, "GESTOR_ESTADUAL", "FORA_DA_GOVERNANCA_MUNICIPAL"), "CADASTRAR_ESTABELECIMENTO": (3, "DESCONHECIDA", "DESCONHECIDA")}
 
 
@@ -1233,7 +1287,7 @@ def _z8(f):
 
 @_query("z8_inconclusive_rates", "select rule_id, fonte, base, count(*) filter (estado = 'INCONCLUSIVO') as numerador, count(*) as denominador from avaliacoes join regras using (rule_id) group by all")
 def _z8i(f):
-    return report.inconclusive_rates(f.evaluations, f.rule_table)
+    return report.inconclusive_rates(f.stored_evaluations, f.rule_table)
 
 
 # --- streaming -----------------------------------------------------------------------------------
@@ -1251,7 +1305,7 @@ def _w1(f):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: (lambda spark, sf_dir, f=f: f(Flow(spark, sf_dir))) for name, (f, _) in _FOUND.items()}
+    return {name: (lambda spark, sf_dir, f=f: f(shared_flow(spark, sf_dir))) for name, (f, _) in _FOUND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
