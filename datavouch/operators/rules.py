@@ -9,7 +9,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.functions.months import month_index, month_text
+from datavouch.functions.months import month_index, month_text, valid_month
 from datavouch.functions.tables import sent, split_join, written
 from datavouch.functions.text import full_match, present
 
@@ -190,8 +190,9 @@ def _asked(rule: Rule) -> Column:
     code = F.create_map(*[F.lit(x) for p in rule.mapping for x in p])[F.col("instrumento")] if rule.mapping else None
     key = [code if c == "co_registro" else F.col(c) for c in rule.record_key]
     missing = reduce(lambda x, y: x | y, (c.isNull() for c in key))
-    month = month_text(month_index(_month(rule.base)) + rule.offset)
-    columns = {"rule_id": F.lit(rule.rule_id), "familia": F.lit(rule.family), "sel_base": F.lit(rule.base), "sel_competencia": month, "k1": key[0], "k2": key[1] if len(key) > 1 else F.lit(""), "falta": missing, "previa": applicability(rule), "mes_proprio": month.eqNullSafe(_month(rule.base))}
+    own = _month(rule.base)
+    month = month_text(month_index(own) + rule.offset) if rule.offset else F.when(valid_month(own), own)
+    columns = {"rule_id": F.lit(rule.rule_id), "familia": F.lit(rule.family), "sel_base": F.lit(rule.base), "sel_competencia": month, "k1": key[0], "k2": key[1] if len(key) > 1 else F.lit(""), "falta": missing, "previa": applicability(rule), "mes_proprio": month.eqNullSafe(own) if rule.offset else own.isNull() | valid_month(own)}
     return F.struct(*[c.alias(n) for n, c in columns.items()])
 
 
@@ -231,7 +232,10 @@ def _target() -> Column:
 
 
 def _prior_reasons() -> Column:
-    return present(F.when(F.col("falta"), "CAMPO_INSUFICIENTE"), _selection_reason(F.col("esc_motivo")))
+    """Sorted distinct; as there are two at most, without a loop over an array."""
+    why, field = _selection_reason(F.col("esc_motivo")), F.lit("CAMPO_INSUFICIENTE")
+    both = F.when(why == field, F.array(field)).when(why < field, F.array(why, field)).otherwise(F.array(field, why))
+    return F.when(F.col("falta"), F.when(why.isNull(), F.array(field)).otherwise(both)).when(why.isNotNull(), F.array(why)).otherwise(F.array().cast("array<string>"))
 
 
 _KEY = ["escopo", "k1", "k2"]

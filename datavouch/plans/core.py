@@ -35,8 +35,15 @@ class Flow:
         self._coverage: dict[str, DataFrame] = {}
         self._one_rule: dict[int, DataFrame] = {}
 
+    @cached_property
+    def items(self) -> DataFrame:
+        """What all tables are derived from; stored and dealt out where its file has too few parts."""
+        df = adapter.view(self.spark, self.sf_dir, "items")
+        wide = spread(df, "l_orderkey", "l_linenumber")
+        return df if wide is df else written(wide)
+
     def view(self, name: str) -> DataFrame:
-        return adapter.view(self.spark, self.sf_dir, name)
+        return adapter.view(self.spark, self.sf_dir, name, {} if name == "items" else {"items": self.items})
 
     def _by_month(self, name: str) -> DataFrame:
         """A view that needs the months alone: they are few, and read from where they were written."""
@@ -53,7 +60,7 @@ class Flow:
     @cached_property
     def stored_records(self) -> DataFrame:
         """The canonical records as ingestion stores them, for steps that read them more than once."""
-        return written(spread(self.records, "row_id"))
+        return written(self.records)
 
     @cached_property
     def obs(self) -> DataFrame:
