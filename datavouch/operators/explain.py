@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datavouch.functions.months import month_shift
-from datavouch.functions.tables import written
+from datavouch.functions.tables import sent, written
 from datavouch.operators import rules
 
 
@@ -20,6 +20,41 @@ def reverify_evidence(evidence: DataFrame, counted: DataFrame) -> DataFrame:
     return j.groupBy("ev_id", "citados").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("recontados")).withColumn("divergente", F.col("citados") != F.col("recontados"))
 
 
+# The parameters of each query that evidence may cite.
+QUERY_PARAMETERS = {"existencia": ("chave",), "aplicabilidade": ("instrumento",)}
+# End of the fixed values.
+
+
+def verify_evidence(evidence: DataFrame, manifest: DataFrame, counted: DataFrame) -> DataFrame:
+    """(ev_id, consulta, recontados, divergencias, reproduzida): all that evidence says, against the data
+    sets as they are now.
+
+    ``evidence`` is as ``rules.evidence`` makes it with the hashes of the data sets; ``manifest`` has a
+    row for each data set (conjunto, hash_declarado, hash_atual, artifact_ids): the hash it is stored
+    under, that of its rows now, and its files; ``counted`` as for ``reverify_evidence``. Divergences, in
+    this order: the query isn't known; the data set is gone; its hash is another, stored or recomputed;
+    files are cited that it doesn't have; the query has other parameters; and matches are more or fewer
+    than cited. Only queries of existence count matches; evidence of inapplicability cites no data set."""
+    ev = evidence.withColumns({"cited": F.array_compact(F.split(F.coalesce("artifact_ids", F.lit("")), ";")), "nomes": F.array_sort(F.json_object_keys("parametros"))})
+    known = sent(written(manifest.select("conjunto", "hash_declarado", "hash_atual", F.col("artifact_ids").alias("_files"), F.lit(True).alias("_known")), "manifest"))
+    j = ev.join(known, "conjunto", "left")
+    counts = reverify_evidence(evidence, counted).select("ev_id", "recontados", F.col("divergente").alias("_counts"))
+    j = j.join(counts, "ev_id", "left")
+    parameters = F.create_map(*[x for k, v in QUERY_PARAMETERS.items() for x in (F.lit(k), F.array(*[F.lit(p) for p in sorted(v)]))])
+    unknown = ~F.col("consulta").isin(*QUERY_PARAMETERS)
+    cites, exists = F.col("conjunto").isNotNull(), F.coalesce("_known", F.lit(False))
+    wrong = {
+        "consulta_desconhecida": unknown,
+        "conjunto_ausente": cites & ~exists,
+        "hash_divergente": cites & exists & ~(F.col("conjunto_hash").eqNullSafe(F.col("hash_declarado")) & F.col("conjunto_hash").eqNullSafe(F.col("hash_atual"))),
+        "artefato_fora_do_conjunto": cites & exists & (F.size(F.array_except("cited", F.coalesce("_files", F.array().cast("array<string>")))) > 0),
+        "parametros_divergentes": ~unknown & ~F.coalesce(F.col("nomes") == F.try_element_at(parameters, "consulta"), F.lit(False)),
+        "n_resultados_divergente": F.col("consulta").eqNullSafe(F.lit("existencia")) & cites & exists & F.coalesce("_counts", F.lit(True)),
+    }
+    found = F.array_compact(F.array(*[F.when(c, k) for k, c in wrong.items()]))
+    return j.select("ev_id", "consulta", "recontados", found.alias("divergencias"), (F.size(found) == 0).alias("reproduzida"))
+
+
 # Sentences of the claims by state, of selections and of outcomes.
 CLAIMS = {"VIOLACAO": "A regra %s nao encontra a chave %s na versao aplicavel.", "CONFORME": "A regra %s encontra a chave %s na versao aplicavel.", "INCONCLUSIVO": "A regra %s nao pode ser decidida para a chave %s.", "NAO_APLICAVEL": "A regra %s nao se aplica (%s)."}
 SELECTION_CLAIM = "Para a regra %s, a versao do mes %s esta %s."
@@ -84,10 +119,11 @@ def missing_edges(edges: DataFrame, evals: DataFrame) -> DataFrame:
     return need.join(edges, ["sujeito", "objeto"], "left_anti")
 
 
-def limitations(evals: DataFrame) -> DataFrame:
-    """(row_id, limitacoes): what a reader must keep in mind about a record's result."""
+def limitations(evals: DataFrame, synthetic: bool = False) -> DataFrame:
+    """(row_id, limitacoes): what a reader must keep in mind about a record's result; of a run over
+    ``synthetic`` data, that too."""
     g = evals.groupBy("row_id").agg(F.bool_or(F.col("estado") == "VIOLACAO").alias("v"), F.bool_or(F.col("sel_estado") == "SELECIONADA").alias("s"))
-    return g.select("row_id", F.array_compact(F.array(F.lit("NAO_E_CAUSA_OFICIAL"), F.lit("RETROSPECTIVO"), F.when(F.col("s"), "INSTANTANEO"), F.when(F.col("v"), "AUSENCIA"))).alias("limitacoes"))
+    return g.select("row_id", F.array_compact(F.array(F.lit("NAO_E_CAUSA_OFICIAL"), F.lit("RETROSPECTIVO"), F.when(F.col("s"), "INSTANTANEO"), F.when(F.col("v"), "AUSENCIA"), F.lit("DADOS_SINTETICOS" if synthetic else None))).alias("limitacoes"))
 
 
 def check_bundles(evals: DataFrame, known: DataFrame) -> DataFrame:

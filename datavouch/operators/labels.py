@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datavouch.functions.text import present
@@ -124,6 +124,18 @@ def split_by_time(records: DataFrame, spec: dict[str, tuple[str, str]]) -> DataF
     return records.withColumn("particao", name).filter("particao is not null")
 
 
+def write_split(parts: DataFrame, path: str) -> None:
+    """Writes split rows, a folder a partition. Partitions that ``parts`` has replace those there, others
+    stay; rows of a partition lie together, so a folder gets few files however many tasks write."""
+    parts.repartition("particao", F.pmod(F.xxhash64("row_id"), F.lit(parts.sparkSession.sparkContext.defaultParallelism))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("particao").parquet(path)
+
+
+def read_split(spark: SparkSession, path: str, *names: str) -> DataFrame:
+    """The rows of some partitions (all, without names); the folders of others are not opened."""
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("particao").isin(*names)) if names else rows
+
+
 def check_source_split(parts: DataFrame, sources: DataFrame, inspected: DataFrame | None = None, test: str = "teste") -> DataFrame:
     """(fonte_arquivo, particoes, n, n_versoes, problema): sources whose rows, of any of their
     versions, lie in more than one partition; inspected sources (fonte_arquivo) that come back in the

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from datavouch.functions.tables import written
@@ -102,15 +104,17 @@ def draw(seed: int, rep: Column, pos: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), n)
 
 
-#: Clusters whose sums every task may hold at most; more of them are joined instead.
-SENT_CLUSTERS = 1_000_000
+#: Clusters whose sums every task may hold at most; more of them are drawn in ranges.
+SENT_CLUSTERS = 100_000
 
 
 def cluster_bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """One row: the ratio, the percentile interval over whole clusters drawn with replacement, and
     the number of valid replicates; null below two clusters. Replicates whose denominator is zero
     don't count. ``sums`` (grupo, num, den) is ranked by name; draws are counter-based, so the result
-    doesn't depend on partitions. Each task draws some replicates from the sums, which it holds."""
+    doesn't depend on partitions. Each task draws some replicates from the sums, which it holds; of more than
+    ``SENT_CLUSTERS`` clusters, each task draws for a range of them (``multinomial_replicates``: other
+    draws of the same distribution)."""
     sums = written(sums, "sums")
     point = sums.agg(F.sum("num").alias("numerador"), F.sum("den").alias("denominador"), F.count("*").alias("grupos"))
     n = point.first().grupos
@@ -125,22 +129,61 @@ def cluster_bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 42, l
         drawn = reps.repartition(64).crossJoin(F.broadcast(held)).select(F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), zero, add).alias("t"))
         per = drawn.select(F.when(F.col("t.den") > 0, F.col("t.num").cast("double") / F.col("t.den")).alias("r"))
     else:
-        ranked = _ranked(sums)
-        every = reps.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
-        picked = every.select("rep", draw(seed, F.col("rep"), F.col("k"), F.lit(n)).alias("pos")).join(ranked, "pos")
-        per = picked.groupBy("rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).select(F.when(F.col("den") > 0, F.col("num").cast("double") / F.col("den")).alias("r"))
+        per = multinomial_replicates(sums, n, replicates, seed).select(F.when(F.col("den") > 0, F.col("num").cast("double") / F.col("den")).alias("r"))
     tail = (1 - level) / 2
     limits = per.agg(F.bround(F.percentile("r", tail), 9).alias("inferior"), F.bround(F.percentile("r", 1 - tail), 9).alias("superior"), F.count("r").alias("replicas"))
     return point.crossJoin(limits).select("numerador", "denominador", ratio("numerador", "denominador").alias("valor"), "inferior", "superior", "replicas", "grupos")
 
 
-def _ranked(sums: DataFrame) -> DataFrame:
-    """``sums`` with ``pos``, the rank by name: within ranges of names, after the counts of those before."""
-    placed = written(sums.repartitionByRange("grupo").withColumn("part", F.spark_partition_id()), "ranges")
-    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row a range
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("grupo"))
-    return placed.join(F.broadcast(before), "part").select("num", "den", (F.col("before") + rank - 1).cast("long").alias("pos"))
+#: Ranges of clusters' hashes; the draws of a replicate are first split among them.
+RANGES = 1024
+#: Clusters among which a range's draws are split at once.
+SPLIT_ROWS = 512
+
+
+def _range_draws(sizes: list[int], own: int, n: int, replicates: int, seed: int) -> np.ndarray:
+    """How many of the ``n`` draws of each replicate fall into one range, by halving the ranges: each
+    half gets a binomial share. A node's draws depend on the seed and the node alone, so all tasks
+    agree on them, and a task only walks down to its own range."""
+    low, high = 0, len(sizes)
+    left = np.full(replicates, n, np.int64)
+    while high - low > 1:
+        middle = (low + high) // 2
+        total, first = sum(sizes[low:high]), sum(sizes[low:middle])
+        taken = np.random.Generator(np.random.Philox(key=(seed, low << 32 | high))).binomial(left, first / total if total else 0.0)
+        left, low, high = (taken, low, middle) if own < middle else (left - taken, middle, high)
+    return left
+
+
+def multinomial_replicates(sums: DataFrame, n: int, replicates: int, seed: int) -> DataFrame:
+    """(rep, num, den): the sums of ``n`` clusters drawn with replacement from the ``n`` of ``sums``
+    (grupo, num, den), for each replicate.
+
+    Drawing n times is one multinomial draw of how often each cluster comes, which is split by
+    binomials: among ranges of the clusters' hashes, then within a range among ``SPLIT_ROWS`` clusters
+    at a time. A task holds one range, a 1024th of the clusters, and gives one row a replicate; no
+    array of all clusters exists, and no draw is a row. Draws are seeded by range and place, and don't
+    depend on partitions."""
+    ranged = written(sums.withColumn("faixa", F.pmod(F.xxhash64("grupo"), F.lit(RANGES)).cast("int")), "ranges")
+    counted = {r.faixa: r["count"] for r in ranged.groupBy("faixa").count().collect()}  # at most RANGES rows
+    sizes = [counted.get(i, 0) for i in range(RANGES)]
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.column("faixa")[0].as_py()
+        table = table.sort_by("grupo")
+        pair = np.stack([table.column(c).to_numpy() for c in ("num", "den")], axis=1).astype(np.int64)
+        left = _range_draws(sizes, own, n, replicates, seed)
+        out = np.zeros((replicates, 2), np.int64)
+        for low in range(0, len(pair), SPLIT_ROWS):
+            some = pair[low : low + SPLIT_ROWS]
+            rng = np.random.Generator(np.random.Philox(key=(seed, 1 << 63 | own << 32 | low // SPLIT_ROWS)))
+            here = rng.binomial(left, len(some) / (len(pair) - low)) if low + len(some) < len(pair) else left
+            out += rng.multinomial(here, np.full(len(some), 1 / len(some))) @ some
+            left = left - here
+        return pa.table({"rep": np.arange(replicates), "num": out[:, 0], "den": out[:, 1]})
+
+    parts = ranged.groupBy("faixa").applyInArrow(run, "rep long, num long, den long")
+    return parts.groupBy("rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den"))
 
 
 def paired_difference(population: DataFrame, outcomes: DataFrame, a: str, b: str, cluster: str, replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -593,6 +594,18 @@ def _k2(f):
     return labels.split_by_time(_cohort(f).filter("motivo is null"), SPLIT).select("row_id", "particao")
 
 
+@_query("k2_partitioned_split", f"select row_id, {_PART} as particao from records where {_REASON} is null and {_PART} in ('teste', 'calibracao') and not ({_PART} = 'calibracao' and quantidade_apresentada % 2 = 0)")
+def _k2p(f):
+    """Written by partition; then one partition is written again, without some rows, and two are read."""
+    from datavouch.functions.tables import shared_path
+
+    path = shared_path(f.spark)
+    parts = labels.split_by_time(_cohort(f).filter("motivo is null"), SPLIT).select("row_id", "quantidade_apresentada", "particao")
+    labels.write_split(parts, path)
+    labels.write_split(parts.filter("particao = 'calibracao' and quantidade_apresentada % 2 <> 0"), path)
+    return labels.read_split(f.spark, path, "teste", "calibracao").select("row_id", F.col("particao").cast("string").alias("particao"))
+
+
 @_query("k3_check_source_split", "select fonte_arquivo, particoes, n, n_versoes, case when n > 1 then 'EM_VARIAS_PARTICOES' when mes % 5 = 0 then 'INSPECIONADA_NO_TESTE' end as problema from (select regexp_replace(artifact_id, '_[a-z]$', '') as fonte_arquivo, any_value(cast(substr(artifact_id, 13, 2) as int)) as mes, array_to_string(list_sort(list(distinct p)), ';') as particoes, count(distinct p) as n, count(distinct artifact_id) as n_versoes from (select artifact_id, case when cast(substr(artifact_id, 13, 2) as int) % 4 = 0 and artifact_id like '%\\_a' escape '\\' then 'desenvolvimento' else 'teste' end as p from records) group by 1) where n > 1 or mes % 5 = 0 and particoes = 'teste'")
 def _k3(f):
     """In months divisible by four one version of a file is in the development set; files of months
@@ -684,6 +697,23 @@ def _m5(f):
     return metrics.cluster_bootstrap(_sums(f, "cnes"))
 
 
+@_query("m5_multinomial_draws", "select n.grupos, n.num as numerador, n.den as denominador, 200 as replicas, 200 * n.grupos as sorteios, true as intervalo_confere from (select count(*) as grupos, cast(sum(num) as bigint) as num, cast(sum(den) as bigint) as den from somas) n", saidas=_OUT, linhas=_LINES, somas="select row_id as grupo, cast(situacao = 'ALERTA' as int) as num, 1 as den from linhas where metodo = 'regras' and rotulo = 'NAO_APROVADO'")
+def _m5m(f):
+    """Every rejected record as a cluster of its own: all draws are made (their number is the sum of the
+    denominators), and the interval is that of the normal approximation, within a tenth of its width."""
+    rejected = f.population.filter("rotulo = 'NAO_APROVADO'").select(F.col("row_id").alias("grupo"))
+    alerts = f.outcomes.filter("metodo = 'regras'").select(F.col("row_id").alias("grupo"), (F.col("situacao") == "ALERTA").cast("long").alias("num"))
+    sums = written(rejected.join(alerts, "grupo", "left").select("grupo", F.coalesce("num", F.lit(0)).alias("num"), F.lit(1).cast("long").alias("den")))
+    point = sums.agg(F.count("*").alias("grupos"), F.sum("num").alias("numerador"), F.sum("den").alias("denominador"))
+    n = point.first().grupos
+    reps = metrics.multinomial_replicates(sums, n, 200, 42)
+    g = reps.agg(F.count("*").alias("replicas"), F.sum("den").alias("sorteios"), F.stddev(F.col("num") / F.col("den")).alias("sd"), F.avg(F.col("num") / F.col("den")).alias("media"))
+    p = F.col("numerador") / F.col("denominador")
+    se = F.sqrt(p * (1 - p) / F.col("grupos"))
+    close = (F.abs(F.col("sd") - se) < 0.2 * se) & (F.abs(F.col("media") - p) < 0.4 * se)
+    return point.crossJoin(g).select("grupos", "numerador", "denominador", "replicas", "sorteios", close.alias("intervalo_confere"))
+
+
 @_query("m6_block_sensitivity", _BOOT_2000, saidas=_OUT, linhas=_LINES, somas=_SUMS.format(c="competencia_atendimento"))
 def _m6(f):
     return metrics.cluster_bootstrap(_sums(f, "competencia_atendimento"))
@@ -947,6 +977,26 @@ def _e1(f):
     return explain.reverify_evidence(rules.evidence(f.stored_evaluations), counted)
 
 
+@_query("e1_verify_evidence", "select ev_id, array_to_string(list_filter([case when rule_id = 'VIGENCIA_PROCEDIMENTO_SIGTAP' and tipo <> 'APLICABILIDADE' then 'conjunto_ausente' end, case when rule_id = 'ESTAB_CBO_CNES' and tipo <> 'APLICABILIDADE' then 'hash_divergente' end, case when rule_id = 'INSTRUMENTO_REGISTRO_SIGTAP' and tipo <> 'APLICABILIDADE' and contains(artifact_ids, '199605') then 'artefato_fora_do_conjunto' end, case when h = 1 then 'parametros_divergentes' end, case when tipo <> 'APLICABILIDADE' and rule_id = 'PROC_CBO_SIGTAP' and n_resultados = '1' then 'n_resultados_divergente' end], lambda x: x is not null), ';') as divergencias from (select *, cast(contains(coalesce(chaves_amostra, ''), '1|') as int) as h from evid)", evid=_FOUND_EV)
+def _e1v(f):
+    """A data set is gone, one has other rows than it is stored with, one lacks a file, some queries
+    have another parameter, and the first rule's table has since got each of its rows twice."""
+    names = {r.rule_id: f"aux_{r.rule_id}" for r in RULES}
+    counted, sets = None, []
+    for r in RULES:
+        aux = f.aux(r.rule_id) if not r.positive else f.aux(r.rule_id).filter(f"{r.positive} > 0")
+        n = F.count("*") * (2 if r is RULES[0] else 1)
+        part = aux.dropna(subset=list(r.aux_key)).groupBy(F.lit(r.rule_id).alias("rule_id"), "artifact_id", F.concat_ws("|", *r.aux_key).alias("chave")).agg(n.alias("n"))
+        counted = part if counted is None else counted.unionByName(part)
+        files = f.aux(r.rule_id).select("artifact_id").distinct().filter(~((F.col("artifact_id") == "art_sig_199605") & F.lit(r.rule_id == RULES[2].rule_id)))
+        sets.append(files.agg(F.collect_list("artifact_id").alias("artifact_ids")).select(F.lit(names[r.rule_id]).alias("conjunto"), F.lit(f"h_{r.rule_id}").alias("hash_declarado"), F.lit("other" if r is RULES[1] else f"h_{r.rule_id}").alias("hash_atual"), "artifact_ids"))
+    manifest = reduce(DataFrame.unionByName, sets).filter(F.col("conjunto") != names[RULES[3].rule_id])
+    ev = rules.evidence(f.stored_evaluations, {r: f"h_{r}" for r in names})
+    odd = F.coalesce(F.col("chaves_amostra").contains("1|"), F.lit(False))
+    ev = ev.withColumn("parametros", F.when(odd, F.regexp_replace("parametros", r"\}\z", ',"outro":1}')).otherwise(F.col("parametros")))
+    return explain.verify_evidence(ev, manifest, counted).select("ev_id", joined("divergencias"))
+
+
 _TEXT = "case estado when 'VIOLACAO' then 'A regra ' || rule_id || ' nao encontra a chave ' || chave || ' na versao aplicavel.' when 'CONFORME' then 'A regra ' || rule_id || ' encontra a chave ' || chave || ' na versao aplicavel.' when 'INCONCLUSIVO' then 'A regra ' || rule_id || ' nao pode ser decidida para a chave ' || chave || '.' else 'A regra ' || rule_id || ' nao se aplica (' || chave || ').' end"
 _CHAVE = " ".join(f"when '{r.rule_id}' then concat_ws('|', {', '.join(r.record_key)})" for r in RULES)
 
@@ -985,6 +1035,13 @@ def _e4(f):
     return explain.limitations(f.stored_evaluations).select("row_id", joined("limitacoes"))
 
 
+@_query("e4_synthetic_run", "select count(*) as n, true as todas from agregados")
+def _e4s(f):
+    """A run over made-up data says so of every record."""
+    said = explain.limitations(f.stored_evaluations, synthetic=True)
+    return said.agg(F.count("*").alias("n"), F.bool_and(F.array_contains("limitacoes", "DADOS_SINTETICOS")).alias("todas"))
+
+
 @_query("e5_check_bundles", "select row_id, rule_id, case when q % 7 = 0 then 'EVIDENCIA_INEXISTENTE' when q % 5 = 0 and estado = 'VIOLACAO' then 'AUSENCIA_NAO_UTILIZAVEL' else 'ARTEFATO_NAO_SELECIONADO' end as problema from avaliacoes join (select row_id, cast(quantidade_apresentada as bigint) as q from records) using (row_id) where estado <> 'INCONCLUSIVO' and (q % 7 = 0 or q % 5 = 0 and estado = 'VIOLACAO' or q % 3 = 0 and estado = 'CONFORME')")
 def _e5(f):
     """Faults put in: evidence that doesn't exist, violations without coverage, other versions."""
@@ -1108,7 +1165,7 @@ _NEW = "select * replace (case when quantidade_apresentada = 50 and competencia_
 _CMP = "instrumento, procedimento, cbo, quantidade_apresentada, deletado"
 
 
-@_query("d1_compare_versions", f"select competencia_processamento, cast(coalesce(sum(s) filter (s > 0), 0) as bigint) as incluidas, cast(coalesce(-sum(s) filter (s < 0), 0) as bigint) as removidas, case when coalesce(sum(abs(s)), 0) = 0 then 'SEM_MUDANCA' when coalesce(sum(s) filter (s > 0), 0) > 0 and coalesce(sum(s) filter (s < 0), 0) < 0 then 'AMBIGUA' else 'REVISAO' end as veredito from (select competencia_processamento, {_CMP}, sum(g) as s from (select competencia_processamento, {_CMP}, -1 as g from records union all select competencia_processamento, {_CMP}, 1 from nova) group by all) group by 1", nova=_NEW)
+@_query("d1_compare_versions", f"select competencia_processamento, cast(coalesce(sum(s) filter (s > 0), 0) as bigint) as incluidas, cast(coalesce(-sum(s) filter (s < 0), 0) as bigint) as removidas, case when coalesce(sum(abs(s)), 0) = 0 then 'SEM_MUDANCA' when count(*) filter (s > 0 and not deletado) > 0 and count(*) filter (s < 0 and not deletado) > 0 then 'AMBIGUA' else 'REVISAO' end as veredito from (select competencia_processamento, {_CMP}, sum(g) as s from (select competencia_processamento, {_CMP}, -1 as g from records union all select competencia_processamento, {_CMP}, 1 from nova) group by all) group by 1", nova=_NEW)
 def _d1(f):
     new = f.records.withColumn("quantidade_apresentada", F.when((F.col("quantidade_apresentada") == 50) & (F.col("competencia_processamento") < "199701"), 51).otherwise(F.col("quantidade_apresentada"))).filter(~((F.col("quantidade_apresentada") == 1) & (F.col("competencia_processamento") > "200001")))
     out = changes.compare_versions(f.records, new, _CMP.split(", "), ["competencia_processamento"])
@@ -1127,6 +1184,30 @@ def _d2(f):
     return changes.classify_keys(prev, curr, key, start).select(*key, "situacao")
 
 
+# parts of the second source by month: the same rows in other bytes, more rows, other rows, only deleted ones, as before
+_REPUBLISHED = "select competencia_arquivo as competencia, right(artifact_id, 1) as parte, cnes, cbo, n_vinculos, cbo = '000011' as deletado, cast(substr(competencia_arquivo, 5, 2) as int) % 5 as c from estab_occ"
+
+
+@_query(
+    "d2_content_changes",
+    "select competencia, parte, case when bool_or(c = 4) then 'INALTERADA' when sum(abs(s)) = 0 then 'INALTERADA' when count(*) filter (s > 0 and not deletado) > 0 and count(*) filter (s < 0 and not deletado) > 0 then 'AMBIGUA' else 'REVISAO' end as situacao, cast(coalesce(sum(s) filter (s > 0), 0) as bigint) as incluidas, cast(coalesce(-sum(s) filter (s < 0), 0) as bigint) as removidas from (select competencia, parte, c, cnes, cbo, n_vinculos, deletado, sum(g) as s from (select *, -1 as g from rep union all select * replace (case when c = 2 and n_vinculos = 3 then 4 else n_vinculos end as n_vinculos), 1 from rep where not (c = 3 and deletado) union all select *, 1 from rep where c = 1 and n_vinculos = 2) group by all) group by competencia, parte",
+    rep=_REPUBLISHED,
+)
+def _d2c(f):
+    """The second poll sees other bytes of most files: the same rows, more of them, others, or no deleted ones."""
+    month = F.substring("competencia_arquivo", 5, 2).cast("int") % 5
+    old = f.aux(RULES[1].rule_id).select(F.col("competencia_arquivo").alias("competencia"), F.expr("right(artifact_id, 1)").alias("parte"), "cnes", "cbo", "n_vinculos", (F.col("cbo") == "000011").alias("deletado"), month.alias("c"))
+    more = old.filter("c = 1 and n_vinculos = 2")
+    new = old.withColumn("n_vinculos", F.when((F.col("c") == 2) & (F.col("n_vinculos") == 3), 4).otherwise(F.col("n_vinculos"))).filter("not (c = 3 and deletado)").unionByName(more)
+    key = ["competencia", "parte"]
+    content = written(changes.compare_content(old, new, key, ["cnes", "cbo", "n_vinculos"]))
+    seen = old.select(*key, "c").distinct()
+    prev = seen.select(*key, F.concat_ws("_", *key).alias("artifact_id"))
+    curr = seen.select(*key, F.concat(F.concat_ws("_", *key), F.when(F.col("c") == 4, "").otherwise("_2")).alias("artifact_id"), F.lit("OBTIDO").alias("resultado"))
+    out = changes.classify_keys(prev, curr, key, content=content).join(content, key)
+    return out.select(*key, "situacao", (F.col("incluidas_vivas") + F.col("incluidas_deletadas")).alias("incluidas"), (F.col("removidas_vivas") + F.col("removidas_deletadas")).alias("removidas"))
+
+
 @_query("d3_recent_months", "select *, count(*) over (partition by fonte) < 6 as janela_incompleta from (select fonte, competencia, dense_rank() over (partition by fonte order by competencia desc) as ordem from (select distinct fonte, competencia from observations where competencia between '199401' and '199712' and (fonte = 'sig' or competencia >= '199709'))) where ordem <= 6")
 def _d3(f):
     """One source has listed files of few months within the study's bounds."""
@@ -1220,6 +1301,44 @@ def _y1d(f):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@_query("y1_compare_stored", "select * from (values ('igual','IGUAL',''), ('bytes','BYTES_DIFERENTES','bytes_diferem'), ('menos','DIVERGENTE','refeito_diverge'), ('linhagem','DIVERGENTE','linhagem_diverge'), ('adulterado','DIVERGENTE','original_diverge'), ('leiaute','DIVERGENTE','esquema_divergente'), ('sumiu','DIVERGENTE','ausente_no_refeito'), ('novo','INCONCLUSIVO','original_ausente'), ('apagado','IGUAL','original_ausente'), ('ilegivel','IGUAL','original_ilegivel')) x(item, situacao, detalhe) where (select count(*) from proc_occ) > 0")
+def _y1s(f):
+    """Stored tables and their reproductions, with a fault of each kind put in."""
+    from datavouch.functions.tables import shared_path
+
+    df, base = f.aux(RULES[0].rule_id), shared_path(f.spark)
+    cases = {"a": df.coalesce(1), "b": df.repartition(3, "co_procedimento"), "less": df.coalesce(1).filter("co_ocupacao <> '000003'"), "order": df.select(*reversed(df.columns)).coalesce(1)}
+    for k, x in cases.items():
+        x.write.parquet(f"{base}-{k}")
+    made = {k: written(changes.stored_identity(f.spark, k, f"{base}-{k}")) for k in cases}
+    pick = lambda pairs: [made[k].withColumn("item", F.lit(i)) for i, k in pairs.items()]
+    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    items = ["igual", "bytes", "menos", "linhagem", "adulterado", "leiaute", "sumiu", "apagado", "ilegivel"]
+    declared = union(pick(dict.fromkeys(items, "a"))).select("item", "hash", "linhas")
+    remade = union(pick({"igual": "a", "bytes": "b", "menos": "less", "linhagem": "a", "adulterado": "a", "leiaute": "a", "novo": "a", "apagado": "a", "ilegivel": "a"}))
+    original = union(pick({"igual": "a", "bytes": "a", "menos": "a", "linhagem": "a", "adulterado": "less", "leiaute": "order", "sumiu": "a"}))
+    lost = made["a"].select(F.lit("ilegivel").alias("item"), F.lit(None).cast("string").alias("hash"), F.lit(None).cast("long").alias("linhas"), F.lit(None).cast("string").alias("esquema"), F.lit(None).cast("string").alias("bytes"))
+    files = f.spark.createDataFrame([(i, side, "other" if i == "linhagem" and side == "refeito" else "file") for i in items for side in ("declarado", "refeito")], "item string, lado string, artifact_id string")
+    return changes.compare_stored(declared, original.unionByName(lost), remade, files)
+
+
+@_query("y2_diff_notes", "select 'notas' as item, count(*) filter (n_a > n_b) as faltando, count(*) filter (n_b > n_a) as sobrando, coalesce(min(nota) filter (n_a > n_b), min(nota) filter (n_b > n_a)) as primeira, 'DIVERGENTE' as situacao from (select instrumento || ':' || competencia_processamento as nota, 1 as n_a, case when competencia_processamento = '199605' then 0 when competencia_processamento = '199606' then 2 else 1 end as n_b from records where instrumento is not null group by all)")
+def _y2n(f):
+    """Notes of a report, of which one month's are missing in the new one and another's are there twice."""
+    notes = f.stored_records.filter("instrumento is not null").select(F.concat_ws(":", "instrumento", "competencia_processamento").alias("nota"), "competencia_processamento").distinct()
+    again = notes.filter("competencia_processamento <> '199605'").unionByName(notes.filter("competencia_processamento = '199606'"))
+    return changes.diff_notes("notas", notes, again)
+
+
+@_query("y2_repeated_metrics", "select instrumento, valor_a, valor_b, case when instrumento is null then 'DIVERGENTE' when instrumento = 'A' then 'FALTA' when instrumento = 'B' then 'SOBRA' else 'IGUAL' end as situacao from (select instrumento, case when instrumento = 'B' then null else n end as valor_a, case when instrumento is null then n + 1 when instrumento = 'A' then null else n end as valor_b from (select instrumento, count(*) as n from records group by 1))")
+def _y2r(f):
+    """Metrics by a stratum that may be null, with rows that one side has once more than the other."""
+    n = f.stored_records.groupBy("instrumento").agg(F.count("*").alias("n"))
+    a = n.unionByName(n.filter("instrumento = 'A'"))
+    b = n.withColumn("n", F.when(F.col("instrumento").isNull(), F.col("n") + 1).otherwise(F.col("n"))).unionByName(n.filter("instrumento = 'B'"))
+    return changes.diff_metrics(a, b, ["instrumento"], "n")
+
+
 @_query("y2_diff_metrics", "select cnes, case when n % 3 = 0 then 'DIVERGENTE' else 'IGUAL' end as situacao from (select cnes, count(*) as n from records group by 1)")
 def _y2(f):
     a = f.records.groupBy("cnes").agg(F.count("*").alias("n"))
@@ -1301,7 +1420,7 @@ def _w1(f):
     schema = f.view("events").schema
     e = f.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(f.sf_dir)
     obs = e.select(F.col("user_id").cast("string").alias("chave"), F.col("event_id").cast("string").alias("observation_id"), F.col("ts").cast("timestamp").alias("observado_em"), F.when((F.col("value") < 5) | F.col("event_type").isNull(), "FALHOU").otherwise("OBTIDO").alias("resultado"), F.col("event_type").alias("artifact_id"))
-    return available_now(watch.watch_stream(obs))
+    return watch.latest(available_now(watch.watch_stream(obs)))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

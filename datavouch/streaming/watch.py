@@ -6,35 +6,76 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-OUT = "chave string, observation_id string, artifact_id string, situacao string"
-
-
-def _outcomes(key: tuple[str], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Keeps the last content obtained of one file key."""
-    last = state.get[0] if state.exists else None
-    rows = pd.concat(list(batches)).sort_values(["observado_em", "observation_id"], ignore_index=True)
-    got = rows.artifact_id.where((rows.resultado == "OBTIDO") & rows.artifact_id.notna())
-    before = got.ffill().shift()
-    before = before.where(before.notna(), last)  # up to the first content here, what was known before
-    out = pd.Series("CONTEUDO_MUDOU", index=rows.index)
-    out[got == before] = "INALTERADA"
-    out[before.isna()] = "NOVA"
-    out[got.isna()] = "INCONCLUSIVA"
-    known = got.dropna()
-    state.update((known.iloc[-1] if len(known) else last,))
-    yield pd.DataFrame({"chave": key[0], "observation_id": rows.observation_id, "artifact_id": rows.artifact_id, "situacao": out})
-
-
-def watch_stream(observations: DataFrame) -> DataFrame:
-    """A streaming table of outcomes from a streaming table of observations (chave, observation_id,
-    observado_em, resultado, artifact_id). State: one content id for each file key. It does not expire:
-    a key may be republished after years, and then must be told from a new one; there are as many
-    keys as files were ever published. (A time-out by the clock would also keep a stream over what is
-    available now from ending.)
-
-    The observations of a micro-batch are put in the order of their times. One that comes in a later
-    batch than a newer one is compared with what was last seen, as a poll that learns of it then
-    would; a cutoff in the evaluation, not a watermark, decides what counts as known."""
-    return observations.groupBy("chave").applyInPandasWithState(_outcomes, OUT, "ultimo string", "append", GroupStateTimeout.NoTimeout)
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
+
+OUT = "chave string, observation_id string, artifact_id string, situacao string, versao long"
+#: State of the keys is kept in the embedded store that map state and timers need.
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class Watch(StatefulProcessor):
+    """One file key: the observations that may still be followed by earlier ones, by time, and the last
+    content obtained before them."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getMapState("abertas", "quando long, observation_id string", "artifact_id string, obtido boolean, situacao string")
+        self.last = handle.getValueState("ultima", "artifact_id string")
+        self.version = handle.getValueState("versao", "n long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        before = self.last.get()[0] if self.last.exists() else None
+        known = {tuple(k): tuple(v) for k, v in self.open.iterator()}
+        new: dict[tuple, tuple[str | None, bool]] = {}
+        for frame in rows:
+            when = frame.observado_em.astype("datetime64[us]").astype("int64")
+            for t, name, result, content in zip(when, frame.observation_id, frame.resultado, frame.artifact_id, strict=True):
+                named = content if isinstance(content, str) else None
+                new[int(t), name] = named, result == "OBTIDO" and named is not None
+        version = (self.version.get()[0] if self.version.exists() else 0) + 1
+        out = []
+        for at in sorted(known.keys() | new.keys()):
+            content, got = new[at] if at in new else known[at][:2]
+            state = "INCONCLUSIVA" if not got else "NOVA" if before is None else "INALTERADA" if content == before else "CONTEUDO_MUDOU"
+            if at in new or known[at][2] != state:
+                self.open.updateValue(at, (content, got, state))
+                out.append((key[0], at[1], content, state, version))
+            before = content if got else before
+        self.handle.registerTimer(-(-max(t for t, _ in new) // 1000))  # settles all of this batch and before
+        self.version.update((version,))
+        yield pd.DataFrame(out, columns=["chave", "observation_id", "artifact_id", "situacao", "versao"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Nothing earlier can come any more: what is settled leaves, but for the last content."""
+        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        for at, (content, got, _) in sorted(((tuple(k), tuple(v)) for k, v in self.open.iterator() if k[0] <= until), key=lambda x: x[0]):
+            if got:
+                self.last.update((content,))
+            self.open.removeKey(at)
+        yield pd.DataFrame([], columns=["chave", "observation_id", "artifact_id", "situacao", "versao"]).astype({"versao": "int64"})
+
+    def close(self) -> None:
+        pass
+
+
+def watch_stream(observations: DataFrame, late: str = "400 days") -> DataFrame:
+    """A streaming table of outcomes (chave, observation_id, artifact_id, situacao, versao) from a
+    streaming table of observations (chave, observation_id, observado_em, resultado, artifact_id).
+
+    An observation is compared with the last content obtained before it in time, whichever batch it
+    came in: one that comes late takes its place, and where it changes what a later one was said to
+    be, that one's outcome is given again with a higher ``versao`` (``latest`` keeps the last), so any
+    cut of a stream into batches ends in the outcomes of one batch. Observations that are later than
+    ``late`` behind the newest are dropped, as the watermark says. A timer settles those that nothing
+    earlier can precede, so the state of a key is its recent observations and one content id, which
+    does not expire: a key may be republished after years. One id at one time is one observation."""
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    own = observations.select("chave", "observation_id", "observado_em", "resultado", "artifact_id").withWatermark("observado_em", late)
+    return own.groupBy("chave").transformWithStateInPandas(Watch(), OUT, "append", "eventTime")
+
+
+def latest(outcomes: DataFrame) -> DataFrame:
+    """The outcomes as they stand, of a table that the stream wrote."""
+    last = F.max_by(F.struct("artifact_id", "situacao"), "versao").alias("u")
+    return outcomes.groupBy("chave", "observation_id").agg(last).select("chave", "observation_id", "u.artifact_id", "u.situacao")
