@@ -28,15 +28,16 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template iframe object svg math canvas audio video noembed noframes xmp head".split())
 PLAIN = frozenset("title textarea".split())
-BOILERPLATE = frozenset("ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus discussion footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget".split())
+BOILERPLATE = frozenset("ad ads adbox advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments commentlist complementary contentinfo cookie cookies consent copyright disqus discussion footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice pagination pager popup promo promoted promotion recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toc toolbar topbar widget anuncio anuncios anzeige anzeigen comentario comentarios commentaire commentaires feedback guestbook kommentar kommentare publicidad publicite stories werbung".split())
 CONTENT = frozenset("article main post entry story content body text prose".split())
-STRUCTURE = frozenset("a area bar block bottom box btn button buttons col column container form group holder icon icons inner item items layer left link links list main message outer page panel posts primary region right secondary section site slot small title top unit wrap wrapper".split())
+STRUCTURE = frozenset("a area bar block bottom box btn button buttons col column container form group holder icon icons inner item items layer left link links list main message more outer page panel posts primary region right secondary section site slot small title top unit wrap wrapper".split())
 LAYOUT = frozenset("has no with without".split())
 _ELEMENTS = {"nav": "nav", "footer": "footer", "aside": "aside", "header": "header", "article": "article", "main": "main"} | dict.fromkeys("form menu button select dialog label fieldset search".split(), "form")
 _PLACES = {"p": "p", "li": "li", "dd": "li", "dt": "li", "td": "cell", "th": "cell", "blockquote": "quote", "pre": "quote", "figcaption": "quote"} | dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), "title")
 # End of the fixed values.
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>?|<\?[^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_OPENS = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_STOPS = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 #: Searched in the page itself: lower-casing can change its length.
 _ENDS = {n: re.compile(f"</{n}", re.I | re.A) for n in RAW | PLAIN}
@@ -93,11 +94,93 @@ def _said(name: str, attributes: str) -> int:
     return out
 
 
+class _Tags:
+    """The tags of a page, each found in time linear in its length."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.unpaired = dict.fromkeys("\"'", len(page))  # from here on no such quote is closed
+
+    def _end(self, at: int) -> int:
+        """Where the tag whose name ends at ``at`` has its ``>``, or -1. A quote that is never closed
+        is a character like any other."""
+        while m := _STOPS.search(self.page, at):
+            at = m.end()
+            if (q := m[0]) == ">":
+                return m.start()
+            if m.start() < self.unpaired[q]:
+                close = self.page.find(q, at)
+                if close < 0:
+                    self.unpaired[q] = m.start()
+                else:
+                    at = close + 1
+        return -1
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """The next tag or comment from ``at``: where it starts and ends, ``/`` of an end tag, its name
+        (empty for comments and declarations) and attributes. A tag that the page's end cuts off takes
+        the rest of the page."""
+        m = _OPENS.search(self.page, at)
+        if m is None:
+            return None
+        if m[1] or m[2]:
+            end = self.page.find("-->" if m[1] else ">", m.end())
+            return m.start(), len(self.page) if end < 0 else end + (3 if m[1] else 1), "", "", ""
+        end = self._end(m.end())
+        if end < 0:
+            return m.start(), len(self.page), "", "", ""
+        return m.start(), end + 1, m[3], m[4].lower(), self.page[m.end() : end]
+
+
+class _Open:
+    """The open elements, with where those of each name lie, so that none is searched for."""
+
+    def __init__(self):
+        #: Name (empty once closed), features of all that is in it, kind of block, whether in a link.
+        self.stack: list[tuple[str, int, str, bool]] = []
+        self.at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+
+    def top(self) -> tuple[str, int, str, bool] | None:
+        return self.stack[-1] if self.stack else None
+
+    def push(self, name: str, below: int, place: str, link: bool) -> None:
+        self.at.setdefault(name, []).append(len(self.stack))
+        if name in _SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append((name, below, place, link))
+
+    def _cut(self, size: int) -> None:
+        while len(self.stack) > size or self.stack and not self.stack[-1][0]:
+            name = self.stack.pop()[0]
+            if name:
+                self.at[name].pop()
+                if name in _SCOPES:
+                    self.scopes.pop()
+
+    def pop(self) -> None:
+        self._cut(len(self.stack) - 1)
+
+    def close(self, name: str) -> None:
+        """An end tag closes the last such element and all in it; not over the border of a scope,
+        unless it is one itself."""
+        found = self.at.get(name)
+        if found and (name in _SCOPES or not self.scopes or self.scopes[-1] < found[-1]):
+            self._cut(found[-1])
+
+    def close_paragraph(self) -> None:
+        """The open paragraph of this scope ends; what is open in it stays so."""
+        found = self.at.get("p")
+        if found and (not self.scopes or self.scopes[-1] < found[-1]):
+            k = found.pop()
+            self.stack[k] = ("", *self.stack[k][1:])
+            self._cut(len(self.stack))
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, int]]:
     """(kind, value, features) in page order: kind ``tag`` with its name, or ``text`` with its raw
-    text and the features of its words, ``RAW_TEXT`` if it isn't text."""
-    #: Open elements: name, features of all that is in it, kind of block, whether in a link.
-    open_: list[tuple[str, int, str, bool]] = []
+    text and the features of its words, ``RAW_TEXT`` if it isn't text. Linear in the page's length."""
+    tags, open_ = _Tags(page), _Open()
     skip = None
     at = 0
     context = _BIT["other"]
@@ -109,49 +192,37 @@ def tokens(page: str) -> Iterator[tuple[str, str, int]]:
             at, skip = end, None
             if at >= len(page):
                 return
-        m = _TAG.search(page, at)
-        stop = m.start() if m else len(page)
-        if m is None and (cut := page.rfind("<", at)) >= 0 and re.match(r"</?[a-zA-Z!?]", page[cut:]):
-            stop = cut  # a tag cut off by the end of the page
+        found = tags.find(at)
+        stop = found[0] if found else len(page)
         if stop > at:
             yield "text", page[at:stop], context
-        if m is None:
+        if found is None:
             return
-        at = m.end()
-        if m[2] is None:
+        _, at, ends, name, attributes = found
+        if not name:
             continue
-        name = m[2].lower()
-        if m[1]:
-            names = [x[0] for x in open_]
-            if name in names:
-                k = len(names) - 1 - names[::-1].index(name)
-                if name in _SCOPES or not any(n in _SCOPES for n in names[k + 1 :]):
-                    del open_[k:]
+        if ends:
+            open_.close(name)
         else:
-            if open_ and name in _CLOSES.get(open_[-1][0], ()):
+            if (top := open_.top()) and name in _CLOSES.get(top[0], ()):
                 open_.pop()
             elif name in BLOCKS - {"br"}:
-                for k in range(len(open_) - 1, -1, -1):
-                    if open_[k][0] == "p":
-                        del open_[k]
-                        break
-                    if open_[k][0] in _SCOPES:
-                        break
-            if name not in VOID and not m[3].rstrip().endswith("/"):
-                _, above, place, link = open_[-1] if open_ else ("", 0, "other", False)
-                own = _said(name, m[3])
+                open_.close_paragraph()
+            if name not in VOID and not attributes.rstrip().endswith("/"):
+                _, above, place, link = open_.top() or ("", 0, "other", False)
+                own = _said(name, attributes)
                 if above == RAW_TEXT or own == RAW_TEXT:
                     below = RAW_TEXT
                 else:
                     if above & (_BIT["article"] | _BIT["main"] | _BIT["content"]) and name == "header":
                         own &= ~_BIT["header"]  # an article's own header holds its title
-                    elif above & (_BIT["article"] | _BIT["main"] | _BIT["content"]) and own & _BIT["boilerplate"] and _only_header(m[3]):
+                    elif above & (_BIT["article"] | _BIT["main"] | _BIT["content"]) and own & _BIT["boilerplate"] and _only_header(attributes):
                         own &= ~_BIT["boilerplate"]
                     below = above | own
-                open_.append((name, below, _PLACES.get(name, "other") if name in BLOCKS else place, link or name == "a"))
+                open_.push(name, below, _PLACES.get(name, "other") if name in BLOCKS else place, link or name == "a")
                 if name in RAW | PLAIN and name not in ("svg", "math", "object", "canvas", "audio", "video", "head"):
                     skip = name
-        _, below, place, link = open_[-1] if open_ else ("", 0, "other", False)
+        _, below, place, link = open_.top() or ("", 0, "other", False)
         context = below if below == RAW_TEXT else below | _BIT[f"link {place}" if link else place]
         yield "tag", name, context
 

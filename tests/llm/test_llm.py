@@ -408,6 +408,32 @@ def test_pages_that_were_not_learnt(page, want):
     assert html.extract(page) == want
 
 
+@pytest.mark.parametrize("piece", ["<a ", "<a '>' ", '<a "', "<b></i>", "<b>", "<p><b>", "<div ", "<!--", "</x", "<script>a</script ", "<div><b></p>", "& &# &x; "])
+def test_malformed_pages_take_linear_time(piece):
+    import time
+
+    def took(n):
+        began = time.process_time()
+        html.extract(piece * (n // len(piece)) + "<p>end</p>")
+        return time.process_time() - began
+
+    took(1000)
+    assert took(1_000_000) < 60 * max(took(50_000), 0.02)
+
+
+STORY = "<article><h1>Snow</h1><p>It fell all night, and by the morning the roads were closed.</p><p>Nobody went to work.</p></article>"
+
+
+@pytest.mark.parametrize("other", ['<section id="feedback"><p>Anna: we had a metre of it, and no bread for two days.</p></section>', '<div class="kommentare"><p>Ben: bei uns war es noch mehr, und der Bus kam nicht.</p></div>', '<div class="werbung"><p>Kaufen Sie jetzt Schaufeln, nur heute zum halben Preis!</p></div>', '<div class="more-stories"><p>Ten winters that nobody who lived through them forgets</p></div>'])
+def test_what_stands_beside_an_article_is_left_out(other):
+    assert html.extract(f"<body>{STORY}{other}</body>") == "Snow\nIt fell all night, and by the morning the roads were closed.\nNobody went to work."
+
+
+def test_tags_that_never_end():
+    assert html.extract('<p>Text <a href="x>link</a> more</p>') == "Text link more"  # an unpaired quote is a character
+    assert html.extract("<p>One two three</p><p title='a > b'>four five</p><p>six seven <a href='x") == "One two three\nfour five\nsix seven"
+
+
 def test_main_text_of_a_table(spark):
     long = "<article>" + "<p>some words of a very long page</p>" * 20_000 + "</article>"
     rows = [(1, None, "<p>a b c</p>"), (1, None, "<p>a b c</p>"), (None, "u", None), (2, "u", ""), (3, "u", long), (4, "u", "<nav>x</nav>")]
