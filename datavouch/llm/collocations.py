@@ -21,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import encode, partitions, ragged_offsets, saved
+from datavouch.llm.common import bit_set, encode, in_bit_set, partitions, ragged_offsets, saved
 
 #: Bits of the set of frequent pairs (16 MB), whatever the input.
 FILTER_BITS = 1 << 27
@@ -188,12 +188,6 @@ def _taken(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Block]:
         yield made()
 
 
-def _bit(h: Column) -> tuple[Column, Column]:
-    """The word of the bit set and the bit in it of a hash."""
-    bit = F.pmod(h, F.lit(FILTER_BITS))
-    return F.shiftright(bit, 6), F.pmod(bit, F.lit(64))
-
-
 def frequent_pairs(dictionary: DataFrame, least: int, longest: int) -> np.ndarray:
     """A bit set of ``FILTER_BITS`` over hashes of pairs: set at least for all pairs that occur ``least``
     times. Pairs are counted by hash; the set has a fixed size, and is what the driver gets."""
@@ -209,12 +203,7 @@ def frequent_pairs(dictionary: DataFrame, least: int, longest: int) -> np.ndarra
                 yield pa.RecordBatch.from_arrays([pa.array(found[i : i + (1 << 16)].view(np.int64)), pa.array(n[i : i + (1 << 16)])], ["h", "n"])
 
     many = dictionary.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    word, bit = _bit(F.col("h"))
-    rows = many.select(word.cast("int").alias("word"), bit.cast("int").alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits"))
-    held = np.zeros(FILTER_BITS // 64, np.uint64)
-    for batch in rows.toArrow().to_batches():
-        held[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
-    return held
+    return bit_set(many.select("h"), FILTER_BITS)
 
 
 def phrase_counts(dictionary: DataFrame, least: int = 10, longest: int = 3) -> DataFrame:
@@ -227,9 +216,8 @@ def phrase_counts(dictionary: DataFrame, least: int = 10, longest: int = 3) -> D
             own = np.flatnonzero(block.owned)
             out = [block.counted(own, 1)]
             at, hashes = block.pairs()
-            place = hashes % np.uint64(FILTER_BITS)
             good = np.zeros(block.words.n + longest, bool)
-            good[at] = bits.value[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+            good[at] = in_bit_set(bits.value, hashes)
             alive = own
             for size in range(2, longest + 1):
                 alive = alive[(block.left[alive] >= size) & good[alive + size - 2]]

@@ -10,7 +10,7 @@ from datavouch.functions.tables import sent, split_join
 from datavouch.functions.tables import shared_path as shared_dir
 from datavouch.functions.tables import written as saved
 
-__all__ = ["ascii_lower", "encode", "partitions", "ragged_offsets", "saved", "sent", "shared_dir", "split_join", "table"]
+__all__ = ["ascii_lower", "bit_set", "encode", "in_bit_set", "partitions", "ragged_offsets", "saved", "sent", "shared_dir", "split_join", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,3 +35,21 @@ def ragged_offsets(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def bit_set(hashes: DataFrame, bits: int) -> np.ndarray:
+    """The set of hashes (one long column) modulo ``bits``, as 64-bit words: a filter of fixed size, which
+    lets all members pass and, as it fills up, others too. Words are made by tasks; the driver gets one
+    row a word that isn't empty."""
+    bit = F.pmod(F.col(hashes.columns[0]), F.lit(bits))
+    split = hashes.select(F.shiftright(bit, 6).cast("int").alias("word"), F.pmod(bit, F.lit(64)).cast("int").alias("bit"))
+    held = np.zeros(bits // 64, np.uint64)
+    for batch in split.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("bits")).toArrow().to_batches():
+        held[batch.column(0).to_numpy()] = batch.column(1).to_numpy().view(np.uint64)
+    return held
+
+
+def in_bit_set(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which of the hashes (unsigned 64-bit) pass the filter."""
+    place = hashes % np.uint64(len(held) * 64)
+    return held[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0

@@ -1,10 +1,11 @@
-"""Exact document fingerprints: canonical text, wide xxhash, comparison inside equal buckets.
+"""Exact document fingerprints: canonical text, wide xxhash, byte comparison inside equal buckets.
 
 The canonical form is NFKC, case-folded, NFKC again, with each run of white space one space and none
-at the ends. The fingerprint is the 128-bit xxHash3 of its UTF-8 bytes. Texts in one bucket are
-compared: with neighbours byte by byte, across the corpus by length and SHA-256 of the same bytes
-(moving every text to its bucket would cost a second shuffle of all texts). Should a bucket hold
-different texts, the later ones, in the order of their SHA-256, get a suffix.
+at the ends. The fingerprint is the 128-bit xxHash3 of its UTF-8 bytes. Texts of equal fingerprints are
+one bucket; those of buckets with several are compared byte by byte with one of them. Only these texts
+are moved: a bit set of fixed size tells the tasks that read the texts which buckets have several, so
+all others stay where they are. Should a bucket hold different texts, the later ones, in the order of
+their SHA-256, get a suffix.
 """
 
 from __future__ import annotations
@@ -20,7 +21,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import encode, partitions, saved
+from datavouch.llm.common import bit_set, encode, in_bit_set, partitions, saved, split_join
+
+#: Bits of the set of buckets that hold several texts (16 MB), whatever the input.
+FILTER_BITS = 1 << 27
+_LOW = -(1 << 63)
 
 
 def canonical(text: str | None) -> bytes:
@@ -51,9 +56,44 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 [batch.column(0), pa.array(map(digest, canon), pa.string()), pa.array([hashlib.sha256(c).digest() for c in canon], pa.binary())], ["doc_id", "bucket", "sha"]
             )
 
-    marked = source.mapInArrow(run, f"doc_id {kind}, bucket string, sha binary")
-    firsts = marked.groupBy("bucket", "sha").agg(F.min("doc_id").alias("group_id"))
-    return _suffixed(marked, "bucket", "sha", "fingerprint").join(firsts, ["bucket", "sha"], "left").select("doc_id", "fingerprint", "group_id")
+    marked = saved(source.mapInArrow(run, f"doc_id {kind}, bucket string, sha binary"), "marked")
+    firsts = marked.groupBy("bucket", "sha").agg(F.min("doc_id").alias("group_id"), F.count("*").alias("n"))
+    found = split_join(marked, firsts.select("bucket", "sha", "group_id"), ["bucket", "sha"], firsts.select("bucket", "sha", "n"), F.xxhash64("doc_id"))
+    return _distinguished(found, source, marked, "bucket").select("doc_id", F.col("bucket").alias("fingerprint"), "group_id")
+
+
+def different_texts(source: DataFrame, marked: DataFrame) -> DataFrame:
+    """(bucket, sha) of texts that share their bucket with another text, by comparing bytes.
+
+    ``source`` has doc_id and text; ``marked`` the bucket of each of its rows. The texts of buckets with
+    several rows are brought to one text of theirs; those of a bucket with very many rows are dealt to
+    several tasks, each with that text."""
+    lead = F.min(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW))).alias("lead")
+    many = saved(marked.groupBy("bucket").agg(F.count("*").alias("n"), lead).filter("n > 1"), "buckets")
+    held = source.sparkSession.sparkContext.broadcast(bit_set(many.select(F.conv(F.substring("bucket", 18, 15), 16, 10).cast("long").alias("h")), FILTER_BITS))
+    rows = source.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOW)).alias("k"), "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            canon = [canonical(t.as_py()) for t in batch.column(1)]
+            buckets = [digest(c) for c in canon]
+            keep = pa.array(in_bit_set(held.value, np.array([int(b[17:], 16) for b in buckets], np.uint64)) if buckets else np.zeros(0, bool))
+            shas = [hashlib.sha256(c).digest() if k.as_py() else b"" for c, k in zip(canon, keep, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.string()), pa.array(shas, pa.binary()), pa.array(canon, pa.binary())], ["k", "bucket", "sha", "canon"]).filter(keep)
+
+    texts = rows.mapInArrow(run, "k long, bucket string, sha binary, canon binary")
+    one = texts.join(many.select("bucket", F.col("lead").alias("k")), ["bucket", "k"], "left_semi").select("bucket", F.col("sha").alias("first_sha"), F.col("canon").alias("first")).dropDuplicates(["bucket"])
+    met = split_join(texts, one, ["bucket"], many.select("bucket", "n"), F.xxhash64("k", "sha"), "inner")
+    pairs = saved(met.filter(F.col("canon") != F.col("first")).select("bucket", F.explode(F.array("sha", "first_sha")).alias("sha")).distinct(), "clashes")
+    return pairs
+
+
+def _distinguished(df: DataFrame, source: DataFrame, marked: DataFrame, column: str) -> DataFrame:
+    """``df`` with suffixes in ``column`` where a bucket holds different texts."""
+    other = different_texts(source, marked)
+    if other.isEmpty():
+        return df
+    return _suffixed(df, "bucket", "sha", "_own", _clashes(other, [("bucket", "sha")])).withColumn(column, F.col("_own")).drop("_own")
 
 
 def _clashes(marked: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -72,10 +112,16 @@ def _suffixed(marked: DataFrame, bucket: str, sha: str, out: str, clashes: DataF
     return marked.join(own, [bucket, sha], "left").withColumn(out, F.concat(bucket, F.coalesce("suffix", F.lit("")))).drop("suffix")
 
 
-def _bounds(docs: DataFrame, blocks: int) -> list[int]:
-    """Ids, present in the table, that cut it into about equal runs; the smallest is the first."""
-    row = docs.agg(F.min("doc_id").alias("low"), F.percentile_approx("doc_id", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("cuts") if blocks > 1 else F.array().alias("cuts")).first()
-    return [] if row.low is None else sorted({row.low, *(row.cuts or [])})
+def _edges(keyed: DataFrame, blocks: int) -> list[tuple[int, int]]:
+    """Places (k, h), present in the table, that cut its rows, in the order of id and hash, into about
+    equal runs; the least is the first. An id of many rows is cut at their hashes."""
+    row = keyed.agg(F.count("*").alias("n"), F.min("k").alias("low"), F.percentile_approx("k", [i / blocks for i in range(1, blocks)], 100 * blocks).alias("cuts") if blocks > 1 else F.array().alias("cuts")).first()
+    if row.low is None:
+        return []
+    ids = sorted({row.low, *(row.cuts or [])})  # at most as many as runs
+    share = [i / blocks for i in range(1, blocks)] or [0.5]
+    some = keyed.filter(F.col("k").isin(ids)).groupBy("k").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.percentile_approx("h", share, 1000).alias("cuts"))
+    return sorted({(r.k, h) for r in some.collect() for h in ([r.least, *r.cuts] if r.n * blocks > 2 * row.n else [r.least])})
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", edit_share: int = 4) -> DataFrame:
@@ -83,35 +129,41 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     The edited text replaces the last floor(n / ``edit_share``) code points by as many of the first
     of the next document (or all that it has) in ascending id, after the last: of the first. Rows
-    with equal ids follow each other in the order of their texts. Null texts are as empty; null ids
-    come before all others. One document alone is its own next.
+    with equal ids follow each other in the order of their texts' hashes. Null texts are as empty; null
+    ids come before all others. One document alone is its own next.
 
-    Rows are dealt into runs of neighbouring ids, and runs by ranges of about equal rows to tasks; the
-    first text of each run also goes to the run before, so each task has every next text at hand and
-    all texts are shuffled once. Rows of one id are one run. Texts are taken whole; other columns are
+    Rows are dealt into runs of neighbours, and runs by ranges of about equal rows to tasks; the first
+    text of each run also goes to the run before, so each task has every next text at hand and all
+    texts are shuffled once. Rows of one id and text are one run, those of one id may be several. Texts are taken whole; other columns are
     left out, whatever their names; an empty table gives no rows.
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next;
-    near_* are 1.0 for equal canonical bytes and else 0.0.
+    near_* are 1.0 for equal canonical bytes and else 0.0. Edited texts, which lie in no table, keep the
+    bare digest of theirs.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    low = -(1 << 63)
-    keyed = source.select(F.coalesce("doc_id", F.lit(low)).alias("k"), F.col("doc_id").isNull().alias("none"), "text")
+    keyed = source.select(F.coalesce("doc_id", F.lit(_LOW)).alias("k"), F.xxhash64("text").alias("h"), F.col("doc_id").isNull().alias("none"), "text")
     parts = partitions(spark)
-    bounds = _bounds(keyed.select(F.col("k").alias("doc_id")), 2 * parts)
-    edges = np.array(bounds, np.int64)
+    bounds = _edges(keyed.select("k", "h"), 2 * parts)
+    ids, hashes = np.array([k for k, _ in bounds], np.int64), np.array([h for _, h in bounds], np.int64)
 
     @F.pandas_udf("array<long>")
-    def runs(keys: pd.Series) -> pd.Series:
-        """The run of an id; for the first id of a run, the run before too."""
-        run = np.searchsorted(edges, keys.to_numpy(), side="right") - 1
-        first = edges[run] == keys.to_numpy()
-        return pd.Series([[r, (r - 1) % len(edges)] if f and len(edges) > 1 else [r] for r, f in zip(run.tolist(), first.tolist(), strict=True)])
-
-    dealt = keyed.withColumn("runs", runs("k")).select("k", "none", "text", F.explode("runs").alias("run"), F.element_at("runs", 1).alias("home"))
-    dealt = dealt.select("run", (F.col("run") != F.col("home")).alias("guest"), "k", "none", "text")
+    def runs(keys: pd.Series, of: pd.Series) -> pd.Series:
+        """The run of a row; for the first row of a run, the run before too."""
+        k, h = keys.to_numpy(), of.to_numpy()
+        low, high = np.searchsorted(ids, k, side="left"), np.searchsorted(ids, k, side="right")
+        run = high - 1
+        for one in np.unique(k[high - low > 1]):
+            at = np.flatnonzero(k == one)
+            a, b = low[at[0]], high[at[0]]
+            run[at] = a + np.searchsorted(hashes[a:b], h[at], side="right") - 1
+        first = (ids[run] == k) & (hashes[run] == h)
+        return pd.Series([[r, (r - 1) % len(ids)] if f and len(ids) > 1 else [r] for r, f in zip(run.tolist(), first.tolist(), strict=True)])
+
+    dealt = keyed.withColumn("runs", runs("k", "h")).select("k", "h", "none", "text", F.explode("runs").alias("run"), F.element_at("runs", 1).alias("home"))
+    dealt = dealt.select("run", (F.col("run") != F.col("home")).alias("guest"), "k", "h", "none", "text")
     width = F.lit(len(bounds))
-    order = dealt.repartitionByRange(parts, "run").sortWithinPartitions("run", "guest", "k", "text").select("run", "guest", "k", "none", "text", width.alias("width"))
+    order = dealt.repartitionByRange(parts, "run").sortWithinPartitions("run", "guest", "k", "h", "text").select("run", "guest", "k", "none", "text", width.alias("width"))
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def made(held, nxt, canon, canon_next):
@@ -120,7 +172,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             cut = n // edit_share
             edited = text[: n - cut] + nxt[:cut]
             canon_edited = canonical(edited)
-            return (None if none else k, n, hashlib.sha256(encode(edited)).hexdigest(), digest(canon), hashlib.sha256(canon).digest(), digest(canon_edited), hashlib.sha256(canon_edited).digest(), float(canon == canon_edited), float(canon == canon_next))
+            return (None if none else k, n, hashlib.sha256(encode(edited)).hexdigest(), digest(canon), hashlib.sha256(canon).digest(), digest(canon_edited), float(canon == canon_edited), float(canon == canon_next))
 
         held, canon, run, first, waits = None, b"", None, None, False
         rows = []
@@ -148,13 +200,12 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         if rows:
             yield _batch(rows)
 
-    marked = saved(order.mapInArrow(stream, "doc_id long, n_chars long, edited_sha256 string, bucket string, sha binary, edited_bucket string, edited_sha binary, near_edited double, near_next double"), "fingerprints")
-    clashes = _clashes(marked, [("bucket", "sha"), ("edited_bucket", "edited_sha")])
-    out = _suffixed(_suffixed(marked, "bucket", "sha", "fingerprint", clashes), "edited_bucket", "edited_sha", "edited_fingerprint", clashes)
-    return out.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    marked = saved(order.mapInArrow(stream, "doc_id long, n_chars long, edited_sha256 string, bucket string, sha binary, edited_bucket string, near_edited double, near_next double"), "fingerprints")
+    out = _distinguished(marked, source, marked, "bucket")
+    return out.select("doc_id", "n_chars", "edited_sha256", F.col("bucket").alias("fingerprint"), F.col("edited_bucket").alias("edited_fingerprint"), "near_edited", "near_next")
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.binary(), pa.float64(), pa.float64())
-    names = ("doc_id", "n_chars", "edited_sha256", "bucket", "sha", "edited_bucket", "edited_sha", "near_edited", "near_next")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.float64(), pa.float64())
+    names = ("doc_id", "n_chars", "edited_sha256", "bucket", "sha", "edited_bucket", "near_edited", "near_next")
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)

@@ -730,6 +730,66 @@ def test_fingerprint_edges(spark):
     assert groups == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3}
 
 
+def canonical_again(text):
+    """Written anew, character by character."""
+    import unicodedata
+
+    out, gap = [], False
+    folded = unicodedata.normalize("NFKC", "".join(c.casefold() for c in unicodedata.normalize("NFKC", text or "")))
+    for c in folded:
+        if c.isspace():
+            gap = bool(out)
+        else:
+            out += [" ", c] if gap else [c]
+            gap = False
+    return "".join(out).encode()
+
+
+def test_fingerprints_against_another_canonical_form(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    rows += [(100_000 + i, t) for i, t in enumerate([*ODD, "ﬁne ÉTÉ\u3000x", "fine été X", "K \u212a", "\u1e9e", "SS"])]
+    got = {r.doc_id: r.fingerprint for r in fingerprint.edited_fingerprints(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: xxhash.xxh3_128_hexdigest(canonical_again(t)) for i, t in rows}
+
+
+@pytest.mark.parametrize("hot", [200_000, 10])
+def test_bytes_are_compared_in_equal_buckets(spark, monkeypatch, hot):
+    """A digest that says little brings different texts into one bucket; suffixes tell them apart."""
+    from datavouch.functions import tables
+
+    monkeypatch.setattr(tables, "HOT_ROWS", hot)
+    texts = {i: f"{'ab'[i % 2]} text {i % 5 if i < 50 else 7}" for i in range(90)} | {200: None, 201: " "}
+    source = docs(spark, texts)
+    poor = lambda c: ("%032x" % (len(c) % 3)) if c != b"b text 7" else "%032x" % 9
+    rows = [(i, poor(c), hashlib.sha256(c).digest()) for i, t in texts.items() for c in [fingerprint.canonical(t)]]
+    monkeypatch.setattr(fingerprint, "digest", poor)
+    marked = spark.createDataFrame(rows, "doc_id long, bucket string, sha binary")
+    found = {(r.bucket, bytes(r.sha)) for r in fingerprint.different_texts(source, marked).collect()}
+    groups = {}
+    for _, b, sha in rows:
+        groups.setdefault(b, set()).add(sha)
+    assert found == {(b, s) for b, shas in groups.items() if len(shas) > 1 for s in shas} and len(groups) > 2
+    names = {}
+    for r in fingerprint._distinguished(marked, source, marked, "bucket").collect():
+        names.setdefault(r.bucket, set()).add(bytes(r.sha))
+    assert all(len(v) == 1 for v in names.values()) and len(names) == len({s for _, _, s in rows})
+
+
+def test_rows_of_one_id_are_several_runs(spark):
+    rows = [(7, f"text number {i} of one id") for i in range(400)] + [(None, f"no id {i}") for i in range(300)] + [(i, f"own {i}") for i in range(100, 140)]
+    edges = fingerprint._edges(spark.createDataFrame(rows, DOCS).selectExpr(f"coalesce(doc_id, {-(1 << 63)}) as k", "xxhash64(text) as h"), 8)
+    assert len([k for k, _ in edges if k == 7]) > 3 and len([k for k, _ in edges if k < 0]) > 3
+    got = fingerprint.edited_fingerprints(spark.createDataFrame(rows, DOCS)).collect()
+    h = {r.text: r.h for r in spark.createDataFrame(rows, DOCS).selectExpr("text", "xxhash64(text) as h").collect()}
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, h[r[1]]))
+    want = []
+    for (i, t), (_, n) in zip(order, order[1:] + order[:1], strict=True):
+        edited = t[: len(t) - len(t) // 4] + n[: len(t) // 4]
+        want.append((i, len(t), hashlib.sha256(edited.encode()).hexdigest()))
+    assert sorted((r.doc_id, r.n_chars, r.edited_sha256) for r in got if r.doc_id) == sorted(w for w in want if w[0])
+    assert sorted(r.edited_sha256 for r in got if r.doc_id is None) == sorted(w[2] for w in want if w[0] is None)
+
+
 def test_clashing_buckets_get_suffixes(spark):
     marked = spark.createDataFrame([(1, "b", bytearray(b"x")), (2, "b", bytearray(b"y")), (3, "b", bytearray(b"x")), (4, "c", bytearray(b"x"))], "doc_id long, bucket string, sha binary")
     assert sorted((r.doc_id, r.f) for r in fingerprint._suffixed(marked, "bucket", "sha", "f").collect()) == [(1, "b"), (2, "b-1"), (3, "b"), (4, "c")]
