@@ -102,12 +102,14 @@ def _r11(f):
 
 
 _KEYS = " ".join(f"when '{r.rule_id}' then {" || '|' || ".join(r.record_key)}" for r in RULES)
-_FOUND_EV = f"""select distinct 'ev_' || sha256(concat_ws(chr(31), tipo, rule_id, consulta, parametros, conjunto, artifact_ids, cob, integ, n, amostra)) as ev_id, tipo, rule_id, consulta, parametros, nullif(conjunto, '') as conjunto, artifact_ids, cob as cobertura, integ as integridade, n as n_resultados, nullif(amostra, '') as chaves_amostra from (
-  select rule_id, case estado when 'NAO_APLICAVEL' then 'APLICABILIDADE' when 'CONFORME' then 'VINCULO_ENCONTRADO' else 'AUSENCIA_NA_FONTE' end as tipo, case when na then 'aplicabilidade' else 'existencia' end as consulta,
+_EV_ROWS = f"""(
+  select row_id, rule_id, case estado when 'NAO_APLICAVEL' then 'APLICABILIDADE' when 'CONFORME' then 'VINCULO_ENCONTRADO' else 'AUSENCIA_NA_FONTE' end as tipo, case when na then 'aplicabilidade' else 'existencia' end as consulta,
     case when na then '{{"instrumento":"' || instrumento || '"}}' else '{{"chave":"' || chave || '"}}' end as parametros, case when na then '' else 'aux_' || rule_id end as conjunto, case when na then artifact_id else array_to_string(sel_artefatos, ';') end as artifact_ids,
     case when na then 'DISPONIVEL' else cob end as cob, case when na then proprio else pior end as integ, case when na then '0' else cast(n_resultados as varchar) end as n, case when na or n_resultados = 0 then '' else chave end as amostra
   from (select a.*, a.estado = 'NAO_APLICAVEL' as na, case a.rule_id {_KEYS} end as chave, coalesce(v.estado, 'NAO_VERIFICADO') as proprio, coalesce(c.estado, 'AUSENTE') as cob, coalesce((select min(coalesce(w.estado, 'NAO_VERIFICADO')) from unnest(a.sel_artefatos) u(x) left join versions w on w.artifact_id = u.x where w.estado is distinct from 'OK'), 'OK') as pior
     from avaliacoes a join regras q using (rule_id) left join versions v on v.artifact_id = a.artifact_id left join cobertura c on c.familia_regra = q.familia and c.instrumento = a.instrumento and c.competencia = a.competencia_processamento and c.base_temporal = q.base where a.estado <> 'INCONCLUSIVO'))"""
+_EV_ID = "'ev_' || sha256(concat_ws(chr(31), tipo, rule_id, consulta, parametros, conjunto, artifact_ids, cob, integ, n, amostra))"
+_FOUND_EV = f"select distinct {_EV_ID} as ev_id, tipo, rule_id, consulta, parametros, nullif(conjunto, '') as conjunto, artifact_ids, cob as cobertura, integ as integridade, n as n_resultados, nullif(amostra, '') as chaves_amostra from {_EV_ROWS}"
 
 
 @_query("r12_evidence", "select * from evid", evid=_FOUND_EV)
@@ -775,6 +777,16 @@ def _b1n(f):
     return baseline.number_stats(train, ["quantidade_apresentada", "valor_apresentado"]).select("coluna", *[F.round(c, 6).alias(c) for c in ("mediana", "media", "desvio")])
 
 
+@_query("b2_stationary", "select true as estacionario, count(*) filter (rejeitado = 1) as rejeitados, count(*) as n from treino where particao = 'desenvolvimento'", treino=_TRAIN)
+def _b2s(f):
+    """Whether the fitted weights are where the penalised loss is flat, by sums over the training rows
+    that the solver has no part in."""
+    parts, enc, model = _fitted(f)
+    train = parts.filter("particao = 'desenvolvimento'")
+    flat = baseline.gradient(model, enc, train).agg(F.coalesce(F.max(F.abs("gradiente")) < 1e-4, F.lit(False)).alias("estacionario"))
+    return flat.crossJoin(train.agg(F.sum("rejeitado").alias("rejeitados"), F.count("*").alias("n")))
+
+
 @_query("b2_fit_baseline")
 def _b2(f):
     """How the model's scores of the training rows lie in their two classes."""
@@ -1007,6 +1019,13 @@ def _e2(f):
     return explain.claims(ev, rules.aggregate_records(ev)).select("row_id", "assunto", "afirmacao", F.size("referencias").alias("n"))
 
 
+@_query("e2_claim_references", f"select row_id, rule_id as assunto, 'avaliacao/' || row_id || '/' || rule_id || coalesce(';' || ev_id, '') as referencias from avaliacoes left join (select row_id, rule_id, {_EV_ID} as ev_id from {_EV_ROWS}) using (row_id, rule_id) union all select row_id, 'selecao/' || rule_id, array_to_string(list_transform(artifact_ids, lambda a: 'artefato/' || a), ';') from selecoes union all select row_id, 'resultado', coalesce(array_to_string(list_transform(case resultado when 'ALERTA' then v when 'ABSTENCAO' then list_concat(coalesce(i, []), coalesce(n, [])) else c end, lambda r: 'regra/' || r), ';'), '') from agregados")
+def _e2r(f):
+    """What each claim refers to, evidence by the hash of its content."""
+    ev = f.stored_evaluations
+    return explain.claims(ev, rules.aggregate_records(ev)).select("row_id", "assunto", joined("referencias"))
+
+
 @_query("e2_unresolved_references", "select row_id, rule_id as assunto, 'avaliacao/' || row_id || '/' || rule_id as referencia from avaliacoes where estado = 'VIOLACAO'")
 def _e2u(f):
     """Everything is known but the evaluations that are violations."""
