@@ -873,6 +873,26 @@ def test_near_copies_against_brute_jaccard(spark, monkeypatch, rounds):
     assert sorted((i for i, _ in near_copy_stage(spark, rows)), key=str) == brute_near_copies(rows)
 
 
+@pytest.mark.parametrize(("lot", "hot"), [(2000, 200_000), (7, 20)])
+def test_prefixes_find_all_similar_sets(spark, monkeypatch, lot, hot):
+    """Sets that share common hashes, compared with all pairs; hashes in many sets are dealt out."""
+    from datavouch.functions import tables
+    from datavouch.llm import nearcopies
+
+    monkeypatch.setattr(nearcopies, "LOT", lot)
+    monkeypatch.setattr(tables, "HOT_ROWS", hot)
+    random.seed(10)
+    common, sets = [random.getrandbits(64) for _ in range(12)], []
+    for _ in range(25):
+        base = {random.getrandbits(64) for _ in range(random.choice([1, 5, 30, 60]))} | set(random.sample(common, 9))
+        for _ in range(4):
+            sets.append({x for x in base if random.random() > 0.06} | {random.getrandbits(64) for _ in range(random.randrange(4))})
+    rows = [(i, i // 2, np.array(sorted(x), np.uint64).tobytes()) for i, x in enumerate(sets)]  # neighbours are one component
+    got = {(r.a, r.b) for r in nearcopies._prefix_pairs(spark.createDataFrame(rows, "fp long, c long, found binary")).collect()}
+    want = {(i, k) for i, x in enumerate(sets) for k, y in enumerate(sets) if i // 2 < k // 2 and 5 * len(x & y) >= 4 * len(x | y)}
+    assert want <= got and len(want) > 20 and all(i // 2 < k // 2 for i, k in got)
+
+
 def test_tau_beyond_the_links_is_an_error(spark):
     with pytest.raises(ValueError, match="tau"):
         simhash.links(spark.createDataFrame([(1,)], "fp long"), tau=3)
