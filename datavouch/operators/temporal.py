@@ -110,13 +110,14 @@ def join_decisions(required: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 def derive_selections(required: DataFrame, snapshot: DataFrame) -> DataFrame:
-    """Selections from a given snapshot set, by exact (fonte, base, month). A key that the set has
-    twice is an error, since it would multiply records."""
+    """Selections from a given snapshot set, by exact (fonte, base, month); months that it doesn't have are
+    absent, without versions. A key that the set has twice is an error, since it would multiply records."""
     key = ["fonte", "base", "competencia_requerida"]
     if twice := repeated_snapshot_keys(snapshot).limit(1).collect():
         raise ValueError(f"the snapshot set has a key twice: {twice[0].asDict()}")
     joined = required.join(snapshot.select(*key, "estado", "artifact_ids"), key, "left")
-    return joined.withColumn("estado", F.when(F.col("competencia_requerida").isNull(), "NAO_RESOLVIDA").otherwise(F.coalesce("estado", F.lit("AUSENTE"))))
+    state = F.when(F.col("competencia_requerida").isNull(), "NAO_RESOLVIDA").otherwise(F.coalesce("estado", F.lit("AUSENTE")))
+    return joined.withColumns({"estado": state, "artifact_ids": F.coalesce("artifact_ids", F.array().cast("array<string>"))})
 
 
 def repeated_snapshot_keys(snapshot: DataFrame) -> DataFrame:

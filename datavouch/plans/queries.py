@@ -310,6 +310,12 @@ def _n07(f):
     return normalize.distinct_entities(f.records.select("cnes", F.col("municipio_estabelecimento").alias("municipio")), ["cnes"])[0].groupBy("municipio").agg(F.count("*").alias("n"))
 
 
+@_query("n07_repeated_keys", "select cnes, count(*) as n from (select distinct cnes, municipio_estabelecimento from records) group by 1 having count(*) > 1")
+def _n07g(f):
+    """The guard: establishments that stand in several municipalities."""
+    return normalize.distinct_entities(f.records.select("cnes", F.col("municipio_estabelecimento").alias("municipio")), ["cnes"])[1]
+
+
 @_query("n08_require_month", "select competencia_processamento as competencia, count(*) as n from records where not deletado and competencia_processamento <> '199601' group by 1")
 def _n08(f):
     return normalize.require_month(f.records, "competencia_processamento", "199601")
@@ -404,6 +410,14 @@ def _t06(f):
     return temporal.scope_observations(f.obs.withColumn("uf", F.when(F.col("fonte") == "pf", F.col("parte"))), region="a").groupBy("fonte").agg(F.count("*").alias("n"))
 
 
+@_query("t06_channel_and_listings", "select observation_id from observations where (case when fonte = 'pf' then parte end is null or parte = 'b') and cast(substr(competencia, 6, 1) as int) % 2 = 0 and substr(competencia, 5, 2) <> '08'")
+def _t06c(f):
+    """Observations of even months came through one channel; those of August are listings."""
+    last = F.substring("competencia", 6, 1).cast("int")
+    seen = f.obs.withColumns({"uf": F.when(F.col("fonte") == "pf", F.col("parte")), "canal": F.when(last % 2 == 0, "ftp").otherwise("api"), "resultado": F.when(F.substring("competencia", 5, 2) == "08", "LISTAGEM").otherwise(F.col("resultado"))})
+    return temporal.scope_observations(seen, region="b", channel="ftp").select("observation_id")
+
+
 @_query("t07_select_versions", "select row_id, rule_id, fonte, base, competencia_requerida, estado, array_to_string(artifact_ids, ';') as artifact_ids from selecoes")
 def _t07(f):
     return f.selections.select("row_id", "rule_id", "fonte", "base", "competencia_requerida", "estado", joined("artifact_ids"))
@@ -415,6 +429,13 @@ def _t08(f):
     return temporal.derive_selections(f.required, snap).groupBy("rule_id", "estado").agg(F.count("*").alias("n"))
 
 
+@_query("t08_selection_rows", "select row_id, rule_id, estado, array_to_string(artifact_ids, ';') as artifact_ids from selecoes")
+def _t08s(f):
+    """Every selection, from the snapshot set alone."""
+    snap = temporal.snapshot_set(f.selections).withColumn("artifact_ids", F.split("artifact_ids", ";"))
+    return temporal.derive_selections(f.required, snap).select("row_id", "rule_id", "estado", joined("artifact_ids"))
+
+
 @_query("t08_repeated_snapshot_keys", "select fonte, base, competencia_requerida, 2 as n from (select distinct fonte, base, competencia_requerida from selecoes where fonte = 'sig' and competencia_requerida is not null)")
 def _t08r(f):
     """A snapshot set in which one source's months are twice, with another state."""
@@ -463,6 +484,16 @@ def _t13(f):
     return temporal.snapshot_set(f.selections, f.cutoff)
 
 
+_SNAP = ", ".join(_FIELD.format(c) for c in ("artifact_ids", "base", "competencia_requerida", "corte", "estado", "fonte"))
+_LIMB = ", ".join(f"cast(sum(cast(('0x' || substr(d, {15 * i + 1}, 15)) as bigint)::decimal(38,0)) as varchar)" for i in range(4))
+
+
+@_query("t13_snapshot_id", f"select 'snap_' || substr(sha256(concat_ws('|', cast(count(*) as varchar), {_LIMB})), 1, 32) as snapshot_id, count(*) as n from (select {_DIGEST.format(_SNAP)} as d from (select distinct fonte, base, competencia_requerida, estado, array_to_string(artifact_ids, ';') as artifact_ids, '2024-03-01 00:00:00' as corte from selecoes where competencia_requerida is not null))")
+def _t13i(f):
+    snap = temporal.snapshot_set(f.selections, f.cutoff)
+    return snap.agg(F.count("*").alias("n")).select(F.lit(temporal.snapshot_id(snap)).alias("snapshot_id"), "n")
+
+
 @_query("t14_latest_versions", "select fonte, competencia, parte, last(artifact_id order by observado_em, observation_id) as artifact_id, max(observado_em) as observado_em from observations where artifact_id is not null group by all")
 def _t14(f):
     return temporal.latest_versions(f.obs)
@@ -624,6 +655,11 @@ def _k4(f):
     return labels.split_labels(f.labels, labels.split_by_time(f.records, SPLIT)).groupBy("particao", "rotulo").agg(F.count("*").alias("n"))
 
 
+@_query("k4_split_label_rows", f"select row_id, particao, rotulo from (select row_id, {_PART} as particao, rotulo from rotulos) where particao is not null")
+def _k4r(f):
+    return labels.split_labels(f.labels, labels.split_by_time(f.records, SPLIT)).select("row_id", "particao", "rotulo")
+
+
 @_query("k5_same_keys", "select count(*) filter (na > 1) as repetidas_a, count(*) filter (nb > 1) as repetidas_b, count(*) filter (nb is null) as so_a, count(*) filter (na is null) as so_b from (select cnes, count(*) as na from records where quantidade_apresentada > 45 group by 1) a full join (select cnes, count(*) as nb from records where quantidade_apresentada < 3 group by 1) b on a.cnes = b.cnes")
 def _k5(f):
     return labels.same_keys(f.records.filter("quantidade_apresentada > 45"), f.records.filter("quantidade_apresentada < 3"), "cnes")
