@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -49,17 +50,19 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of a buffer in which bytes of 32 part words and bytes of 10 pieces."""
+    """The words of a buffer in which bytes of 32 part words and bytes of 10 pieces; it ends with one of these."""
 
     def __init__(self, buffer: bytes):
         raw = np.frombuffer(buffer, np.uint8)
-        parts = (raw == _SPACE) | (raw == _END)
-        edge = np.diff(np.concatenate(([1], parts.view(np.int8), [1])))
-        self.starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        self.piece = np.cumsum(raw == _END)[self.starts]
+        inside = (raw != _SPACE) & (raw != _END)
+        ends = np.flatnonzero(~inside)
+        starts = np.append(0, ends + 1)[:-1]
+        line = raw[ends] == _END
+        some = ends > starts
+        self.starts, self.piece = starts[some], (np.cumsum(line) - line)[some]
         self.n = len(self.starts)
-        self.offsets = ragged_offsets(ends - self.starts)
-        self.bytes = np.ascontiguousarray(raw[~parts])
+        self.offsets = ragged_offsets(ends[some] - self.starts)
+        self.bytes = raw[inside]
         arr = pa.Array.from_buffers(pa.large_binary(), self.n, [None, pa.py_buffer(self.offsets), pa.py_buffer(self.bytes)])
         coded = arr.dictionary_encode()
         self.ids, self.vocabulary = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.to_pylist()
@@ -128,17 +131,28 @@ def parse(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", longe
     return rows.mapInArrow(run, "lang string, chunk string, last boolean").groupBy("lang", "chunk", "last").agg(F.count("*").alias("n"))
 
 
+def _numbered(x: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, sorted, and the number of each value among them; without a sort if they lie
+    densely enough below a bound."""
+    if below > 32 * len(x) + 1024:
+        found, of = np.unique(x, return_inverse=True)
+        return found, of.astype(np.int64)
+    there = np.zeros(below, bool)
+    there[x] = True
+    return np.flatnonzero(there), (np.cumsum(there) - 1)[x]
+
+
 class Block:
     """Distinct chunks with their frequencies; tokens are words of one language."""
 
-    def __init__(self, langs: pa.Array, texts: list[bytes], last: np.ndarray, times: np.ndarray, longest: int):
-        self.words = Words(b"\n".join([*texts, b""]))
+    def __init__(self, langs: pa.Array, texts: pa.Array, last: np.ndarray, times: np.ndarray, longest: int):
+        whole = pc.binary_join(pa.ListArray.from_arrays([0, len(texts)], texts.cast(pa.binary())), b"\n")
+        self.words = Words(bytes(whole[0].as_buffer()) + b"\n")
         w = self.words
         coded = langs.dictionary_encode()
         self.langs = coded.dictionary.to_pylist()
         lang = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)[w.piece]
-        self.token, self.ids = np.unique(lang * len(w.vocabulary) + w.ids, return_inverse=True)
-        self.ids = self.ids.astype(np.int64)
+        self.token, self.ids = _numbered(lang * len(w.vocabulary) + w.ids, len(self.langs) * len(w.vocabulary))
         self.weight = times[w.piece]
         size = np.bincount(w.piece, minlength=len(texts))
         place = np.arange(w.n) - ragged_offsets(size)[:-1][w.piece]
@@ -159,10 +173,15 @@ class Block:
         key = self.ids[at]
         for k in range(1, size):
             key = np.unique(key, return_inverse=True)[1].astype(np.int64) * len(self.token) + self.ids[at + k] if k > 1 else key * len(self.token) + self.ids[at + k]
-        _, where, of = np.unique(key, return_index=True, return_inverse=True)
-        n = np.zeros(len(where), np.int64)
+        if size == 1:
+            found, of = _numbered(key, len(self.token))
+            first = np.zeros(len(found), np.int64)
+            first[of[::-1]] = at[::-1]
+        else:
+            _, where, of = np.unique(key, return_index=True, return_inverse=True)
+            first = at[where]
+        n = np.zeros(len(first), np.int64)
         np.add.at(n, of, self.weight[at])
-        first = at[where]
         langs = pa.array(self.langs, pa.string()).take(pa.array(self.lang[self.ids[first]]))
         return pa.RecordBatch.from_arrays([langs, self.words.joined(first, first + size).cast(pa.string()), pa.array(np.full(len(first), size, np.int32)), pa.array(n)], ["lang", "phrase", "size", "n"])
 
@@ -175,7 +194,7 @@ def _taken(batches: Iterator[pa.RecordBatch], longest: int) -> Iterator[Block]:
     def made() -> Block:
         t = pa.Table.from_batches(held).combine_chunks()
         column = lambda i: t.column(i).combine_chunks() if t.num_rows else t.column(i)
-        return Block(column(0), [encode(x) for x in t.column(1).to_pylist()], t.column(2).to_numpy().astype(bool), t.column(3).to_numpy().astype(np.int64), longest)
+        return Block(column(0), column(1), t.column(2).to_numpy().astype(bool), t.column(3).to_numpy().astype(np.int64), longest)
 
     for batch in batches:
         if batch.num_rows:

@@ -137,7 +137,7 @@ def test_phrases_of_nothing(spark):
 @given(st.lists(st.lists(st.sampled_from("abcdefg"), min_size=1, max_size=30), max_size=6), st.integers(1, 3), st.integers(1, 5))
 def test_chunks_own_each_phrase_once(pieces, overlap, trigger):
     """Chunks cover pieces, overlap by the window, and their owned starts are all positions, once."""
-    w = collocations.Words(("\n".join(" ".join(p) for p in pieces) + "\n").encode())
+    w = collocations.Words(("\n".join("  ".join(p) for p in pieces) + " \n").encode())
     first, after, last = collocations.chunks(w, overlap, trigger)
     owned = [i for a, b, z in zip(first, after, last, strict=True) for i in range(a, b if z else b - overlap)]
     assert owned == list(range(w.n))
@@ -227,6 +227,6 @@ def test_the_index_is_read_bucket_by_bucket(spark, tmp_path):
 
 
 def test_block_counts_are_integers():
-    block = collocations.Block(__import__("pyarrow").array(["en", "en"]), [b"a b a", b"a b"], np.array([True, True]), np.array([2**40, 3]), 3)
+    block = collocations.Block(__import__("pyarrow").array(["en", "en"]), __import__("pyarrow").array(["a b a", "a b"]), np.array([True, True]), np.array([2**40, 3]), 3)
     got = {(r["phrase"], r["n"]) for r in block.counted(np.flatnonzero(block.left >= 2), 2).to_pylist()}
     assert got == {("a b", 2**40 + 3), ("b a", 2**40)}
