@@ -20,13 +20,16 @@ class Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getMapState("abertas", "quando long, observation_id string", "artifact_id string, obtido boolean, situacao string")
+        self.open = handle.getListState("abertas", "quando long, observation_id string, artifact_id string, obtido boolean, situacao string")
         self.last = handle.getValueState("ultima", "artifact_id string")
         self.version = handle.getValueState("versao", "n long")
 
+    def _known(self) -> dict[tuple, tuple]:
+        return {tuple(x)[:2]: tuple(x)[2:] for x in self.open.get()} if self.open.exists() else {}
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         before = self.last.get()[0] if self.last.exists() else None
-        known = {tuple(k): tuple(v) for k, v in self.open.iterator()}
+        known = self._known()
         new: dict[tuple, tuple[str | None, bool]] = {}
         for frame in rows:
             when = frame.observado_em.astype("datetime64[us]").astype("int64")
@@ -34,25 +37,28 @@ class Watch(StatefulProcessor):
                 named = content if isinstance(content, str) else None
                 new[int(t), name] = named, result == "OBTIDO" and named is not None
         version = (self.version.get()[0] if self.version.exists() else 0) + 1
-        out = []
+        out, held = [], []
         for at in sorted(known.keys() | new.keys()):
             content, got = new[at] if at in new else known[at][:2]
             state = "INCONCLUSIVA" if not got else "NOVA" if before is None else "INALTERADA" if content == before else "CONTEUDO_MUDOU"
+            held.append((*at, content, got, state))
             if at in new or known[at][2] != state:
-                self.open.updateValue(at, (content, got, state))
                 out.append((key[0], at[1], content, state, version))
             before = content if got else before
+        self.open.put(held)  # at once: a call for each observation would cost more than the rest
         self.handle.registerTimer(-(-max(t for t, _ in new) // 1000))  # settles all of this batch and before
         self.version.update((version,))
         yield pd.DataFrame(out, columns=["chave", "observation_id", "artifact_id", "situacao", "versao"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Nothing earlier can come any more: what is settled leaves, but for the last content."""
-        until = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for at, (content, got, _) in sorted(((tuple(k), tuple(v)) for k, v in self.open.iterator() if k[0] <= until), key=lambda x: x[0]):
-            if got:
+        until, held = expiredTimerInfo.getExpiryTimeInMs() * 1000, []
+        for at, (content, got, state) in sorted(self._known().items()):
+            if at[0] > until:
+                held.append((*at, content, got, state))
+            elif got:
                 self.last.update((content,))
-            self.open.removeKey(at)
+        self.open.put(held) if held else self.open.clear()
         yield pd.DataFrame([], columns=["chave", "observation_id", "artifact_id", "situacao", "versao"]).astype({"versao": "int64"})
 
     def close(self) -> None:
