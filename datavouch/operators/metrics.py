@@ -6,7 +6,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from datavouch.functions.tables import written
@@ -104,17 +104,20 @@ def draw(seed: int, rep: Column, pos: Column, n: Column) -> Column:
     return F.pmod(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long"), n)
 
 
-#: Clusters whose sums every task may hold at most; more of them are drawn in ranges.
-SENT_CLUSTERS = 100_000
+#: Clusters whose sums every task may hold at most; more of them are joined instead.
+SENT_CLUSTERS = 1_000_000
+
+
+def _bootstrap_columns() -> list:
+    return ["numerador", "denominador", ratio("numerador", "denominador").alias("valor"), "inferior", "superior", "replicas", "grupos"]
 
 
 def cluster_bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
     """One row: the ratio, the percentile interval over whole clusters drawn with replacement, and
     the number of valid replicates; null below two clusters. Replicates whose denominator is zero
     don't count. ``sums`` (grupo, num, den) is ranked by name; draws are counter-based, so the result
-    doesn't depend on partitions. Each task draws some replicates from the sums, which it holds; of more than
-    ``SENT_CLUSTERS`` clusters, each task draws for a range of them (``multinomial_replicates``: other
-    draws of the same distribution)."""
+    doesn't depend on partitions. Each task draws some replicates from the sums, which it holds. A draw is a
+    step or a row here; ``range_bootstrap`` is for very many clusters."""
     sums = written(sums, "sums")
     point = sums.agg(F.sum("num").alias("numerador"), F.sum("den").alias("denominador"), F.count("*").alias("grupos"))
     n = point.first().grupos
@@ -129,10 +132,36 @@ def cluster_bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 42, l
         drawn = reps.repartition(64).crossJoin(F.broadcast(held)).select(F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), zero, add).alias("t"))
         per = drawn.select(F.when(F.col("t.den") > 0, F.col("t.num").cast("double") / F.col("t.den")).alias("r"))
     else:
-        per = multinomial_replicates(sums, n, replicates, seed).select(F.when(F.col("den") > 0, F.col("num").cast("double") / F.col("den")).alias("r"))
+        ranked = _ranked(sums)
+        every = reps.select("rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("k"))
+        picked = every.select("rep", draw(seed, F.col("rep"), F.col("k"), F.lit(n)).alias("pos")).join(ranked, "pos")
+        per = picked.groupBy("rep").agg(F.sum("num").alias("num"), F.sum("den").alias("den")).select(F.when(F.col("den") > 0, F.col("num").cast("double") / F.col("den")).alias("r"))
+    return point.crossJoin(_interval(per, level)).select(*_bootstrap_columns())
+
+
+def _interval(per: DataFrame, level: float) -> DataFrame:
     tail = (1 - level) / 2
-    limits = per.agg(F.bround(F.percentile("r", tail), 9).alias("inferior"), F.bround(F.percentile("r", 1 - tail), 9).alias("superior"), F.count("r").alias("replicas"))
-    return point.crossJoin(limits).select("numerador", "denominador", ratio("numerador", "denominador").alias("valor"), "inferior", "superior", "replicas", "grupos")
+    return per.agg(F.bround(F.percentile("r", tail), 9).alias("inferior"), F.bround(F.percentile("r", 1 - tail), 9).alias("superior"), F.count("r").alias("replicas"))
+
+
+def range_bootstrap(sums: DataFrame, replicates: int = 2000, seed: int = 42, level: float = 0.95) -> DataFrame:
+    """As ``cluster_bootstrap``, for any number of clusters in bounded memory and without a row a draw:
+    other draws of the same distribution, split among ranges of clusters (``multinomial_replicates``)."""
+    sums = written(sums, "sums")
+    point = sums.agg(F.sum("num").alias("numerador"), F.sum("den").alias("denominador"), F.count("*").alias("grupos"))
+    n = point.first().grupos
+    none = sums.sparkSession.range(replicates).select(F.lit(None).cast("double").alias("r"))
+    per = none if n < 2 else multinomial_replicates(sums, n, replicates, seed).select(F.when(F.col("den") > 0, F.col("num").cast("double") / F.col("den")).alias("r"))
+    return point.crossJoin(_interval(per, level)).select(*_bootstrap_columns())
+
+
+def _ranked(sums: DataFrame) -> DataFrame:
+    """``sums`` with ``pos``, the rank by name: within ranges of names, after the counts of those before."""
+    placed = written(sums.repartitionByRange("grupo").withColumn("part", F.spark_partition_id()), "ranges")
+    counts = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part")) - F.col("n")).select("part", "before")  # a row a range
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("grupo"))
+    return placed.join(F.broadcast(before), "part").select("num", "den", (F.col("before") + rank - 1).cast("long").alias("pos"))
 
 
 #: Ranges of clusters' hashes; the draws of a replicate are first split among them.

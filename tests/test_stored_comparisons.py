@@ -107,14 +107,14 @@ def test_ranges_draw_as_plain_resampling_does(spark, monkeypatch):
     assert abs(sum(k * n for k, n in each.items()) / 1500 - 1) < 0.12 and 0.3 < each[0] / 1500 < 0.44
 
 
-def test_many_clusters_and_few_agree(spark, monkeypatch):
+def test_draws_by_ranges_and_one_by_one_agree(spark):
     df = spark.createDataFrame([(f"g{i}", i % 4, 5) for i in range(400)], "grupo string, num long, den long")
-    few = metrics.cluster_bootstrap(df, 800).first()
-    monkeypatch.setattr(metrics, "SENT_CLUSTERS", 100)
-    many = metrics.cluster_bootstrap(df, 800).first()
+    few, many = metrics.cluster_bootstrap(df, 800).first(), metrics.range_bootstrap(df, 800).first()
     assert (few.numerador, few.denominador, few.valor, few.grupos, few.replicas) == (many.numerador, many.denominador, many.valor, many.grupos, many.replicas)
     width = float(few.superior - few.inferior)
     assert abs(float(few.inferior - many.inferior)) < 0.15 * width and abs(float(few.superior - many.superior)) < 0.15 * width
+    one = metrics.range_bootstrap(df.limit(1), 50).first()
+    assert (one.inferior, one.replicas, one.grupos) == (None, 0, 1)
 
 
 def test_splits_are_pruned_and_replaced_by_partition(spark, tmp_path):
