@@ -33,9 +33,9 @@ from datavouch.llm.common import encode
 #: Determinised states, checked pairs of tokens, and pre-tokens with their ids, that a Python worker
 #: keeps at most. None of them changes a result.
 MAX_STATES = 50_000
-MAX_FITS = 1_000_000
-MAX_MET = 500_000
-MAX_PIECES = 250_000
+MAX_FITS = 400_000
+MAX_MET = 200_000
+MAX_PIECES = 150_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
