@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import encode
+from datavouch.llm.common import claim, encode
 
 #: Determinised states, checked pairs of tokens, and pre-tokens with their ids, that a Python worker
 #: keeps at most. None of them changes a result.
@@ -402,6 +402,7 @@ def tokenize(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", codec.cache_clear)
         own = codec(vocabulary, pattern)
         for batch in batches:
             counts, shas, backs, kept = [], [], [], []

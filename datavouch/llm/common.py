@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
+from collections.abc import Callable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +16,7 @@ from datavouch.functions.tables import sent, split_join
 from datavouch.functions.tables import shared_path as shared_dir
 from datavouch.functions.tables import written as saved
 
-__all__ = ["ascii_lower", "bit_set", "encode", "in_bit_set", "partitions", "ragged_offsets", "saved", "sent", "shared_dir", "split_join", "table"]
+__all__ = ["ascii_lower", "bit_set", "claim", "encode", "in_bit_set", "partitions", "ragged_offsets", "saved", "sent", "shared_dir", "split_join", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,3 +59,24 @@ def in_bit_set(held: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Which of the hashes (unsigned 64-bit) pass the filter."""
     place = hashes % np.uint64(len(held) * 64)
     return held[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1) > 0
+
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def claim(name: str, clear: Callable[[], object] | None = None) -> None:
+    """Called by a task as it starts in its Python worker. A worker serves the tasks of one operator after
+    another; the caches of the others are emptied and their memory is given back, so that they don't
+    add up over a pipeline. ``clear`` empties those of the operator ``name``."""
+    others = [k for k in _HELD if k != name]
+    for k in others:
+        _HELD.pop(k)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        libc = ctypes.util.find_library("c")
+        trim = getattr(ctypes.CDLL(libc), "malloc_trim", None) if libc else None
+        if trim:  # where the C library has it
+            trim(0)
+    if clear is not None:
+        _HELD[name] = clear

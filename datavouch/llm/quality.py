@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import encode, saved
+from datavouch.llm.common import claim, encode, saved
 
 #: Labelled positives that the model is fitted on at most: those whose hashed ids are smallest.
 SAMPLE = 12_000
@@ -130,6 +130,7 @@ def _summed(rows: DataFrame, made, width: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        claim("quality")
         total = np.zeros(width)
         for batch in batches:
             if batch.num_rows:
@@ -222,6 +223,7 @@ def _featured(rows: DataFrame) -> DataFrame:
     """(key, x) of (key, text): the features as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             made = [features(t.as_py()).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], ["key", "x"])
@@ -258,6 +260,7 @@ def score(docs: DataFrame, model: Model | None, keep: tuple[str, ...] = ()) -> D
     source = docs.select("doc_id", "text", held_out().alias("held_out"), *[F.col(c).alias(f"keep_{c}") for c in keep])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for batch in batches:
             if model is None:
                 scores = np.full(batch.num_rows, 0.5)

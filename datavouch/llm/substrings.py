@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import encode, ragged_offsets
+from datavouch.llm.common import claim, encode, ragged_offsets
 
 #: Characters of text in a chunk, and characters whose hashes meet in one group; they bound memory.
 CHUNK_CHARS = 1_000_000
@@ -160,6 +160,7 @@ def remove_repeats(docs: DataFrame, width: int = 20, keep: tuple[str, ...] = (),
     dealt = _dealt(docs, chunks, names)
 
     def probe(table: pa.Table) -> pa.Table:
+        claim("substrings", _words.clear)
         chunk = _Chunk(table["doc_id"].to_pylist(), table["text"].to_pylist())
         at, codes = _anchor_codes(chunk, block, width, groups)
         unique, counts = np.unique(codes, return_counts=True)

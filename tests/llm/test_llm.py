@@ -795,6 +795,19 @@ def test_clashing_buckets_get_suffixes(spark):
     assert sorted((r.doc_id, r.f) for r in fingerprint._suffixed(marked, "bucket", "sha", "f").collect()) == [(1, "b"), (2, "b-1"), (3, "b"), (4, "c")]
 
 
+def test_a_worker_keeps_the_caches_of_one_operator():
+    from datavouch.llm import common
+
+    said = []
+    common.claim("one", lambda: said.append("one"))
+    common.claim("one", lambda: said.append("one"))
+    common.claim("two", lambda: said.append("two"))
+    common.claim("three")
+    common.claim("one", lambda: None)
+    assert said == ["one", "two"]
+    common.claim("none")
+
+
 # --- pipeline ------------------------------------------------------------------------------------
 
 
