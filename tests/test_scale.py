@@ -29,3 +29,20 @@ def test_stored_tables_are_not_sent_by_their_size_on_disk(spark, tmp_path):
             assert spark.conf.get(LIMIT) == kept
     finally:
         spark.conf.set(LIMIT, before)
+
+
+def test_evaluations_are_not_stored_and_only_rules_of_many_keys_are_shuffled(spark, monkeypatch):
+    from datavouch.operators import rules
+    from datavouch.plans import core, queries
+
+    stored = []
+    monkeypatch.setattr(core, "written", lambda df, what="": stored.append(set(df.columns)) or tables.written(df, what))
+    flow = core.Flow(spark, "/root/testdata/sf0.001")
+    sent = queries._r10(flow).collect()
+    assert not any({"row_id", "motivos"} <= c for c in stored)
+    monkeypatch.setattr(rules, "SENT_ROWS", 700)
+    split = core.Flow(spark, "/root/testdata/sf0.001")
+    assert "Union" in _plan(split.evaluations)
+    assert sorted(queries._r10(split).collect()) == sorted(sent)
+    listed = rules.aggregate_records(split.evaluations)
+    assert split.aggregates.exceptAll(listed).isEmpty() and split.aggregates.count() == 6000
