@@ -46,3 +46,52 @@ def test_evaluations_are_not_stored_and_only_rules_of_many_keys_are_shuffled(spa
     assert sorted(queries._r10(split).collect()) == sorted(sent)
     listed = rules.aggregate_records(split.evaluations)
     assert split.aggregates.exceptAll(listed).isEmpty() and split.aggregates.count() == 6000
+
+
+def test_outcomes_of_methods_move_a_record_once(spark):
+    """Every method is a part of the rules, so one evaluation serves all, grouped by record alone."""
+    from datavouch.operators import metrics, rules
+    from datavouch.plans import core
+
+    flow = core.Flow(spark, "/root/testdata/sf0.001")
+    ids = [r.rule_id for r in core.RULES]
+    each = {"regras": flow.aggregates, "par": rules.aggregate_records(flow.one_rule(0), known=ids[:1])}
+    expected = metrics.method_outcomes(each).select("metodo", "row_id", "situacao", "vezes").collect()
+    assert sorted(flow.outcomes.select("metodo", "row_id", "situacao", "vezes").collect()) == sorted(expected)
+    plan = _plan(flow.outcomes)
+    assert plan.count("hashpartitioning(row_id") == 1 and "hashpartitioning(metodo" not in plan
+
+
+def test_coverage_of_results_counts_rows_of_any_method(spark):
+    from datavouch.operators import metrics
+
+    population = spark.createDataFrame([("a",), ("b",), ("c",)], "row_id string")
+    given = [("m", "a", "ALERTA", 1), ("m", "x", "ALERTA", 2), ("n", "a", "SEM_ALERTA", 3), ("other", "b", "ALERTA", 1)]
+    out = metrics.result_coverage(population, spark.createDataFrame(given, "metodo string, row_id string, situacao string, vezes long"), ["m", "n"])
+    assert sorted(map(tuple, out.collect())) == [("m", 2, 1, 1), ("n", 2, 0, 1), ("other", 0, 1, 0)]
+
+
+def test_generated_methods_of_the_evaluation_are_compiled(spark):
+    """The virtual machine only interprets methods of over 8000 bytes."""
+    import re
+
+    from datavouch.plans import core
+
+    states = core.Flow(spark, "/root/testdata/sf0.001").evaluations.groupBy("estado", "aplicabilidade").count()
+    states.collect()
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", states._jdf.queryExecution().explainString(mode))]
+    assert sizes and max(sizes) < 8000
+
+
+def test_a_file_of_many_splits_is_not_dealt_out(spark, tmp_path):
+    one, many = str(tmp_path / "one"), str(tmp_path / "many")
+    spark.range(1000).coalesce(1).write.parquet(one)
+    spark.range(300_000).coalesce(1).write.option("parquet.block.size", 65536).option("parquet.block.size.row.check.min", 100).parquet(many)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+        few, rest = spark.read.parquet(one), spark.read.parquet(many)
+        assert tables.spread(rest, "id") is rest and tables.spread(few, "id") is not few
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
