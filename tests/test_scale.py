@@ -97,3 +97,34 @@ def test_a_file_of_many_splits_is_not_dealt_out(spark, tmp_path):
         assert tables.spread(rest, "id") is rest and tables.spread(few, "id") is not few
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_scopes_are_numbers_and_only_read_columns_of_records_are_stored(spark, monkeypatch):
+    from datavouch.operators import rules
+    from datavouch.plans import core
+
+    kept, stored = {}, []
+    monkeypatch.setattr(rules, "written", lambda df, what="": kept.setdefault(what, dict(df.dtypes)) and tables.written(df, what))
+    monkeypatch.setattr(core, "written", lambda df, what="": stored.append(set(df.columns)) or tables.written(df, what))
+    flow = core.Flow(spark, "/root/testdata/sf0.001")
+    assert flow.evaluations.count() == 24_000
+    assert kept["keys"]["escopo"] == kept["months"]["escopo"] == "bigint"
+    assert not any({"row_id", "valor_apresentado"} <= c or {"l_orderkey", "h"} <= c for c in stored)
+
+
+def test_a_table_in_half_as_many_splits_as_cores_is_not_dealt_out(spark):
+    half, few = spark.range(1000).repartition(2), spark.range(1000).coalesce(1)  # of four cores
+    assert tables.spread(half, "id") is half and tables.spread(few, "id") is not few
+
+
+def test_bundles_move_only_what_the_checks_need(spark):
+    from datavouch.operators import explain
+
+    row = lambda i, ev, state, cover: (i, "r", ev, state, "SELECIONADA", "OK", cover, "file", ["v"])
+    given = [row("a", None, "INCONCLUSIVO", "DISPONIVEL"), row("b", None, "VIOLACAO", "DISPONIVEL"), row("c", "odd", "CONFORME", "DISPONIVEL"), row("d", "e1", "VIOLACAO", "INSUFICIENTE"), row("e", "e1", "VIOLACAO", "DISPONIVEL"), row("f", "e2", "CONFORME", None), row("g", "e1", "VIOLACAO", None)]
+    evals = spark.createDataFrame(given, "row_id string, rule_id string, ev_id string, estado string, sel_estado string, integridade string, cobertura string, artifact_id string, sel_artefatos array<string>")
+    known = spark.createDataFrame([("e1", "AUSENCIA_NA_FONTE", "v"), ("e2", "VINCULO_ENCONTRADO", "v;w")], "ev_id string, tipo string, artifact_ids string")
+    out = explain.check_bundles(evals, known)
+    assert {(r.row_id, r.problema) for r in out.collect()} == {("b", "AUSENCIA_NAO_UTILIZAVEL"), ("c", "EVIDENCIA_INEXISTENTE"), ("d", "AUSENCIA_NAO_UTILIZAVEL"), ("f", "ARTEFATO_NAO_SELECIONADO"), ("g", "AUSENCIA_NAO_UTILIZAVEL")}
+    joined = out._jdf.queryExecution().optimizedPlan().toString().split("Join")[1]
+    assert "usavel" in joined
