@@ -149,3 +149,15 @@ def test_effects_are_those_of_evaluating_anew(spark, seed):
         want[r.cnes, r.cbo, plan] = (solved, violated, lost, tuple(sorted(touched)))
         seen.update(violated=violated, lost=lost, solved=solved)
     assert got == want and seen["violated"] and seen["lost"] and seen["solved"]
+
+
+def test_plans_that_the_budget_ends_are_not_made_longer(spark, monkeypatch):
+    """Costs of two: pairs fit a budget of four, and no third operation is joined to them."""
+    from datavouch.operators import explain
+
+    rows = [("199601", "1", "a", "RECLASSIFICAR_CBO", o, 2, None) for o in "bcdefgh"]
+    cand = spark.createDataFrame(rows, "competencia string, cnes string, cbo string, operacao string, origem string, custo int, depende_de string")
+    plans = explain.repair_plans(cand, budget=4)
+    assert sorted(r.n for r in plans.selectExpr("size(operacoes) as n").collect()) == [1] * 7 + [2] * 21
+    assert "custo#" in plans._jdf.queryExecution().optimizedPlan().toString() and "+ 2) <= 4" in plans._jdf.queryExecution().optimizedPlan().toString()
+    assert explain.repair_plans(cand.limit(0), budget=4).isEmpty()
