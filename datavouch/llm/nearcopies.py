@@ -1,8 +1,11 @@
 """Near copies by Jaccard similarity of five-word shingles, for the pipeline.
 
-Rows with equal sets of shingles are one node. Candidates are nodes that agree in one of 32 bands of
-five min-hashes (a pair at similarity 0.8 misses all bands with probability 3e-6, above it with less);
-the exact similarity of the sets then decides. The nodes of a band value are not compared pair by
+Rows with equal sets of shingles are one node. The first candidates are op2's: nodes whose SimHash
+fingerprints over the same shingles differ in at most two bits, found by generalised pigeonhole;
+the exact similarity of the sets then decides. Pairs at similarity 0.8 differ in up to 14 bits, a
+radius at which no group of bits prunes, so further candidates are nodes, not yet of one component,
+that agree in one of 32 bands of five min-hashes (a pair at 0.8 misses all bands with probability
+3e-6, above it with less), decided in the same way. The nodes of a band value are not compared pair by
 pair: in each round one of them, the centre, is compared with those of other components, after which
 all its links there are known and it leaves. A value is done when what is left of it lies in one
 component. What is still open after ``ROUNDS`` rounds, nodes that are alike in a band but not
@@ -21,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from datavouch.llm.common import claim, encode, saved, split_join
+from datavouch.llm import simhash
+from datavouch.llm.common import claim, saved, split_join
 from datavouch.llm.components import connected
 
 WIDTH = 5
@@ -35,18 +39,7 @@ _PLUS = _DRAW.integers(0, 1 << 64, BANDS * ROWS, np.uint64, endpoint=False)[:, N
 
 def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct 64-bit hashes of the shingles (A-Z lower-cased; fewer words: all of them)."""
-    words = encode(text).lower().split()
-    n = len(words)
-    if not n:
-        return np.zeros(0, np.uint64)
-    buffer = b" ".join(words)
-    digest = xxhash.xxh64_intdigest
-    if n <= width:
-        return np.array([digest(buffer)], np.uint64)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    k = n - width + 1
-    return np.unique(np.fromiter((digest(buffer[a:b]) for a, b in zip(starts[:k].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, k))
+    return np.unique(simhash.shingle_hashes(text, width))
 
 
 def signature(found: np.ndarray) -> np.ndarray:
@@ -58,22 +51,25 @@ def signature(found: np.ndarray) -> np.ndarray:
 
 
 def _features(rows: DataFrame) -> DataFrame:
-    """(row, fp, bands, sketch) of (row, text); fp stands for the set, sketch has a byte a min-hash."""
+    """(row, fp, sim, bands, sketch) of (row, text); fp stands for the set, sim is the SimHash fingerprint,
+    sketch has a byte a min-hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("nearcopies")
         for batch in batches:
-            fps, bands, sketches = [], [], []
+            fps, sims, bands, sketches = [], [], [], []
             for text in batch.column(1):
-                found = shingles(text.as_py())
+                hashes = simhash.shingle_hashes(text.as_py(), WIDTH)
+                sims.append(simhash.folded(hashes))
+                found = np.unique(hashes)
                 fps.append(xxhash.xxh3_64_intdigest(found.tobytes()))
                 sig = signature(found) if len(found) else np.zeros(0, np.uint64)
                 raw = sig.tobytes()
                 bands.append(np.fromiter((xxhash.xxh3_64_intdigest(raw[k * ROWS * 8 : (k + 1) * ROWS * 8], k) for k in range(BANDS if raw else 0)), np.uint64).view(np.int64))
                 sketches.append((sig >> np.uint64(8)).astype(np.uint8).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "fp", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(np.array(sims, np.uint64).view(np.int64)), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["row", "fp", "sim", "bands", "sketch"])
 
-    return rows.mapInArrow(run, "row long, fp long, bands array<long>, sketch binary")
+    return rows.mapInArrow(run, "row long, fp long, sim long, bands array<long>, sketch binary")
 
 
 def _sets(rows: DataFrame) -> DataFrame:
@@ -175,24 +171,48 @@ def _met(kept: DataFrame, shared: DataFrame) -> DataFrame:
     return left.join(right, ["h", "lot", "other_lot"]).filter(fits).select(F.col("fp").alias("a"), "b")
 
 
+#: Bits in which the SimHash fingerprints of the first candidates may differ.
+TAU = 2
+
+
+def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the nodes (fp, sim) by SimHash: a fingerprint's least node with its others, and with
+    the least node of each fingerprint that is linked to it (``simhash.links``)."""
+    heads = saved(nodes.groupBy("sim").agg(F.min("fp").alias("head"), F.count("*").alias("n")), "heads")
+    own = split_join(nodes.select("fp", "sim"), heads.select("sim", "head"), ["sim"], heads.select("sim", "n"), F.xxhash64("fp"), "inner")
+    near = saved(simhash.links(heads.select(F.col("sim").alias("fp")), TAU), "near")
+    of = lambda end, name: heads.select(F.col("sim").alias(end), F.col("head").alias(name))
+    per = near.groupBy("a").agg(F.count("*").alias("n"))
+    met = split_join(near, of("a", "x"), ["a"], per, F.xxhash64("b"), "inner").join(of("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return own.filter("fp <> head").select(F.col("head").alias("a"), F.col("fp").alias("b")).unionByName(met)
+
+
+def _of_several(members: DataFrame) -> DataFrame:
+    """The members (v, fp, c, ...) of band values whose nodes are of several components."""
+    mixed = members.groupBy("v").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("v", "n")
+    return split_join(members, mixed.select("v"), ["v"], mixed, F.xxhash64("fp"), "inner")
+
+
 def links(nodes: DataFrame, rows: DataFrame) -> DataFrame:
     """(a, b): pairs of similarity 0.8 or more whose components are those of all such candidates."""
+    found = _verified(_fingerprint_pairs(nodes.filter(F.size("bands") > 0)), nodes, rows)
+    component = connected(nodes.select("fp", F.col("fp").alias("rep")), found)
     buckets = nodes.select("fp", F.explode("bands").alias("v"))
     sizes = buckets.groupBy("v").agg(F.count("*").alias("n")).filter("n > 1")
-    member = saved(split_join(buckets, sizes, ["v"], sizes, F.xxhash64("fp"), "inner").select("v", "fp", "n"), "members")
+    member = split_join(buckets, sizes, ["v"], sizes, F.xxhash64("fp"), "inner").select("v", "fp", "n")
+    member = saved(member.join(component.select("fp", F.col("component_id").alias("c")), "fp"), "members")
+    member = saved(_of_several(member), "members")
     weight = member.groupBy("fp").agg(F.sum("n").alias("w"))  # the nodes amid most others come first
-    member = saved(member.join(weight, "fp").select("v", "fp", "w", F.col("fp").alias("c")), "members")
-    found = None
+    member = saved(member.join(weight, "fp").select("v", "fp", "w", "c"), "members")
     for _ in range(ROUNDS):
         centre = member.groupBy("v").agg(F.max(F.struct("w", "fp", "c")).alias("centre"), F.count("*").alias("n"))
         met = split_join(member, centre.select("v", "centre"), ["v"], centre.select("v", "n"), F.xxhash64("fp"), "inner")
         fresh = _verified(met.filter("c <> centre.c").select(F.col("centre.fp").alias("a"), F.col("fp").alias("b")), nodes, rows)
-        found = fresh if found is None else found.unionByName(fresh)
+        found = found.unionByName(fresh)
         component = connected(nodes.select("fp", F.col("fp").alias("rep")), found)
         left = met.filter("fp <> centre.fp").select("v", "fp", "w").join(component.select("fp", F.col("component_id").alias("c")), "fp")
         left = saved(left, "left")
-        mixed = left.groupBy("v").agg(F.count("*").alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high").select("v", "n")
-        member = saved(split_join(left, mixed, ["v"], mixed, F.xxhash64("fp"), "inner").select("v", "fp", "w", "c"), "members")
+        member = saved(_of_several(left), "members")
         if member.isEmpty():
             return found
     open_ = saved(member.groupBy("fp").agg(F.first("c").alias("c")), "open")

@@ -33,29 +33,37 @@ _SPLIT = re.compile(rb"[^\x20\x09-\x0d]+")
 _WEIGHTS = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
 
 
-def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
-    """SimHash of one text: a bit is set if it is set in over half of the shingle hashes.
-
-    Shingles are ``width`` words (fewer words: all of them), repeats included. Without words: 0.
-    """
+def shingle_hashes(text: str | None, width: int = 3, seed: int = 42) -> np.ndarray:
+    """The hashes of the shingles of ``width`` words in their order, repeats included (A-Z lower-cased; fewer
+    words: one of all of them; no words: none)."""
     words = encode(text).lower().split()
     n = len(words)
     if not n:
-        return 0
+        return np.zeros(0, np.uint64)
     buffer = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n <= width:
-        return xxhash.xxh64_intdigest(buffer, seed)
+        return np.array([digest(buffer, seed)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    digest = xxhash.xxh64_intdigest
     k = n - width + 1
-    hashes = np.fromiter((digest(buffer[a:b], seed) for a, b in zip(starts[:k].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, k)
+    return np.fromiter((digest(buffer[a:b], seed) for a, b in zip(starts[:k].tolist(), ends[width - 1 :].tolist(), strict=True)), np.uint64, k)
+
+
+def folded(hashes: np.ndarray) -> int:
+    """SimHash of shingle hashes: a bit is set if it is set in over half of them. Of none: 0."""
+    k = len(hashes)
     counts = np.zeros(BITS, np.int64)
     for i in range(0, k, 1 << 16):
         counts += np.unpackbits(hashes[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(_WEIGHTS[counts * 2 > k].sum(dtype=np.uint64)) if (counts * 2 > k).any() else 0
 
 
+def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
+    """SimHash of one text over its shingles of ``width`` words. Without words: 0."""
+    return folded(shingle_hashes(text, width, seed))
+
+
 def fingerprints(docs: DataFrame, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp): the fingerprint of every row as a signed long. Null texts have no words."""
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -886,6 +886,32 @@ def test_near_copies_against_brute_jaccard(spark, monkeypatch, rounds):
     assert sorted((i for i, _ in near_copy_stage(spark, rows)), key=str) == brute_near_copies(rows)
 
 
+def test_near_copies_begin_with_simhash(spark, monkeypatch):
+    """The stage's first candidates are op2's: SimHash fingerprints within two bits, by pigeonhole."""
+    from datavouch.llm import nearcopies
+
+    own, seen = simhash.links, []
+
+    def spy(nodes, tau):
+        seen.append((tau, nodes.count()))
+        return own(nodes, tau)
+
+    monkeypatch.setattr(simhash, "links", spy)
+    random.seed(12)
+    text = [f"w{random.randrange(900)}" for _ in range(400)]
+    rows = [(i, " ".join([*text[:k], "edit", *text[k + 1 :]])) for i, k in enumerate([0, 1, 2, 3, 395, 396, 397, 398])] + [(9, "quite another text"), (10, "")]
+    assert sorted((i for i, _ in near_copy_stage(spark, rows)), key=str) == brute_near_copies(rows) == [0, 10, 9]
+    assert seen and seen[0][0] == 2 and 1 < seen[0][1] <= 9
+    sims = [random.getrandbits(64) for _ in range(20)]
+    sims += [s ^ 1 << random.randrange(64) ^ 1 << random.randrange(64) for s in sims for _ in range(4)] + sims[:5]
+    nodes = [(i, s - (1 << 64) if s >> 63 else s) for i, s in enumerate(sims)]
+    pairs = {(r.a, r.b) for r in nearcopies._fingerprint_pairs(spark.createDataFrame(nodes, "fp long, sim long")).collect()}
+    assert all((sims[a] ^ sims[b]).bit_count() <= 2 for a, b in pairs)
+    head = {s: sims.index(s) for s in sims}
+    want = {frozenset((i, k)) for i in head.values() for k in head.values() if i < k and (sims[i] ^ sims[k]).bit_count() <= 2} | {frozenset((i, head[s])) for i, s in enumerate(sims) if head[s] != i}
+    assert {frozenset(p) for p in pairs} == want
+
+
 @pytest.mark.parametrize(("lot", "hot"), [(2000, 200_000), (7, 20)])
 def test_prefixes_find_all_similar_sets(spark, monkeypatch, lot, hot):
     """Sets that share common hashes, compared with all pairs; hashes in many sets are dealt out."""
