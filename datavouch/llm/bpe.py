@@ -6,8 +6,8 @@ of their joined bytes gives back the two. A byte string has exactly one walk of
 and that is its BPE encoding. ``Transducer`` makes this deterministic while it reads: a state is
 the set of walks still possible, each with the tokens it has yet to emit. Tokens that all walks
 share are emitted at once, so output lags by no more than the longest token. A transition is built
-when it is missing for the second time; the first time, the pre-token is encoded by the
-nondeterministic walk. Once there are ``MAX_STATES`` states, they are forgotten and built anew.
+once it has been missing ``BUILT_AFTER`` times; until then the pre-token is encoded by the
+nondeterministic walk, longest tokens first. Once there are ``MAX_STATES`` states, they are forgotten and built anew.
 
 Decoding runs a state machine over the ids: its state is the open UTF-8 sequence, its output whole
 characters. What a token does in a state is worked out once, byte by byte.
@@ -36,6 +36,8 @@ MAX_STATES = 50_000
 MAX_FITS = 400_000
 MAX_MET = 200_000
 MAX_PIECES = 150_000
+#: How often a transition must have been missing before it is built, which costs more than a walk.
+BUILT_AFTER = 24
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -51,6 +53,10 @@ class Transducer:
         self.token = {v: k for k, v in ranks.items()}
         self.child: list[dict[int, int]] = [{}]
         self.ends: list[int] = [-1]
+        self.longest = max(map(len, ranks))
+        self.length = {rank: len(word) for word, rank in ranks.items()}
+        #: The longest token that is a proper prefix of a token (-1: none).
+        self.shorter = {rank: next((ranks[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in ranks), -1) for word, rank in ranks.items()}
         for word, rank in ranks.items():
             at = 0
             for byte in word:
@@ -66,8 +72,8 @@ class Transducer:
         self.number = {self.states[0]: 0}
         #: From state * 256 + byte to the next state and what is emitted.
         self.steps: dict[int, tuple[int, tuple[int, ...]]] = {}
-        #: Steps that were missing once.
-        self.met: set[int] = set()
+        #: How often steps were missing.
+        self.met: dict[int, int] = {}
 
     def merge(self, word: bytes, least: int = 1) -> list[bytes]:
         """BPE by its definition: the adjacent pair of least rank is joined until none is left, or
@@ -158,28 +164,39 @@ class Transducer:
         return step
 
     def walk(self, word: bytes) -> list[int]:
-        """The encoding by the nondeterministic transducer: every prefix has one compatible walk,
-        so the last token of each is enough to find the way back."""
-        n = len(word)
-        token_at, start_at = [-1] * (n + 1), [0] * (n + 1)
-        child, ends, fits = self.child, self.ends, self.fits
-        for i in range(n):
-            before = token_at[i]
-            node = 0
-            for j in range(i, n):
-                node = child[node].get(word[j])
-                if node is None:
+        """The encoding by the nondeterministic transducer, longest token first. Every prefix has one
+        compatible walk, so a place from which none went on to the end is never tried again."""
+        n, at, before, state = len(word), 0, -1, 0
+        child, ends, fits, shorter = self.child, self.ends, self.fits, self.shorter
+        out: list[int] = []
+        starts: list[int] = []
+        dead: set[int] = set()
+        while at < n:
+            node, token = 0, -1
+            for byte in word[at : at + self.longest] if at else word:
+                own = child[node]
+                if byte not in own:
                     break
-                token = ends[node]
-                if token >= 0:
+                node = own[byte]
+                if ends[node] >= 0:
+                    token = ends[node]
+            while token >= 0:
+                end = at + self.length[token]
+                if end not in dead:
                     fit = fits.get(before << 20 | token)
                     if fit or fit is None and self.compatible(before, token):
-                        token_at[j + 1], start_at[j + 1] = token, i
-        out = []
-        while n:
-            out.append(token_at[n])
-            n = start_at[n]
-        return out[::-1]
+                        break
+                token = shorter[token]
+            if token >= 0:
+                starts.append(at)
+                out.append(token)
+                at, before = end, token
+            else:
+                dead.add(at)
+                at = starts.pop()
+                out.pop()
+                before = out[-1] if out else -1
+        return out
 
     def _renew(self, state: int) -> int:
         """Forgets all states but the start and the given one, whose new number it returns."""
@@ -201,10 +218,11 @@ class Transducer:
             known = steps.get(state << 8 | byte)
             if known is None:
                 key = state << 8 | byte
-                if key not in self.met:  # for a word that may never come again
+                times = self.met.get(key, 0)
+                if times < BUILT_AFTER:  # for a word that may never come again
                     if len(self.met) >= MAX_MET:
                         self.met.clear()
-                    self.met.add(key)
+                    self.met[key] = times + 1
                     return self.walk(word)
                 if len(self.states) >= MAX_STATES:
                     state = self._renew(state)

@@ -278,6 +278,20 @@ def test_utf8_machine_matches_replacement_decoding():
         assert (out + machine.end(state)).decode() == data.decode("utf-8", "replace")
 
 
+def test_rare_words_are_walked_and_build_no_states():
+    """A walk tries longest tokens first and goes back where none follows; it gives BPE by its definition."""
+    t = bpe.Transducer({bytes([b]): b for b in range(256)} | {x: 256 + i for i, x in enumerate((b"ab", b"bc", b"abc", b"cd", b"bcd", b"aa", b"aaa", b"abab"))})
+    random.seed(14)
+    for _ in range(3000):
+        word = bytes(random.choice(b"abcd") for _ in range(random.randrange(1, 14)))
+        assert t.walk(word) == [t.ranks[x] for x in t.merge(word)], word
+    for _ in range(bpe.BUILT_AFTER):
+        assert t.encode(b"abcabd") == t.walk(b"abcabd") and not t.steps
+    for _ in range(6 * bpe.BUILT_AFTER):
+        assert t.encode(b"abcabd") == t.walk(b"abcabd")
+    assert len(t.steps) == 6
+
+
 def test_decoding_tokens_that_split_characters(tokenizer):
     codec = bpe.codec(VOCABULARY, public_tokenizers.PATTERN)
     ids = [i for byte in "é漢🙂 a".encode() + b"\xe6\xbc" for i in [codec.pieces.transducer.ranks[bytes([byte])]]]
