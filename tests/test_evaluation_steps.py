@@ -46,3 +46,24 @@ def test_evidence_is_compared_by_what_it_is_made_of(spark, flow, monkeypatch):
     assert moved and not any("parametros" in m or "chaves_amostra" in m for m in moved)
     each = flow.evaluations.filter("estado <> 'INCONCLUSIVO'").select(rules.evidence_id().alias("ev_id"))
     assert sorted(r.ev_id for r in each.distinct().collect()) == sorted(r.ev_id for r in ev.select("ev_id").collect())
+
+
+def _moved(df):
+    return re.findall(r"Exchange hashpartitioning\((.*?), \d+\)", _plan(df))
+
+
+def test_only_rows_that_cite_evidence_of_rules_with_much_of_it_are_moved(spark, monkeypatch):
+    rows = spark.createDataFrame([(str(i), "a" if i % 2 else "b", e) for i, e in enumerate(["a1", "b1", "a2", None, "b9", "a1", "zz", "b2"])], "row_id string, rule_id string, ev_id string")
+    known = spark.createDataFrame([("a1", "a", 1), ("a2", "a", 2), *[(f"b{i}", "b", 10 + i) for i in range(1, 6)], ("n1", None, 0)], "ev_id string, rule_id string, x int")
+    expected = sorted(map(str, rows.join(known.drop("rule_id"), "ev_id", "left").select("row_id", "ev_id", "x").collect()))
+    for most, parts in ((3, (2, 6)), (100, (7, 1)), (1, (0, 8))):
+        monkeypatch.setattr(rules, "SENT_ROWS", most)
+        few, rest = rules.known_apart(known)
+        assert (few.count(), rest.count()) == parts
+        assert sorted(map(str, rules.with_known(rows, known).select("row_id", "ev_id", "x").collect())) == expected
+        assert sorted(map(str, rules.with_known(rows, known.drop("rule_id")).select("row_id", "ev_id", "x").collect())) == expected
+
+
+def test_faults_in_evaluations_need_no_join_by_record(flow):
+    joins = re.findall(r"Join \w+, (.*)", queries._r14(flow)._jdf.queryExecution().optimizedPlan().toString())
+    assert any("ev_id" in j for j in joins) and not any("row_id" in j for j in joins)
