@@ -67,3 +67,8 @@ def test_only_rows_that_cite_evidence_of_rules_with_much_of_it_are_moved(spark,
 def test_faults_in_evaluations_need_no_join_by_record(flow):
     joins = re.findall(r"Join \w+, (.*)", queries._r14(flow)._jdf.queryExecution().optimizedPlan().toString())
     assert any("ev_id" in j for j in joins) and not any("row_id" in j for j in joins)
+
+
+def test_bundles_of_rules_with_little_evidence_stay_where_they_are(flow):
+    text = queries._e5(flow)._jdf.queryExecution().optimizedPlan().toString()
+    assert "_near" in text and "rightHint=(strategy=broadcast)" in text
