@@ -72,3 +72,17 @@ def test_faults_in_evaluations_need_no_join_by_record(flow):
 def test_bundles_of_rules_with_little_evidence_stay_where_they_are(flow):
     text = queries._e5(flow)._jdf.queryExecution().optimizedPlan().toString()
     assert "_near" in text and "rightHint=(strategy=broadcast)" in text
+
+
+def test_missing_edges_are_found_by_evaluation(spark):
+    """All edges that are needed and not there, by their subject; other subjects and other objects don't matter."""
+    fields = "row_id string, rule_id string, estado string, instrumento string, chave string, sel_artefatos array<string>, artifact_id string, cobertura string, integridade string, integridade_registro string, n_resultados long"
+    ev = spark.createDataFrame([(i, "r", s, "C", "k", ["v"], "f", "DISPONIVEL", "OK", "OK", 1) for i, s in (("a", "CONFORME"), ("b", "INCONCLUSIVO"), ("c", "VIOLACAO"), ("c", "VIOLACAO"))], fields)
+    edges = explain.provenance_edges(ev)
+    assert explain.missing_edges(edges, ev).isEmpty()
+    assert edges.filter("relacao = 'USOU'").count() == 11 and edges.filter("objeto is null").isEmpty()
+    some = edges.filter("sujeito <> 'avaliacao/b/r' and objeto <> 'registro/a'").unionByName(spark.createDataFrame([("avaliacao/b/r", "USOU", "regra/other"), ("registro/a", "USOU", "registro/a")], "sujeito string, relacao string, objeto string"))
+    out = explain.missing_edges(some, ev.unionByName(ev.filter("row_id = 'b'")))
+    assert sorted((r.sujeito, r.objeto) for r in out.collect()) == [("avaliacao/a/r", "registro/a"), *[("avaliacao/b/r", "registro/b")] * 2, *[("avaliacao/b/r", "regra/r")] * 2]
+    assert explain.missing_edges(edges.filter("objeto not like 'evidencia/%'"), ev).count() == 3
+    assert all("objeto" not in m for m in _moved(explain.missing_edges(edges.filter("relacao = 'USOU'"), ev)))
