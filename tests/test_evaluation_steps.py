@@ -86,3 +86,20 @@ def test_missing_edges_are_found_by_evaluation(spark):
     assert sorted((r.sujeito, r.objeto) for r in out.collect()) == [("avaliacao/a/r", "registro/a"), *[("avaliacao/b/r", "registro/b")] * 2, *[("avaliacao/b/r", "regra/r")] * 2]
     assert explain.missing_edges(edges.filter("objeto not like 'evidencia/%'"), ev).count() == 3
     assert all("objeto" not in m for m in _moved(explain.missing_edges(edges.filter("relacao = 'USOU'"), ev)))
+
+
+def test_nodes_are_those_that_edges_name(flow):
+    """Made without the edges, and each shared node once."""
+    edges, nodes = explain.provenance_edges(flow.stored_evaluations), explain.provenance_nodes(flow.stored_evaluations)
+    ends = edges.select(F.explode(F.array("sujeito", "objeto")).alias("nome")).distinct()
+    assert ends.exceptAll(nodes.distinct()).isEmpty() and nodes.distinct().exceptAll(ends).isEmpty()
+    shared = nodes.filter("nome rlike '^(artefato|regra|conjunto)/'")
+    assert shared.count() == shared.distinct().count()
+
+
+def test_references_to_shared_nodes_are_looked_up_where_they_are(spark):
+    claimed = spark.createDataFrame([("1", "r", ["avaliacao/1/r", "ev_1", "artefato/a"]), ("2", "r", ["avaliacao/2/r", "artefato/z", "regra/r", None]), ("3", "r", []), ("4", "r", ["regra/z", "artefato/a", "registro/4"])], "row_id string, assunto string, referencias array<string>")
+    known = spark.createDataFrame([("avaliacao/1/r",), ("artefato/a",), ("artefato/a",), ("regra/r",), ("ev_2",)], "nome string")
+    out = explain.unresolved_references(claimed, known)
+    assert sorted((r.row_id, r.referencia) for r in out.collect()) == [("1", "ev_1"), ("2", "artefato/z"), ("2", "avaliacao/2/r"), ("4", "registro/4"), ("4", "regra/z")]
+    assert "rightHint=(strategy=broadcast)" in out._jdf.queryExecution().optimizedPlan().toString()
