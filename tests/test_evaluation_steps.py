@@ -103,3 +103,9 @@ def test_references_to_shared_nodes_are_looked_up_where_they_are(spark):
     out = explain.unresolved_references(claimed, known)
     assert sorted((r.row_id, r.referencia) for r in out.collect()) == [("1", "ev_1"), ("2", "artefato/z"), ("2", "avaliacao/2/r"), ("4", "registro/4"), ("4", "regra/z")]
     assert "rightHint=(strategy=broadcast)" in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_evidence_is_stored_before_it_is_counted_again(flow):
+    """Its kind is filtered where it is read, not where evaluations are made."""
+    plan = queries._e1(flow)._jdf.queryExecution().optimizedPlan().toString()
+    assert "sha2" not in plan and "tipo" in plan
